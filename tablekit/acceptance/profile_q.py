@@ -1,3 +1,230 @@
-"""Acceptance queries."""
+"""Acceptance queries for column profiles.
 
-from . import query, table  # noqa: F401
+The oracle SQL is generated per column from the known table layouts and says,
+in plain SQL, what each statistic means (histogram edges ``k * step + lo``,
+categories with an ``others`` and a ``Missing`` slot, NaN counted as missing).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.profile import (Profile, analyze_columns, color_scale_min_max, distinct_values,
+                                 estimate_csv_size_df)
+from . import query, table
+
+# Column layouts of the given tables (kind: int, dbl, ts, str).
+LINEITEM = [("l_orderkey", "int", "bigint"), ("l_partkey", "int", "bigint"), ("l_suppkey", "int", "bigint"),
+            ("l_linenumber", "int", "int"), ("l_quantity", "dbl", "double"),
+            ("l_extendedprice", "dbl", "double"), ("l_discount", "dbl", "double"), ("l_tax", "dbl", "double"),
+            ("l_returnflag", "str", "string"), ("l_linestatus", "str", "string"),
+            ("l_shipdate", "ts", "timestamp_ntz")]
+EVENTS = [("event_id", "int", "bigint"), ("ts", "ts", "timestamp_ntz"), ("user_id", "int", "bigint"),
+          ("event_type", "str", "string"), ("value", "dbl", "double"), ("props", "str", "string")]
+CUSTOMER = [("c_custkey", "int", "bigint"), ("c_name", "str", "string"), ("c_nationkey", "int", "int"),
+            ("c_acctbal", "dbl", "double"), ("c_mktsegment", "str", "string")]
+
+# events with missing cells: 'error' types are null, 'view' values are NaN, 'click' values null
+EVENTS_MISSING_SQL = ("SELECT event_id, ts, user_id, nullif(event_type, 'error') AS event_type, "
+                      "CASE WHEN event_type = 'view' THEN 'NaN'::DOUBLE WHEN event_type = 'click' THEN NULL "
+                      "ELSE value END AS value, props FROM events")
+
+
+def events_missing(spark, d):
+    ev = table(spark, d, "events")
+    return ev.select("event_id", "ts", "user_id", F.expr("nullif(event_type, 'error')").alias("event_type"),
+                     F.when(F.col("event_type") == "view", F.lit(float("nan")))
+                      .when(F.col("event_type") == "click", F.lit(None).cast("double"))
+                      .otherwise(F.col("value")).alias("value"), "props")
+
+
+def _src(t: str) -> str:
+    return f"({EVENTS_MISSING_SQL})" if t == "events_missing" else t
+
+
+def _missing_sql(c: str, kind: str) -> str:
+    return f"({c} IS NULL OR isnan({c}))" if kind == "dbl" else f"{c} IS NULL"
+
+
+def _present(c: str, kind: str) -> str:
+    return f"NOT {_missing_sql(c, kind)}"
+
+
+def unique_sql(t: str, cols) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(DISTINCT {c}) FILTER (WHERE {_present(c, k)}) AS unique_count "
+        f"FROM {_src(t)}" for c, k, _ in cols)
+
+
+def null_sql(t: str, cols) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {_missing_sql(c, k)}) AS nan_count FROM {_src(t)}"
+        for c, k, _ in cols)
+
+
+def _minmax_expr(c: str, k: str, fn: str) -> str:
+    if k == "str":
+        return "CAST(max(NULL) AS VARCHAR)"
+    filt = f" FILTER (WHERE NOT isnan({c}))" if k == "dbl" else ""
+    return f"CAST({fn}({c}){filt} AS VARCHAR)"
+
+
+def minmax_sql(t: str, cols) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {_minmax_expr(c, k, 'min')} AS min, {_minmax_expr(c, k, 'max')} AS max "
+        f"FROM {_src(t)}" for c, k, _ in cols)
+
+
+def _axis(c: str, k: str) -> str:
+    return f"CAST(epoch_us({c}) AS DOUBLE)" if k == "ts" else f"CAST({c} AS DOUBLE)"
+
+
+def _hist_one(t: str, c: str, k: str) -> str:
+    x = _axis(c, k)
+    finite = f"{x} IS NOT NULL AND isfinite({x})" if k == "dbl" else f"{x} IS NOT NULL"
+    edges = " + ".join(f"CAST(x >= {i} * step + lo AS INTEGER)" for i in range(1, 10))
+    return (
+        f"SELECT * FROM (WITH v AS (SELECT {x} AS x FROM {_src(t)} WHERE {finite}), "
+        "r AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo, "
+        "CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM v), "
+        "e AS (SELECT lo, hi, (hi - lo) / 10 AS step FROM r WHERE lo IS NOT NULL), "
+        f"b AS (SELECT {edges} AS bin, count(*) AS cnt FROM v, e GROUP BY 1) "
+        f"SELECT '{c}' AS column_name, CAST(g.bin AS INTEGER) AS bin, g.bin * step + lo AS bin_start, "
+        "CASE WHEN g.bin = 9 THEN hi ELSE (g.bin + 1) * step + lo END AS bin_end, "
+        "CAST(coalesce(b.cnt, 0) AS BIGINT) AS count "
+        "FROM e, (SELECT range AS bin FROM range(10)) g LEFT JOIN b ON b.bin = g.bin)")
+
+
+def hist_sql(t: str, cols) -> str:
+    return " UNION ALL ".join(_hist_one(t, c, k) for c, k, _ in cols if k != "str")
+
+
+def _cat_one(t: str, c: str) -> str:
+    return (
+        f"SELECT * FROM (WITH c AS (SELECT v, count(*) AS cnt FROM (SELECT CAST({c} AS VARCHAR) AS v "
+        f"FROM {_src(t)}) WHERE v IS NOT NULL GROUP BY v), "
+        "r AS (SELECT v, cnt, row_number() OVER (ORDER BY cnt DESC, v ASC) AS rk FROM c), "
+        f"q0 AS (SELECT (SELECT count(*) FROM c) AS uniq, (SELECT coalesce(sum(cnt), 0) FROM c) AS nn, "
+        f"(SELECT count(*) FROM {_src(t)} WHERE {c} IS NULL) AS nan), "
+        "q1 AS (SELECT *, 3 - CAST(nan > 0 AS INTEGER) AS slots FROM q0), "
+        "q AS (SELECT *, CASE WHEN uniq > slots THEN slots - 1 ELSE slots END AS shown FROM q1) "
+        f"SELECT '{c}' AS column_name, CAST(rk AS INTEGER) AS position, v AS name, cnt AS count "
+        "FROM r, q WHERE rk <= shown "
+        f"UNION ALL SELECT '{c}', CAST(shown + 1 AS INTEGER), CAST(uniq - shown AS VARCHAR) || ' others', "
+        "CAST(nn - (SELECT coalesce(sum(cnt), 0) FROM r, q WHERE rk <= shown) AS BIGINT) FROM q WHERE uniq > slots "
+        f"UNION ALL SELECT '{c}', CAST(least(uniq, slots) + 1 AS INTEGER), 'Missing', nan FROM q WHERE nan > 0)")
+
+
+def cat_sql(t: str, cols) -> str:
+    return " UNION ALL ".join(_cat_one(t, c) for c, k, _ in cols if k == "str")
+
+
+def _analyze_sql(t: str, cols) -> str:
+    hist = hist_sql(t, cols)
+    cats = cat_sql(t, cols)
+    parts = []
+    for i, (c, k, dtype) in enumerate(cols):
+        parts.append(
+            f"SELECT {i} AS position, '{c}' AS column_name, '{dtype}' AS dtype, "
+            f"(SELECT count(DISTINCT {c}) FILTER (WHERE {_present(c, k)}) FROM {_src(t)}) AS unique_count, "
+            f"(SELECT count(*) FILTER (WHERE {_missing_sql(c, k)}) FROM {_src(t)}) AS nan_count, "
+            f"(SELECT {_minmax_expr(c, k, 'min')} FROM {_src(t)}) AS min, "
+            f"(SELECT {_minmax_expr(c, k, 'max')} FROM {_src(t)}) AS max")
+    base = " UNION ALL ".join(parts)
+    return (
+        f"SELECT b.*, h.histogram_counts, ct.categories_text FROM ({base}) b "
+        f"LEFT JOIN (SELECT column_name, string_agg(CAST(count AS VARCHAR), ',' ORDER BY bin) AS histogram_counts "
+        f"FROM ({hist}) GROUP BY column_name) h USING (column_name) "
+        f"LEFT JOIN (SELECT column_name, string_agg(name || ':' || CAST(count AS VARCHAR), '|' ORDER BY position) "
+        f"AS categories_text FROM ({cats}) GROUP BY column_name) ct USING (column_name)")
+
+
+def flat_profile(tab):
+    """Profile table with arrays rendered as text, for comparison."""
+    return tab.select(
+        "position", "column_name", "dtype", "unique_count", "nan_count", "min", "max",
+        F.array_join(F.transform("histogram", lambda x: x["count"].cast("string")), ",").alias("histogram_counts"),
+        F.array_join(F.transform("categories", lambda x: F.concat(x["name"], F.lit(":"), x["count"].cast("string"))),
+                     "|").alias("categories_text"))
+
+
+@query("profile_unique_count", unique_sql("lineitem", LINEITEM))
+def profile_unique_count(spark, d):
+    return Profile(table(spark, d, "lineitem")).unique_counts()
+
+
+@query("profile_unique_count_missing", unique_sql("events_missing", EVENTS))
+def profile_unique_count_missing(spark, d):
+    return Profile(events_missing(spark, d)).unique_counts()
+
+
+@query("profile_null_count", null_sql("events_missing", EVENTS))
+def profile_null_count(spark, d):
+    return Profile(events_missing(spark, d)).null_counts()
+
+
+@query("profile_min_max", minmax_sql("events_missing", EVENTS) + " UNION ALL " + minmax_sql("lineitem", LINEITEM))
+def profile_min_max(spark, d):
+    return Profile(events_missing(spark, d)).min_max().unionByName(
+        Profile(table(spark, d, "lineitem")).min_max())
+
+
+@query("profile_histogram", hist_sql("lineitem", LINEITEM))
+def profile_histogram(spark, d):
+    return Profile(table(spark, d, "lineitem")).histograms()
+
+
+@query("profile_histogram_missing", hist_sql("events_missing", EVENTS))
+def profile_histogram_missing(spark, d):
+    return Profile(events_missing(spark, d)).histograms()
+
+
+@query("profile_categories", cat_sql("events_missing", EVENTS) + " UNION ALL " + cat_sql("customer", CUSTOMER)
+       + " UNION ALL " + cat_sql("lineitem", LINEITEM))
+def profile_categories(spark, d):
+    return (Profile(events_missing(spark, d)).categories()
+            .unionByName(Profile(table(spark, d, "customer")).categories())
+            .unionByName(Profile(table(spark, d, "lineitem")).categories()))
+
+
+@query("analyze_columns", _analyze_sql("customer", CUSTOMER))
+def analyze_columns_q(spark, d):
+    return flat_profile(analyze_columns(table(spark, d, "customer")))
+
+
+@query("analyze_columns_missing", _analyze_sql("events_missing", EVENTS))
+def analyze_columns_missing(spark, d):
+    return flat_profile(analyze_columns(events_missing(spark, d)))
+
+
+@query("analyze_color_scale",
+       "SELECT 'o_totalprice' AS column_name, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders "
+       "UNION ALL SELECT 'o_custkey', CAST(min(o_custkey) AS DOUBLE), CAST(max(o_custkey) AS DOUBLE) FROM orders")
+def analyze_color_scale_q(spark, d):
+    # colour-scale picks: a text column is ignored, numeric ones get min/max
+    return color_scale_min_max(table(spark, d, "orders"), ["o_totalprice", "o_custkey", "o_orderpriority"])
+
+
+def _distinct_sql(t: str, c: str, n: int) -> str:
+    return (f"SELECT '{c}' AS column_name, CAST(rk AS INTEGER) AS rank, CAST(v AS VARCHAR) AS value FROM "
+            f"(SELECT v, row_number() OVER (ORDER BY v) AS rk FROM (SELECT DISTINCT {c} AS v FROM {t} "
+            f"WHERE {c} IS NOT NULL)) WHERE rk <= {n}")
+
+
+@query("distinct_values", " UNION ALL ".join([_distinct_sql("orders", "o_orderpriority", 30),
+                                              _distinct_sql("orders", "o_totalprice", 30),
+                                              _distinct_sql("part", "p_size", 30)]))
+def distinct_values_q(spark, d):
+    o = distinct_values(table(spark, d, "orders"), ["o_orderpriority", "o_totalprice"], 30)
+    p = distinct_values(table(spark, d, "part"), ["p_size"], 30)
+    return o.unionByName(p)
+
+
+@query("estimate_csv_size",
+       "SELECT count(*) AS row_count, CAST(sum(strlen(concat_ws(',', CAST(o_orderkey AS VARCHAR), "
+       "CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR), "
+       "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority)) + 1) "
+       "+ strlen('o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority') + 1 AS BIGINT) "
+       "AS csv_bytes FROM orders")
+def estimate_csv_size_q(spark, d):
+    return estimate_csv_size_df(table(spark, d, "orders"))

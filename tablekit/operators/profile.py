@@ -400,7 +400,7 @@ def distinct_values(df: DataFrame, columns: Sequence[str], limit: int = DISTINCT
         if isinstance(fields[name], T.MapType):
             continue
         c = qcol(name)
-        d = df.select(c.alias("x")).filter(F.col("x").isNotNull()).groupBy("x").agg()
+        d = df.select(c.alias("x")).filter(F.col("x").isNotNull()).distinct()
         top = d.orderBy(F.col("x").asc()).limit(limit)
         w = Window.orderBy(F.col("x").asc())   # over <= limit rows
         parts.append(top.select(F.lit(name).alias("column_name"),
