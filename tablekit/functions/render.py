@@ -28,28 +28,30 @@ def binary_repr(c: Column, max_bytes: int = BINARY_PREFIX_BYTES) -> Column:
     Printable ASCII stays, ``\\t \\n \\r \\\\`` and the quote are escaped, other
     bytes become ``\\xNN``; the quote is ``"`` only when the bytes hold a ``'``
     and no ``"``, as Python chooses it.
+
+    Linear per cell: the hex text is split into byte pairs by a regex and the
+    quote code travels next to each byte through ``zip_with``; a lambda that
+    referred to the whole cell would be re-evaluated for every byte.
     """
     head = F.substring(c, 1, max_bytes)
-    hx = F.hex(head)
-    n = F.length(head)
-    codes = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.conv(F.substring(hx, i * 2 - 1, 2), 16, 10).cast("int"))
-    codes = F.when(n > 0, codes).otherwise(F.array().cast("array<int>"))
+    # the split leaves a trailing empty piece: keep exactly one pair per byte
+    pairs = F.slice(F.split(F.hex(head), "(?<=\\G..)"), 1, F.length(head))
+    codes = F.when(F.length(head) > 0, F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int"))) \
+        .otherwise(F.array().cast("array<int>"))
     dq = F.array_contains(codes, 39) & ~F.array_contains(codes, 34)
-    quote = F.when(dq, F.lit('"')).otherwise(F.lit("'"))
     qcode = F.when(dq, F.lit(34)).otherwise(F.lit(39))
 
-    def one(x):
+    def one(x, q):
         return (F.when(x == 92, F.lit("\\\\"))
-                .when(x == qcode, F.concat(F.lit("\\"), quote))
+                .when(x == q, F.concat(F.lit("\\"), F.chr(q)))
                 .when(x == 9, F.lit("\\t"))
                 .when(x == 10, F.lit("\\n"))
                 .when(x == 13, F.lit("\\r"))
                 .when((x >= 32) & (x <= 126), F.chr(x))
                 .otherwise(F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(x), 2, "0")))))
 
-    body = F.array_join(F.transform(codes, one), "")
+    body = F.array_join(F.zip_with(codes, F.array_repeat(qcode, F.size(codes)), one), "")
+    quote = F.chr(qcode)
     return F.when(c.isNull(), F.lit(None)).otherwise(F.concat(F.lit("b"), quote, body, quote))
 
 

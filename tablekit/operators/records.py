@@ -65,11 +65,14 @@ def sanitize_for_chart(df: DataFrame) -> DataFrame:
     return durations_to_seconds(prepare_columns(df, max_columns=len(df.columns) or 1))
 
 
-def flatten_cells(df: DataFrame) -> DataFrame:
-    """All cells row by row as text: (row_id, position, value). ``row_id`` is a
-    unique, increasing id; rows are never numbered through a global window."""
-    cells = F.array(*[qcol(c).cast("string") for c in df.columns])
-    return (df.select(F.monotonically_increasing_id().alias("row_id"), cells.alias("__cells"))
+def flatten_cells(df: DataFrame, key: str | None = None) -> DataFrame:
+    """All cells row by row as text: (row_id, position, value). ``row_id`` is
+    the ``key`` column when given, else a unique increasing id; rows are never
+    numbered through a global window."""
+    cols = [c for c in df.columns if c != key] if key else df.columns
+    cells = F.array(*[qcol(c).cast("string") for c in cols])
+    rid = qcol(key).alias("row_id") if key else F.monotonically_increasing_id().alias("row_id")
+    return (df.select(rid, cells.alias("__cells"))
               .select("row_id", F.posexplode("__cells").alias("position", "value")))
 
 
