@@ -1,3 +1,61 @@
-"""Acceptance queries."""
+"""Acceptance queries: accepted table kinds and round trips through the
+shared folder (CSV, JSON, parquet, export, temp views)."""
 
-from . import query, table  # noqa: F401
+from __future__ import annotations
+
+from ..plans.sqlcell import temp_views
+from ..session import ensure_local_shared_root
+from ..sources.io import (csv_export, export_table, json_export, json_import, read_csv_export, read_result,
+                          scratch_path, store_result, table_from_native)
+from . import query, table
+
+ORDERS_SCHEMA = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+                 "o_orderdate timestamp_ntz, o_orderpriority string")
+
+
+@query("table_from_native", "SELECT * FROM customer")
+def table_from_native_q(spark, d):
+    import pyspark.pandas as ps
+    psdf = ps.read_parquet(f"{d}/customer.parquet")       # pandas-on-Spark: distributed, no collect
+    return table_from_native(psdf).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@query("csv_export", "SELECT * FROM orders")
+def csv_export_q(spark, d):
+    ensure_local_shared_root(spark)
+    path = csv_export(table(spark, d, "orders"), scratch_path(spark, "csv"))
+    return read_csv_export(spark, path, ORDERS_SCHEMA)
+
+
+@query("export_table",
+       "SELECT * FROM orders WHERE lower(o_orderpriority) IN ('1-urgent') AND o_totalprice > 150000")
+def export_table_q(spark, d):
+    ensure_local_shared_root(spark)
+    spec = {"filters": [{"column": "o_orderpriority", "operator": "is-one-of", "comparativeValues": ["1-URGENT"]},
+                        {"column": "o_totalprice", "operator": "greater-than", "comparativeValues": [150000]}],
+            "sortBy": [{"id": "o_totalprice", "type": "desc"}]}
+    path = export_table(table(spark, d, "orders"), spec, scratch_path(spark, "export"))
+    return read_csv_export(spark, path, ORDERS_SCHEMA)
+
+
+@query("result_cache_parquet", "SELECT * FROM lineitem WHERE l_returnflag = 'R'")
+def result_cache_parquet_q(spark, d):
+    ensure_local_shared_root(spark)
+    li = table(spark, d, "lineitem")
+    key = scratch_path(spark, "key").rsplit("/", 1)[-1]
+    store_result(li.filter("l_returnflag = 'R'"), key)
+    return read_result(spark, key)
+
+
+@query("json_result_roundtrip", "SELECT * FROM orders")
+def json_result_roundtrip_q(spark, d):
+    ensure_local_shared_root(spark)
+    path = json_export(table(spark, d, "orders"), scratch_path(spark, "json"))
+    return json_import(spark, path, ORDERS_SCHEMA)
+
+
+@query("temp_view", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def temp_view_q(spark, d):
+    with temp_views(spark, {"tk_nation": table(spark, d, "nation"), "tk_region": table(spark, d, "region")}):
+        df = spark.sql("SELECT n_name, r_name FROM tk_nation JOIN tk_region ON n_regionkey = r_regionkey")
+    return df
