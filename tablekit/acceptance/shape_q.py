@@ -65,7 +65,15 @@ def paginate_past_end(spark, d):
     return paginate(table(spark, d, "orders"), 10**6, 10, ORDERS_KEYS, index_col="row_index")
 
 
-@query("paginate_deep", _page_sql(7000, 25))
+def _clamped_page_sql(page: int, size: int) -> str:
+    """Page ``page`` clamped to the last page, as SQL (independent of scale)."""
+    start = (f"(SELECT least({page}, CAST(ceil(count(*) / {float(size)}) AS BIGINT) - 1) * {size} "
+             "FROM orders)")
+    return (f"SELECT * FROM ({_page_sql(0, 10**12)}) WHERE row_index >= {start} "
+            f"AND row_index < {start} + {size}")
+
+
+@query("paginate_deep", _clamped_page_sql(280, 25))
 def paginate_deep(spark, d):
     # forces the range-partitioned row-index path used for deep pages
     ensure_local_shared_root(spark)
