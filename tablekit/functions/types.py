@@ -70,3 +70,9 @@ def not_nan(c: Column, dt) -> Column:
 def missing(c: Column, dt) -> Column:
     """Null, or NaN for float columns (pandas ``isna`` meaning)."""
     return (c.isNull() | F.isnan(c)) if is_fractional(dt) else c.isNull()
+
+
+def literal_rows(spark, rows, schema: str) -> DataFrame:
+    """A small table of driver-side values (bounded by the schema width, never
+    by the data). Rows are unpickled inside the JVM; no Python worker runs."""
+    return spark.createDataFrame(list(rows), schema)

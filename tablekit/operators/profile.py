@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.render import duration_seconds
-from ..functions.types import (is_complex, is_duration, is_fractional, is_numeric,
+from ..functions.types import (literal_rows, is_complex, is_duration, is_fractional, is_numeric,
                                is_numeric_or_temporal, is_temporal, missing, qcol)
 
 # Profile parameters.
@@ -141,130 +141,91 @@ def _bin_of(v: Column, edges: list[float]) -> Column:
 
 # --- pass 2 -----------------------------------------------------------------------
 
-def value_counts(df: DataFrame, plans: Sequence[ColumnPlan], stats: dict[str, Any]) -> DataFrame:
-    """(pos, v, b, cnt): count of each non-missing value per column, with the
-    histogram bin of numeric/temporal values (a function of the value, so it
-    does not split groups). One explode + one grouped aggregate."""
-    entries = []
-    for p in plans:
-        c = qcol(p.name)
-        edges = hist_edges(stats.get(f"lo{p.pos}"), stats.get(f"hi{p.pos}")) if p.ranged else None
-        b = _bin_of(_hist_value(c, p.dtype), edges) if edges else F.lit(None).cast("int")
-        entries.append(F.struct(F.lit(p.pos).alias("pos"), _value_text(c, p.dtype).alias("v"),
-                                b.alias("b")))
-    exploded = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    return (exploded.filter(F.col("v").isNotNull())
-                    .groupBy("pos", "v", "b").agg(F.count(F.lit(1)).alias("cnt")))
-
-
-def _names(plans: Sequence[ColumnPlan]) -> Column:
-    """Column position -> name, as a literal map (bounded by the schema)."""
-    return F.create_map(*[x for p in plans for x in (F.lit(p.pos), F.lit(p.name))])
-
-
-def unique_counts(counts: DataFrame, plans: Sequence[ColumnPlan], stats: dict) -> DataFrame:
-    """(column_name, unique_count). Complex cells (arrays, maps, structs) are
-    unhashable in the reference, which then reports the row count."""
-    names = _names(plans)
-    per = counts.groupBy("pos").agg(F.count(F.lit(1)).alias("unique_count"),
-                                    F.sum("cnt").alias("non_null"))
-    complex_pos = [p.pos for p in plans if is_complex(p.dtype)]
-    uc = F.coalesce(F.col("unique_count"), F.lit(0).cast("long"))
-    if complex_pos:
-        uc = F.when(F.col("pos").isin(complex_pos), F.lit(stats["rows"]).cast("long")).otherwise(uc)
-    zeros = counts.sparkSession.createDataFrame([(p.pos,) for p in plans], "pos int")
-    full = F.broadcast(zeros).join(per, "pos", "left")   # one row per column
-    return full.select("pos", names[F.col("pos")].alias("column_name"), uc.alias("unique_count"),
-                       F.coalesce(F.col("non_null"), F.lit(0).cast("long")).alias("non_null"))
-
-
-def histograms(counts: DataFrame, plans: Sequence[ColumnPlan], stats: dict) -> DataFrame:
-    """(column_name, bin, bin_start, bin_end, count) for every column with a
-    finite value; empty bins are present with count 0."""
-    spark = counts.sparkSession
-    edge_rows = []
-    hist_plans = []
-    for p in plans:
-        if not p.ranged:
-            continue
-        edges = hist_edges(stats.get(f"lo{p.pos}"), stats.get(f"hi{p.pos}"))
-        if edges is None:
-            continue
-        hist_plans.append(p)
-        edge_rows += [(p.pos, k, float(edges[k]), float(edges[k + 1])) for k in range(HIST_BINS)]
-    if not hist_plans:
-        return spark.createDataFrame([], "column_name string, bin int, bin_start double, bin_end double, count long")
-    edges_df = spark.createDataFrame(edge_rows, "pos int, bin int, bin_start double, bin_end double")
-    binned = (counts.filter(F.col("b").isNotNull())
-                    .groupBy("pos", F.col("b").alias("bin")).agg(F.sum("cnt").alias("count")))
-    # edges_df has O(columns * 10) rows: a bounded, broadcastable side
-    out = F.broadcast(edges_df).join(binned, ["pos", "bin"], "left")
-    return out.select(_names(hist_plans)[F.col("pos")].alias("column_name"), "bin", "bin_start",
-                      "bin_end", F.coalesce(F.col("count"), F.lit(0).cast("long")).alias("count"))
-
-
-def top_values(counts: DataFrame, k: int = MAX_CATEGORIES) -> DataFrame:
-    """(pos, rank, v, cnt): the ``k`` most common values per column, ties by
-    value. ``row_number() <= k`` is planned with a per-task partial limit
-    before the shuffle (WindowGroupLimit), so each column ships at most
-    ``k * tasks`` rows to one task."""
-    w = Window.partitionBy("pos").orderBy(F.col("cnt").desc(), F.col("v").asc())
-    return (counts.select("pos", "v", "cnt", F.row_number().over(w).alias("rank"))
-                  .filter(F.col("rank") <= k))
-
-
-def categories(counts: DataFrame, plans: Sequence[ColumnPlan], stats: dict) -> DataFrame:
-    """(column_name, position, name, count): up to three entries per
-    non-numeric column: all values if they fit, else the most common and
-    ``"<n> others"``; with missing cells one slot is ``"Missing"``."""
-    cat_plans = [p for p in plans if not p.ranged]
-    spark = counts.sparkSession
-    schema = "column_name string, position int, name string, count long"
-    if not cat_plans:
-        return spark.createDataFrame([], schema)
-    cat_pos = [p.pos for p in cat_plans]
-    sub = counts.filter(F.col("pos").isin(cat_pos))
-    info = spark.createDataFrame([(p.pos, p.name, int(stats[f"nan{p.pos}"])) for p in cat_plans],
-                                 "pos int, column_name string, nan long")
-    totals = sub.groupBy("pos").agg(F.count(F.lit(1)).alias("uniq"), F.sum("cnt").alias("non_null"))
-    per = (F.broadcast(info).join(totals, "pos", "left")
-           .select("pos", "column_name", "nan", F.coalesce("uniq", F.lit(0).cast("long")).alias("uniq"),
-                   F.coalesce("non_null", F.lit(0).cast("long")).alias("non_null")))
-    slots = F.lit(MAX_CATEGORIES) - F.when(F.col("nan") > 0, 1).otherwise(0)
-    shown = F.when(F.col("uniq") > slots, slots - 1).otherwise(slots)
-    top = top_values(sub)
-    # per has one row per column: bounded side
-    joined = top.join(F.broadcast(per), "pos")
-    kept = joined.filter(F.col("rank") <= shown)
-    kept_rows = kept.select("pos", "column_name", F.col("rank").alias("position"),
-                            F.col("v").alias("name"), F.col("cnt").alias("count"))
-    top_sum = (kept.groupBy("pos").agg(F.sum("cnt").alias("top_sum")))
-    others = (F.broadcast(per).join(top_sum, "pos", "left")
-              .filter(F.col("uniq") > slots)
-              .select("pos", "column_name", shown.alias("position"),
-                      F.concat((F.col("uniq") - shown).cast("string"), F.lit(" others")).alias("name"),
-                      (F.col("non_null") - F.coalesce("top_sum", F.lit(0))).cast("long").alias("count")))
-    others = others.withColumn("position", F.col("position") + 1)
-    miss = (per.filter(F.col("nan") > 0)
-            .select("pos", "column_name",
-                    (F.least(F.col("uniq"), slots) + 1).cast("int").alias("position"),
-                    F.lit(MISSING_NAME).alias("name"), F.col("nan").alias("count")))
-    out = kept_rows.unionByName(others).unionByName(miss)
-    return out.select("column_name", F.col("position").cast("int").alias("position"), "name",
-                      F.col("count").cast("long").alias("count"))
+def column_summary(df: DataFrame, p: ColumnPlan, stats: dict[str, Any]) -> DataFrame:
+    """Pass 2 for one column, as a small table of rows (kind, pos, v, cnt, uniq,
+    nn, hist):
+
+    * one typed ``groupBy`` of the column (the branch reads only this column
+      from the columnar file; partial aggregation combines a hot value before
+      the shuffle);
+    * from those groups, ``kind='u'``: one aggregate row with the number of
+      distinct non-missing values, their total and the ten histogram bin sums;
+    * ``kind='t'`` (category columns): the three most common values, ties by
+      value, via ``orderBy().limit(3)`` (a per-task heap, never all groups in
+      one task).
+
+    Both read the same grouped exchange, which Spark reuses. Map cells, which
+    Spark cannot group, are grouped on their text.
+    """
+    c = qcol(p.name)
+    key = c.cast("string") if isinstance(p.dtype, T.MapType) else c
+    grouped = df.select(key.alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("cnt"))
+    x = F.col("x")
+    v = x if isinstance(p.dtype, T.MapType) else _value_text(x, p.dtype)
+    edges = hist_edges(stats.get(f"lo{p.pos}"), stats.get(f"hi{p.pos}")) if p.ranged else None
+    b = _bin_of(_hist_value(x, p.dtype), edges) if edges else F.lit(None).cast("int")
+    valid = grouped.select(v.alias("v"), b.alias("b"), "cnt").filter(F.col("v").isNotNull())
+    hist = (F.array(*[F.sum(F.when(F.col("b") == k, F.col("cnt")).otherwise(0)) for k in range(HIST_BINS)])
+            if edges else F.lit(None).cast("array<bigint>"))
+    u = valid.agg(F.count(F.lit(1)).alias("uniq"), F.sum("cnt").alias("nn"), hist.alias("hist")).select(
+        F.lit("u").alias("kind"), F.lit(p.pos).alias("pos"), F.lit(None).cast("string").alias("v"),
+        F.lit(None).cast("long").alias("cnt"), "uniq", F.col("nn").cast("long").alias("nn"),
+        F.col("hist").cast("array<bigint>").alias("hist"))
+    if p.ranged:
+        return u
+    t = valid.orderBy(F.col("cnt").desc(), F.col("v").asc()).limit(MAX_CATEGORIES).select(
+        F.lit("t").alias("kind"), F.lit(p.pos).alias("pos"), "v", F.col("cnt").cast("long").alias("cnt"),
+        F.lit(None).cast("long").alias("uniq"), F.lit(None).cast("long").alias("nn"),
+        F.lit(None).cast("array<bigint>").alias("hist"))
+    return u.unionByName(t)
+
+
+def pass2(df: DataFrame, plans: Sequence[ColumnPlan], stats: dict[str, Any]) -> DataFrame:
+    """Union of every column's summary: one job; what it returns is bounded by
+    the schema width (at most four rows per column)."""
+    parts = [column_summary(df, p, stats) for p in plans]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def category_entries(top: list[tuple[int, str, int]], uniq: int, non_null: int, nan: int) -> list[tuple[str, int]]:
+    """Category list from the ranked top values: all values if they fit in the
+    slots, else the most common ones and ``"<n> others"``; ``"Missing"`` takes a
+    slot when the column has missing cells."""
+    slots = MAX_CATEGORIES - (1 if nan > 0 else 0)
+    if uniq > slots:
+        shown = [(v, c) for _, v, c in top[:slots - 1]]
+        shown.append((f"{uniq - (slots - 1)} others", non_null - sum(c for _, c in shown)))
+    else:
+        shown = [(v, c) for _, v, c in top[:slots]]
+    if nan > 0:
+        shown.append((MISSING_NAME, nan))
+    return shown
 
 
 # --- public entry points --------------------------------------------------------------
 
 class Profile:
-    """Lazy profile of a table: pass 1 runs on construction (one small
-    aggregate); every table below is a lazy plan over one shared grouped count."""
+    """Profile of a table: pass 1 (one aggregate) runs on construction, pass 2
+    (one job: a typed group-by per column) on the first statistic that needs it.
+    Both return only per-column values, bounded by the schema width."""
 
     def __init__(self, df: DataFrame, columns: Sequence[str] | None = None):
         self.df = df
         self.plans = _plans(df, columns)
         self.stats = scalar_stats(df, self.plans)
-        self.counts = value_counts(df, self.plans, self.stats) if self.plans else None
+        self._summary = None
+
+    def close(self) -> None:
+        self._summary = None
+
+    def __enter__(self) -> "Profile":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
 
     @property
     def rows(self) -> int:
@@ -272,28 +233,68 @@ class Profile:
 
     def null_counts(self) -> DataFrame:
         rows = [(p.name, int(self.stats[f"nan{p.pos}"])) for p in self.plans]
-        return self.df.sparkSession.createDataFrame(rows, "column_name string, nan_count long")
+        return literal_rows(self.df.sparkSession, rows, "column_name string, nan_count long")
 
     def min_max(self) -> DataFrame:
         rows = [(p.name, stat_text(self.stats.get(f"min{p.pos}")), stat_text(self.stats.get(f"max{p.pos}")))
                 for p in self.plans]
-        return self.df.sparkSession.createDataFrame(rows, "column_name string, min string, max string")
+        return literal_rows(self.df.sparkSession, rows, "column_name string, min string, max string")
+
+    def summary(self) -> dict[str, dict]:
+        """Pass 2, collected once: distinct counts, non-missing totals,
+        histogram bin sums and top values per column."""
+        if self._summary is None:
+            out = {"uniq": {}, "nn": {}, "hist": {}, "top": {}}
+            if self.plans:
+                for r in pass2(self.df, self.plans, self.stats).collect():
+                    if r.kind == "u":
+                        out["uniq"][r.pos], out["nn"][r.pos] = r.uniq, r.nn or 0
+                        if r.hist is not None:
+                            out["hist"][r.pos] = dict(enumerate(r.hist))
+                    else:
+                        out["top"].setdefault(r.pos, []).append((-r.cnt, r.v, r.cnt))
+            for pos, top in out["top"].items():
+                out["top"][pos] = [(i + 1, v, c) for i, (_, v, c) in enumerate(sorted(top))]
+            self._summary = out
+        return self._summary
 
     def unique_counts(self) -> DataFrame:
-        return unique_counts(self.counts, self.plans, self.stats).select("column_name", "unique_count")
+        sm = self.summary()
+        rows = [(p.name, int(self.rows) if is_complex(p.dtype) else int(sm["uniq"].get(p.pos, 0)))
+                for p in self.plans]
+        return literal_rows(self.df.sparkSession, rows, "column_name string, unique_count long")
 
     def histograms(self) -> DataFrame:
-        return histograms(self.counts, self.plans, self.stats)
+        sm = self.summary()
+        rows = []
+        for p in self.plans:
+            edges = hist_edges(self.stats.get(f"lo{p.pos}"), self.stats.get(f"hi{p.pos}")) if p.ranged else None
+            if edges is None:
+                continue
+            bins = sm["hist"].get(p.pos, {})
+            rows += [(p.name, k, float(edges[k]), float(edges[k + 1]), int(bins.get(k, 0))) for k in range(HIST_BINS)]
+        return literal_rows(self.df.sparkSession, rows,
+                            "column_name string, bin int, bin_start double, bin_end double, count long")
 
     def categories(self) -> DataFrame:
-        return categories(self.counts, self.plans, self.stats)
+        sm = self.summary()
+        rows = []
+        for p in self.plans:
+            if p.ranged:
+                continue
+            nan = int(self.stats[f"nan{p.pos}"])
+            uniq, nn = int(sm["uniq"].get(p.pos, 0)), int(sm["nn"].get(p.pos, 0) or 0)
+            top = sorted(sm["top"].get(p.pos, []))
+            entries = category_entries(top, uniq, nn, nan)
+            rows += [(p.name, i + 1, name, cnt) for i, (name, cnt) in enumerate(entries)]
+        return literal_rows(self.df.sparkSession, rows, "column_name string, position int, name string, count long")
 
     def table(self) -> DataFrame:
         """One row per column: position, name, type, unique and missing counts,
         min/max text, histogram and categories as arrays of structs."""
         spark = self.df.sparkSession
-        base = spark.createDataFrame(
-            [(p.pos, p.name, p.dtype.simpleString(), int(self.stats[f"nan{p.pos}"]),
+        base = literal_rows(
+            spark, [(p.pos, p.name, p.dtype.simpleString(), int(self.stats[f"nan{p.pos}"]),
               stat_text(self.stats.get(f"min{p.pos}")), stat_text(self.stats.get(f"max{p.pos}")))
              for p in self.plans],
             "position int, column_name string, dtype string, nan_count long, min string, max string")
@@ -326,8 +327,8 @@ def analyze_columns(df: DataFrame, color_scale_columns: Sequence[str] | None = N
     tab = prof.table()
     if picked is not None and len(picked) < len(df.columns):
         spark = df.sparkSession
-        rest = spark.createDataFrame(
-            [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)
+        rest = literal_rows(
+            spark, [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)
              if f.name not in set(picked)], "position int, column_name string, dtype string")
         tab = tab.unionByName(rest, allowMissingColumns=True)
     return tab
@@ -374,7 +375,7 @@ def color_scale_min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     (column_name, min, max) typed as double (instants as epoch seconds)."""
     fields = [f for f in df.schema.fields if f.name in set(columns) and is_numeric_or_temporal(f.dataType)]
     if not fields:
-        return df.sparkSession.createDataFrame([], "column_name string, min double, max double")
+        return literal_rows(df.sparkSession, [], "column_name string, min double, max double")
     aggs = []
     for i, f in enumerate(fields):
         c = qcol(f.name)
@@ -407,7 +408,7 @@ def distinct_values(df: DataFrame, columns: Sequence[str], limit: int = DISTINCT
                                 F.row_number().over(w).alias("rank"),
                                 F.col("x").cast("string").alias("value")))
     if not parts:
-        return df.sparkSession.createDataFrame([], "column_name string, rank int, value string")
+        return literal_rows(df.sparkSession, [], "column_name string, rank int, value string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.render import (duration_seconds, is_large, is_large_candidate, json_safe)
-from ..functions.types import is_complex, is_duration, qcol
+from ..functions.types import is_complex, is_duration, literal_rows, qcol
 from .shape import prepare_columns
 
 # Select-input limits.
@@ -98,9 +98,8 @@ def table_summary(df: DataFrame, max_columns: int = 500) -> DataFrame:
     column plus the row count from a single ``count`` aggregate (no data moved)."""
     spark = df.sparkSession
     fields = df.schema.fields
-    meta = spark.createDataFrame(
-        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields[:max_columns])],
-        "position int, column_name string, column_type string")
+    meta = literal_rows(spark, [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields[:max_columns])],
+                        "position int, column_name string, column_type string")
     # scalar subquery: evaluated once, inlined as a literal (no join)
     row_count = df.agg(F.count(F.lit(1))).scalar()
     return meta.select("*", row_count.alias("row_count"),
