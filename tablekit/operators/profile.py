@@ -39,6 +39,7 @@ MISSING_NAME = "Missing"
 DISTINCT_LIMIT = 100
 PROFILE_CELL_BUDGET = 100_000          # optional, as in the reference
 COLOR_SCALE_CELL_BUDGET = 10_000_000
+STATS_CHUNK = 6                        # columns per pass-1 aggregate branch
 
 
 @dataclass
@@ -101,19 +102,68 @@ def _plans(df: DataFrame, columns: Sequence[str] | None) -> list[ColumnPlan]:
 
 # --- pass 1 -----------------------------------------------------------------------
 
+def _parse_extreme(text: str | None, dtype) -> Any:
+    """Typed value back from Spark's exact text of a min/max."""
+    if text is None:
+        return None
+    if isinstance(dtype, T.DecimalType):
+        from decimal import Decimal
+        return Decimal(text)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return int(text)
+    if is_fractional(dtype):
+        return float(text)
+    if isinstance(dtype, T.DateType):
+        import datetime as _dt
+        return _dt.date.fromisoformat(text)
+    if is_temporal(dtype):
+        import datetime as _dt
+        return _dt.datetime.fromisoformat(text)
+    return text
+
+
 def scalar_stats(df: DataFrame, plans: Sequence[ColumnPlan]) -> dict[str, Any]:
-    """One aggregate: row count, and per column missing count, min, max and the
-    finite histogram range. Returns a dict keyed ``"{kind}{pos}"``."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for p in plans:
-        c = qcol(p.name)
-        aggs.append(F.count_if(missing(c, p.dtype)).alias(f"nan{p.pos}"))
+    """Pass 1: per column the missing count, min, max (NaN excluded,
+    infinities kept) and the finite histogram range, plus the row count.
+
+    One aggregate per chunk of ``STATS_CHUNK`` columns, unioned into one job:
+    each branch reads only its columns and its generated code stays small
+    however wide the table is (one huge aggregate would outgrow what the JVM
+    compiles and run interpreted). Min/max travel as Spark's exact text and are parsed back by type.
+    Returns a dict keyed ``"{kind}{pos}"``.
+    """
+    if not plans:
+        return {"rows": df.count()}
+    parts = []
+    for start in range(0, len(plans), STATS_CHUNK):
+        aggs, entries = [F.count(F.lit(1)).alias("rows")], []
+        for p in plans[start:start + STATS_CHUNK]:
+            c = qcol(p.name)
+            if p.ranged:
+                hv = _hist_value(c, p.dtype)
+                aggs += [_ranged_extreme(F.min, c, p.dtype).cast("string").alias(f"mn{p.pos}"),
+                         _ranged_extreme(F.max, c, p.dtype).cast("string").alias(f"mx{p.pos}"),
+                         F.min(hv).alias(f"lo{p.pos}"), F.max(hv).alias(f"hi{p.pos}")]
+            aggs.append(F.count_if(missing(c, p.dtype)).alias(f"nan{p.pos}"))
+            col = (lambda k, t: F.col(f"{k}{p.pos}") if p.ranged else F.lit(None).cast(t))
+            entries.append(F.struct(F.lit(p.pos).alias("pos"), F.col("rows"), F.col(f"nan{p.pos}").alias("nan"),
+                                    col("mn", "string").alias("mn"), col("mx", "string").alias("mx"),
+                                    col("lo", "double").alias("lo"), col("hi", "double").alias("hi")))
+        parts.append(df.agg(*aggs).select(F.inline(F.array(*entries))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    by_pos = {p.pos: p for p in plans}
+    stats: dict[str, Any] = {}
+    for r in out.collect():
+        p = by_pos[r.pos]
+        stats["rows"] = r.rows
+        stats[f"nan{r.pos}"] = r.nan
         if p.ranged:
-            aggs.append(_ranged_extreme(F.min, c, p.dtype).alias(f"min{p.pos}"))
-            aggs.append(_ranged_extreme(F.max, c, p.dtype).alias(f"max{p.pos}"))
-            hv = _hist_value(c, p.dtype)
-            aggs += [F.min(hv).alias(f"lo{p.pos}"), F.max(hv).alias(f"hi{p.pos}")]
-    return df.agg(*aggs).first().asDict()
+            stats[f"min{r.pos}"] = _parse_extreme(r.mn, p.dtype)
+            stats[f"max{r.pos}"] = _parse_extreme(r.mx, p.dtype)
+            stats[f"lo{r.pos}"], stats[f"hi{r.pos}"] = r.lo, r.hi
+    return stats
 
 
 def hist_edges(lo: float | None, hi: float | None, bins: int = HIST_BINS) -> list[float] | None:
@@ -132,11 +182,20 @@ def hist_edges(lo: float | None, hi: float | None, bins: int = HIST_BINS) -> lis
 
 
 def _bin_of(v: Column, edges: list[float]) -> Column:
-    """Bin k holds edges[k] <= v < edges[k+1]; the last bin is closed."""
-    expr = F.lit(0)
-    for k in range(1, len(edges) - 1):
-        expr = F.when(v >= F.lit(edges[k]), F.lit(k)).otherwise(expr)
-    return F.when(v.isNotNull(), expr)
+    """Bin k holds edges[k] <= v < edges[k+1]; the last bin is closed.
+
+    An estimate ``int((v - lo) * n / (hi - lo))`` (clamped to the last bin) is
+    corrected by one step against the exact edges, as ``numpy.histogram``
+    does: flat arithmetic that stays inside generated code, whatever the
+    number of columns (a nested CASE per bin would not).
+    """
+    n = len(edges) - 1
+    lo, hi = edges[0], edges[-1]
+    arr = F.array(*[F.lit(float(e)) for e in edges])
+    i0 = F.least(((v - F.lit(lo)) * F.lit(n / (hi - lo))).cast("int"), F.lit(n - 1))
+    down = F.when(v < F.element_at(arr, i0 + 1), 1).otherwise(0)
+    up = F.when((v >= F.element_at(arr, i0 + 2)) & (i0 != n - 1), 1).otherwise(0)
+    return F.when(v.isNotNull(), i0 - down + up)
 
 
 # --- pass 2 -----------------------------------------------------------------------
@@ -240,23 +299,52 @@ class Profile:
                 for p in self.plans]
         return literal_rows(self.df.sparkSession, rows, "column_name string, min string, max string")
 
-    def summary(self) -> dict[str, dict]:
-        """Pass 2, collected once: distinct counts, non-missing totals,
-        histogram bin sums and top values per column."""
+    def summary(self, plans: Sequence[ColumnPlan] | None = None) -> dict[str, dict]:
+        """Pass 2 for ``plans`` (default: all columns), one job, results kept
+        per column: distinct counts, non-missing totals, histogram bin sums and
+        top values. Columns already summarised are not recomputed."""
         if self._summary is None:
-            out = {"uniq": {}, "nn": {}, "hist": {}, "top": {}}
-            if self.plans:
-                for r in pass2(self.df, self.plans, self.stats).collect():
-                    if r.kind == "u":
-                        out["uniq"][r.pos], out["nn"][r.pos] = r.uniq, r.nn or 0
-                        if r.hist is not None:
-                            out["hist"][r.pos] = dict(enumerate(r.hist))
-                    else:
-                        out["top"].setdefault(r.pos, []).append((-r.cnt, r.v, r.cnt))
-            for pos, top in out["top"].items():
+            self._summary = {"uniq": {}, "nn": {}, "hist": {}, "top": {}}
+        out = self._summary
+        todo = [p for p in (self.plans if plans is None else plans) if p.pos not in out["uniq"]]
+        if todo:
+            tops: dict[int, list] = {}
+            for r in pass2(self.df, todo, self.stats).collect():
+                if r.kind == "u":
+                    out["uniq"][r.pos], out["nn"][r.pos] = r.uniq, r.nn or 0
+                    if r.hist is not None:
+                        out["hist"][r.pos] = dict(enumerate(r.hist))
+                else:
+                    tops.setdefault(r.pos, []).append((-r.cnt, r.v, r.cnt))
+            for pos, top in tops.items():
                 out["top"][pos] = [(i + 1, v, c) for i, (_, v, c) in enumerate(sorted(top))]
-            self._summary = out
-        return self._summary
+        return out
+
+    def _hist_only(self, plans: Sequence[ColumnPlan]) -> None:
+        """Histogram bin counts without grouping values: ten conditional counts
+        per column in one aggregate (one scan, a one-row result)."""
+        if self._summary is None:
+            self._summary = {"uniq": {}, "nn": {}, "hist": {}, "top": {}}
+        todo = []
+        for p in plans:
+            edges = hist_edges(self.stats.get(f"lo{p.pos}"), self.stats.get(f"hi{p.pos}"))
+            if edges is not None and p.pos not in self._summary["hist"]:
+                todo.append((p, edges))
+        if not todo:
+            return
+        # one small branch per column (its own column read, its own bin
+        # expression, partial aggregation to <= 10 rows per task): generated
+        # code stays small however many columns there are
+        parts = [self.df.select(_bin_of(_hist_value(qcol(p.name), p.dtype), edges).alias("b"))
+                     .filter(F.col("b").isNotNull()).groupBy("b").agg(F.count(F.lit(1)).alias("cnt"))
+                     .select(F.lit(p.pos).alias("pos"), "b", "cnt") for p, edges in todo]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        for p, _ in todo:
+            self._summary["hist"][p.pos] = {k: 0 for k in range(HIST_BINS)}
+        for r in out.collect():
+            self._summary["hist"][r.pos][r.b] = r.cnt
 
     def unique_counts(self) -> DataFrame:
         sm = self.summary()
@@ -265,7 +353,8 @@ class Profile:
         return literal_rows(self.df.sparkSession, rows, "column_name string, unique_count long")
 
     def histograms(self) -> DataFrame:
-        sm = self.summary()
+        self._hist_only([p for p in self.plans if p.ranged])
+        sm = self._summary
         rows = []
         for p in self.plans:
             edges = hist_edges(self.stats.get(f"lo{p.pos}"), self.stats.get(f"hi{p.pos}")) if p.ranged else None
@@ -277,15 +366,13 @@ class Profile:
                             "column_name string, bin int, bin_start double, bin_end double, count long")
 
     def categories(self) -> DataFrame:
-        sm = self.summary()
+        cat_plans = [p for p in self.plans if not p.ranged]
+        sm = self.summary(cat_plans)
         rows = []
-        for p in self.plans:
-            if p.ranged:
-                continue
+        for p in cat_plans:
             nan = int(self.stats[f"nan{p.pos}"])
             uniq, nn = int(sm["uniq"].get(p.pos, 0)), int(sm["nn"].get(p.pos, 0) or 0)
-            top = sorted(sm["top"].get(p.pos, []))
-            entries = category_entries(top, uniq, nn, nan)
+            entries = category_entries(sm["top"].get(p.pos, []), uniq, nn, nan)
             rows += [(p.name, i + 1, name, cnt) for i, (name, cnt) in enumerate(entries)]
         return literal_rows(self.df.sparkSession, rows, "column_name string, position int, name string, count long")
 
