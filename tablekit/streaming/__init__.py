@@ -1,0 +1,8 @@
+"""No streaming operators.
+
+The source library has no stream source, sink, watermark, window or state, so
+there is nothing to re-express here. The filter compiler
+(``tablekit.functions.predicates``) and the per-row projections
+(``tablekit.operators.records``) are plain column expressions and apply to
+streaming DataFrames unchanged.
+"""
