@@ -39,6 +39,7 @@ def events_missing(spark, d):
 
 
 def _src(t: str) -> str:
+    """A table name, the events-with-missing projection, or a parenthesised query."""
     return f"({EVENTS_MISSING_SQL})" if t == "events_missing" else t
 
 
@@ -228,3 +229,49 @@ def distinct_values_q(spark, d):
        "AS csv_bytes FROM orders")
 def estimate_csv_size_q(spark, d):
     return estimate_csv_size_df(table(spark, d, "orders"))
+
+
+# describe / preview stats: the profile of the *processed* table (after the spec's filters)
+DESCRIBE_SPEC = {"filters": [{"column": "c_mktsegment", "operator": "is-not-one-of",
+                              "comparativeValues": ["household"]},
+                             {"column": "c_acctbal", "operator": "greater-than", "comparativeValues": ["0"]}],
+                 "sortBy": [{"id": "c_acctbal", "type": "desc"}], "pageSize": 5}
+DESCRIBE_SRC = "(SELECT * FROM customer WHERE lower(c_mktsegment) NOT IN ('household') AND c_acctbal > 0)"
+
+
+def stats_table(spark, columns, extra=(), extra_schema=""):
+    """Column-stat records (as the describe document holds them) as a table."""
+    rows = [(i, c["name"], c["dtype"], s["unique_count"], s["nan_count"], s["min"], s["max"],
+             ",".join(str(h["count"]) for h in (s["histogram"] or [])) or None,
+             "|".join(f"{x['name']}:{x['count']}" for x in (s["categories"] or [])) or None, *extra)
+            for i, c in enumerate(columns) for s in [c["stats"]]]
+    return spark.createDataFrame(rows, "position int, column_name string, dtype string, unique_count long, "
+                                       "nan_count long, min string, max string, histogram_counts string, "
+                                       "categories_text string" + extra_schema)
+
+
+@query("describe_table",
+       f"SELECT p.*, (SELECT count(*) FROM {DESCRIBE_SRC}) AS row_count, 5 AS column_count "
+       f"FROM ({_analyze_sql(DESCRIBE_SRC, CUSTOMER)}) p")
+def describe_table_q(spark, d):
+    from ..plans.browse import describe_table
+    doc = describe_table(table(spark, d, "customer"), DESCRIBE_SPEC)
+    return stats_table(spark, doc["columns"], (doc["row_count"], doc["column_count"]),
+                       ", row_count long, column_count int")
+
+
+PREVIEW_SRC = ("(SELECT * FROM (SELECT event_id, ts, user_id, nullif(event_type, 'error') AS event_type, "
+               "CASE WHEN event_type = 'view' THEN 'NaN'::DOUBLE WHEN event_type = 'click' THEN NULL "
+               "ELSE value END AS value, props FROM events) WHERE ts >= TIMESTAMP '2024-01-10 00:00:00')")
+
+
+@query("preview_column_stats", _analyze_sql(PREVIEW_SRC, EVENTS))
+def preview_column_stats_q(spark, d):
+    from ..functions.spec import Filter
+    from ..plans.browse import DataPreview
+    prev = DataPreview(events_missing(spark, d), size=10_000)
+    prev.update_if_needed([Filter("ts", "is-after", ("2024-01-10",))], [("event_id", True)])
+    # stats of the whole filtered table behind the preview, memoised until the colour-scale columns change
+    stats = prev.column_stats()
+    assert prev.column_stats() is stats
+    return stats_table(spark, stats)
