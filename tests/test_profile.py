@@ -114,3 +114,11 @@ def test_csv_size_estimate_within_ten_percent(spark):
     est = estimate_csv_size(df, seed=1)
     assert abs(est - exact) / exact < 0.10
     assert estimate_csv_size(df.limit(0)) == 0 and estimate_csv_size(df.limit(0), exact=True) == 0
+
+
+def test_approx_distinct_mode(spark):
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("k"), (F.col("id") % 3).cast("string").alias("s"))
+    exact = {r["column_name"]: r["unique_count"] for r in Profile(df).unique_counts().collect()}
+    approx = {r["column_name"]: r["unique_count"] for r in Profile(df, approx_distinct=True).unique_counts().collect()}
+    assert exact == {"k": 5000, "s": 3}
+    assert approx["s"] == 3 and abs(approx["k"] - 5000) / 5000 < 0.1
