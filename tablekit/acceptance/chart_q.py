@@ -69,7 +69,7 @@ def chart_output_metadata_q(spark, d):
        "SELECT event_type, date_trunc('day', ts) AS day, count(*) AS \"COUNT(*)\" FROM events GROUP BY 1, 2")
 def chart_count_q(spark, d):
     ev = table(spark, d, "events")
-    return chart_aggregate(ev, ["event_type", time_unit("ts", "yearmonthdate").alias("day")])
+    return chart_aggregate(ev, ["event_type", time_unit(ev, "ts", "yearmonthdate").alias("day")])
 
 
 @query("chart_percentage",
@@ -91,4 +91,4 @@ def chart_percentage_of_field_q(spark, d):
        "GROUP BY 1, 2")
 def chart_time_unit_q(spark, d):
     o = table(spark, d, "orders")
-    return chart_aggregate(o, [time_unit("o_orderdate", "yearmonth").alias("month"), "o_orderstatus"])
+    return chart_aggregate(o, [time_unit(o, "o_orderdate", "yearmonth").alias("month"), "o_orderstatus"])

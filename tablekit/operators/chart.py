@@ -10,6 +10,7 @@ from typing import Any, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.spec import Filter
 from ..functions.types import qcol
@@ -106,12 +107,16 @@ def chart_aggregate(df: DataFrame, dims: Sequence[str | Column], measure: str =
     return df.groupBy(*dcols).agg(F.sum(qcol(measure)).alias(measure))
 
 
-def time_unit(c: Column | str, unit: str = "yearmonth") -> Column:
-    """Vega-Lite time unit on a temporal axis as ``date_trunc`` (UTC session)."""
+def time_unit(df: DataFrame, column: str, unit: str = "yearmonth") -> Column:
+    """Vega-Lite time unit on a temporal axis as ``date_trunc``. A wall-clock
+    (``timestamp_ntz``) column stays wall-clock: the truncation does not depend
+    on the session time zone."""
     if unit not in TIME_UNITS:
         raise ChartError(f"unsupported time unit {unit!r}")
-    col = qcol(c) if isinstance(c, str) else c
-    return F.date_trunc(TIME_UNITS[unit], col)
+    col = qcol(column)
+    dtype = df.schema[column].dataType
+    out = F.date_trunc(TIME_UNITS[unit], col)
+    return out.cast("timestamp_ntz") if isinstance(dtype, (T.TimestampNTZType, T.DateType)) else out
 
 
 def chart_output_metadata(df: DataFrame, limit: int = CHART_ROW_LIMIT,

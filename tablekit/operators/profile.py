@@ -62,8 +62,11 @@ def _hist_value(c: Column, dtype) -> Column:
         return c.cast("double")
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("double") * 86_400_000_000.0
+    if isinstance(dtype, T.TimestampNTZType):
+        # wall-clock micros since 1970-01-01, independent of the session time zone
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("double")
     if is_temporal(dtype):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        return F.unix_micros(c).cast("double")
     if is_duration(dtype):
         return duration_seconds(c) * 1_000_000.0
     return F.lit(None).cast("double")

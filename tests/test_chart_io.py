@@ -57,3 +57,23 @@ def test_export_refuses_large(spark, tmp_path):
     path = export_table(df, {"filters": [{"column": "id", "operator": "less-than", "comparativeValues": [10]}]},
                         str(tmp_path / "ok"))
     assert spark.read.option("header", True).csv(path).count() == 10
+
+
+def test_wall_clock_results_do_not_depend_on_session_zone(spark):
+    import datetime as dt
+    from tablekit.operators.chart import time_unit
+    from tablekit.operators.profile import Profile
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 1),), (dt.datetime(2024, 1, 31, 23),)], "t timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        results = []
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            months = sorted(r[0] for r in df.select(time_unit(df, "t", "yearmonth")).collect())
+            starts = [r["bin_start"] for r in Profile(df).histograms().orderBy("bin").collect()]
+            results.append((months, starts))
+        assert results[0] == results[1] == results[2]
+        assert results[0][0] == [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1)]
+        assert results[0][1][0] == (dt.datetime(2024, 1, 1, 1) - dt.datetime(1970, 1, 1)).total_seconds() * 1e6
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
