@@ -363,7 +363,7 @@ class Profile:
     def _exact_plans(self) -> list[ColumnPlan]:
         return [p for p in self.plans if not (self.approx and p.ranged)]
 
-    def unique_counts(self) -> DataFrame:
+    def _unique_rows(self) -> list[tuple]:
         sm = self.summary(self._exact_plans())
 
         def uniq(p: ColumnPlan) -> int:
@@ -372,10 +372,12 @@ class Profile:
             if self.approx and p.ranged:
                 return int(self.stats.get(f"adc{p.pos}", 0) or 0)
             return int(sm["uniq"].get(p.pos, 0))
-        rows = [(p.name, uniq(p)) for p in self.plans]
-        return literal_rows(self.df.sparkSession, rows, "column_name string, unique_count long")
+        return [(p.name, uniq(p)) for p in self.plans]
 
-    def histograms(self) -> DataFrame:
+    def unique_counts(self) -> DataFrame:
+        return literal_rows(self.df.sparkSession, self._unique_rows(), "column_name string, unique_count long")
+
+    def _hist_rows(self) -> list[tuple]:
         self._hist_only([p for p in self.plans if p.ranged])
         sm = self._summary
         rows = []
@@ -385,10 +387,13 @@ class Profile:
                 continue
             bins = sm["hist"].get(p.pos, {})
             rows += [(p.name, k, float(edges[k]), float(edges[k + 1]), int(bins.get(k, 0))) for k in range(HIST_BINS)]
-        return literal_rows(self.df.sparkSession, rows,
+        return rows
+
+    def histograms(self) -> DataFrame:
+        return literal_rows(self.df.sparkSession, self._hist_rows(),
                             "column_name string, bin int, bin_start double, bin_end double, count long")
 
-    def categories(self) -> DataFrame:
+    def _cat_rows(self) -> list[tuple]:
         cat_plans = [p for p in self.plans if not p.ranged]
         sm = self.summary(cat_plans)
         rows = []
@@ -397,34 +402,35 @@ class Profile:
             uniq, nn = int(sm["uniq"].get(p.pos, 0)), int(sm["nn"].get(p.pos, 0) or 0)
             entries = category_entries(sm["top"].get(p.pos, []), uniq, nn, nan)
             rows += [(p.name, i + 1, name, cnt) for i, (name, cnt) in enumerate(entries)]
-        return literal_rows(self.df.sparkSession, rows, "column_name string, position int, name string, count long")
+        return rows
+
+    def categories(self) -> DataFrame:
+        return literal_rows(self.df.sparkSession, self._cat_rows(),
+                            "column_name string, position int, name string, count long")
+
+    TABLE_SCHEMA = ("position int, column_name string, dtype string, unique_count long, nan_count long, "
+                    "min string, max string, histogram array<struct<bin_start:double,bin_end:double,count:bigint>>, "
+                    "categories array<struct<name:string,count:bigint>>")
+
+    def records(self) -> list[tuple]:
+        """One tuple per column (TABLE_SCHEMA order), built from the per-column
+        values already collected by pass 1 and pass 2: no further job."""
+        self.summary()          # one pass-2 job for every column (histograms included)
+        uniq = dict(self._unique_rows())
+        hist: dict[str, list] = {}
+        for name, _, start, end, cnt in self._hist_rows():
+            hist.setdefault(name, []).append((start, end, cnt))
+        cats: dict[str, list] = {}
+        for name, _, cat, cnt in self._cat_rows():
+            cats.setdefault(name, []).append((cat, cnt))
+        return [(p.pos, p.name, p.dtype.simpleString(), uniq.get(p.name), int(self.stats[f"nan{p.pos}"]),
+                 stat_text(self.stats.get(f"min{p.pos}")), stat_text(self.stats.get(f"max{p.pos}")),
+                 hist.get(p.name), cats.get(p.name)) for p in self.plans]
 
     def table(self) -> DataFrame:
         """One row per column: position, name, type, unique and missing counts,
         min/max text, histogram and categories as arrays of structs."""
-        spark = self.df.sparkSession
-        base = literal_rows(
-            spark, [(p.pos, p.name, p.dtype.simpleString(), int(self.stats[f"nan{p.pos}"]),
-              stat_text(self.stats.get(f"min{p.pos}")), stat_text(self.stats.get(f"max{p.pos}")))
-             for p in self.plans],
-            "position int, column_name string, dtype string, nan_count long, min string, max string")
-        uniq = self.unique_counts()
-        hist = (self.histograms().groupBy("column_name")
-                .agg(F.sort_array(F.collect_list(F.struct("bin", "bin_start", "bin_end", "count")))
-                     .alias("h")))
-        hist = hist.select("column_name", F.transform("h", lambda x: F.struct(
-            x["bin_start"].alias("bin_start"), x["bin_end"].alias("bin_end"), x["count"].alias("count")))
-            .alias("histogram"))
-        cats = (self.categories().groupBy("column_name")
-                .agg(F.sort_array(F.collect_list(F.struct("position", "name", "count"))).alias("c")))
-        cats = cats.select("column_name", F.transform("c", lambda x: F.struct(
-            x["name"].alias("name"), x["count"].alias("count"))).alias("categories"))
-        # every side has one row per column: bounded by the schema width
-        return (base.join(F.broadcast(uniq), "column_name", "left")
-                    .join(F.broadcast(hist), "column_name", "left")
-                    .join(F.broadcast(cats), "column_name", "left")
-                    .select("position", "column_name", "dtype", "unique_count", "nan_count",
-                            "min", "max", "histogram", "categories"))
+        return literal_rows(self.df.sparkSession, self.records(), self.TABLE_SCHEMA)
 
 
 def analyze_columns(df: DataFrame, color_scale_columns: Sequence[str] | None = None,
@@ -440,7 +446,7 @@ def analyze_columns(df: DataFrame, color_scale_columns: Sequence[str] | None = N
         rest = literal_rows(
             spark, [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)
              if f.name not in set(picked)], "position int, column_name string, dtype string")
-        tab = tab.unionByName(rest, allowMissingColumns=True)
+        tab = tab.unionByName(rest, allowMissingColumns=True).select(*tab.columns)
     return tab
 
 
