@@ -17,11 +17,6 @@ def qcol(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def field_of(df: DataFrame, name: str) -> T.StructField | None:
-    for f in df.schema.fields:
-        if f.name == name:
-            return f
-    return None
 
 
 def is_integral(dt) -> bool:
@@ -57,14 +52,8 @@ def is_string(dt) -> bool:
     return isinstance(dt, (T.StringType, T.CharType, T.VarcharType))
 
 
-def native_type(dt) -> str:
-    """The type text shown next to a column (Spark's simple string)."""
-    return dt.simpleString()
 
 
-def not_nan(c: Column, dt) -> Column:
-    """True where a float cell is not NaN; trivially true for other types."""
-    return ~F.isnan(c) if is_fractional(dt) else F.lit(True)
 
 
 def missing(c: Column, dt) -> Column:
