@@ -216,8 +216,9 @@ def sql_order_limit(spark, d):
 
 
 @query("sql_struct_array",
-       "SELECT c_custkey, to_json({'seg': c_mktsegment, 'nation': c_nationkey}) AS s, "
-       "to_json([c_custkey, c_nationkey]) AS a, x FROM customer, unnest(generate_series(0, c_nationkey)) AS u(x)")
+       "SELECT c_custkey, CAST(to_json({'seg': c_mktsegment, 'nation': c_nationkey}) AS VARCHAR) AS s, "
+       "CAST(to_json([c_custkey, c_nationkey]) AS VARCHAR) AS a, CAST(x AS INTEGER) AS x "
+       "FROM customer, unnest(generate_series(0, c_nationkey)) AS u(x)")
 def sql_struct_array(spark, d):
     return _sql(spark, d, "SELECT c_custkey, to_json(named_struct('seg', c_mktsegment, 'nation', c_nationkey)) AS s, "
                           "to_json(array(c_custkey, c_nationkey)) AS a, x "
@@ -225,8 +226,8 @@ def sql_struct_array(spark, d):
 
 
 @query("sql_nested_as_text",
-       "SELECT n_nationkey, to_json({'name': n_name, 'region': {'id': n_regionkey}}) AS nested, "
-       "to_json([[n_nationkey], [n_regionkey, n_nationkey]]) AS arrays FROM nation")
+       "SELECT n_nationkey, CAST(to_json({'name': n_name, 'region': {'id': n_regionkey}}) AS VARCHAR) AS nested, "
+       "CAST(to_json([[n_nationkey], [n_regionkey, n_nationkey]]) AS VARCHAR) AS arrays FROM nation")
 def sql_nested_as_text(spark, d):
     return _sql(spark, d, "SELECT n_nationkey, to_json(named_struct('name', n_name, 'region', "
                           "named_struct('id', n_regionkey))) AS nested, "

@@ -95,9 +95,9 @@ def paginate(df: DataFrame, page_index: int, page_size: int, keys: Iterable[Sort
     index over a range-partitioned sort so no task holds more than its range.
     Callers that need reproducible pages must include a unique key in ``keys``.
     """
-    if total is None:
-        total = df.count()
-    page_index = clamp_page(total, page_index, page_size)
+    if total is None and page_index > 0:
+        total = df.count()          # only needed to clamp a page past the end
+    page_index = clamp_page(total, page_index, page_size) if total is not None else clamp_page(0, 0, page_size)
     start = page_index * page_size
     cols = sort_columns(keys, df.columns)
     if start + page_size > deep_threshold and cols:

@@ -108,7 +108,7 @@ def preview_head(processed: DataFrame, keys: Iterable[SortKey] = (), mode: str =
         rank = sample_rank(sample_keys or processed.columns, seed)
         head = processed.withColumn("__tk_rank", rank).orderBy("__tk_rank").limit(size)
         order = cols + [F.col("__tk_rank")]
-    indexed = head.withColumn(index_col, F.row_number().over(Window.orderBy(*order)) - 1)
+    indexed = head.withColumn(index_col, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     return indexed.drop("__tk_rank") if mode != "head" else indexed
 
 
