@@ -97,7 +97,7 @@ def paginate(df: DataFrame, page_index: int, page_size: int, keys: Iterable[Sort
     """
     if total is None and page_index > 0:
         total = df.count()          # only needed to clamp a page past the end
-    page_index = clamp_page(total, page_index, page_size) if total is not None else clamp_page(0, 0, page_size)
+    page_index = clamp_page(total if total is not None else 0, page_index, page_size)
     start = page_index * page_size
     cols = sort_columns(keys, df.columns)
     if start + page_size > deep_threshold and cols:
