@@ -29,15 +29,16 @@ def binary_repr(c: Column, max_bytes: int = BINARY_PREFIX_BYTES) -> Column:
     bytes become ``\\xNN``; the quote is ``"`` only when the bytes hold a ``'``
     and no ``"``, as Python chooses it.
 
-    Linear per cell: the hex text is split into byte pairs by a regex and the
-    quote code travels next to each byte through ``zip_with``; a lambda that
-    referred to the whole cell would be re-evaluated for every byte.
+    Linear per cell: the bytes are decoded as ISO-8859-1 (one character per
+    byte, so ``ascii`` gives the byte value back) and the quote code travels
+    next to each byte through ``zip_with``; a lambda that referred to the
+    whole cell would be re-evaluated for every byte.
     """
     head = F.substring(c, 1, max_bytes)
-    # the split leaves a trailing empty piece: keep exactly one pair per byte
-    pairs = F.slice(F.split(F.hex(head), "(?<=\\G..)"), 1, F.length(head))
-    codes = F.when(F.length(head) > 0, F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int"))) \
-        .otherwise(F.array().cast("array<int>"))
+    n = F.length(head)
+    # splitting on "" leaves a trailing empty piece: keep exactly one char per byte
+    chars = F.slice(F.split(F.decode(head, "ISO-8859-1"), ""), 1, n)
+    codes = F.when(n > 0, F.transform(chars, lambda ch: F.ascii(ch))).otherwise(F.array().cast("array<int>"))
     dq = F.array_contains(codes, 39) & ~F.array_contains(codes, 34)
     qcode = F.when(dq, F.lit(34)).otherwise(F.lit(39))
 
