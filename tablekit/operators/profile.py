@@ -217,7 +217,8 @@ def column_summary(df: DataFrame, p: ColumnPlan, stats: dict[str, Any]) -> DataF
       from the columnar file; partial aggregation combines a hot value before
       the shuffle);
     * from those groups, ``kind='u'``: one aggregate row with the number of
-      distinct non-missing values, their total and the ten histogram bin sums;
+      distinct non-missing values, their total, the missing count (the null
+      and NaN groups), the row count and the ten histogram bin sums;
     * ``kind='t'`` (category columns): the three most common values, ties by
       value, via ``orderBy().limit(3)`` (a per-task heap, never all groups in
       one task).
@@ -232,18 +233,27 @@ def column_summary(df: DataFrame, p: ColumnPlan, stats: dict[str, Any]) -> DataF
     v = x if isinstance(p.dtype, T.MapType) else _value_text(x, p.dtype)
     edges = hist_edges(stats.get(f"lo{p.pos}"), stats.get(f"hi{p.pos}")) if p.ranged else None
     b = _bin_of(_hist_value(x, p.dtype), edges) if edges else F.lit(None).cast("int")
-    valid = grouped.select(v.alias("v"), b.alias("b"), "cnt").filter(F.col("v").isNotNull())
-    hist = (F.array(*[F.sum(F.when(F.col("b") == k, F.col("cnt")).otherwise(0)) for k in range(HIST_BINS)])
-            if edges else F.lit(None).cast("array<bigint>"))
-    u = valid.agg(F.count(F.lit(1)).alias("uniq"), F.sum("cnt").alias("nn"), hist.alias("hist")).select(
+    groups = grouped.select(v.alias("v"), b.alias("b"), "cnt")
+    present = F.col("v").isNotNull()
+    hist = (F.array(*[F.sum(F.when(present & (F.col("b") == k), F.col("cnt")).otherwise(0))
+                      for k in range(HIST_BINS)]) if edges else F.lit(None).cast("array<bigint>"))
+    u = groups.agg(F.count_if(present).alias("uniq"), F.sum(F.when(present, F.col("cnt"))).alias("nn"),
+                   F.sum(F.when(~present, F.col("cnt"))).alias("miss"), F.sum("cnt").alias("rows"),
+                   hist.alias("hist")).select(
         F.lit("u").alias("kind"), F.lit(p.pos).alias("pos"), F.lit(None).cast("string").alias("v"),
-        F.lit(None).cast("long").alias("cnt"), "uniq", F.col("nn").cast("long").alias("nn"),
+        F.lit(None).cast("long").alias("cnt"), F.col("uniq").cast("long").alias("uniq"),
+        F.coalesce(F.col("nn"), F.lit(0)).cast("long").alias("nn"),
+        F.coalesce(F.col("miss"), F.lit(0)).cast("long").alias("miss"),
+        F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("rows"),
         F.col("hist").cast("array<bigint>").alias("hist"))
     if p.ranged:
         return u
-    t = valid.orderBy(F.col("cnt").desc(), F.col("v").asc()).limit(MAX_CATEGORIES).select(
+    # no filter here: both branches keep the same grouped subtree, so Spark
+    # reuses its exchange; missing groups sort last and are dropped on the driver
+    t = groups.orderBy(present.desc(), F.col("cnt").desc(), F.col("v").asc()).limit(MAX_CATEGORIES).select(
         F.lit("t").alias("kind"), F.lit(p.pos).alias("pos"), "v", F.col("cnt").cast("long").alias("cnt"),
         F.lit(None).cast("long").alias("uniq"), F.lit(None).cast("long").alias("nn"),
+        F.lit(None).cast("long").alias("miss"), F.lit(None).cast("long").alias("rows"),
         F.lit(None).cast("array<bigint>").alias("hist"))
     return u.unionByName(t)
 
@@ -288,8 +298,24 @@ class Profile:
         self.df = df
         self.plans = _plans(df, columns)
         self.approx = approx_distinct
-        self.stats = scalar_stats(df, self.plans, approx_distinct)
+        self.stats: dict[str, Any] = {}
         self._summary = None
+        # pass 1 only where pass 2 needs it (histogram bounds of numeric and
+        # temporal columns); other columns get their missing counts from pass 2
+        self._pass1([p for p in self.plans if p.ranged])
+
+    def _pass1(self, plans: Sequence[ColumnPlan]) -> None:
+        todo = [p for p in plans if f"nan{p.pos}" not in self.stats]
+        if todo:
+            self.stats.update(scalar_stats(self.df, todo, self.approx))
+
+    def _nan(self, p: ColumnPlan) -> int:
+        key = f"nan{p.pos}"
+        if key not in self.stats and self._summary and p.pos in self._summary["miss"]:
+            self.stats[key] = self._summary["miss"][p.pos]
+        if key not in self.stats:
+            self._pass1([p])
+        return int(self.stats[key])
 
     def close(self) -> None:
         self._summary = None
@@ -302,10 +328,17 @@ class Profile:
 
     @property
     def rows(self) -> int:
+        if "rows" not in self.stats:
+            if self._summary and self._summary["rows"] is not None:
+                self.stats["rows"] = self._summary["rows"]
+            else:
+                self.stats["rows"] = self.df.count()
         return self.stats["rows"]
 
     def null_counts(self) -> DataFrame:
-        rows = [(p.name, int(self.stats[f"nan{p.pos}"])) for p in self.plans]
+        known = set(self._summary["miss"]) if self._summary else set()
+        self._pass1([p for p in self.plans if p.pos not in known])   # one job for all that are missing
+        rows = [(p.name, self._nan(p)) for p in self.plans]
         return literal_rows(self.df.sparkSession, rows, "column_name string, nan_count long")
 
     def min_max(self) -> DataFrame:
@@ -318,17 +351,18 @@ class Profile:
         per column: distinct counts, non-missing totals, histogram bin sums and
         top values. Columns already summarised are not recomputed."""
         if self._summary is None:
-            self._summary = {"uniq": {}, "nn": {}, "hist": {}, "top": {}}
+            self._summary = {"uniq": {}, "nn": {}, "hist": {}, "top": {}, "miss": {}, "rows": None}
         out = self._summary
         todo = [p for p in (self.plans if plans is None else plans) if p.pos not in out["uniq"]]
         if todo:
             tops: dict[int, list] = {}
             for r in pass2(self.df, todo, self.stats).collect():
                 if r.kind == "u":
-                    out["uniq"][r.pos], out["nn"][r.pos] = r.uniq, r.nn or 0
+                    out["uniq"][r.pos], out["nn"][r.pos], out["miss"][r.pos] = r.uniq, r.nn, r.miss
+                    out["rows"] = r.rows
                     if r.hist is not None:
                         out["hist"][r.pos] = dict(enumerate(r.hist))
-                else:
+                elif r.v is not None:
                     tops.setdefault(r.pos, []).append((-r.cnt, r.v, r.cnt))
             for pos, top in tops.items():
                 out["top"][pos] = [(i + 1, v, c) for i, (_, v, c) in enumerate(sorted(top))]
@@ -338,7 +372,7 @@ class Profile:
         """Histogram bin counts without grouping values: ten conditional counts
         per column in one aggregate (one scan, a one-row result)."""
         if self._summary is None:
-            self._summary = {"uniq": {}, "nn": {}, "hist": {}, "top": {}}
+            self._summary = {"uniq": {}, "nn": {}, "hist": {}, "top": {}, "miss": {}, "rows": None}
         todo = []
         for p in plans:
             edges = hist_edges(self.stats.get(f"lo{p.pos}"), self.stats.get(f"hi{p.pos}"))
@@ -398,7 +432,7 @@ class Profile:
         sm = self.summary(cat_plans)
         rows = []
         for p in cat_plans:
-            nan = int(self.stats[f"nan{p.pos}"])
+            nan = self._nan(p)
             uniq, nn = int(sm["uniq"].get(p.pos, 0)), int(sm["nn"].get(p.pos, 0) or 0)
             entries = category_entries(sm["top"].get(p.pos, []), uniq, nn, nan)
             rows += [(p.name, i + 1, name, cnt) for i, (name, cnt) in enumerate(entries)]
@@ -423,7 +457,7 @@ class Profile:
         cats: dict[str, list] = {}
         for name, _, cat, cnt in self._cat_rows():
             cats.setdefault(name, []).append((cat, cnt))
-        return [(p.pos, p.name, p.dtype.simpleString(), uniq.get(p.name), int(self.stats[f"nan{p.pos}"]),
+        return [(p.pos, p.name, p.dtype.simpleString(), uniq.get(p.name), self._nan(p),
                  stat_text(self.stats.get(f"min{p.pos}")), stat_text(self.stats.get(f"max{p.pos}")),
                  hist.get(p.name), cats.get(p.name)) for p in self.plans]
 
