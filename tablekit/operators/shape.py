@@ -117,7 +117,8 @@ def paginate(df: DataFrame, page_index: int, page_size: int, keys: Iterable[Sort
 def with_row_index(df: DataFrame, order: Sequence[Column], name: str = "row_index") -> DataFrame:
     """0-based global row number in ``order`` without a global window.
 
-    1. global sort (range partitioned) and tag each row with
+    1. global sort (range partitioned; the input position is the last key, so
+       hot sort values are split over ranges) and tag each row with
        ``monotonically_increasing_id`` = (partition << 33) + position;
     2. reliable checkpoint to the shared folder, so the tags survive executor
        loss and re-reads agree;
@@ -126,7 +127,11 @@ def with_row_index(df: DataFrame, order: Sequence[Column], name: str = "row_inde
        literal array lookup: no join, no shuffle.
     """
     shared_root(df.sparkSession)  # fail early with a clear message if unset
-    tagged = df.orderBy(*order).withColumn("__tk_mid", F.monotonically_increasing_id())
+    # the input position breaks ties: equal sort keys (a value holding a third
+    # of the table) still spread over many ranges, and tie order is reproducible
+    ordered = (df.withColumn("__tk_in", F.monotonically_increasing_id())
+                 .orderBy(*order, F.col("__tk_in")).drop("__tk_in"))
+    tagged = ordered.withColumn("__tk_mid", F.monotonically_increasing_id())
     tagged = tagged.checkpoint(eager=True)
     part = F.shiftright(F.col("__tk_mid"), 33)
     counts = dict(tagged.groupBy(part.alias("p")).count().collect())
