@@ -62,11 +62,10 @@ def _hist_value(c: Column, dtype) -> Column:
         return c.cast("double")
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("double") * 86_400_000_000.0
-    if isinstance(dtype, T.TimestampNTZType):
-        # wall-clock micros since 1970-01-01, independent of the session time zone
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("double")
-    if is_temporal(dtype):
-        return F.unix_micros(c).cast("double")
+    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
+        # wall-clock micros since 1970-01-01 (zoned instants in the session zone)
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                c.cast("timestamp_ntz")).cast("double")
     if is_duration(dtype):
         return duration_seconds(c) * 1_000_000.0
     return F.lit(None).cast("double")
@@ -209,65 +208,121 @@ def _bin_of(v: Column, edges: list[float]) -> Column:
 
 # --- pass 2 -----------------------------------------------------------------------
 
-def column_summary(df: DataFrame, p: ColumnPlan, stats: dict[str, Any]) -> DataFrame:
-    """Pass 2 for one column, as a small table of rows (kind, pos, v, cnt, uniq,
-    nn, hist):
-
-    * one typed ``groupBy`` of the column (the branch reads only this column
-      from the columnar file; partial aggregation combines a hot value before
-      the shuffle);
-    * from those groups, ``kind='u'``: one aggregate row with the number of
-      distinct non-missing values, their total, the missing count (the null
-      and NaN groups), the row count and the ten histogram bin sums;
-    * ``kind='t'`` (category columns): the three most common values, ties by
-      value, via ``orderBy().limit(3)`` (a per-task heap, never all groups in
-      one task).
-
-    Both read the same grouped exchange, which Spark reuses. Map cells, which
-    Spark cannot group, are grouped on their text.
-    """
-    c = qcol(p.name)
-    key = c.cast("string") if isinstance(p.dtype, T.MapType) else c
-    grouped = df.select(key.alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("cnt"))
-    x = F.col("x")
-    v = x if isinstance(p.dtype, T.MapType) else _value_text(x, p.dtype)
-    edges = hist_edges(stats.get(f"lo{p.pos}"), stats.get(f"hi{p.pos}")) if p.ranged else None
-    b = _bin_of(_hist_value(x, p.dtype), edges) if edges else F.lit(None).cast("int")
-    groups = grouped.select(v.alias("v"), b.alias("b"), "cnt")
-    present = F.col("v").isNotNull()
-    hist = (F.array(*[F.sum(F.when(present & (F.col("b") == k), F.col("cnt")).otherwise(0))
-                      for k in range(HIST_BINS)]) if edges else F.lit(None).cast("array<bigint>"))
-    u = groups.agg(F.count_if(present).alias("uniq"), F.sum(F.when(present, F.col("cnt"))).alias("nn"),
-                   F.sum(F.when(~present, F.col("cnt"))).alias("miss"), F.sum("cnt").alias("rows"),
-                   hist.alias("hist")).select(
-        F.lit("u").alias("kind"), F.lit(p.pos).alias("pos"), F.lit(None).cast("string").alias("v"),
-        F.lit(None).cast("long").alias("cnt"), F.col("uniq").cast("long").alias("uniq"),
-        F.coalesce(F.col("nn"), F.lit(0)).cast("long").alias("nn"),
-        F.coalesce(F.col("miss"), F.lit(0)).cast("long").alias("miss"),
-        F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("rows"),
-        F.col("hist").cast("array<bigint>").alias("hist"))
-    if p.ranged:
-        return u
-    # no filter here: both branches keep the same grouped subtree, so Spark
-    # reuses its exchange; missing groups sort last and are dropped on the driver
-    t = groups.orderBy(present.desc(), F.col("cnt").desc(), F.col("v").asc()).limit(MAX_CATEGORIES).select(
-        F.lit("t").alias("kind"), F.lit(p.pos).alias("pos"), "v", F.col("cnt").cast("long").alias("cnt"),
-        F.lit(None).cast("long").alias("uniq"), F.lit(None).cast("long").alias("nn"),
-        F.lit(None).cast("long").alias("miss"), F.lit(None).cast("long").alias("rows"),
-        F.lit(None).cast("array<bigint>").alias("hist"))
-    return u.unionByName(t)
+SLOTS = "pos int, l bigint, t timestamp_ntz, d double, s string"
 
 
-def pass2(df: DataFrame, plans: Sequence[ColumnPlan], stats: dict[str, Any]) -> DataFrame:
-    """Union of every column's summary: one job; what it returns is bounded by
-    the schema width (at most four rows per column)."""
-    parts = [column_summary(df, p, stats) for p in plans]
+def _slots(c: Column, dtype) -> tuple[Column, Column, Column, Column]:
+    """A cell in one typed slot (l: integers, t: wall-clock instants, d: floats
+    and durations, s: text of everything else), so values group on their own
+    type without being turned into text first. NaN and nulls stay null."""
+    none_l, none_t = F.lit(None).cast("bigint"), F.lit(None).cast("timestamp_ntz")
+    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("bigint"), none_t, none_d, none_s
+    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        return none_l, c.cast("timestamp_ntz"), none_d, none_s
+    if is_fractional(dtype):
+        return none_l, none_t, F.when(~F.isnan(c), c.cast("double")), none_s
+    if is_duration(dtype):
+        return none_l, none_t, duration_seconds(c) * 1_000_000.0, none_s
+    if isinstance(dtype, T.MapType):
+        return none_l, none_t, none_d, c.cast("string")
+    return none_l, none_t, none_d, _value_text(c, dtype)
+
+
+def grouped_values(df: DataFrame, plans: Sequence[ColumnPlan]) -> DataFrame:
+    """(pos, l, t, d, s, cnt): every distinct cell value per column with its count,
+    missing cells included as the all-null group. Columns are taken in chunks
+    of ``STATS_CHUNK``: each chunk is one scan of its columns, one explode into
+    typed slots and one ``groupBy`` whose map-side partial aggregation combines
+    a hot value inside each task before the shuffle."""
+    parts = []
+    for start in range(0, len(plans), STATS_CHUNK):
+        entries = []
+        for p in plans[start:start + STATS_CHUNK]:
+            l, t, d, sx = _slots(qcol(p.name), p.dtype)
+            entries.append(F.struct(F.lit(p.pos).alias("pos"), l.alias("l"), t.alias("t"), d.alias("d"),
+                                    sx.alias("s")))
+        exploded = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+        parts.append(exploded.groupBy("pos", "l", "t", "d", "s").agg(F.count(F.lit(1)).alias("cnt")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _edges_table(plans: Sequence[ColumnPlan], stats: dict[str, Any]) -> Column:
+    """Histogram edges of every column, indexed by position + 1 (null where a
+    column has no histogram): a literal bounded by the schema width."""
+    width = max(p.pos for p in plans) + 1
+    by_pos = {p.pos: hist_edges(stats.get(f"lo{p.pos}"), stats.get(f"hi{p.pos}")) if p.ranged else None
+              for p in plans}
+    cells = []
+    for pos in range(width):
+        e = by_pos.get(pos)
+        cells.append(F.array(*[F.lit(float(x)) for x in e]) if e else F.lit(None).cast("array<double>"))
+    return F.array(*cells)
+
+
+def pass2(df: DataFrame, plans: Sequence[ColumnPlan], stats: dict[str, Any]) -> DataFrame:
+    """Pass 2 as one job, returning rows (kind, pos, v, cnt, uniq, nn, miss, rows,
+    hist) bounded by the schema width:
+
+    * ``kind='u'``, one per column: distinct non-missing values, their total,
+      the missing count, the row count and the ten histogram bin sums;
+    * ``kind='t'``: the three most common values of each column, ties by value,
+      via ``row_number() <= 3`` per column, which Spark plans with a partial
+      group limit in every task before its shuffle.
+
+    Value text and histogram bins are computed after grouping, on distinct
+    values only. Category and numeric columns are grouped in separate chunks;
+    the category groups feed both consumers unfiltered, so Spark reuses that
+    exchange, and the window never sorts numeric values.
+    """
+    def values(g: DataFrame) -> DataFrame:
+        v = F.coalesce(F.col("l").cast("string"), F.col("t").cast("string"),
+                       F.when(F.col("d") == 0, F.lit("0.0")).otherwise(F.col("d").cast("string")), F.col("s"))
+        axis = F.coalesce(F.col("l").cast("double"),
+                          F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                           F.col("t")).cast("double"),
+                          F.when(~F.col("d").isin(float("inf"), float("-inf")), F.col("d")),
+                          F.col("s").try_cast("double"))      # decimals travel as exact text
+        e = F.element_at(_edges_table(plans, stats), F.col("pos") + 1)
+        lo, hi = F.element_at(e, 1), F.element_at(e, HIST_BINS + 1)
+        i0 = F.least(((axis - lo) * (F.lit(float(HIST_BINS)) / (hi - lo))).cast("int"), F.lit(HIST_BINS - 1))
+        down = F.when(axis < F.element_at(e, i0 + 1), 1).otherwise(0)
+        up = F.when((axis >= F.element_at(e, i0 + 2)) & (i0 != HIST_BINS - 1), 1).otherwise(0)
+        b = F.when(e.isNotNull() & axis.isNotNull(), i0 - down + up)
+        return g.select("pos", v.alias("v"), b.alias("b"), "cnt")
+
+    # category and numeric columns are grouped in separate chunks, so the top
+    # values window only ever sees category values
+    cat = [p for p in plans if not p.ranged]
+    rng = [p for p in plans if p.ranged]
+    cat_vals = values(grouped_values(df, cat)) if cat else None
+    rng_vals = values(grouped_values(df, rng)) if rng else None
+    vals = cat_vals if rng_vals is None else (rng_vals if cat_vals is None else cat_vals.unionByName(rng_vals))
+    present = F.col("v").isNotNull()
+    hist = F.array(*[F.sum(F.when(present & (F.col("b") == k), F.col("cnt")).otherwise(0))
+                     for k in range(HIST_BINS)])
+    u = vals.groupBy("pos").agg(
+        F.count_if(present).cast("long").alias("uniq"),
+        F.coalesce(F.sum(F.when(present, F.col("cnt"))), F.lit(0)).cast("long").alias("nn"),
+        F.coalesce(F.sum(F.when(~present, F.col("cnt"))), F.lit(0)).cast("long").alias("miss"),
+        F.sum("cnt").cast("long").alias("rows"), hist.cast("array<bigint>").alias("hist")).select(
+        F.lit("u").alias("kind"), "pos", F.lit(None).cast("string").alias("v"), F.lit(None).cast("long").alias("cnt"),
+        "uniq", "nn", "miss", "rows", "hist")
+    if cat_vals is None:
+        return u
+    w = Window.partitionBy("pos").orderBy(present.desc(), F.col("cnt").desc(), F.col("v").asc())
+    t = (cat_vals.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= MAX_CATEGORIES)
+         .select(F.lit("t").alias("kind"), "pos", "v", F.col("cnt").cast("long").alias("cnt"),
+                 F.lit(None).cast("long").alias("uniq"), F.lit(None).cast("long").alias("nn"),
+                 F.lit(None).cast("long").alias("miss"), F.lit(None).cast("long").alias("rows"),
+                 F.lit(None).cast("array<bigint>").alias("hist")))
+    return u.unionByName(t)
+
+
 def category_entries(top: list[tuple[int, str, int]], uniq: int, non_null: int, nan: int) -> list[tuple[str, int]]:
     """Category list from the ranked top values: all values if they fit in the
     slots, else the most common ones and ``"<n> others"``; ``"Missing"`` takes a
@@ -354,13 +409,15 @@ class Profile:
             self._summary = {"uniq": {}, "nn": {}, "hist": {}, "top": {}, "miss": {}, "rows": None}
         out = self._summary
         todo = [p for p in (self.plans if plans is None else plans) if p.pos not in out["uniq"]]
+        ranged_with_edges = {p.pos for p in todo if p.ranged and
+                             hist_edges(self.stats.get(f"lo{p.pos}"), self.stats.get(f"hi{p.pos}")) is not None}
         if todo:
             tops: dict[int, list] = {}
             for r in pass2(self.df, todo, self.stats).collect():
                 if r.kind == "u":
                     out["uniq"][r.pos], out["nn"][r.pos], out["miss"][r.pos] = r.uniq, r.nn, r.miss
                     out["rows"] = r.rows
-                    if r.hist is not None:
+                    if r.hist is not None and r.pos in ranged_with_edges:
                         out["hist"][r.pos] = dict(enumerate(r.hist))
                 elif r.v is not None:
                     tops.setdefault(r.pos, []).append((-r.cnt, r.v, r.cnt))

@@ -50,12 +50,17 @@ def test_percentage_uses_a_scalar_subquery_not_a_window(spark):
     assert "Subquery" in plan and "Window" not in plan
 
 
-def test_profile_branches_read_one_column_each(spark):
+def test_profile_pass2_is_chunked_with_a_partial_top_limit(spark):
+    from tablekit.operators.profile import STATS_CHUNK
     li = tbl(spark, "lineitem")
     p = Profile(li)
-    plan = plan_of(pass2(li, p.plans, p.stats))
-    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
-    assert schemas and all("," not in s for s in schemas)       # one column per scan
+    df = pass2(li, p.plans, p.stats)
+    plan = plan_of(df)
+    formatted = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    schemas = re.findall(r"ReadSchema: struct<([^>\n]*)>", formatted)
+    assert schemas and all(len(s.split(",")) <= STATS_CHUNK for s in schemas)   # bounded width per scan
+    assert "WindowGroupLimit" in plan and "Partial" in plan                    # top values: per-task limit
+    assert "Cartesian" not in plan
 
 
 def test_filters_reach_the_scan(spark):

@@ -122,3 +122,16 @@ def test_approx_distinct_mode(spark):
     approx = {r["column_name"]: r["unique_count"] for r in Profile(df, approx_distinct=True).unique_counts().collect()}
     assert exact == {"k": 5000, "s": 3}
     assert approx["s"] == 3 and abs(approx["k"] - 5000) / 5000 < 0.1
+
+
+def test_decimal_and_zoned_timestamp_histograms(spark):
+    import datetime as dt
+    from decimal import Decimal
+    vals = [Decimal("1.25"), Decimal("2.50"), Decimal("9.75"), Decimal("4.00"), None]
+    df = spark.createDataFrame([(v, dt.datetime(2024, 1, 1 + i)) for i, v in enumerate(vals)],
+                               "dec decimal(10,2), ts timestamp")
+    p = Profile(df)
+    assert hist_counts(p, "dec") == np.histogram([1.25, 2.5, 9.75, 4.0], bins=10)[0].tolist()
+    assert sum(hist_counts(p, "ts")) == 5 and hist_counts(p, "ts")[0] == 1 and hist_counts(p, "ts")[-1] == 1
+    u = {r["column_name"]: r["unique_count"] for r in p.unique_counts().collect()}
+    assert u == {"dec": 4, "ts": 5}
