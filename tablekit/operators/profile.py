@@ -264,6 +264,15 @@ def _edges_table(plans: Sequence[ColumnPlan], stats: dict[str, Any]) -> Column:
     return F.array(*cells)
 
 
+def _bin_by_pos(axis: Column, e: Column) -> Column:
+    """``_bin_of`` with the edges as a column (one expression for all columns)."""
+    lo, hi = F.element_at(e, 1), F.element_at(e, HIST_BINS + 1)
+    i0 = F.least(((axis - lo) * (F.lit(float(HIST_BINS)) / (hi - lo))).cast("int"), F.lit(HIST_BINS - 1))
+    down = F.when(axis < F.element_at(e, i0 + 1), 1).otherwise(0)
+    up = F.when((axis >= F.element_at(e, i0 + 2)) & (i0 != HIST_BINS - 1), 1).otherwise(0)
+    return F.when(e.isNotNull() & axis.isNotNull(), i0 - down + up)
+
+
 def pass2(df: DataFrame, plans: Sequence[ColumnPlan], stats: dict[str, Any]) -> DataFrame:
     """Pass 2 as one job, returning rows (kind, pos, v, cnt, uniq, nn, miss, rows,
     hist) bounded by the schema width:
@@ -287,12 +296,7 @@ def pass2(df: DataFrame, plans: Sequence[ColumnPlan], stats: dict[str, Any]) ->
                                            F.col("t")).cast("double"),
                           F.when(~F.col("d").isin(float("inf"), float("-inf")), F.col("d")),
                           F.col("s").try_cast("double"))      # decimals travel as exact text
-        e = F.element_at(_edges_table(plans, stats), F.col("pos") + 1)
-        lo, hi = F.element_at(e, 1), F.element_at(e, HIST_BINS + 1)
-        i0 = F.least(((axis - lo) * (F.lit(float(HIST_BINS)) / (hi - lo))).cast("int"), F.lit(HIST_BINS - 1))
-        down = F.when(axis < F.element_at(e, i0 + 1), 1).otherwise(0)
-        up = F.when((axis >= F.element_at(e, i0 + 2)) & (i0 != HIST_BINS - 1), 1).otherwise(0)
-        b = F.when(e.isNotNull() & axis.isNotNull(), i0 - down + up)
+        b = _bin_by_pos(axis, F.element_at(_edges_table(plans, stats), F.col("pos") + 1))
         return g.select("pos", v.alias("v"), b.alias("b"), "cnt")
 
     # category and numeric columns are grouped in separate chunks, so the top
@@ -426,8 +430,8 @@ class Profile:
         return out
 
     def _hist_only(self, plans: Sequence[ColumnPlan]) -> None:
-        """Histogram bin counts without grouping values: ten conditional counts
-        per column in one aggregate (one scan, a one-row result)."""
+        """Histogram bin counts without grouping values (one job; at most ten
+        rows per column come back)."""
         if self._summary is None:
             self._summary = {"uniq": {}, "nn": {}, "hist": {}, "top": {}, "miss": {}, "rows": None}
         todo = []
@@ -437,12 +441,20 @@ class Profile:
                 todo.append((p, edges))
         if not todo:
             return
-        # one small branch per column (its own column read, its own bin
-        # expression, partial aggregation to <= 10 rows per task): generated
-        # code stays small however many columns there are
-        parts = [self.df.select(_bin_of(_hist_value(qcol(p.name), p.dtype), edges).alias("b"))
-                     .filter(F.col("b").isNotNull()).groupBy("b").agg(F.count(F.lit(1)).alias("cnt"))
-                     .select(F.lit(p.pos).alias("pos"), "b", "cnt") for p, edges in todo]
+        # chunks of STATS_CHUNK columns: one scan and one explode of cheap
+        # (column, axis value) pairs; a single bin expression then serves every
+        # column (its edges looked up by position), and a partial aggregation
+        # leaves <= 10 rows per column per task. Generated code stays small
+        # however many columns there are.
+        edges_of = _edges_table([p for p, _ in todo], self.stats)
+        parts = []
+        for start in range(0, len(todo), STATS_CHUNK):
+            pairs = [F.struct(F.lit(p.pos).alias("pos"), _hist_value(qcol(p.name), p.dtype).alias("x"))
+                     for p, _ in todo[start:start + STATS_CHUNK]]
+            x = self.df.select(F.explode(F.array(*pairs)).alias("e")).select("e.*")
+            b = _bin_by_pos(F.col("x"), F.element_at(edges_of, F.col("pos") + 1))
+            parts.append(x.select("pos", b.alias("b")).filter(F.col("b").isNotNull())
+                         .groupBy("pos", "b").agg(F.count(F.lit(1)).alias("cnt")))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
