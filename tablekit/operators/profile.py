@@ -1,21 +1,24 @@
 """Column profiles: unique and missing counts, min/max, histograms, categories.
 
-Plan shape (whatever the number of columns):
-
-* **pass 1**: one aggregate over the table: missing counts, typed min/max
-  (NaN excluded, infinities kept), finite histogram bounds. Partial
-  aggregation per task; the result is one row of O(columns) values, read back
-  on the driver because pass 2 needs the bounds as literals.
-* **pass 2**: every profiled cell becomes one entry ``(column, value text,
-  histogram bin)``; a single ``groupBy`` counts the entries (map-side partial
-  aggregation first, so a hot value is combined before the shuffle). From those
-  counts: unique counts (groups per column), histograms (sum per bin) and
-  categories (top values per column through a ``row_number() <= 3`` window, which
-  Spark plans with a partial per-task group limit before its shuffle, so no
-  task ever holds all distinct values of a column).
-
-Everything per-column that comes back is bounded by the schema width, not by
-the data size.
+Plan shape (whatever the number of rows):
+
+* **pass 1** (numeric and temporal columns): one aggregate per chunk of six
+  columns, unioned into one job: missing counts, typed min/max (NaN excluded,
+  infinities kept) and the finite histogram range. Partial aggregation per
+  task; O(columns) values come back, because pass 2 needs the bounds as
+  literals.
+* **pass 2**: per chunk of six columns, one scan, an explode into typed slots
+  and one ``groupBy`` (map-side partial aggregation first, so a hot value is
+  combined before the shuffle). Value text and histogram bins are derived
+  from the distinct values only. From those counts: distinct, missing and
+  non-missing counts and bin sums (one row per column), and the top values of
+  category columns through ``row_number() <= 3``, which Spark plans with a
+  partial per-task group limit before its shuffle, so no task ever holds all
+  distinct values of a column.
+
+Chunks keep the generated code of every stage small: one expression over
+hundreds of columns would outgrow what the JVM compiles. Everything that comes
+back is bounded by the schema width, not by the data size.
 """
 
 from __future__ import annotations
