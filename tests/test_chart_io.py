@@ -77,3 +77,19 @@ def test_wall_clock_results_do_not_depend_on_session_zone(spark):
         assert results[0][1][0] == (dt.datetime(2024, 1, 1, 1) - dt.datetime(1970, 1, 1)).total_seconds() * 1e6
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_documents_are_json_serialisable(spark):
+    import datetime as dt
+    import json
+    from tablekit.plans.browse import describe_table
+    df = spark.createDataFrame(
+        [(1, 2.5, "a", True, dt.datetime(2024, 1, 1), [1, 2], bytearray(b"\x00x"), None),
+         (2, float("nan"), None, False, None, None, None, 2 ** 60)],
+        "i bigint, f double, s string, b boolean, t timestamp_ntz, a array<int>, bin binary, big bigint")
+    doc = describe_table(df, '{"pageSize": 5}')
+    text = json.dumps(doc, allow_nan=True)
+    assert '"row_count": 2' in text and doc["rows"][0]["bin"] == repr(b"\x00x")
+    assert doc["rows"][0]["big"] is None or isinstance(doc["rows"][0]["big"], str)   # 2^60 column became text
+    meta = chart_output_metadata(df.select("i", "s", "t"))
+    assert json.loads(json.dumps(meta))["filteredDataframeSize"] == 2
