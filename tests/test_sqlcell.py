@@ -83,3 +83,10 @@ def test_spark_sql_cell(spark):
         spark_sql_cell(spark, "SELECT {nope}", {})
     with pytest.raises(RuntimeError):
         spark_sql_cell(None, "SELECT 1")
+
+
+def test_cache_defaults_to_the_shared_folder(spark):
+    from tablekit.session import shared_root
+    out = cached_sql(spark, "SELECT 42 AS answer", {}, READ_OR_WRITE)
+    assert out.status in ("written_to_cache", "read_from_cache")
+    assert out.path.startswith(shared_root(spark).rstrip("/")) and out.df.first()["answer"] == 42
