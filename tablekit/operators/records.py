@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.render import (duration_seconds, is_large, is_large_candidate, json_safe)
+from ..functions.render import (LARGE_NUMBER, duration_seconds, is_large, is_large_candidate, json_safe)
 from ..functions.types import is_complex, is_duration, literal_rows, qcol
 from .shape import prepare_columns
 
@@ -44,10 +44,39 @@ def json_safe_records(df: DataFrame, text_columns: Sequence[str] = ()) -> DataFr
 
 
 def to_records(df: DataFrame, limit: int, check_large: bool = True) -> list[dict[str, Any]]:
-    """Bounded edge of the library: at most ``limit`` JSON-safe rows as dicts."""
-    head = df.limit(limit)
-    big = large_number_columns(head) if check_large else []
-    return [r.asDict(recursive=True) for r in json_safe_records(head, big).collect()]
+    """Bounded edge of the library: at most ``limit`` JSON-safe rows as dicts.
+
+    One job: the rows are collected once and the 2^53 rule is decided on those
+    same (at most ``limit``) rows on the driver, so a sorted page, which is a
+    top-n over the whole table, is not computed twice."""
+    rows = [r.asDict(recursive=True) for r in json_safe_records(df.limit(limit)).collect()]
+    if check_large and rows:
+        cands = [f.name for f in df.schema.fields if is_large_candidate(f.dataType)]
+        big = [c for c in cands if any(_is_large_value(r[c]) for r in rows)]
+        for r in rows:
+            for c in big:
+                if r[c] is not None:
+                    r[c] = _number_text(r[c])
+    return rows
+
+
+def _is_large_value(v: Any) -> bool:
+    if v is None or isinstance(v, str):
+        return False
+    try:
+        return v > LARGE_NUMBER or v < -LARGE_NUMBER        # infinities count, NaN does not
+    except TypeError:
+        return False
+
+
+def _number_text(v: Any) -> str:
+    """Spark's text of a number (what ``cast(x as string)`` gives)."""
+    if isinstance(v, float):
+        if v != v:
+            return "NaN"
+        if v in (float("inf"), float("-inf")):
+            return "Infinity" if v > 0 else "-Infinity"
+    return str(v)
 
 
 def sanitize_for_parquet(df: DataFrame) -> DataFrame:

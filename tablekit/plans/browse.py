@@ -139,9 +139,13 @@ class DataPreview:
             self.data.unpersist()
         spec = BrowseSpec(filters=filters, sort_by=sort_by)
         self.processed = apply_browse_spec(self.source, spec, today)
-        head = preview_head(self.processed, sort_by, self.mode, self.size)
-        big = large_number_columns(head)
-        self.data = json_safe_records(head, big).persist(StorageLevel.MEMORY_AND_DISK)
+        # the head (a top-n over the whole table) is computed once and kept;
+        # the large-number check and the JSON-safe copy both read it
+        if getattr(self, "_head", None) is not None:
+            self._head.unpersist()
+        self._head = preview_head(self.processed, sort_by, self.mode, self.size).persist(StorageLevel.MEMORY_AND_DISK)
+        big = large_number_columns(self._head)
+        self.data = json_safe_records(self._head, big).persist(StorageLevel.MEMORY_AND_DISK)
         counts = self.data.agg(F.count(F.lit(1))).first()[0]
         self.row_count = counts
         self.total_size = self.processed.count()
