@@ -29,3 +29,16 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import duplicate_groups
     return duplicate_groups(documents(spark, sf_dir))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    return pack(documents(spark, sf_dir), **byte_bpe_files())
+
+
+def byte_bpe_files() -> dict:
+    """The vocabulary of the packing query, as installed on the cluster."""
+    import public_tokenizers as vocabularies
+    return {"path": vocabularies.path("byte_bpe_50k.json"),
+            "ranks": vocabularies.path("byte_bpe_50k.tiktoken"), "pattern": vocabularies.PATTERN}
