@@ -42,3 +42,14 @@ def byte_bpe_files() -> dict:
     import public_tokenizers as vocabularies
     return {"path": vocabularies.path("byte_bpe_50k.json"),
             "ranks": vocabularies.path("byte_bpe_50k.tiktoken"), "pattern": vocabularies.PATTERN}
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    from .bpe import encode_decode
+    found = encode_decode(documents(spark, sf_dir), vocabularies.path("word_bpe_49k.json"))
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))

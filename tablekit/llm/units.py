@@ -29,9 +29,12 @@ class Memo:
         return young
 
 
-#: Units of byte-level BPE: spaces in front of what is not a space. White space
-#: other than the space stays inside a unit.
-SPACED = re.compile(" *[^ ]+| +$")
+#: White space of which the tokenizers and Python agree; texts with any other
+#: kind are encoded whole.
+BLANK = " \t\n\r"
+OTHER_BLANK = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Units of byte-level BPE: white space in front of what is none.
+SPACED = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+$")
 
 
 class ByteBpe:
@@ -73,7 +76,7 @@ class ByteBpe:
         return [self.packed(one(u)) for u in units]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [SPACED.findall(t) for t in texts]
+        cut = [[t] if OTHER_BLANK.search(t) else SPACED.findall(t) for t in texts]
         memo = self.memo.ready(u for c in cut for u in c)
         return [b"".join([memo[u] for u in c]) for c in cut]
 
