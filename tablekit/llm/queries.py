@@ -59,3 +59,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
     return near_groups(documents(spark, sf_dir))
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_spans, fit
+    docs = documents(spark, sf_dir)
+    found = find_spans(docs, fit(docs))
+    line = "array_join(transform({}, s -> concat_ws(':', s.kind, string(s.start), string(s.end))), ',')"
+    return found.selectExpr(
+        "doc_id", *(f"bigint(size(filter(spans, s -> s.base AND s.kind = '{k}'))) AS n_{k}" for k in KINDS),
+        f"sha2({line.format('filter(spans, s -> s.base)')}, 256) AS base_sha256", f"{line.format('spans')} AS spans")
