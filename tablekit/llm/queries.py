@@ -70,3 +70,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr(
         "doc_id", *(f"bigint(size(filter(spans, s -> s.base AND s.kind = '{k}'))) AS n_{k}" for k in KINDS),
         f"sha2({line.format('filter(spans, s -> s.base)')}, 256) AS base_sha256", f"{line.format('spans')} AS spans")
+
+
+@query("op7_langid")
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, identify
+    docs = documents(spark, sf_dir)
+    found = identify(docs, fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "runs")
