@@ -78,3 +78,20 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = identify(docs, fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "runs")
+
+
+REMOVED = "aggregate(spans, bigint(0), (n, s) -> n + s.end - s.start) AS n_removed"
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+    return substring_dedup(documents(spark, sf_dir)).selectExpr(
+        "doc_id", "n_units AS n_words", REMOVED, "sha2(kept, 256) AS kept_sha256")
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+    return suffix_dedup(documents(spark, sf_dir)).selectExpr(
+        "doc_id", "n_units AS n_bytes", REMOVED, "bigint(size(spans)) AS n_spans", "sha2(kept, 256) AS kept_sha256")
