@@ -95,3 +95,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
     return suffix_dedup(documents(spark, sf_dir)).selectExpr(
         "doc_id", "n_units AS n_bytes", REMOVED, "bigint(size(spans)) AS n_spans", "sha2(kept, 256) AS kept_sha256")
+
+
+@query("op1_fingerprints")
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+    return fingerprints(documents(spark, sf_dir)).selectExpr(
+        "doc_id", "n_chars", "sha2(edited, 256) AS edited_sha256", "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next")
