@@ -103,3 +103,31 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir)).selectExpr(
         "doc_id", "n_chars", "sha2(edited, 256) AS edited_sha256", "fingerprint", "edited_fingerprint",
         "near_edited", "near_next")
+
+
+@query("op2_tool_calls", """
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, role, text, conv_id || ':' || turn AS call_id FROM conversations WHERE role IN ('system', 'user')
+), steps AS (
+  SELECT c.conv_id, c.turn, p.turn AS parent FROM calls c
+  JOIN calls p ON p.conv_id = c.conv_id AND p.turn IN (c.turn - 1, c.turn - 2) WHERE c.role = 'user'
+), chain AS (
+  SELECT conv_id, turn, 0 AS level FROM calls
+  UNION SELECT s.conv_id, s.turn, k.level + 1 FROM chain k JOIN steps s ON s.conv_id = k.conv_id AND s.parent = k.turn
+), levels AS (SELECT conv_id, turn, max(level) AS level FROM chain GROUP BY ALL),
+answers AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant')
+SELECT c.conv_id, c.turn, c.call_id, if(c.role = 'system', 'configure', 'respond') AS name, l.level::BIGINT AS level,
+       if(a.text IS NULL, 'open', 'linked') AS status, ''::VARCHAR AS faults,
+       if(c.role = 'system',
+          to_json({'after': []::VARCHAR[], 'arguments': {'text': c.text}, 'call_id': c.call_id, 'conv_id': c.conv_id,
+                   'level': l.level, 'name': 'configure', 'result': a.text, 'turn': c.turn}),
+          to_json({'after': [c.conv_id || ':' || (c.turn - 2), c.conv_id || ':' || (c.turn - 1)],
+                   'arguments': {'prompt': c.text, 'turn': c.turn}, 'call_id': c.call_id, 'conv_id': c.conv_id,
+                   'level': l.level, 'name': 'respond', 'result': a.text, 'turn': c.turn}))::VARCHAR AS json
+FROM calls c JOIN levels l USING (conv_id, turn) LEFT JOIN answers a USING (conv_id, turn)
+""")
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import SCHEMAS, conversation_calls, link_tool_calls
+    turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    found = link_tool_calls(*conversation_calls(turns), SCHEMAS)
+    return found.withColumn("faults", F.array_join("faults", ", "))
