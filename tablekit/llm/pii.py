@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import fresh, slices, text_of, text_sizes
 
 KINDS = ("email", "ip", "card", "phone")
-ATOMS, CHARS, SAMPLE, EPOCHS, MARGIN, SLICE_BYTES = 24, 64, 300, 8, 4.0, 4 << 20
+ATOMS, CHARS, SAMPLE, EPOCHS, MARGIN, SLICE_BYTES = 24, 64, 300, 8, 2.0, 4 << 20
 #: Longest document of the training sample (all texts are searched whole).
 LONGEST = 1 << 18
 
@@ -267,14 +267,16 @@ def masked(docs: DataFrame, weights: dict) -> DataFrame:
     anew; a null text stays null."""
     def mask(texts):
         def one(text):
-            if text is None:
-                return None
-            base, out, at = base_spans(text), [], 0
-            for a, b, k in sorted(base + added_spans(text, base, weights)):
-                if a >= at:
-                    out += [text[at:a], f"[{KINDS[k].upper()}]"]
-                at = max(at, b)
-            return "".join(out) + text[at:]
+            while text is not None:
+                base, out, at = base_spans(text), [], 0
+                for a, b, k in sorted(base + added_spans(text, base, weights)):
+                    if a >= at:
+                        out += [text[at:a], f"[{KINDS[k].upper()}]"]
+                    at = max(at, b)
+                if not out:   # digits that stood next to a span can be one without it
+                    return text
+                text = "".join(out) + text[at:]
+            return None
         return texts.map(one, na_action="ignore")
 
     text = fresh(docs, "masked")

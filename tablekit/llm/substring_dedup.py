@@ -44,7 +44,8 @@ class Bits:
 
 
 class FMIndex:
-    """Backward search over a sequence of numbers >= 1, to ``depth`` numbers."""
+    """Backward search over a sequence of numbers >= 1 that ends with one that no
+    pattern has, for patterns of fewer than ``depth`` numbers or as many."""
 
     def __init__(self, values, depth: int):
         import numpy as np
