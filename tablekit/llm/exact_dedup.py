@@ -24,11 +24,11 @@ from .common import fresh, saved, text_of
 HEAVY, COUNTERS = 1024, 8192
 
 
-def heavy_digests(rows: DataFrame, digest: str, heavy: int = HEAVY, counters: int = COUNTERS) -> list[str]:
-    """At most ``heavy`` digests, among them each that holds more than one row
-    in ``heavy`` (candidates: every digest whose estimate reaches that)."""
+def heavy_values(rows: DataFrame, column: str, heavy: int = HEAVY, counters: int = COUNTERS) -> list:
+    """At most ``heavy`` values, among them each that holds more than one row
+    in ``heavy`` (candidates: every value whose estimate reaches that)."""
     sketch = rows.agg(F.count("*").alias("n"),
-                      F.expr(f"approx_top_k(`{digest}`, {heavy}, {counters})").alias("top")).first()
+                      F.expr(f"approx_top_k(`{column}`, {heavy}, {counters})").alias("top")).first()
     return [x["item"] for x in sketch["top"] or [] if x["count"] * heavy >= sketch["n"] and x["count"] > 1]
 
 
@@ -37,7 +37,7 @@ def duplicate_groups(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     rows = saved(docs.select(docs["doc_id"], F.sha2(text_of(docs), 256).alias("text_sha256"),
                              F.monotonically_increasing_id().alias("row")))
     last = [F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size")]
-    found = heavy_digests(rows, "text_sha256", heavy)
+    found = heavy_values(rows, "text_sha256", heavy)
     # verified: the exact size of each candidate's group; at most `heavy` rows
     winners = F.broadcast(rows.filter(F.col("text_sha256").isin(found)).groupBy("text_sha256").agg(*last))
     hot = rows.join(winners, "text_sha256")
@@ -52,7 +52,7 @@ def drop_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     digest, rank = fresh(docs, "digest"), fresh(docs, "rank")
     rows = docs.withColumn(digest, F.sha2(text_of(docs), 256))
-    found = heavy_digests(rows, digest, heavy)
+    found = heavy_values(rows, digest, heavy)
     keep, at = fresh(docs, "keep_id"), fresh(docs, "at")
     winners = F.broadcast(rows.filter(F.col(digest).isin(found)).groupBy(F.col(digest).alias(at))
                           .agg(F.max("doc_id").alias(keep)))

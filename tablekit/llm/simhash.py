@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, saved, text_of
 from .components import stars
+from .exact_dedup import heavy_values
 
 SHINGLE, MOST, SEED = 3, 3, 42
 
@@ -151,7 +152,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row of ``docs``."""
     rows = saved(docs.select("doc_id", simhash_of(text_of(docs)).alias("point")))
     points = rows.groupBy("point").agg(F.min("doc_id").alias("first"))
-    return rows.join(components_of(points), "point").select(
+    # rows of a frequent fingerprint meet its component inside their map task (at
+    # most HEAVY points are broadcast), all others by a shuffle
+    found, heavy = saved(components_of(points)), heavy_values(rows, "point")
+    hot = rows.join(F.broadcast(found.filter(F.col("point").isin(heavy))), "point")
+    rest = rows.filter(~F.col("point").isin(heavy)).join(found, "point")
+    return hot.unionByName(rest).select(
         "doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
 
 
