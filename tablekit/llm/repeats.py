@@ -117,10 +117,11 @@ def anchors(values, rule: Rule):
     for start in range(0, total, 1 << 22):   # the lower 24 bits hold the place
         stop = min(total, start + (1 << 22))
         part = values[start:stop + rule.length - 1]
-        h, size = mixed(part), 1
-        while size < rule.gram:
-            h = mixed(h[:len(h) - size] * np.uint64(BASE) + h[size:] + np.uint64(size))
-            size *= 2
+        h, size, factor = part, 1, BASE
+        while size < rule.gram:     # polynomial hash of twice as many units
+            h = h[:len(h) - size] * np.uint64(factor) + h[size:]
+            size, factor = 2 * size, factor * factor % (1 << 64)
+        h = mixed(h)
         low = np.uint64((1 << 24) - 1)
         least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         span, width = rule.length - rule.gram + 1, 1

@@ -71,8 +71,8 @@ def compare(pieces, docs, rows, firsts, counts, rule):
     text[mask] = np.frombuffer(b"".join(pieces), np.uint8)
     text[closing] = 256 + np.arange(len(pieces))
     left = np.concatenate([[-1], text[:-1]])   # in front of a segment: its neighbour's own sign
-    sa, ranks = suffix_order(text, rule.length + 1)
-    lcp = common_prefixes(text, sa, ranks)
+    sa, ranks = suffix_order(text, int(sizes.max(initial=1)))     # whole segments: repeats inside repeats count too
+    lcp = common_prefixes(text, sa, ranks, rule.length)
     change = np.zeros(len(text) + 1, np.int64)
     for length, first, last in maximal_repeats(sa, lcp, left, rule.length):
         at = sa[first:last + 1]     # all different: no count is lost

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def suffix_order(values, depth: int):
     """(sa, ranks): positions sorted by their next ``depth`` or more values (the
-    end counts as less than any value; ties by position), and (d, rank by the
+    end counts as less than any value; ties in any order), and (d, rank by the
     next d values) for growing d. ``values``: non-negative integers."""
     import numpy as np
     n = len(values)
@@ -17,7 +17,7 @@ def suffix_order(values, depth: int):
         key = key << bits | padded[k:k + n]
     ranks = []
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         at = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], (at[1:] != at[:-1]).astype(np.int64)]))[:n]
@@ -29,28 +29,32 @@ def suffix_order(values, depth: int):
         d *= 2
 
 
-def common_prefixes(values, sa, ranks):
+def common_prefixes(values, sa, ranks, least: int = 0):
     """Length of the common prefix of each suffix with its predecessor in ``sa``
-    (first: 0), exact up to the depth of the last ranks."""
+    (first: 0), exact up to the depth of the last ranks; a length below ``least``
+    may be given as 0."""
     import numpy as np
     n = len(sa)
     out = np.zeros(n, np.int64)
-    a, b = sa[:-1].copy(), sa[1:].copy()
-    length = np.zeros(max(0, n - 1), np.int64)
-    for d, rank in reversed(ranks):
+    near = [rank for d, rank in ranks if d <= least][-1:]
+    at = np.arange(1, n)
+    if near:
+        at = at[near[0][sa[1:]] == near[0][sa[:-1]]]
+    a, b = sa[at - 1], sa[at]
+    length = np.zeros(len(at), np.int64)
+
+    def advance(rank, d: int):
         padded = np.append(rank, -1)
-        while True:
-            same = (np.maximum(a, b) < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])
-            a[same] += d
-            b[same] += d
-            length[same] += d
-            if d == ranks[-1][0] or d > ranks[0][0] or not same.any():
-                break
-    padded = np.append(values.astype(np.int64), -1)
-    for _ in range(ranks[0][0] if ranks else 0):
         same = (np.maximum(a, b) < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])
-        a[same] += 1
-        b[same] += 1
-        length[same] += 1
-    out[1:] = length
+        for x in (a, b, length):
+            x[same] += d
+        return same.any()
+
+    for d, rank in reversed(ranks):
+        # of one depth more than once only where no deeper ranks were made
+        while advance(rank, d) and d == ranks[0][0] == ranks[-1][0]:
+            pass
+    for _ in range(ranks[0][0] if ranks else 0):
+        advance(values.astype(np.int64), 1)
+    out[at] = length
     return out

@@ -212,3 +212,23 @@ def test_peeling_reports_failure(spark):
         out = spark.sql(f"SELECT {peeled(left, segment)} AS x").first().x
         assert (out is not None) == works
     assert sorted((r.n, r.k) for r in out) == sorted([(1, k) for k in range(1, 31)] + [(-1, k) for k in range(61, 101)])
+
+
+def test_suffix_kernel_covers_repeats_inside_repeats():
+    from tablekit.llm.repeats import Rule
+    from tablekit.llm.suffix_dedup import compare
+    rng = random.Random(1)
+    for _ in range(150):
+        length = rng.choice([3, 5, 8])
+        pieces = list(dict.fromkeys("".join(rng.choices("ab", k=rng.randint(length, 25))).encode() for _ in range(rng.randint(1, 6))))
+        n = len(pieces)
+        row, start, end = compare(pieces, np.arange(n), np.arange(n), np.zeros(n, np.int64),
+                                  np.array([len(p) - length + 1 for p in pieces]), Rule(False, length, 2, True))
+        got = {(int(r), k) for r, a, b in zip(row, start, end) for k in range(a, b)}
+        seen, want = set(), set()
+        for i, p in enumerate(pieces):
+            for k in range(len(p) - length + 1):
+                if p[k:k + length] in seen:
+                    want |= {(i, j) for j in range(k, k + length)}
+                seen.add(p[k:k + length])
+        assert got == want
