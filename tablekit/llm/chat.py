@@ -54,25 +54,45 @@ def faults(name: Column, arguments: Column, schemas: dict) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of calls with unique (conv_id, call_id), none null."""
+    """conv_id, call_id, level of calls with unique (conv_id, call_id), none null.
+
+    Calls that wait for just one other call form chains, which pointer doubling
+    shortens to their first call in log2(length) joins. What is left, calls that
+    wait for several, is ordered round by round over the shortened chains."""
     key = ["conv_id", "call_id"]
-    waiting = saved(calls.select(*key))
+    named = calls.select(*key)
     edges = saved(calls.select(*key, F.explode(F.array_distinct("after")).alias("parent"))
-                  .join(waiting.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"]))
-    out, level, left = [], 0, waiting.count()
-    while left:
-        blocked = edges.join(waiting.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi")
-        rest = saved(waiting.join(blocked, key, "left_semi"))
-        more = rest.count()
-        out.append(waiting.join(rest, key, "left_anti").withColumn("level", F.lit(level).cast("bigint")))
-        if more == left:    # every call left waits for another one that does
-            out.append(rest.withColumn("level", F.lit(None).cast("bigint")))
+                  .join(named.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"]))
+    parents = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("parent").alias("head"))
+    nodes = saved(named.join(parents, key, "left").select(*key, F.coalesce("n", F.lit(0)).alias("n"), "head"))
+    chain = nodes.filter("n = 1").select(*key, "head", F.lit(1).cast("bigint").alias("steps"))
+    open_ = (nodes.count()).bit_length() + 1      # a chain without a cycle is done by then
+    while open_:
+        chain = saved(chain)
+        on = chain.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
+        open_ = open_ - 1 if not chain.join(on, ["conv_id", "head"], "left_semi").isEmpty() else 0
+        if open_:
+            chain = chain.join(on, ["conv_id", "head"], "left").select(
+                *key, F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+    first = nodes.filter("n = 0").select(*key, F.lit(0).cast("bigint").alias("level"))
+    # calls that wait for several, each through the head of its parent's chain
+    via = chain.select("conv_id", F.col("call_id").alias("parent"), "head", "steps")
+    several = nodes.filter("n > 1").select(*key)
+    links = saved(edges.join(several, key).join(via, ["conv_id", "parent"], "left").select(
+        *key, F.coalesce("head", "parent").alias("head"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+    known, waiting = first, links.select(*key).distinct()
+    while not waiting.isEmpty():
+        found = links.join(known.select("conv_id", F.col("call_id").alias("head"), "level"), ["conv_id", "head"], "left")
+        ready = found.join(waiting, key, "left_semi").groupBy(*key).agg(
+            F.count_if(F.col("level").isNull()).alias("unknown"), F.max(F.col("level") + F.col("steps")).alias("level"))
+        ready = saved(ready.filter("unknown = 0").select(*key, "level"))
+        if ready.isEmpty():     # every call left waits for another one that does
             break
-        waiting, left, level = rest, more, level + 1
-    done = out[0] if out else waiting.withColumn("level", F.lit(None).cast("bigint"))
-    for part in out[1:]:
-        done = done.unionByName(part)
-    return done
+        known = saved(known.unionByName(ready))
+        waiting = saved(waiting.join(ready, key, "left_anti"))
+    heads = known.select("conv_id", F.col("call_id").alias("head"), "level")
+    chained = chain.join(heads, ["conv_id", "head"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    return named.join(known.unionByName(chained), key, "left")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
