@@ -273,21 +273,21 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3) ->
     def accepted(texts):
         import numpy as np
         import pandas as pd
-        labeller, out = Labeller(model), []
-        lists = [words_of(t) for t in texts]
-        begin, total = 0, 0
-        for end in range(1, len(lists) + 1):
-            total += len(lists[end - 1])
-            if total > 300_000 or end == len(lists):
-                sizes = np.array([len(x) for x in lists[begin:end]], np.int64)
-                ok, some = np.zeros(end - begin, bool), np.flatnonzero(sizes)
-                if len(some):
-                    starts = np.concatenate([[0], np.cumsum(sizes[some])])
-                    ids = labeller.ids(lists[begin:end])
-                    post = marginals(labeller.table[ids], starts, model.transitions)
-                    ok[some] = np.add.reduceat(post, starts[:-1], axis=0).max(axis=1) >= least * sizes[some]
-                out.append(ok)
-                begin, total = end, 0
+        labeller, out, begin = Labeller(model), [], 0
+        ends = np.cumsum(texts.str.len().to_numpy())
+        while begin < len(texts):     # words of a few megabytes of text at a time
+            before = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            lists = [words_of(t) for t in texts.iloc[begin:stop]]
+            sizes = np.array([len(x) for x in lists], np.int64)
+            ok, some = np.zeros(stop - begin, bool), np.flatnonzero(sizes)
+            if len(some):
+                starts = np.concatenate([[0], np.cumsum(sizes[some])])
+                ids = labeller.ids(lists)
+                post = marginals(labeller.table[ids], starts, model.transitions)
+                ok[some] = np.add.reduceat(post, starts[:-1], axis=0).max(axis=1) >= least * sizes[some]
+            out.append(ok)
+            begin = stop
         return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
     if model is None:
