@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from ..functions.spec import BrowseSpec
-from ..operators.records import json_safe_records
-from ..operators.shape import sort_multi
-from ..plans.browse import (apply_browse_spec, browse_page, preview_head, preview_json_rows,
-                            preview_total_size)
+from ..functions.spec import read_view
+from ..plans.browse import (HeldPreview, apply_browse_spec, browse_page, browse_table, data_preview_json, preview_head,
+                            preview_total_size, selected_rows)
 from . import query, table
 
 # Flagship browse spec: a numeric and a text filter, two sort keys plus a
@@ -37,13 +37,28 @@ def _browse_sql(start: int, size: int) -> str:
 
 def browse_lineitem(spark, d, page_index: int = 0):
     li = table(spark, d, "lineitem")
-    spec = BrowseSpec.from_json({**LINEITEM_SPEC, "pageIndex": page_index}, li.columns)
+    spec = read_view({**LINEITEM_SPEC, "pageIndex": page_index}, li.columns)
     return browse_page(li, spec)
 
 
-@query("browse_table", _browse_sql(0, 10))
+LINEITEM_JSON_SCHEMA = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                        "l_shipdate string, row_count long, preview_row_count long")
+
+
+@query("browse_table", _browse_sql(0, 10).replace("row_index FROM (SELECT *,", f"(SELECT count(*) FROM lineitem WHERE {LINEITEM_WHERE}) "
+       f"AS row_count, (SELECT count(*) FROM lineitem WHERE {LINEITEM_WHERE}) AS preview_row_count FROM (SELECT *,"))
 def browse_table_q(spark, d):
-    return browse_lineitem(spark, d)
+    shown = browse_table(table(spark, d, "lineitem"), LINEITEM_SPEC)
+    return spark.createDataFrame([{**r, "row_count": shown.total, "preview_row_count": shown.held} for r in shown.page], LINEITEM_JSON_SCHEMA)
+
+
+@query("browse_table_big", "SELECT CAST(big AS VARCHAR) AS big, o_custkey, row_index FROM (SELECT o_orderkey * 9007199254740 AS big, o_custkey, "
+       "CAST(row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS BIGINT) AS row_index FROM orders) WHERE row_index < 10")
+def browse_table_big(spark, d):
+    # numbers past 2^53 on the page become text
+    o = table(spark, d, "orders").select((F.col("o_orderkey") * F.lit(9007199254740)).alias("big"), "o_custkey")
+    return browse_page(o, {"sortBy": [{"id": "big", "type": "desc"}]})
 
 
 @query("browse_table_page3", _browse_sql(30, 10))
@@ -62,10 +77,10 @@ def apply_browse_spec_q(spark, d):
        f"(ORDER BY {LINEITEM_ORDER}) - 1 AS BIGINT) AS row_index FROM lineitem WHERE {LINEITEM_WHERE}) "
        "WHERE row_index < 10000")
 def data_preview_head_q(spark, d):
-    li = table(spark, d, "lineitem")
-    spec = BrowseSpec.from_json(LINEITEM_SPEC, li.columns)
-    processed = apply_browse_spec(li, spec)
-    return json_safe_records(preview_head(processed, spec.sort_by, "head", 10_000))
+    with HeldPreview(table(spark, d, "lineitem"), most=10_000) as held:
+        held.show(LINEITEM_SPEC)
+        rows = held.data.collect()          # the bounded edge: 10,000 rows
+        return spark.createDataFrame(rows, held.data.schema)
 
 
 @query("data_preview_sampled",
@@ -79,16 +94,18 @@ def data_preview_sampled_q(spark, d):
 
 @query("data_preview_json",
        "SELECT row_index, json FROM (SELECT *, sum(strlen(json)) OVER (ORDER BY row_index "
-       "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_bytes FROM ("
-       "SELECT row_index, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars "
-       "|| ',\"row_index\":' || row_index || '}' AS json FROM (SELECT doc_id, lang, n_chars, "
-       "CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS BIGINT) AS row_index FROM documents) "
-       "WHERE row_index < 10000)) WHERE running_bytes <= 20000")
+       "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_bytes FROM (SELECT row_index, "
+       "to_json({'doc_id': doc_id, 'text': text, 'lang': lang, 'row_index': row_index})::VARCHAR AS json FROM ("
+       "SELECT doc_id, text, lang, CAST(row_number() OVER (ORDER BY lang DESC, doc_id) - 1 AS BIGINT) AS row_index FROM ("
+       "SELECT doc_id, text, lang FROM documents WHERE lang IN ('en', 'de') ORDER BY md5(doc_id || '|42') LIMIT 400)))) "
+       "WHERE running_bytes <= 10485760")
 def data_preview_json_q(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    keys = [("n_chars", False), ("doc_id", True)]
-    head = preview_head(sort_multi(docs, keys), keys, "head", 10_000)
-    return preview_json_rows(head, max_bytes=20_000).drop("running_bytes")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    text = data_preview_json(docs, '[{"column": "lang", "operator": "is-one-of", "comparativeValues": ["EN", "de"]}]',
+                             '[["lang", false], ["doc_id", true]]', 400, "sampled", sample_keys=["doc_id"], most_chars=None)
+    records = json.loads(text)
+    line = lambda r: json.dumps(r, ensure_ascii=False, separators=(",", ":"))
+    return spark.createDataFrame([(r["row_index"], line(r)) for r in records], "row_index long, json string")
 
 
 @query("preview_total_size",
@@ -96,4 +113,4 @@ def data_preview_json_q(spark, d):
        f"WHERE {LINEITEM_WHERE}")
 def preview_total_size_q(spark, d):
     li = table(spark, d, "lineitem")
-    return preview_total_size(apply_browse_spec(li, LINEITEM_SPEC))
+    return preview_total_size(selected_rows(li, LINEITEM_SPEC))

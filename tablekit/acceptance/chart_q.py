@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.spec import Filter
-from ..operators.chart import (COUNT_FIELD, chart_aggregate, chart_distinct_values, chart_filtered_dataset,
+from ..functions.spec import Condition
+from ..operators.chart import (COUNT_FIELD, chart_aggregate, chart_filtered_dataset, chart_output_metadata,
                                chart_row_cap, chart_select_fields, time_unit)
 from . import query, table
 
@@ -35,7 +35,7 @@ EVENT_SPEC = {"mark": "bar", "encoding": {"x": {"field": "since\\.start"}, "y":
 def chart_filtered_dataset_q(spark, d):
     ev = table(spark, d, "events").select(
         "event_id", "event_type", "value", F.expr("ts - TIMESTAMP_NTZ'2024-01-01 00:00:00'").alias("since.start"))
-    filters = [Filter("event_type", "is-one-of", ("CLICK", "purchase")), Filter("value", "greater-than", ("10",))]
+    filters = [Condition("event_type", "is-one-of", ("CLICK", "purchase")), Condition("value", "greater-than", ("10",))]
     return chart_filtered_dataset(ev, EVENT_SPEC, filters)
 
 
@@ -50,7 +50,9 @@ def chart_row_cap_q(spark, d):
 
 
 @query("chart_output_metadata",
-       "SELECT column_name, string_agg(value, '|' ORDER BY rank) AS distinct_values FROM ("
+       "SELECT column_name, CASE column_name WHEN 'o_orderstatus' THEN 'string' WHEN 'o_custkey' THEN 'bigint' "
+       "ELSE 'timestamp_ntz' END AS native_type, (SELECT count(*) FROM orders) AS size, 5000 AS row_limit, "
+       "string_agg(value, '|' ORDER BY rank) AS distinct_values FROM ("
        "SELECT 'o_orderstatus' AS column_name, rk AS rank, v AS value FROM (SELECT v, row_number() OVER "
        "(ORDER BY v) AS rk FROM (SELECT DISTINCT o_orderstatus AS v FROM orders)) WHERE rk <= 30 UNION ALL "
        "SELECT 'o_orderdate', rk, CAST(v AS VARCHAR) FROM (SELECT v, row_number() OVER (ORDER BY v) AS rk FROM "
@@ -59,10 +61,24 @@ def chart_row_cap_q(spark, d):
        "(SELECT DISTINCT o_custkey AS v FROM orders)) WHERE rk <= 30) GROUP BY column_name")
 def chart_output_metadata_q(spark, d):
     o = table(spark, d, "orders").select("o_orderstatus", "o_orderdate", "o_custkey")
-    dv = chart_distinct_values(o)
-    return dv.groupBy("column_name").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]),
-                     "|").alias("distinct_values"))
+    meta = chart_output_metadata(o)
+    return spark.createDataFrame([(c["name"], c["nativeType"], meta["filteredDataframeSize"], meta["rowLimit"],
+                                   "|".join(c["distinctValues"])) for c in meta["columns"]],
+                                 "column_name string, native_type string, size long, row_limit int, distinct_values string")
+
+
+@query("chart_time_part",
+       "SELECT month(o_orderdate)::INTEGER AS month, dayofweek(o_orderdate)::INTEGER AS weekday, count(*) AS \"COUNT(*)\" FROM orders GROUP BY 1, 2")
+def chart_time_part_q(spark, d):
+    o = table(spark, d, "orders")
+    return chart_aggregate(o, [time_unit(o, "o_orderdate", "month").alias("month"), time_unit(o, "o_orderdate", "day").alias("weekday")])
+
+
+@query("chart_percentage_of_zero",
+       "SELECT o_orderpriority, NULL::DOUBLE AS \"Percentage of zero\" FROM orders GROUP BY 1")
+def chart_percentage_of_zero(spark, d):
+    o = table(spark, d, "orders").withColumn("zero", F.lit(0))
+    return chart_aggregate(o, ["o_orderpriority"], "Percentage of zero")
 
 
 @query("chart_count",

@@ -44,6 +44,17 @@ def edit_update_q(spark, d):
     return edit_update(_orders_nullable(spark, d), upd, ["o_custkey"])
 
 
+@query("edit_update_nan",
+       "SELECT e.event_id, e.event_type, if(u.event_id IS NULL OR isnan(u.v), e.value, u.v) AS \"a.value\" FROM events e LEFT JOIN "
+       "(SELECT event_id, if(event_type = 'view', 'NaN'::DOUBLE, value * 2) AS v FROM events WHERE user_id % 2 = 0) u USING (event_id)")
+def edit_update_nan(spark, d):
+    # a dotted name; NaN in the update leaves the cell as it is
+    ev = table(spark, d, "events")
+    own = ev.select("event_id", "event_type", F.col("value").alias("a.value"))
+    new = ev.filter("user_id % 2 = 0").select("event_id", F.expr("if(event_type = 'view', double('NaN'), value * 2)").alias("a.value"))
+    return edit_update(own, new, ["event_id"])
+
+
 @query("edit_append",
        "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders UNION ALL BY NAME "
        "SELECT c_custkey AS o_custkey, CAST(NULL AS BIGINT) AS o_orderkey, CAST(NULL AS VARCHAR) AS o_orderstatus "

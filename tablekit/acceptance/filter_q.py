@@ -11,13 +11,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions.spec import Filter
+from ..functions.spec import Condition
 from ..operators.filtering import apply_filters, filter_by_spec
 from . import query, table
 
 
 def _f(col, op, *vals):
-    return Filter(col, op, tuple(vals))
+    return Condition(col, op, tuple(vals))
 
 
 def _lineitem(spark, d):
@@ -50,10 +50,72 @@ def filter_is_equal(spark, d):
     return apply_filters(_lineitem(spark, d), [_f("l_quantity", "is-equal", "25")])
 
 
-@query("filter_is_equal_int_fraction", "SELECT * FROM lineitem WHERE false")
+@query("filter_is_one_of_int_fraction", "SELECT * FROM lineitem WHERE l_linenumber IN (2, 2.5, 4)")
+def filter_is_one_of_int_fraction(spark, d):
+    # integer column against a fractional value: only the whole ones can match
+    return apply_filters(_lineitem(spark, d), [_f("l_linenumber", "is-one-of", "2", "2.5", 4.0)])
+
+
+@query("filter_is_equal_int_fraction", "SELECT * FROM lineitem WHERE l_linenumber IS NULL OR l_linenumber <> 2.5")
 def filter_is_equal_int_fraction(spark, d):
-    # integer column against a fractional value: nothing can match
-    return apply_filters(_lineitem(spark, d), [_f("l_linenumber", "is-equal", "2.5")])
+    # no integer equals 2.5, so the negative form keeps every row
+    return apply_filters(_lineitem(spark, d), [_f("l_linenumber", "is-not-equal", "2.5")])
+
+
+# order keys moved past 2^53, where a double cannot tell neighbours apart
+BIG_SQL = "SELECT o_orderkey + 9007199254740992 AS big, o_custkey FROM orders"
+
+
+def _big(spark, d):
+    return table(spark, d, "orders").select((F.col("o_orderkey") + F.lit(2 ** 53)).alias("big"), "o_custkey")
+
+
+@query("filter_is_equal_big", f"SELECT * FROM ({BIG_SQL}) WHERE big = 9007199254740993 OR big % 2 = 1 AND big <= 9007199254740997")
+def filter_is_equal_big(spark, d):
+    one = apply_filters(_big(spark, d), [_f("big", "is-equal", "9007199254740993")])
+    return one.unionByName(apply_filters(_big(spark, d), [_f("big", "is-one-of", "9007199254740995", 9007199254740997)]))
+
+
+@query("filter_between_big", f"SELECT * FROM ({BIG_SQL}) WHERE big > 9007199254740995 AND big <= 9007199254741093")
+def filter_between_big(spark, d):
+    return apply_filters(_big(spark, d), [_f("big", "greater-than", "9007199254740995"), _f("big", "between", "0", "9007199254741093")])
+
+
+@query("filter_decimal", "SELECT o_orderkey, o_totalprice::DECIMAL(20, 4) AS price FROM orders WHERE o_totalprice::DECIMAL(20, 4) >= 1000.00005")
+def filter_decimal(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(20,4)").alias("price"))
+    return apply_filters(o, [_f("price", "greater-than-or-equal", "1000.00005"), _f("price", "less-than", "inf"),
+                             _f("price", "is-not-equal", "1e60")])
+
+
+@query("filter_infinite", f"SELECT * FROM ({EV_NAN}) WHERE v IS NOT NULL AND NOT isnan(v) AND event_id IS NOT NULL")
+def filter_infinite(spark, d):
+    return apply_filters(_events_nan(spark, d), [_f("v", "less-than", "inf"), _f("v", "greater-than", "-Infinity"),
+                                                 _f("event_id", "less-than", "inf"), _f("event_id", "outside-of", "inf", "nan")])
+
+
+@query("filter_is_not_equal_text",
+       "SELECT p_partkey, p_brand, substr(p_brand, 7) AS digits FROM part WHERE try_cast(substr(p_brand, 7) AS DOUBLE) IS NULL "
+       "OR try_cast(substr(p_brand, 7) AS DOUBLE) <> 1")
+def filter_is_not_equal_text(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_brand", F.expr("substr(p_brand, 7)").alias("digits"))
+    return apply_filters(part, [_f("digits", "is-not-equal", "1")])
+
+
+@query("filter_date_column", "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE o_orderdate::DATE >= DATE '1996-01-02' "
+       "AND o_orderdate::DATE <= DATE '1997-06-30'")
+def filter_date_column(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return apply_filters(o, [_f("day", "is-after", "1996-01-02"), _f("day", "is-before", "1997-06-30T00:00:00Z")])
+
+
+@query("filter_zoned", "SELECT event_id, epoch_us(ts) AS us FROM events WHERE ts >= TIMESTAMP '2024-01-10 22:30:00' AND ts < TIMESTAMP '2024-01-12'")
+def filter_zoned(spark, d):
+    # a zoned column holds instants: the UTC bound is the same whatever the session zone
+    zoned = F.timestamp_micros(F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())))
+    ev = table(spark, d, "events").select("event_id", zoned.alias("ts"))
+    kept = apply_filters(ev, [_f("ts", "is-after", "2024-01-11T00:30:00+02:00"), _f("ts", "is-before", "2024-01-11T23:59:59.999999Z")])
+    return kept.select("event_id", F.unix_micros("ts").alias("us"))
 
 
 @query("filter_is_not_equal", f"SELECT * FROM ({LI_NULLS}) WHERE q IS NULL OR q <> 25")
@@ -115,10 +177,11 @@ def filter_text_contains(spark, d):
     return apply_filters(table(spark, d, "part"), [_f("p_name", "text-contains", "RED", "Bolt")])
 
 
-@query("filter_text_contains_literal", "SELECT * FROM part WHERE contains(p_brand, '#1_')")
+@query("filter_text_contains_literal", "SELECT * FROM (SELECT p_partkey, replace(p_name, ' ', '_') AS name FROM part) WHERE contains(lower(name), 'l_r')")
 def filter_text_contains_literal(spark, d):
     # '_' is a literal character, not a LIKE wildcard
-    return apply_filters(table(spark, d, "part"), [_f("p_brand", "text-contains", "#1_")])
+    part = table(spark, d, "part").select("p_partkey", F.expr("replace(p_name, ' ', '_')").alias("name"))
+    return apply_filters(part, [_f("name", "text-contains", "L_r")])
 
 
 @query("filter_text_not_contains",

@@ -3,8 +3,9 @@ shared folder (CSV, JSON, parquet, export, temp views)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..plans.sqlcell import temp_views
-from ..session import ensure_local_shared_root
 from ..sources.io import (csv_export, export_table, json_export, json_import, read_csv_export, read_result,
                           scratch_path, store_result, table_from_native)
 from . import query, table
@@ -22,7 +23,6 @@ def table_from_native_q(spark, d):
 
 @query("csv_export", "SELECT * FROM orders")
 def csv_export_q(spark, d):
-    ensure_local_shared_root(spark)
     path = csv_export(table(spark, d, "orders"), scratch_path(spark, "csv"))
     return read_csv_export(spark, path, ORDERS_SCHEMA)
 
@@ -30,7 +30,6 @@ def csv_export_q(spark, d):
 @query("export_table",
        "SELECT * FROM orders WHERE lower(o_orderpriority) IN ('1-urgent') AND o_totalprice > 150000")
 def export_table_q(spark, d):
-    ensure_local_shared_root(spark)
     spec = {"filters": [{"column": "o_orderpriority", "operator": "is-one-of", "comparativeValues": ["1-URGENT"]},
                         {"column": "o_totalprice", "operator": "greater-than", "comparativeValues": [150000]}],
             "sortBy": [{"id": "o_totalprice", "type": "desc"}]}
@@ -38,9 +37,58 @@ def export_table_q(spark, d):
     return read_csv_export(spark, path, ORDERS_SCHEMA)
 
 
+DOCS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+
+
+@query("csv_export_text", "SELECT * FROM documents")
+def csv_export_text(spark, d):
+    path = csv_export(table(spark, d, "documents"), scratch_path(spark, "csv"))
+    return read_csv_export(spark, path, DOCS_SCHEMA)
+
+
+@query("csv_export_events", "SELECT event_id, ts, user_id, event_type, value, props, ' ' || event_type || ' ' AS blanks, "
+       "if(user_id % 3 = 0, '', if(user_id % 3 = 1, NULL, 'a \"b\", c')) AS odd FROM events")
+def csv_export_events(spark, d):
+    ev = table(spark, d, "events").select(*[c.split()[0] for c in EVENTS_SCHEMA.split(", ")], F.expr("concat(' ', event_type, ' ')").alias("blanks"),
+                                          F.expr("if(user_id % 3 = 0, '', if(user_id % 3 = 1, NULL, 'a \"b\", c'))").alias("odd"))
+    path = csv_export(ev, scratch_path(spark, "csv"))
+    return read_csv_export(spark, path, EVENTS_SCHEMA + ", blanks string, odd string")
+
+
+@query("csv_export_nested", "SELECT o_orderkey, '[' || o_orderkey || ', ' || o_custkey || ']' AS ids, '{' || o_custkey || ', ' || o_orderstatus || '}' AS pair, "
+       "'b' || chr(39) || o_orderstatus || chr(39) AS bytes FROM orders")
+def csv_export_nested(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.array("o_orderkey", "o_custkey").alias("ids"),
+                                         F.struct("o_custkey", "o_orderstatus").alias("pair"), F.col("o_orderstatus").cast("binary").alias("bytes"))
+    path = csv_export(o, scratch_path(spark, "csv"))
+    return read_csv_export(spark, path, "o_orderkey bigint, ids string, pair string, bytes string")
+
+
+@query("json_roundtrip_events", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def json_roundtrip_events(spark, d):
+    ev = table(spark, d, "events").select(*[c.split()[0] for c in EVENTS_SCHEMA.split(", ")])
+    return json_import(spark, json_export(ev, scratch_path(spark, "json")), EVENTS_SCHEMA)
+
+
+WIDE = 600
+
+
+@query("export_wide", f"SELECT o_orderkey, o_orderkey + {WIDE - 1} AS last FROM orders WHERE (o_orderkey + {WIDE - 2}) % 3 = 0")
+def export_wide(spark, d):
+    # conditions and order on columns past the 500th; all columns are written
+    o = table(spark, d, "orders").select("o_orderkey", *[(F.col("o_orderkey") + k).alias(f"c{k}") for k in range(1, WIDE)],
+                                         ((F.col("o_orderkey") + WIDE - 2) % 3).alias("rest"))
+    spec = {"filters": [{"column": "rest", "operator": "is-equal", "comparativeValues": [0]}],
+            "sortBy": [{"id": f"c{WIDE - 1}", "type": "desc"}]}
+    path = export_table(o, spec, scratch_path(spark, "export"))
+    names = [f"c{k}" for k in range(1, WIDE)]
+    back = read_csv_export(spark, path, ", ".join(f"{c} bigint" for c in ["o_orderkey", *names, "rest"]))
+    return back.select("o_orderkey", F.col(names[-1]).alias("last"))
+
+
 @query("result_cache_parquet", "SELECT * FROM lineitem WHERE l_returnflag = 'R'")
 def result_cache_parquet_q(spark, d):
-    ensure_local_shared_root(spark)
     li = table(spark, d, "lineitem")
     key = scratch_path(spark, "key").rsplit("/", 1)[-1]
     store_result(li.filter("l_returnflag = 'R'"), key)
@@ -49,7 +97,6 @@ def result_cache_parquet_q(spark, d):
 
 @query("json_result_roundtrip", "SELECT * FROM orders")
 def json_result_roundtrip_q(spark, d):
-    ensure_local_shared_root(spark)
     path = json_export(table(spark, d, "orders"), scratch_path(spark, "json"))
     return json_import(spark, path, ORDERS_SCHEMA)
 

@@ -224,7 +224,7 @@ def distinct_values_q(spark, d):
 @query("estimate_csv_size",
        "SELECT count(*) AS row_count, CAST(sum(strlen(concat_ws(',', CAST(o_orderkey AS VARCHAR), "
        "CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR), "
-       "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority)) + 1) "
+       "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f'), o_orderpriority)) + 1) "
        "+ strlen('o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority') + 1 AS BIGINT) "
        "AS csv_bytes FROM orders")
 def estimate_csv_size_q(spark, d):
@@ -267,11 +267,39 @@ PREVIEW_SRC = ("(SELECT * FROM (SELECT event_id, ts, user_id, nullif(event_type,
 
 @query("preview_column_stats", _analyze_sql(PREVIEW_SRC, EVENTS))
 def preview_column_stats_q(spark, d):
-    from ..functions.spec import Filter
-    from ..plans.browse import DataPreview
-    prev = DataPreview(events_missing(spark, d), size=10_000)
-    prev.update_if_needed([Filter("ts", "is-after", ("2024-01-10",))], [("event_id", True)])
-    # stats of the whole filtered table behind the preview, memoised until the colour-scale columns change
-    stats = prev.column_stats()
-    assert prev.column_stats() is stats
+    from ..plans.browse import HeldPreview
+    with HeldPreview(events_missing(spark, d), most=10_000) as held:
+        held.show({"filters": [{"column": "ts", "operator": "is-after", "comparativeValues": ["2024-01-10"]}],
+                   "sortBy": [{"id": "event_id", "type": "asc"}]})
+        # stats of all selected rows behind the preview, computed once
+        stats = held.column_stats()
+        assert held.column_stats() is stats
     return stats_table(spark, stats)
+
+
+DOCUMENTS = [("doc_id", "int", "bigint"), ("text", "str", "string"), ("lang", "str", "string"), ("source", "str", "string"),
+             ("n_chars", "int", "bigint")]
+
+
+@query("profile_documents", _analyze_sql("documents", DOCUMENTS))
+def profile_documents(spark, d):
+    return flat_profile(analyze_columns(table(spark, d, "documents")))
+
+
+JOIN_SQL = ("(SELECT l_orderkey, l_quantity, l_returnflag, o_custkey, o_orderpriority, o_orderdate "
+            "FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+JOINED = [("l_orderkey", "int", "bigint"), ("l_quantity", "dbl", "double"), ("l_returnflag", "str", "string"),
+          ("o_custkey", "int", "bigint"), ("o_orderpriority", "str", "string"), ("o_orderdate", "ts", "timestamp_ntz")]
+
+
+@query("profile_join", _analyze_sql(JOIN_SQL, JOINED))
+def profile_join(spark, d):
+    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return flat_profile(analyze_columns(joined.select(*[c for c, _, _ in JOINED])))
+
+
+@query("distinct_values_nan",
+       _distinct_sql(f"({EVENTS_MISSING_SQL})", "event_type", 20) + " UNION ALL "
+       + _distinct_sql(f"(SELECT value FROM ({EVENTS_MISSING_SQL}) WHERE NOT isnan(value))", "value", 20))
+def distinct_values_nan(spark, d):
+    return distinct_values(events_missing(spark, d), ["event_type", "value"], 20)

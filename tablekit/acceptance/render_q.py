@@ -18,11 +18,13 @@ def json_safe_records_q(spark, d):
     return json_safe_records(table(spark, d, "documents"))
 
 
-# No oracle: float arrays render with Java float text (e.g. -8.683139E-4), which
-# DuckDB writes differently (-0.0008683139); the row count is still checked.
-@query("json_safe_records_nested")
+@query("json_safe_records_nested",
+       "SELECT o_orderkey, '[' || o_custkey || ', ' || o_orderkey || ']' AS ids, '{' || o_custkey || ', ' || o_orderstatus || '}' AS pair, "
+       "'{' || o_orderstatus || ' -> ' || o_custkey || '}' AS by_status FROM orders")
 def json_safe_records_nested(spark, d):
-    return json_safe_records(table(spark, d, "embeddings"))
+    return json_safe_records(table(spark, d, "orders").select(
+        "o_orderkey", F.array("o_custkey", "o_orderkey").alias("ids"), F.struct("o_custkey", "o_orderstatus").alias("pair"),
+        F.create_map("o_orderstatus", "o_custkey").alias("by_status")))
 
 
 @query("json_safe_records_temporal",

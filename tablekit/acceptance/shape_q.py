@@ -6,12 +6,14 @@ Ordered results carry a ``row_index`` column so the order itself is checked
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.shape import (add_index_after_limit, add_limit, paginate, prepare_columns,
-                               sample_n, sort_columns, sort_multi, with_row_index)
+                               sample_n, size, sort_multi, with_row_index)
 from ..plans.browse import page_of_preview, preview_head
-from ..session import ensure_local_shared_root
 from . import query, table
 
 ORDERS_KEYS = [("o_orderdate", False), ("o_orderkey", True)]
@@ -43,9 +45,8 @@ def prepare_columns_cut(spark, d):
 def sort_multi_q(spark, d):
     o = table(spark, d, "orders")
     keys = [("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", True), ("nope", True)]
-    ensure_local_shared_root(spark)
     # the unknown sort column is ignored; the index proves the order
-    return with_row_index(sort_multi(o, keys), sort_columns(keys, o.columns), "row_index")
+    return with_row_index(sort_multi(o, keys), keys, "row_index")
 
 
 @query("paginate", _page_sql(0, 10))
@@ -75,18 +76,16 @@ def _clamped_page_sql(page: int, size: int) -> str:
 
 @query("paginate_deep", _clamped_page_sql(280, 25))
 def paginate_deep(spark, d):
-    # forces the range-partitioned row-index path used for deep pages
-    ensure_local_shared_root(spark)
+    # the page's key range is found first, whatever the page number
     return paginate(table(spark, d, "orders"), 280, 25, ORDERS_KEYS, index_col="row_index",
-                    deep_threshold=0)
+                    direct_rows=0)
 
 
 @query("row_index", "SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC, "
        "o_orderkey ASC) - 1 AS BIGINT) AS row_index FROM orders")
 def row_index_q(spark, d):
-    ensure_local_shared_root(spark)
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return with_row_index(o, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], "row_index")
+    return with_row_index(o, [("o_totalprice", False), ("o_orderkey", True)], "row_index")
 
 
 @query("row_index_after_limit",
@@ -98,7 +97,7 @@ def row_index_after_limit(spark, d):
 
 @query("size", "SELECT count(*) AS row_count FROM lineitem")
 def size_q(spark, d):
-    return table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("row_count"))
+    return spark.createDataFrame([(size(table(spark, d, "lineitem")),)], "row_count long")
 
 
 @query("sample_n", "SELECT * FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|42') LIMIT 500")
@@ -113,6 +112,24 @@ def sample_n_multi_key(spark, d):
     return sample_n(table(spark, d, "lineitem"), 1000, seed=7, key_columns=["l_orderkey", "l_linenumber"])
 
 
+@query("paginate_ties", "SELECT l_linestatus, l_orderkey, l_linenumber FROM lineitem")
+def paginate_ties(spark, d):
+    # one tied sort key: all pages together give every row once
+    li = table(spark, d, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber").repartition(7)
+    total = size(li)
+    step = total // 5 + 1
+    pages = [paginate(li, k, step, [("l_linestatus", True)], total=total) for k in range(5)]
+    return functools.reduce(DataFrame.unionByName, pages)
+
+
+@query("sample_n_null_key",
+       "SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS prio FROM orders "
+       "ORDER BY md5(coalesce(nullif(o_orderpriority, '5-LOW'), chr(0)) || '|' || o_orderkey || '|3') LIMIT 300")
+def sample_n_null_key(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.expr("nullif(o_orderpriority, '5-LOW')").alias("prio"))
+    return sample_n(o, 300, seed=3, key_columns=["prio", "o_orderkey"])
+
+
 @query("add_limit", "SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100")
 def add_limit_q(spark, d):
     q = spark.sql("SELECT * FROM {o} WHERE o_orderstatus = 'F' ORDER BY o_orderkey",
@@ -129,8 +146,8 @@ def add_limit_inner(spark, d):
 
 
 @query("page_of_preview",
-       f"SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY {ORDERS_ORDER_SQL}) - 1 AS BIGINT) "
-       "AS row_index FROM orders) WHERE row_index >= 75 AND row_index < 100")
+       f"SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY {ORDERS_ORDER_SQL}) - 1 AS BIGINT) AS row_index FROM orders) "
+       "WHERE row_index < 10000 AND row_index >= (SELECT CAST(ceil(least(count(*), 10000) / 25.0) AS BIGINT) * 25 - 25 FROM orders)")
 def page_of_preview_q(spark, d):
     head = preview_head(sort_multi(table(spark, d, "orders"), ORDERS_KEYS), ORDERS_KEYS, "head", 10_000)
-    return page_of_preview(head, 3, 25, row_count=10_000)
+    return page_of_preview(head, 10**6, 25)

@@ -5,7 +5,6 @@ through SQL text. Cross joins are deliberately not registered (all-pairs output)
 from __future__ import annotations
 
 from ..plans.sqlcell import (SqlWorkspace, cached_sql, run_template, spark_sql_cell, sql_on_tables)
-from ..session import ensure_local_shared_root
 from . import query, table
 
 
@@ -117,23 +116,30 @@ def sql_cell_q(spark, d):
        "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' "
        "GROUP BY o_orderpriority")
 def sql_result_cache_q(spark, d):
-    ensure_local_shared_root(spark)
     q = ("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate < {{ before }} "
          "GROUP BY o_orderpriority")
     tabs = _tables(spark, d, "orders")
     # first call writes (or reads an earlier complete entry), second call reads
-    cached_sql(spark, q, {"before": "1998-01-01", "sf": d}, tables=tabs)
-    return cached_sql(spark, q, {"before": "1998-01-01", "sf": d}, tables=tabs).df
+    cached_sql(spark, q, {"before": "1998-01-01"}, tables=tabs)
+    return cached_sql(spark, q, {"before": "1998-01-01"}, tables=tabs).df
+
+
+@query("sql_result_cache_changed",
+       "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey % 2 = 1 GROUP BY o_orderstatus")
+def sql_result_cache_changed(spark, d):
+    # the same text over another input under the same name is computed anew
+    q = "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"
+    o = table(spark, d, "orders")
+    cached_sql(spark, q, tables={"orders": o.filter("o_custkey % 2 = 0")})
+    return cached_sql(spark, q, tables={"orders": o.filter("o_custkey % 2 = 1")}).df
 
 
 @query("spark_sql_cell",
        "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag")
 def spark_sql_cell_q(spark, d):
-    table(spark, d, "lineitem").createOrReplaceTempView("tk_lineitem")
     df = spark_sql_cell(spark, "SELECT l_returnflag, count(*) AS n FROM {src} WHERE l_quantity > {qty} "
-                               "GROUP BY l_returnflag", {"src": "tk_lineitem", "qty": 10},
+                               "GROUP BY l_returnflag", {"src": table(spark, d, "lineitem"), "qty": 10},
                         view="tk_flags")
-    spark.catalog.dropTempView("tk_lineitem")
     spark.catalog.dropTempView("tk_flags")
     return df
 

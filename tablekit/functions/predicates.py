@@ -1,6 +1,6 @@
 """Compile filter specs into one Spark predicate.
 
-Design rules (see README "Filter semantics"):
+Design rules (see README "Condition semantics"):
 
 * The type decision is made from the schema at compile time, never at run time,
   so a filter can be skipped (and reported) but never fails a job.
@@ -21,14 +21,15 @@ import functools
 import math
 import operator
 from dataclasses import dataclass
-from decimal import Decimal
+from decimal import Context, Decimal
+from fractions import Fraction
 from typing import Any, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .spec import Filter, FilterOperator as Op
+from .spec import Condition, Operator as Op
 from .types import is_fractional, is_integral, is_numeric, is_string, is_temporal, qcol
 
 
@@ -39,45 +40,49 @@ class SkipFilter(Exception):
 @dataclass(frozen=True)
 class Compiled:
     predicate: Column | None          # None: nothing to apply
-    skipped: tuple[tuple[Filter, str], ...]
+    skipped: tuple[tuple[Condition, str], ...]
 
 
-_LONG_MIN, _LONG_MAX = -(2 ** 63), 2 ** 63 - 1
-
 ORDERING = {Op.GREATER_THAN: operator.gt, Op.GREATER_THAN_OR_EQUAL: operator.ge,
             Op.LESS_THAN: operator.lt, Op.LESS_THAN_OR_EQUAL: operator.le}
 
 
-def _as_float(v: Any) -> float:
-    if isinstance(v, bool):
-        return float(v)
+# What the largest value of an integer type is (a power of two) and of a
+# decimal type (a power of ten) decides which comparisons are always true.
+_BITS = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
+
+
+def parse_number(v: Any) -> Decimal:
+    """A comparison value, exactly (Decimal; NaN and infinities included)."""
     try:
-        return float(v)
-    except (TypeError, ValueError):
+        if isinstance(v, float):
+            return Decimal(repr(v))
+        return Decimal(int(v)) if isinstance(v, (bool, int)) else Decimal(str(v).strip())
+    except (ArithmeticError, ValueError):
         raise SkipFilter(f"value {v!r} is not a number") from None
 
 
-def _typed_number(value: float, dtype) -> Column:
+def _exact(dtype) -> tuple[int, int] | None:
+    """(scale, limit) of an integer or decimal type: its values are whole
+    multiples of 10^-scale, below the limit in size; None for other types."""
     if isinstance(dtype, T.DecimalType):
-        return F.lit(Decimal(repr(value)))
-    return F.lit(value)
-
-
-def _compare_integral(c: Column, op, v: float) -> Column:
-    """``c op v`` for an integer column without casting the column."""
-    if op is operator.gt:
-        bound, cmp = math.floor(v), operator.gt
-    elif op is operator.ge:
-        bound, cmp = math.ceil(v), operator.ge
-    elif op is operator.lt:
-        bound, cmp = math.ceil(v), operator.lt
-    else:
-        bound, cmp = math.floor(v), operator.le
-    if bound > _LONG_MAX:
-        return c.isNotNull() if cmp in (operator.lt, operator.le) else F.lit(False)
-    if bound < _LONG_MIN:
-        return c.isNotNull() if cmp in (operator.gt, operator.ge) else F.lit(False)
-    return cmp(c, F.lit(int(bound)))
+        return dtype.scale, 10 ** dtype.precision
+    for kind, bits in _BITS.items():
+        if isinstance(dtype, kind):
+            return 0, 2 ** bits + 1
+    return None
+
+
+def _units(v: Decimal, scale: int, up: bool) -> int:
+    """``v`` in units of 10^-scale, rounded up or down."""
+    n = Fraction(v) * 10 ** scale
+    return math.ceil(n) if up else math.floor(n)
+
+
+def _literal(units: int, scale: int, dtype) -> Column:
+    if isinstance(dtype, T.DecimalType):
+        return F.lit(Decimal(units).scaleb(-scale, context=Context(prec=76)))
+    return F.lit(units)
 
 
 def _numeric_view(c: Column, dtype) -> tuple[Column, Any]:
@@ -91,28 +96,44 @@ def _numeric_view(c: Column, dtype) -> tuple[Column, Any]:
     raise SkipFilter(f"numeric filter on a {dtype.simpleString()} column")
 
 
-def _ordering(c: Column, dtype, op, v: float) -> Column:
-    """Positive comparison with NaN acting as null (false)."""
-    if math.isnan(v):
+def _ordering(c: Column, dtype, op, v: Decimal) -> Column:
+    """Positive comparison with NaN acting as null (false). Integer and decimal
+    columns are compared with the nearest value of their own type, so the column
+    is never cast and no digit is lost."""
+    if v.is_nan():
         return F.lit(False)
     c, dtype = _numeric_view(c, dtype)
-    if is_integral(dtype):
-        return _compare_integral(c, op, v)
-    pred = op(c, _typed_number(v, dtype))
-    if is_fractional(dtype) and op in (operator.gt, operator.ge):
-        pred = pred & ~F.isnan(c)   # Spark orders NaN above every number
-    return pred
-
-
-def _equal(c: Column, dtype, v: float) -> Column:
-    if math.isnan(v):
-        return F.lit(False)
+    exact = _exact(dtype)
+    if exact is None:
+        pred = op(c, F.lit(float(v)))
+        if op in (operator.gt, operator.ge):
+            pred = pred & ~F.isnan(c)   # Spark orders NaN above every number
+        return pred
+    scale, limit = exact
+    rising = op in (operator.gt, operator.ge)
+    if v.is_infinite():
+        return c.isNotNull() if (v > 0) != rising else F.lit(False)
+    units = _units(v, scale, up=op in (operator.ge, operator.lt))
+    if abs(units) >= limit:
+        return c.isNotNull() if (units > 0) != rising else F.lit(False)
+    return op(c, _literal(units, scale, dtype))
+
+
+def _same(c: Column, dtype, values: Iterable[Decimal]) -> Column:
+    """Equal to one of ``values``; NaN equals nothing."""
     c, dtype = _numeric_view(c, dtype)
-    if is_integral(dtype):
-        if v != math.floor(v) or not (_LONG_MIN <= v <= _LONG_MAX):
-            return F.lit(False)
-        return c == F.lit(int(v))
-    return c == _typed_number(v, dtype)
+    exact = _exact(dtype)
+    finite = {v for v in values if not v.is_nan()}
+    if exact is None:
+        found = [F.lit(x) for x in sorted({float(v) for v in finite})]
+    else:
+        scale, limit = exact
+        units = sorted({_units(v, scale, False) for v in finite
+                        if v.is_finite() and Fraction(v) * 10 ** scale % 1 == 0})
+        found = [_literal(u, scale, dtype) for u in units if abs(u) < limit]
+    if not found:
+        return F.lit(False)
+    return c == found[0] if len(found) == 1 else c.isin(found)
 
 
 def _negate_keep_null(c: Column, positive: Column) -> Column:
@@ -139,10 +160,18 @@ def parse_instant(v: Any) -> dt.datetime:
 
 
 def _ts_literal(t: dt.datetime, dtype) -> Column:
+    """A UTC wall clock: an instant for zoned columns, whatever the session zone."""
     text = t.isoformat(sep=" ")
     if isinstance(dtype, T.TimestampNTZType):
         return F.to_timestamp_ntz(F.lit(text))
-    return F.to_timestamp(F.lit(text))
+    return F.to_timestamp(F.lit(f"{text}+00:00"))
+
+
+def _text_instant(c: Column) -> Column:
+    """Text as an instant, in UTC where it names no zone; null if it is none."""
+    day = F.trim(c).rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$")
+    return F.coalesce(F.try_to_timestamp(F.concat(F.trim(c), F.when(day, " 00:00:00+00:00").otherwise("+00:00"))),
+                      F.try_to_timestamp(c))
 
 
 def _temporal_view(c: Column, dtype) -> tuple[Column, Any]:
@@ -151,7 +180,7 @@ def _temporal_view(c: Column, dtype) -> tuple[Column, Any]:
     if isinstance(dtype, T.DateType):
         return c.cast("timestamp_ntz"), T.TimestampNTZType()
     if is_string(dtype):
-        return F.try_to_timestamp(c), T.TimestampType()
+        return _text_instant(c), T.TimestampType()
     raise SkipFilter(f"date filter on a {dtype.simpleString()} column")
 
 
@@ -214,14 +243,7 @@ def _one_of(c: Column, dtype, values: Iterable[Any]) -> Column:
     if isinstance(dtype, T.BooleanType):
         return c.isin([str(v).lower() == "true" for v in values])
     if is_numeric(dtype):
-        nums = [_as_float(v) for v in values]
-        nums = [n for n in nums if not math.isnan(n)]
-        if is_integral(dtype):
-            ints = sorted({int(n) for n in nums if n == math.floor(n) and _LONG_MIN <= n <= _LONG_MAX})
-            return c.isin(ints) if ints else F.lit(False)
-        if isinstance(dtype, T.DecimalType):
-            return c.isin([Decimal(repr(n)) for n in nums]) if nums else F.lit(False)
-        return c.isin(nums) if nums else F.lit(False)
+        return _same(c, dtype, map(parse_number, values))
     # text (and anything else rendered as text): case-insensitive
     text = c if is_string(dtype) else c.cast("string")
     return F.lower(text).isin(sorted({str(v).lower() for v in values}))
@@ -235,10 +257,10 @@ def _contains_any(c: Column, dtype, values: Iterable[Any]) -> Column:
 
 # --- entry points ----------------------------------------------------------------
 
-def compile_one(f: Filter, dtype, today: dt.date | None = None) -> Column:
+def compile_one(f: Condition, dtype, today: dt.date | None = None) -> Column:
     """One filter -> predicate. Raises ``SkipFilter`` when it cannot apply."""
     c = qcol(f.column)
-    vals = f.comparative_values
+    vals = f.values
     op = f.operator
     if op in (Op.IS_NULL, Op.IS_NOT_NULL):
         miss = (c.isNull() | F.isnan(c)) if is_fractional(dtype) else c.isNull()
@@ -250,11 +272,12 @@ def compile_one(f: Filter, dtype, today: dt.date | None = None) -> Column:
     if op is Op.TEXT_DOES_NOT_CONTAIN:
         return _negate_keep_null(c, _contains_any(c, dtype, vals))
     if op in ORDERING:
-        return _ordering(c, dtype, ORDERING[op], _as_float(vals[0]))
+        return _ordering(c, dtype, ORDERING[op], parse_number(vals[0]))
     if op is Op.IS_EQUAL:
-        return _equal(c, dtype, _as_float(vals[0]))
+        return _same(c, dtype, [parse_number(vals[0])])
     if op is Op.IS_NOT_EQUAL:
-        return _negate_keep_null(c, _equal(c, dtype, _as_float(vals[0])))
+        nc, ndt = _numeric_view(c, dtype)   # text that is no number counts as null, which stays
+        return _negate_keep_null(nc, _same(nc, ndt, [parse_number(vals[0])]))
     if op in (Op.OUTSIDE_OF, Op.BETWEEN):
         if len(vals) < 2:
             raise SkipFilter("needs two values")
@@ -263,13 +286,12 @@ def compile_one(f: Filter, dtype, today: dt.date | None = None) -> Column:
             lo, hi = (_ts_literal(parse_instant(v), tdt) for v in vals[:2])
             inside = (tc >= lo) & (tc <= hi)
             return inside if op is Op.BETWEEN else _negate_keep_null(tc, inside)
-        lo, hi = _as_float(vals[0]), _as_float(vals[1])
+        lo, hi = parse_number(vals[0]), parse_number(vals[1])
         if op is Op.BETWEEN:
             return _ordering(c, dtype, operator.ge, lo) & _ordering(c, dtype, operator.le, hi)
         nc, ndt = _numeric_view(c, dtype)
-        below = _ordering(nc, ndt, operator.lt, lo) if not math.isnan(lo) else F.lit(False)
-        above = (nc > _typed_number(hi, ndt)) if not is_integral(ndt) else _compare_integral(nc, operator.gt, hi)
-        return nc.isNull() | below | above
+        outside = nc.isNull() | _ordering(nc, ndt, operator.lt, lo) | _ordering(nc, ndt, operator.gt, hi)
+        return outside if _exact(ndt) else outside | F.isnan(nc)
     if op is Op.IS_ONE_OF:
         return _one_of(c, dtype, vals)
     if op is Op.IS_NOT_ONE_OF:
@@ -293,7 +315,7 @@ def _all_numbers(vals) -> bool:
         return False
 
 
-def compile_filters(filters: Iterable[Filter], schema: T.StructType,
+def compile_filters(filters: Iterable[Condition], schema: T.StructType,
                     today: dt.date | None = None) -> Compiled:
     """AND of all applicable filters; unknown columns, missing or unparseable
     values drop that filter only (reported in ``skipped``)."""
@@ -307,5 +329,7 @@ def compile_filters(filters: Iterable[Filter], schema: T.StructType,
             preds.append(compile_one(f, types[f.column], today))
         except SkipFilter as e:
             skipped.append((f, str(e)))
+        except (ArithmeticError, TypeError, ValueError) as e:   # a value no rule foresaw drops its filter only
+            skipped.append((f, f"{type(e).__name__}: {e}"))
     pred = functools.reduce(operator.and_, preds) if preds else None
     return Compiled(pred, tuple(skipped))

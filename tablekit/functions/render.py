@@ -18,12 +18,12 @@ BINARY_PREFIX_BYTES = (MAX_STRING_LENGTH - 3) // 4   # 249: worst case 4 chars p
 LARGE_NUMBER = 2 ** 53                                # beyond this JS numbers lose precision
 
 
-def cut_text(c: Column, n: int = MAX_STRING_LENGTH) -> Column:
-    return F.substring(c, 1, n)
+def cut_text(c: Column, n: int | None = MAX_STRING_LENGTH) -> Column:
+    return c if n is None else F.substring(c, 1, n)
 
 
-def binary_repr(c: Column, max_bytes: int = BINARY_PREFIX_BYTES) -> Column:
-    """Python-style ``b'...'`` text of the first ``max_bytes`` bytes.
+def binary_repr(c: Column, max_bytes: int | None = BINARY_PREFIX_BYTES) -> Column:
+    """Python-style ``b'...'`` text of the first ``max_bytes`` bytes (None: all).
 
     Printable ASCII stays, ``\\t \\n \\r \\\\`` and the quote are escaped, other
     bytes become ``\\xNN``; the quote is ``"`` only when the bytes hold a ``'``
@@ -34,7 +34,7 @@ def binary_repr(c: Column, max_bytes: int = BINARY_PREFIX_BYTES) -> Column:
     next to each byte through ``zip_with``; a lambda that referred to the
     whole cell would be re-evaluated for every byte.
     """
-    head = F.substring(c, 1, max_bytes)
+    head = c if max_bytes is None else F.substring(c, 1, max_bytes)
     n = F.length(head)
     # splitting on "" leaves a trailing empty piece: keep exactly one char per byte
     chars = F.slice(F.split(F.decode(head, "ISO-8859-1"), ""), 1, n)
@@ -56,20 +56,18 @@ def binary_repr(c: Column, max_bytes: int = BINARY_PREFIX_BYTES) -> Column:
     return F.when(c.isNull(), F.lit(None)).otherwise(F.concat(F.lit("b"), quote, body, quote))
 
 
-def json_safe(c: Column, dtype, as_text: bool = False) -> Column:
-    """Numbers and booleans stay typed; text is cut to 1,000 chars; binary gets
-    its ``b'...'`` form; every other type (dates, times, decimals, arrays,
-    structs, maps, intervals) is rendered as text and cut."""
-    if as_text:
-        return cut_text(c.cast("string"))
-    if isinstance(dtype, T.BinaryType):
-        return binary_repr(c)
-    if isinstance(dtype, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType,
-                          T.LongType, T.FloatType, T.DoubleType)):
-        return c
-    if is_string(dtype):
-        return cut_text(c)
-    return cut_text(c.cast("string"))
+def json_safe(c: Column, dtype, as_text: bool = False, most_chars: int | None = MAX_STRING_LENGTH,
+              most_bytes: int | None = BINARY_PREFIX_BYTES) -> Column:
+    """Numbers and booleans stay typed; binary gets its ``b'...'`` form; text and
+    every other type (dates, times, decimals, arrays, structs, maps, intervals)
+    is text, cut to what a cell shows (None: whole)."""
+    if not as_text:
+        if isinstance(dtype, T.BinaryType):
+            return binary_repr(c, most_bytes)
+        if isinstance(dtype, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType,
+                              T.LongType, T.FloatType, T.DoubleType)):
+            return c
+    return cut_text(c if is_string(dtype) else c.cast("string"), most_chars)
 
 
 def is_large(c: Column, dtype) -> Column:

@@ -5,14 +5,13 @@ scan."""
 
 from __future__ import annotations
 
-import re
-from typing import Any, Iterable, Sequence
+from typing import Any, Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.spec import Filter
+from ..functions.spec import Condition
 from ..functions.types import qcol
 from .filtering import apply_filters
 from .profile import distinct_values
@@ -24,44 +23,65 @@ CHART_ROW_LIMIT = 5_000
 CHART_DISTINCT_VALUES = 30
 COUNT_FIELD = "COUNT(*)"
 PERCENT_PREFIX = "Percentage of "
-# Vega-Lite time units supported on temporal axes -> date_trunc unit.
-TIME_UNITS = {"year": "year", "quarter": "quarter", "yearquarter": "quarter", "month": "month",
-              "yearmonth": "month", "week": "week", "yearweek": "week", "date": "day",
-              "yearmonthdate": "day", "day": "day", "hours": "hour", "yearmonthdatehours": "hour"}
+# Vega-Lite time units that cut an axis -> date_trunc unit.
+TIME_UNITS = {"year": "year", "yearquarter": "quarter", "yearmonth": "month", "yearmonthdate": "day",
+              "yearmonthdatehours": "hour", "yearmonthdatehoursminutes": "minute"}
+# Vega-Lite time units that are a part of the calendar over all
+# years (weekdays count from Sunday = 0, as there).
+TIME_PARTS = {"quarter": F.quarter, "month": F.month, "date": F.dayofmonth, "dayofyear": F.dayofyear,
+              "day": lambda c: F.dayofweek(c) - 1, "hours": F.hour, "minutes": F.minute, "seconds": F.second}
 
 
 class ChartError(ValueError):
     pass
 
 
-def _encodings(spec: dict) -> list[dict]:
-    if "layer" in spec:
-        return [e for layer in spec["layer"] for e in _encodings(layer)]
-    if "encoding" in spec:
-        return list(spec["encoding"].values())
-    return []
+def channels(spec: Any) -> Iterator[dict]:
+    """Every channel definition of a chart, wherever its view stands (layers,
+    concatenations, facets, repeats): one walk over the whole document."""
+    todo = [spec]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, list):
+            todo += node
+        elif isinstance(node, dict):
+            for key, value in node.items():
+                if key in ("encoding", "facet") and isinstance(value, dict):
+                    yield from (c for c in (value, *value.values()) if isinstance(c, dict))
+                todo.append(value)
 
 
-def unescape_field(name: str) -> str:
-    """``date\\.time`` -> ``date.time`` (one backslash escapes the next char)."""
-    return re.sub(r"\\(.)", r"\1", name)
+def repeated_fields(spec: Any) -> Iterator[str]:
+    """Fields that a ``repeat`` lists by name."""
+    repeat = spec.get("repeat") if isinstance(spec, dict) else None
+    lists = repeat.values() if isinstance(repeat, dict) else [repeat]
+    for names in lists:
+        yield from (n for n in names or () if isinstance(n, str))
+
+
+def plain_name(field: str) -> str:
+    """A field path as a column name: a backslash takes the next sign as it is."""
+    out, signs = [], iter(field)
+    for sign in signs:
+        out.append(next(signs, "") if sign == "\\" else sign)
+    return "".join(out)
 
 
 def used_fields(spec: dict) -> set[str]:
-    """Field names used by a (nested, layered) Vega-Lite spec."""
-    return {unescape_field(e["field"]) for e in _encodings(spec)
-            if isinstance(e, dict) and isinstance(e.get("field"), str)}
+    """Column names and measures that a chart draws."""
+    named = (c["field"] for c in channels(spec) if isinstance(c.get("field"), str))
+    return {plain_name(f) for f in (*named, *repeated_fields(spec))}
 
 
 def verify_fields(df: DataFrame, spec: dict) -> set[str]:
-    """Unknown fields raise ``ChartError``, except ``COUNT(*)`` and
-    ``Percentage of ...`` measures. Returns the fields that are columns."""
+    """The chart's fields that are columns. Measures (``COUNT(*)``,
+    ``Percentage of ...``) need no column; any other unknown name raises."""
     fields = used_fields(spec)
-    allowed = set(df.columns) | {COUNT_FIELD}
-    bad = sorted(f for f in fields - allowed if not f.startswith(PERCENT_PREFIX))
-    if bad:
-        raise ChartError(f"columns selected for the chart are not in the table: {bad}")
-    return {f for f in fields if f in df.columns}
+    columns = fields & set(df.columns)
+    unknown = {f for f in fields - columns if f != COUNT_FIELD and not f.startswith(PERCENT_PREFIX)}
+    if unknown:
+        raise ChartError(f"the chart uses fields the table lacks: {', '.join(sorted(unknown))}")
+    return columns
 
 
 def chart_select_fields(df: DataFrame, spec: dict) -> DataFrame:
@@ -70,19 +90,18 @@ def chart_select_fields(df: DataFrame, spec: dict) -> DataFrame:
     return df.select(*[qcol(c) for c in df.columns if c in keep])
 
 
-def chart_filtered_dataset(df: DataFrame, spec: dict, filters: Iterable[Filter] = ()) -> DataFrame:
-    """Filters first (before the 500-column cut), then names prepared,
-    durations as seconds, fields verified and selected."""
+def chart_filtered_dataset(df: DataFrame, spec: dict, filters: Iterable[Condition] = ()) -> DataFrame:
+    """Filters first, then names prepared (all columns), durations as seconds,
+    fields verified and selected."""
     filtered = apply_filters(df, list(filters))
-    prepared = sanitize_for_chart(prepare_columns(filtered))
-    return chart_select_fields(prepared, spec)
+    return chart_select_fields(sanitize_for_chart(prepare_columns(filtered, None)), spec)
 
 
 def chart_row_cap(df: DataFrame, limit: int = CHART_ROW_LIMIT) -> tuple[DataFrame, bool]:
-    """At most ``limit`` rows, and whether the data had more. The check reads at
-    most ``limit + 1`` rows (a bounded job)."""
-    exceeded = df.limit(limit + 1).count() > limit
-    return df.limit(limit), exceeded
+    """At most ``limit`` rows, and whether the data had more. The data are
+    computed once: at most ``limit + 1`` rows come to the driver, which draws them."""
+    rows = df.limit(limit + 1).collect()
+    return df.sparkSession.createDataFrame(rows[:limit], df.schema), len(rows) > limit
 
 
 def chart_aggregate(df: DataFrame, dims: Sequence[str | Column], measure: str = COUNT_FIELD) -> DataFrame:
@@ -103,28 +122,30 @@ def chart_aggregate(df: DataFrame, dims: Sequence[str | Column], measure: str =
         total = df.agg(value.alias("t")).scalar()
         grouped = df.groupBy(*dcols).agg(value.alias("__v"))
         return grouped.select(*[c for c in grouped.columns if c != "__v"],
-                              (F.col("__v") * F.lit(100.0) / total).alias(measure))
+                              F.try_divide(F.col("__v") * F.lit(100.0), total).alias(measure))
     return df.groupBy(*dcols).agg(F.sum(qcol(measure)).alias(measure))
 
 
 def time_unit(df: DataFrame, column: str, unit: str = "yearmonth") -> Column:
-    """Vega-Lite time unit on a temporal axis as ``date_trunc``. A wall-clock
-    (``timestamp_ntz``) column stays wall-clock: the truncation does not depend
-    on the session time zone."""
+    """Vega-Lite time unit on a temporal axis: units with a year cut the instant,
+    the others are calendar parts (integers) over all years. A wall-clock
+    (``timestamp_ntz``) column stays wall-clock, whatever the session zone; other
+    units (weeks) raise ``ChartError``."""
+    col, dtype = qcol(column), df.schema[column].dataType
+    if unit in TIME_PARTS:
+        return TIME_PARTS[unit](col)
     if unit not in TIME_UNITS:
         raise ChartError(f"unsupported time unit {unit!r}")
-    col = qcol(column)
-    dtype = df.schema[column].dataType
     out = F.date_trunc(TIME_UNITS[unit], col)
     return out.cast("timestamp_ntz") if isinstance(dtype, (T.TimestampNTZType, T.DateType)) else out
 
 
 def chart_output_metadata(df: DataFrame, limit: int = CHART_ROW_LIMIT,
-                          row_limit_exceeded: bool = False) -> dict[str, Any]:
-    """Row limit, filtered size and per column name / type / 30 distinct
+                          row_limit_exceeded: bool = False, values: int = CHART_DISTINCT_VALUES) -> dict[str, Any]:
+    """Row limit, filtered size and per column name / type / ``values`` distinct
     values (JSON-safe text). Two bounded jobs: a count and the distinct values."""
     dv = {c: [] for c in df.columns}
-    for r in chart_distinct_values(df).collect():
+    for r in chart_distinct_values(df, values).collect():
         dv[r["column_name"]].append(r["value"])
     return {"rowLimitExceeded": row_limit_exceeded, "rowLimit": limit,
             "filteredDataframeSize": df.count(),
@@ -132,5 +153,5 @@ def chart_output_metadata(df: DataFrame, limit: int = CHART_ROW_LIMIT,
                         for f in df.schema.fields]}
 
 
-def chart_distinct_values(df: DataFrame) -> DataFrame:
-    return distinct_values(df, df.columns, CHART_DISTINCT_VALUES)
+def chart_distinct_values(df: DataFrame, values: int = CHART_DISTINCT_VALUES) -> DataFrame:
+    return distinct_values(df, df.columns, values)

@@ -3,13 +3,15 @@ result stays chainable (nothing can go stale)."""
 
 from __future__ import annotations
 
+import functools
+import operator
 from typing import Any, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spec import SortKey
-from ..functions.types import qcol
+from ..functions.types import missing, qcol
 from .shape import sort_columns
 
 
@@ -28,17 +30,23 @@ def edit_drop(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def edit_update(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Overwrite cells from ``other`` where it has non-null values, matching
-    rows on the ``on`` keys; other columns and unmatched rows are unchanged.
-
-    ``other`` must hold at most one row per key. The join is an ordinary
-    equi-join, so Spark/AQE pick broadcast or sort-merge from the real sizes.
+    """Overwrite cells from ``other`` where it has a value (neither null nor
+    NaN), matching rows on the ``on`` keys; other columns and unmatched rows are
+    unchanged. A key that stands twice in ``other`` raises ``ValueError`` (one
+    aggregate over its keys). Spark picks the join from the real sizes.
     """
+    twice = other.groupBy(*map(qcol, on)).count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"the key {twice[0].asDict()} stands more than once in the update")
+    fields = {f.name: f.dataType for f in other.schema.fields}
     shared = [c for c in other.columns if c in df.columns and c not in on]
-    right = other.select(*[qcol(k) for k in on], *[qcol(c).alias(f"__new_{c}") for c in shared])
-    joined = df.join(right, list(on), "left")
-    return joined.select(*[F.coalesce(F.col(f"__new_{c}"), qcol(c)).alias(c) if c in shared else qcol(c)
-                           for c in df.columns])
+    new = {c: f"__new_{k}" for k, c in enumerate(shared)}
+    keys = [f"__key_{k}" for k in range(len(on))]
+    right = other.select(*[qcol(c).alias(k) for c, k in zip(on, keys)],
+                         *[F.when(~missing(qcol(c), fields[c]), qcol(c)).alias(n) for c, n in new.items()])
+    match = functools.reduce(operator.and_, [qcol(c) == F.col(k) for c, k in zip(on, keys)])
+    return df.join(right, match, "left").select(
+        *[F.coalesce(F.col(new[c]), qcol(c)).alias(c) if c in new else qcol(c) for c in df.columns])
 
 
 def edit_append(df: DataFrame, other: DataFrame) -> DataFrame:

@@ -23,7 +23,9 @@ back is bounded by the schema width, not by the data size.
 
 from __future__ import annotations
 
+import functools
 import math
+import uuid
 from dataclasses import dataclass
 from typing import Any, Sequence
 
@@ -31,18 +33,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.csv import csv_header_bytes, csv_line_bytes, csv_size
 from ..functions.render import duration_seconds
 from ..functions.types import (literal_rows, is_complex, is_duration, is_fractional, is_numeric,
                                is_numeric_or_temporal, is_temporal, missing, qcol)
+from ..session import shared_path
 
 # Profile parameters.
 HIST_BINS = 10
 MAX_CATEGORIES = 3
 MISSING_NAME = "Missing"
 DISTINCT_LIMIT = 100
-PROFILE_CELL_BUDGET = 100_000          # optional, as in the reference
-COLOR_SCALE_CELL_BUDGET = 10_000_000
 STATS_CHUNK = 6                        # columns per pass-1 aggregate branch
+# Longer texts group by their first characters and a digest of the whole.
+TEXT_KEY = 64
 
 
 @dataclass
@@ -211,9 +215,14 @@ def _slots(c: Column, dtype) -> tuple[Column, Column, Column, Column]:
         return none_l, none_t, F.when(~F.isnan(c), c.cast("double")), none_s
     if is_duration(dtype):
         return none_l, none_t, duration_seconds(c) * 1_000_000.0, none_s
-    if isinstance(dtype, T.MapType):
-        return none_l, none_t, none_d, c.cast("string")
-    return none_l, none_t, none_d, _value_text(c, dtype)
+    return none_l, none_t, none_d, text_key(c.cast("string") if isinstance(dtype, T.MapType) else _value_text(c, dtype))
+
+
+def text_key(text: Column) -> Column:
+    """A text as grouping key: itself up to ``TEXT_KEY`` characters, else its
+    beginning, NUL and the md5 of the whole, so no long text is shuffled."""
+    return F.when(F.length(text) <= TEXT_KEY, text).otherwise(
+        F.concat(F.substring(text, 1, TEXT_KEY), F.lit("\x00"), F.md5(text)))
 
 
 def grouped_values(df: DataFrame, plans: Sequence[ColumnPlan]) -> DataFrame:
@@ -318,18 +327,27 @@ def pass2(df: DataFrame, plans: Sequence[ColumnPlan], stats: dict[str, Any]) ->
 
 
 def category_entries(top: list[tuple[int, str, int]], uniq: int, non_null: int, nan: int) -> list[tuple[str, int]]:
-    """Category list from the ranked top values: all values if they fit in the
-    slots, else the most common ones and ``"<n> others"``; ``"Missing"`` takes a
-    slot when the column has missing cells."""
-    slots = MAX_CATEGORIES - (1 if nan > 0 else 0)
-    if uniq > slots:
-        shown = [(v, c) for _, v, c in top[:slots - 1]]
-        shown.append((f"{uniq - (slots - 1)} others", non_null - sum(c for _, c in shown)))
-    else:
-        shown = [(v, c) for _, v, c in top[:slots]]
-    if nan > 0:
-        shown.append((MISSING_NAME, nan))
-    return shown
+    """Category list from the ranked top values: what does not fit is summed up
+    as ``"<n> others"``; missing cells stand last."""
+    tail = [(MISSING_NAME, nan)] if nan else []
+    room = MAX_CATEGORIES - len(tail)
+    named = [(value, count) for _, value, count in top][:room if uniq <= room else room - 1]
+    if left := uniq - len(named):
+        tail.insert(0, (f"{left} others", non_null - sum(count for _, count in named)))
+    return named + tail
+
+
+def is_plain_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is stored rows with filters and projections at most, so that
+    reading it once per group of columns costs no more than its columns."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        children = node.children()
+        if children.size() and node.nodeName() not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        todo += [children.apply(k) for k in range(children.size())]
+    return True
 
 
 # --- public entry points --------------------------------------------------------------
@@ -346,13 +364,29 @@ class Profile:
         distinct count from HyperLogLog++ in pass 1 (about 5 % relative error)
         and skip the value grouping of pass 2, the one shuffle that grows with
         the number of distinct values; category columns stay exact."""
-        self.df = df
+        self.source = df
+        self.stored: str | None = None
+        self._df: DataFrame | None = df if is_plain_scan(df) else None
         self.plans = _plans(df, columns)
         self.approx = approx_distinct
         self.stats: dict[str, Any] = {}
         self._summary = None
-        # pass 1 only where pass 2 needs it (histogram bounds of numeric and
-        # temporal columns); other columns get their missing counts from pass 2
+
+    @property
+    def df(self) -> DataFrame:
+        """The table to read: computed input is written once to the shared folder
+        as parquet, where each pass reads just its columns."""
+        if self._df is None:
+            names = [f"c{p.pos}" for p in _plans(self.source, None)]
+            self.stored = shared_path(self.source.sparkSession, "tablekit-profile", uuid.uuid4().hex)
+            plain = self.source.toDF(*names)
+            empty = {n: F.col(n).cast("string") for n, t in plain.dtypes if t == "void"}
+            (plain.withColumns(empty) if empty else plain).write.parquet(self.stored)
+            self._df = self.source.sparkSession.read.parquet(self.stored).toDF(*self.source.columns)
+        return self._df
+
+    def _ranges(self) -> None:
+        """Pass 1, where a statistic needs it: numeric and temporal columns."""
         self._pass1([p for p in self.plans if p.ranged])
 
     def _pass1(self, plans: Sequence[ColumnPlan]) -> None:
@@ -369,7 +403,13 @@ class Profile:
         return int(self.stats[key])
 
     def close(self) -> None:
+        """Forget the results and remove what was stored."""
         self._summary = None
+        if self.stored:
+            context = self.source.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(self.stored)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            self.stored = self._df = None
 
     def __enter__(self) -> "Profile":
         return self
@@ -393,6 +433,7 @@ class Profile:
         return literal_rows(self.df.sparkSession, rows, "column_name string, nan_count long")
 
     def min_max(self) -> DataFrame:
+        self._ranges()
         rows = [(p.name, stat_text(self.stats.get(f"min{p.pos}")), stat_text(self.stats.get(f"max{p.pos}")))
                 for p in self.plans]
         return literal_rows(self.df.sparkSession, rows, "column_name string, min string, max string")
@@ -405,6 +446,7 @@ class Profile:
             self._summary = {"uniq": {}, "nn": {}, "hist": {}, "top": {}, "miss": {}, "rows": None}
         out = self._summary
         todo = [p for p in (self.plans if plans is None else plans) if p.pos not in out["uniq"]]
+        self._pass1([p for p in todo if p.ranged])
         ranged_with_edges = {p.pos for p in todo if p.ranged and
                              hist_edges(self.stats.get(f"lo{p.pos}"), self.stats.get(f"hi{p.pos}")) is not None}
         if todo:
@@ -417,8 +459,23 @@ class Profile:
                         out["hist"][r.pos] = dict(enumerate(r.hist))
                 elif r.v is not None:
                     tops.setdefault(r.pos, []).append((-r.cnt, r.v, r.cnt))
+            whole = self._whole_texts({pos: [v for _, v, _ in top] for pos, top in tops.items()})
             for pos, top in tops.items():
-                out["top"][pos] = [(i + 1, v, c) for i, (_, v, c) in enumerate(sorted(top))]
+                out["top"][pos] = [(i + 1, whole.get((pos, v), v), c) for i, (_, v, c) in enumerate(sorted(top))]
+        return out
+
+    def _whole_texts(self, keys: dict[int, list[str]]) -> dict[tuple[int, str], str]:
+        """The texts behind the keys of long winners (at most three a column): one
+        scan that keeps the cells with one of these digests."""
+        long = {pos: [v for v in vs if len(v) > TEXT_KEY] for pos, vs in keys.items()}
+        by_pos, out = {p.pos: p for p in self.plans}, {}
+        for pos, vs in long.items():
+            if vs:
+                p = by_pos[pos]
+                text = _value_text(qcol(p.name), p.dtype) if not isinstance(p.dtype, T.MapType) else qcol(p.name).cast("string")
+                cells = self.df.select(text.alias("text")).filter(F.length("text") > TEXT_KEY).withColumn("k", text_key(F.col("text")))
+                for r in cells.filter(F.col("k").isin(vs)).groupBy("k").agg(F.any_value("text").alias("text")).collect():
+                    out[pos, r["k"]] = r["text"]
         return out
 
     def _hist_only(self, plans: Sequence[ColumnPlan]) -> None:
@@ -459,6 +516,8 @@ class Profile:
         return [p for p in self.plans if not (self.approx and p.ranged)]
 
     def _unique_rows(self) -> list[tuple]:
+        if self.approx:
+            self._ranges()
         sm = self.summary(self._exact_plans())
 
         def uniq(p: ColumnPlan) -> int:
@@ -473,6 +532,7 @@ class Profile:
         return literal_rows(self.df.sparkSession, self._unique_rows(), "column_name string, unique_count long")
 
     def _hist_rows(self) -> list[tuple]:
+        self._ranges()
         self._hist_only([p for p in self.plans if p.ranged])
         sm = self._summary
         rows = []
@@ -510,6 +570,7 @@ class Profile:
     def records(self) -> list[tuple]:
         """One tuple per column (TABLE_SCHEMA order), built from the per-column
         values already collected by pass 1 and pass 2: no further job."""
+        self._ranges()
         self.summary()          # one pass-2 job for every column (histograms included)
         uniq = dict(self._unique_rows())
         hist: dict[str, list] = {}
@@ -528,56 +589,25 @@ class Profile:
         return literal_rows(self.df.sparkSession, self.records(), self.TABLE_SCHEMA)
 
 
-def analyze_columns(df: DataFrame, color_scale_columns: Sequence[str] | None = None,
-                    max_cells: int | None = None, approx_distinct: bool = False) -> DataFrame:
-    """Stats for every column (or, with ``max_cells``, the first
-    ``floor(max_cells / rows)`` columns plus colour-scale numeric columns within
-    a 10M-cell budget). Columns outside the budget are listed without stats."""
-    picked = pick_columns(df, color_scale_columns, max_cells)
-    prof = Profile(df, picked, approx_distinct)
-    tab = prof.table()
-    if picked is not None and len(picked) < len(df.columns):
-        spark = df.sparkSession
-        rest = literal_rows(
-            spark, [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)
-             if f.name not in set(picked)], "position int, column_name string, dtype string")
-        tab = tab.unionByName(rest, allowMissingColumns=True).select(*tab.columns)
-    return tab
-
-
-def pick_columns(df: DataFrame, color_scale_columns: Sequence[str] | None,
-                 max_cells: int | None) -> list[str] | None:
-    if max_cells is None:
-        return None
-    rows = df.count()
-    names = df.columns
-    n = len(names) if rows == 0 else min(math.floor(max_cells / rows), len(names))
-    picked = list(names[:n])
-    budget = COLOR_SCALE_CELL_BUDGET
-    wanted = set(color_scale_columns or [])
-    for f in df.schema.fields[n:]:
-        if not is_numeric_or_temporal(f.dataType) or f.name not in wanted:
-            continue
-        if budget <= rows:
-            break
-        picked.append(f.name)
-        budget -= rows
-    return picked
+def analyze_columns(df: DataFrame, columns: Sequence[str] | None = None, approx_distinct: bool = False) -> DataFrame:
+    """Stats for every column, or for the named ones; the others are listed
+    without stats."""
+    with Profile(df, columns, approx_distinct) as profile:
+        done = profile.records()
+    by_pos = {r[0]: r for r in done}
+    rows = [by_pos.get(i, (i, f.name, f.dataType.simpleString(), None, None, None, None, None, None))
+            for i, f in enumerate(df.schema.fields)]
+    return literal_rows(df.sparkSession, rows, Profile.TABLE_SCHEMA)
 
 
-def analyze_columns_records(df: DataFrame, color_scale_columns: Sequence[str] | None = None,
-                            max_cells: int | None = None) -> list[dict]:
+def analyze_columns_records(df: DataFrame, columns: Sequence[str] | None = None) -> list[dict]:
     """``analyze_columns`` as a list of dicts (one per column, bounded)."""
-    rows = analyze_columns(df, color_scale_columns, max_cells).orderBy("position").collect()
+    stats = ("unique_count", "nan_count", "min", "max", "histogram", "categories")
     out = []
-    for r in rows:
+    for r in analyze_columns(df, columns).orderBy("position").collect():
         d = r.asDict(recursive=True)
-        stats = None
-        if d.get("unique_count") is not None:
-            stats = {"unique_count": d["unique_count"], "nan_count": d["nan_count"],
-                     "min": d["min"], "max": d["max"], "histogram": d["histogram"],
-                     "categories": d["categories"]}
-        out.append({"name": d["column_name"], "dtype": d["dtype"], "stats": stats})
+        out.append({"name": d["column_name"], "dtype": d["dtype"],
+                    "stats": None if d["unique_count"] is None else {k: d[k] for k in stats}})
     return out
 
 
@@ -600,30 +630,48 @@ def color_scale_min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str], limit: int = DISTINCT_LIMIT) -> DataFrame:
-    """(column_name, rank, value): the ``limit`` smallest non-null distinct
-    values per column, in the column's own order, as text. One lazy union of
-    per-column ``groupBy -> top-n`` plans (each reads only its column).
-    Unknown column -> KeyError; map columns -> no rows."""
+    """(column_name, rank, value): the ``limit`` smallest distinct values per
+    column that are not missing (null or NaN), in the column's own order, as
+    text. All columns share one scan: (column, value) pairs are grouped once, and
+    ``row_number() <= limit`` per column has a partial limit in every task.
+    Unknown column -> KeyError; map columns -> no rows; arrays and structs, which
+    have no common order with others, take a plan of their own."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    parts = []
     for name in columns:
         if name not in fields:
             raise KeyError(name)
-        if isinstance(fields[name], T.MapType):
+    names = [c for c in columns if not isinstance(fields[c], T.MapType)]
+    pairs, parts = [], []
+    none = F.lit(None)
+    for pos, name in enumerate(names):
+        c, dtype = qcol(name), fields[name]
+        if is_complex(dtype):
+            top = df.select(c.alias("x")).filter("x IS NOT NULL").distinct().orderBy("x").limit(limit)
+            parts.append(top.select(F.lit(name).alias("column_name"),
+                                    F.row_number().over(Window.orderBy("x")).alias("rank"),
+                                    F.col("x").cast("string").alias("value")))
             continue
-        c = qcol(name)
-        d = df.select(c.alias("x")).filter(F.col("x").isNotNull()).distinct()
-        top = d.orderBy(F.col("x").asc()).limit(limit)
-        w = Window.orderBy(F.col("x").asc())   # over <= limit rows
-        parts.append(top.select(F.lit(name).alias("column_name"),
-                                F.row_number().over(w).alias("rank"),
-                                F.col("x").cast("string").alias("value")))
+        if is_fractional(dtype):
+            c = F.when(c == 0, F.lit(0.0)).otherwise(c)
+        number = c.cast("decimal(38,10)") if isinstance(dtype, T.DecimalType) else none.cast("decimal(38,10)")
+        entry = [F.lit(pos).alias("pos"),
+                 (c.cast("bigint") if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else none.cast("bigint")).alias("l"),
+                 (c.cast("double") if is_fractional(dtype) else none.cast("double")).alias("d"), number.alias("n"),
+                 (c.cast("timestamp_ntz") if is_temporal(dtype) else none.cast("timestamp_ntz")).alias("t"),
+                 (duration_seconds(c) if is_duration(dtype) else none.cast("double")).alias("i"),
+                 F.when(~missing(c, dtype), c.cast("string")).alias("value")]
+        pairs.append(F.struct(*entry))
+    if pairs:
+        keys = ["pos", "l", "d", "n", "t", "i", "value"]
+        groups = (df.select(F.explode(F.array(*pairs)).alias("e")).select("e.*")
+                  .filter("value IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("cells")))
+        w = Window.partitionBy("pos").orderBy("l", "d", "n", "t", "i", "value")
+        name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("pos") + 1)
+        parts.append(groups.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+                     .select(name.alias("column_name"), "rank", "value"))
     if not parts:
         return literal_rows(df.sparkSession, [], "column_name string, rank int, value string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def distinct_values_dict(df: DataFrame, columns: Sequence[str], limit: int = DISTINCT_LIMIT) -> dict:
@@ -635,40 +683,22 @@ def distinct_values_dict(df: DataFrame, columns: Sequence[str], limit: int = DIS
 
 # --- CSV size estimate ------------------------------------------------------------------
 
-CSV_OPTIONS = {"timestampFormat": "yyyy-MM-dd HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
-               "dateFormat": "yyyy-MM-dd"}
-
-
-def csv_line_bytes(df: DataFrame) -> Column:
-    """UTF-8 bytes of one CSV line (with its newline), as the CSV writer renders it."""
-    return F.octet_length(F.to_csv(F.struct(*[qcol(c) for c in df.columns]), CSV_OPTIONS)) + 1
-
-
-def csv_header_bytes(df: DataFrame) -> int:
-    return len((",".join(df.columns) + "\n").encode("utf-8"))
-
-
-def estimate_csv_size(df: DataFrame, exact: bool = False, sample_rows: int = 500,
-                      seed: int | None = None) -> int:
+def estimate_csv_size(df: DataFrame, exact: bool = False, sample_rows: int = 500, seed: int = 0) -> int:
     """Bytes of the table written as CSV with a header.
 
     ``exact=True`` sums every line in one aggregate (same job shape as a count).
-    Otherwise the mean line size of a ~500-row Bernoulli sample is scaled by the
-    row count; an empty table gives 0.
+    Otherwise the mean line size of ``sample_rows`` rows, taken by hash from the
+    whole table, is scaled by the row count; an empty table gives 0.
     """
     if exact:
-        total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(csv_line_bytes(df)).alias("b")).first()
-        return 0 if total["n"] == 0 else int(total["b"]) + csv_header_bytes(df)
+        return csv_size(df)
+    from .shape import sample_n
     rows = df.count()
     if rows == 0:
         return 0
-    from .shape import sample_n
-    s = sample_n(df, sample_rows, seed if seed is not None else 0, total=rows)
-    agg = s.agg(F.count(F.lit(1)).alias("n"), F.sum(csv_line_bytes(df)).alias("b")).first()
-    if not agg["n"]:
-        return 0
-    sample_bytes = agg["b"] + csv_header_bytes(df)
-    return round(sample_bytes / agg["n"] * rows)
+    lines = df.select(csv_line_bytes(df).alias("bytes"))
+    mean = sample_n(lines, min(sample_rows, rows), seed, total=rows).agg(F.avg("bytes")).first()[0]
+    return round(mean * rows) + csv_header_bytes(df)
 
 
 def estimate_csv_size_df(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.render import (LARGE_NUMBER, duration_seconds, is_large, is_large_candidate, json_safe)
+from ..functions.render import (BINARY_PREFIX_BYTES, LARGE_NUMBER, MAX_STRING_LENGTH, duration_seconds, is_large, is_large_candidate, json_safe)
 from ..functions.types import is_complex, is_duration, literal_rows, qcol
 from .shape import prepare_columns
 
@@ -36,10 +36,13 @@ def large_numbers_to_string(df: DataFrame, columns: Sequence[str] | None = None)
     return df.select(*[qcol(c).cast("string").alias(c) if c in big else qcol(c) for c in df.columns])
 
 
-def json_safe_records(df: DataFrame, text_columns: Sequence[str] = ()) -> DataFrame:
-    """Projection that makes every cell JSON-safe (see ``functions.render.json_safe``)."""
+def json_safe_records(df: DataFrame, text_columns: Sequence[str] = (), most_chars: int | None = MAX_STRING_LENGTH,
+                      most_bytes: int | None = BINARY_PREFIX_BYTES) -> DataFrame:
+    """Projection that makes every cell JSON-safe (see ``functions.render.json_safe``).
+    Shown cells are cut to ``most_chars`` characters and ``most_bytes`` bytes
+    (None: whole)."""
     text = set(text_columns)
-    return df.select(*[json_safe(qcol(f.name), f.dataType, f.name in text).alias(f.name)
+    return df.select(*[json_safe(qcol(f.name), f.dataType, f.name in text, most_chars, most_bytes).alias(f.name)
                        for f in df.schema.fields])
 
 
@@ -81,7 +84,7 @@ def _number_text(v: Any) -> str:
 
 def sanitize_for_parquet(df: DataFrame) -> DataFrame:
     """Unique text names, then large-number columns as text. Nulls stay null."""
-    return large_numbers_to_string(prepare_columns(df, max_columns=len(df.columns) or 1))
+    return large_numbers_to_string(prepare_columns(df, None))
 
 
 def durations_to_seconds(df: DataFrame) -> DataFrame:
@@ -91,7 +94,7 @@ def durations_to_seconds(df: DataFrame) -> DataFrame:
 
 def sanitize_for_chart(df: DataFrame) -> DataFrame:
     """Unique names and durations as seconds (UUIDs are already text in Spark)."""
-    return durations_to_seconds(prepare_columns(df, max_columns=len(df.columns) or 1))
+    return durations_to_seconds(prepare_columns(df, None))
 
 
 def flatten_cells(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -105,20 +108,23 @@ def flatten_cells(df: DataFrame, key: str | None = None) -> DataFrame:
               .select("row_id", F.posexplode("__cells").alias("position", "value")))
 
 
-def select_input_values(df: DataFrame) -> DataFrame:
-    """First column as a list of texts when it has at most 1,000 rows and
-    10,000 characters, else null; struct/array/map cells give null.
+def select_input_values(df: DataFrame, most_rows: int = SELECT_INPUT_MAX_ELEMENTS,
+                        most_chars: int = SELECT_INPUT_MAX_CHARS) -> DataFrame:
+    """First column as a list of texts when it has at most ``most_rows`` rows and
+    ``most_chars`` characters, else null; struct/array/map cells give null.
 
-    At most 1,001 rows are read: the limit is the feature.
+    At most ``most_rows + 1`` cells are read, each as far as the limit needs:
+    the limit is the feature.
     """
     first = df.schema.fields[0]
     if is_complex(first.dataType):
         return df.sparkSession.range(1).select(F.lit(None).cast("array<string>").alias("values"))
-    head = df.select(qcol(first.name).cast("string").alias("v")).limit(SELECT_INPUT_MAX_ELEMENTS + 1)
+    text = F.substring(qcol(first.name).cast("string"), 1, most_chars + 1)
+    head = df.select(text.alias("v")).limit(most_rows + 1)
     agg = head.agg(F.count(F.lit(1)).alias("n"),
                    F.sum(F.coalesce(F.length("v"), F.lit(0))).alias("chars"),
                    F.collect_list(F.coalesce(F.col("v"), F.lit("None"))).alias("vals"))
-    ok = (F.col("n") <= SELECT_INPUT_MAX_ELEMENTS) & (F.coalesce(F.col("chars"), F.lit(0)) <= SELECT_INPUT_MAX_CHARS)
+    ok = (F.col("n") <= most_rows) & (F.coalesce(F.col("chars"), F.lit(0)) <= most_chars)
     return agg.select(F.when(ok, F.col("vals")).alias("values"))
 
 

@@ -5,21 +5,23 @@ from __future__ import annotations
 import math
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.spec import SortKey
-from ..functions.types import qcol
-from ..session import shared_root
+from ..functions.types import is_complex, qcol
 
 # Display limits.
 MAX_COLUMNS = 500
-MAX_STRING_LENGTH = 1000
 PREVIEW_ROWS = 10_000
 
-# Pages deeper than this are served from a range-partitioned row index instead
-# of a per-partition top-(offset+size) heap.
-DEEP_PAGE_ROWS = 200_000
+# Up to this many rows, the first rows of an order come from per-task heaps;
+# beyond, the order is first narrowed to the key range that holds them. Both
+# ways sort by the same total order and give the same rows.
+DIRECT_ROWS = 200
+# Ranges per narrowing step, sampled rows per range, rows of a range that is sorted.
+RANGES, SAMPLED, RANGE_ROWS = 64, 20, 50_000
 
 
 # --- column names ----------------------------------------------------------------
@@ -31,31 +33,37 @@ def flatten_name(name) -> str:
     return str(name)
 
 
-def unique_names(names: Sequence) -> list[str]:
-    """``x, x`` -> ``x, x.1``; stable and collision-free."""
+def unique_names(names: Sequence, case_sensitive: bool = True) -> list[str]:
+    """``x, x`` -> ``x, x.1``; stable and collision-free, by the case rule given."""
+    fold = str if case_sensitive else str.lower
     out: list[str] = []
     seen: set[str] = set()
     counts: dict[str, int] = {}
     for raw in names:
         base = flatten_name(raw)
         name = base
-        while name in seen:
-            counts[base] = counts.get(base, 0) + 1
-            name = f"{base}.{counts[base]}"
-        seen.add(name)
+        while fold(name) in seen:
+            counts[fold(base)] = counts.get(fold(base), 0) + 1
+            name = f"{base}.{counts[fold(base)]}"
+        seen.add(fold(name))
         out.append(name)
     return out
 
 
-def prepare_columns(df: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """Unique text names (renamed by position, so duplicates never resolve
-    ambiguously), then the first ``max_columns`` columns. Pure projection."""
-    names = unique_names(df.columns)
+def prepare_columns(df: DataFrame, max_columns: int | None = MAX_COLUMNS) -> DataFrame:
+    """Unique text names under the session's case rule (renamed by position, so
+    duplicates never resolve ambiguously), then the first ``max_columns``
+    columns (None: all). Pure projection."""
+    sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    names = unique_names(df.columns, sensitive)
     if names != list(df.columns):
         df = df.toDF(*names)
-    if len(names) > max_columns:
-        df = df.select(*[qcol(n) for n in names[:max_columns]])
-    return df
+    return first_columns(df, max_columns)
+
+
+def first_columns(df: DataFrame, most: int | None) -> DataFrame:
+    names = df.columns
+    return df if most is None or len(names) <= most else df.select(*map(qcol, names[:most]))
 
 
 # --- sorting and paging ----------------------------------------------------------
@@ -85,75 +93,168 @@ def clamp_page(total: int, page_index: int, page_size: int) -> int:
     return min(page_index, last)
 
 
+Order = list[tuple[str, bool]]   # (column, ascending), no two rows equal on all
+
+
+def _ranked(df: DataFrame, keys: Iterable[SortKey], by_content: bool = True) -> tuple[DataFrame, Order]:
+    """``df`` with helper columns, and a total order over it: the keys, then a
+    hash of the row, then its place in the input. Without keys the order is that
+    of the input (``by_content=False``)."""
+    known = [(c, asc) for c, asc in keys if c in df.columns]
+    out = df
+    if known and by_content:
+        cells = [qcol(f.name) if not is_complex(f.dataType) else F.to_json(F.struct(qcol(f.name))) for f in df.schema.fields]
+        out = out.withColumn(ROW_HASH, F.xxhash64(*cells))
+        known.append((ROW_HASH, True))
+    return out.withColumn(ROW_PLACE, F.monotonically_increasing_id()), known + [(ROW_PLACE, True)]
+
+
+ROW_HASH, ROW_PLACE = "__tk_hash", "__tk_place"
+
+
+def _to_driver(c: Column, dtype) -> Column:
+    """A sort key in a form that no session or driver time zone changes."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    return c.cast("string") if isinstance(dtype, T.TimestampNTZType) else c
+
+
+def _from_driver(v, dtype) -> Column:
+    return F.timestamp_micros(F.lit(v)) if isinstance(dtype, T.TimestampType) else F.lit(v).cast(dtype)
+
+
+def _behind(bound: Row, order: Order, schema) -> Column:
+    """Whether a row comes behind ``bound`` in ``order`` (nulls last both ways)."""
+    out = F.lit(False)
+    for name, asc in reversed(order):
+        c, v = qcol(name), bound[name]
+        if v is None:      # only equal rows (null too) can still come behind
+            out = c.isNull() & out
+            continue
+        lit = _from_driver(v, schema[name].dataType)
+        out = c.isNull() | (c > lit if asc else c < lit) | ((c == lit) & out)
+    return F.coalesce(out, F.lit(False))
+
+
+def _range_number(bounds: list[Row], order: Order, schema, low: int = 0) -> Column:
+    """Number of bounds that a row comes behind: a balanced tree of comparisons."""
+    if not bounds:
+        return F.lit(low)
+    mid = len(bounds) // 2
+    return F.when(_behind(bounds[mid], order, schema), _range_number(bounds[mid + 1:], order, schema, low + mid + 1)).otherwise(
+        _range_number(bounds[:mid], order, schema, low))
+
+
+def _bounds(df: DataFrame, order: Order, rows: int, ranges: int) -> list[Row]:
+    """At most ``ranges - 1`` rows that cut ``df`` into ranges of about equal
+    size, from a sample of about ``SAMPLED`` rows per range."""
+    fraction = min(1.0, SAMPLED * ranges / max(rows, 1))
+    if any(is_complex(df.schema[c].dataType) for c, _ in order):
+        return []
+    keys = df.select(*[qcol(c) for c, _ in order])
+    head = (keys.sample(fraction, seed=17) if fraction < 1 else keys).limit(2 * SAMPLED * ranges)
+    sample = head.orderBy(*sort_columns(order, df.columns)).select(
+        *[_to_driver(qcol(c), df.schema[c].dataType).alias(c) for c, _ in order]).collect()
+    return [sample[k * len(sample) // ranges] for k in range(1, ranges) if len(sample) >= ranges]
+
+
+def _slice(df: DataFrame, order: Order, start: int, stop: int, total: int, direct: int = DIRECT_ROWS) -> DataFrame:
+    """Rows ``start`` to ``stop`` of the order. Key ranges are counted (sort keys
+    only are read) and narrowed until the rows' ranges are small; then just they
+    are sorted. No task takes more than ``stop - start`` rows plus one range."""
+    cols = sort_columns(order, df.columns)
+    part, rows, skipped = df, total, 0
+    while start - skipped + (stop - start) > direct and rows > max(RANGE_ROWS, 4 * (stop - start)):
+        bounds = _bounds(part, order, rows, RANGES)
+        number = _range_number(bounds, order, df.schema)
+        counts = dict(part.groupBy(number.alias("n")).count().collect())
+        ends, running = [], skipped
+        for k in range(len(bounds) + 1):
+            running += counts.get(k, 0)
+            ends.append(running)
+        first = next(k for k, e in enumerate(ends) if e > start or k == len(bounds))
+        last = next(k for k, e in enumerate(ends) if e >= stop or k == len(bounds))
+        fewer = sum(counts.get(k, 0) for k in range(first, last + 1))
+        if fewer >= rows:
+            break
+        skipped, rows = (ends[first - 1] if first else skipped), fewer
+        if first:
+            part = part.filter(_behind(bounds[first - 1], order, df.schema))
+        if last < len(bounds):
+            part = part.filter(~_behind(bounds[last], order, df.schema))
+    ordered = part.orderBy(*cols)
+    if start > skipped:
+        ordered = ordered.offset(start - skipped)
+    return ordered.limit(stop - start)
+
+
+def first_rows(df: DataFrame, keys: Iterable[SortKey], n: int, total: int | None = None,
+               index_col: str | None = None) -> DataFrame:
+    """The first ``n`` rows in key order (ties as on every page; without keys in
+    input order), numbered from 0 in ``index_col`` if that is given."""
+    ranked, order = _ranked(df, keys)
+    if n > DIRECT_ROWS and total is None:
+        total = df.count()
+    return _numbered(_slice(ranked, order, 0, n, total or 0), order, 0, index_col, df.columns)
+
+
+def _numbered(rows: DataFrame, order: Order, start: int, index_col: str | None, columns: Sequence[str]) -> DataFrame:
+    if index_col:      # bounded: a page or a preview
+        w = Window.orderBy(*sort_columns(order, rows.columns))
+        rows = rows.withColumn(index_col, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
+    return rows.select(*map(qcol, columns), *([qcol(index_col)] if index_col else []))
+
+
 def paginate(df: DataFrame, page_index: int, page_size: int, keys: Iterable[SortKey] = (),
-             total: int | None = None, index_col: str | None = None,
-             deep_threshold: int = DEEP_PAGE_ROWS) -> DataFrame:
+             total: int | None = None, index_col: str | None = None, direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Page ``page_index`` of ``page_size`` rows; past the end -> last page.
 
-    Shallow pages plan as ``TakeOrderedAndProject(limit, offset)``: each task
-    keeps only its top ``offset+size`` rows. Deep pages switch to a global row
-    index over a range-partitioned sort so no task holds more than its range.
-    Callers that need reproducible pages must include a unique key in ``keys``.
+    All pages cut one total order (the keys, then the row's content, then its
+    place), so together they give every row once. Pages near the start plan as
+    ``TakeOrderedAndProject``; for others the key range of the page is found
+    first by counts, and only that range is sorted.
     """
-    if total is None and page_index > 0:
-        total = df.count()          # only needed to clamp a page past the end
+    keys = list(keys)
+    if total is None and (page_index > 0 or page_size > direct_rows):
+        total = df.count()          # to clamp a page past the end and to size ranges
     page_index = clamp_page(total if total is not None else 0, page_index, page_size)
     start = page_index * page_size
-    cols = sort_columns(keys, df.columns)
-    if start + page_size > deep_threshold and cols:
-        name = index_col or "__tk_row"
-        indexed = with_row_index(df, cols, name)
-        page = indexed.filter((F.col(name) >= start) & (F.col(name) < start + page_size))
-        return page if index_col else page.drop(name)
-    ordered = df.orderBy(*cols) if cols else df
-    page = ordered.offset(start).limit(page_size) if start else ordered.limit(page_size)
-    if index_col:
-        # bounded (<= page_size rows): a single-partition window is fine here
-        w = Window.orderBy(*cols) if cols else Window.orderBy(F.monotonically_increasing_id())
-        page = page.withColumn(index_col, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
-    return page
-
-
-def with_row_index(df: DataFrame, order: Sequence[Column], name: str = "row_index") -> DataFrame:
-    """0-based global row number in ``order`` without a global window.
-
-    1. global sort (range partitioned; the input position is the last key, so
-       hot sort values are split over ranges) and tag each row with
-       ``monotonically_increasing_id`` = (partition << 33) + position;
-    2. reliable checkpoint to the shared folder, so the tags survive executor
-       loss and re-reads agree;
-    3. count rows per partition (one tiny aggregate), turn the counts into start
-       offsets on the driver (one number per partition) and add them back as a
-       literal array lookup: no join, no shuffle.
-    """
-    shared_root(df.sparkSession)  # fail early with a clear message if unset
-    # the input position breaks ties: equal sort keys (a value holding a third
-    # of the table) still spread over many ranges, and tie order is reproducible
-    ordered = (df.withColumn("__tk_in", F.monotonically_increasing_id())
-                 .orderBy(*order, F.col("__tk_in")).drop("__tk_in"))
-    tagged = ordered.withColumn("__tk_mid", F.monotonically_increasing_id())
-    tagged = tagged.checkpoint(eager=True)
-    part = F.shiftright(F.col("__tk_mid"), 33)
-    counts = dict(tagged.groupBy(part.alias("p")).count().collect())
-    offsets, running = [], 0
-    for p in range(max(counts) + 1 if counts else 0):
-        offsets.append(running)
-        running += counts.get(p, 0)
-    if not offsets:
-        return tagged.withColumn(name, F.lit(0).cast("long")).drop("__tk_mid")
-    pos = F.col("__tk_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    start = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), (part + 1).cast("int"))
-    return tagged.withColumn(name, start + pos).drop("__tk_mid")
-
-
-def add_index_after_limit(df: DataFrame, n: int, keys: Iterable[SortKey] = (),
-                          name: str = "row_index") -> DataFrame:
-    """First ``n`` rows (in key order) numbered 0..n-1. The window runs over at
-    most ``n`` rows, never over the whole table."""
-    cols = sort_columns(keys, df.columns)
-    head = (df.orderBy(*cols) if cols else df).limit(n)
-    w = Window.orderBy(*cols) if cols else Window.orderBy(F.monotonically_increasing_id())
-    return head.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    ranked, order = _ranked(df, keys)
+    page = _slice(ranked, order, start, start + page_size, total or 0, direct_rows)
+    return _numbered(page, order, start, index_col, df.columns)
+
+
+def with_ranges(df: DataFrame, keys: Iterable[SortKey], ranges: int) -> DataFrame:
+    """``df`` with its total order's helper columns and ``__tk_range``: the number
+    of its key range, cut by sampled bounds (also through equal keys: the row's
+    content and place are the last keys)."""
+    ranked, order = _ranked(df, keys)
+    bounds = _bounds(ranked, order, df.count(), ranges)
+    return ranked.withColumn("__tk_range", _range_number(bounds, order, ranked.schema))
+
+
+def with_row_index(df: DataFrame, keys: Iterable[SortKey], name: str = "row_index", ranges: int | None = None) -> DataFrame:
+    """0-based number of every row in key order, without a global window: key
+    ranges are counted, one number each; rows are numbered inside their range by
+    a window partitioned by range, plus the rows in front of it. Nothing is
+    stored, and the numbers are a function of the rows and the bounds alone."""
+    keys = list(keys)
+    ranges = ranges or min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranked = with_ranges(df, keys, ranges)
+    counts = dict(ranked.groupBy("__tk_range").count().collect())
+    before, running = [], 0
+    for k in range(max(counts, default=0) + 1):
+        before.append(running)
+        running += counts.get(k, 0)
+    w = Window.partitionBy("__tk_range").orderBy(*sort_columns([*keys, (ROW_HASH, True), (ROW_PLACE, True)], ranked.columns))
+    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("__tk_range") + 1)
+    return ranked.withColumn(name, (start + F.row_number().over(w) - 1).cast("long")).select(
+        *map(qcol, df.columns), qcol(name))
+
+
+def add_index_after_limit(df: DataFrame, n: int, keys: Iterable[SortKey] = (), name: str = "row_index") -> DataFrame:
+    """First ``n`` rows (in key order) numbered 0..n-1."""
+    return first_rows(df, keys, n, index_col=name)
 
 
 def add_limit(df: DataFrame, limit: int = 100) -> DataFrame:
@@ -166,26 +267,24 @@ def add_limit(df: DataFrame, limit: int = 100) -> DataFrame:
 
 def sample_n(df: DataFrame, n: int, seed: int = 0, key_columns: Sequence[str] | None = None,
              total: int | None = None) -> DataFrame:
-    """At most ``n`` random rows, reproducible by ``seed``.
+    """``n`` random rows (all, if there are fewer), reproducible by ``seed``.
 
-    With ``key_columns``: rows ranked by ``md5(key | seed)`` and the first ``n``
-    kept (exact n, the same set on any engine or partitioning; plans as a
-    per-task top-n heap). Without: Bernoulli ``sample(1.2 n / size)`` then
-    ``limit(n)``; an empty table gives an empty result.
+    Rows are ranked by ``md5(key | seed)`` and the first ``n`` kept: with
+    ``key_columns`` the same set on any engine or partitioning, without them by
+    the row's place in the input.
     """
     if n < 1:
         raise ValueError("n must be >= 1")
+    rank = "__tk_rank"
     if key_columns:
-        return df.orderBy(sample_rank(key_columns, seed)).limit(n)
-    if total is None:
-        total = df.count()
-    if total == 0:
-        return df.limit(0)
-    fraction = min(1.2 * n / total, 1.0)
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed).limit(n)
+        ranked = df.withColumn(rank, sample_rank(key_columns, seed))
+    else:
+        ranked = df.withColumn(rank, F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
+    return first_rows(ranked, [(rank, True)], n, total).drop(rank)
 
 
 def sample_rank(key_columns: Sequence[str], seed: int) -> Column:
-    parts = [qcol(k).cast("string") for k in key_columns]
-    key = parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
-    return F.md5(F.concat(key, F.lit(f"|{seed}")))
+    """md5 of the keys' texts, joined by ``|``, and the seed; a null key has a
+    text of its own (NUL), so null rows are sampled like any other."""
+    parts = [F.coalesce(qcol(k).cast("string"), F.lit("\x00")) for k in key_columns]
+    return F.md5(F.concat(F.concat_ws("|", *parts), F.lit(f"|{seed}")))

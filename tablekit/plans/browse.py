@@ -1,207 +1,212 @@
-"""Browse, describe and preview pipelines: spec -> one lazy plan -> bounded rows.
+"""Browse, describe and preview: a view of a table -> one lazy plan -> bounded rows.
 
-Order of work is fixed: unique names -> filters -> 500-column cut -> sort ->
-page. Filtering before the column cut means a filter on column 600 still
-applies (the cut is only about display width).
+Conditions and order work on all columns; ``MAX_COLUMNS`` only bounds what a page
+shows. Rows that conditions select are kept apart from their order: counts,
+sizes and profiles read the selected rows and never sort.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-from dataclasses import dataclass
-from typing import Any, Iterable
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spec import BrowseSpec, Filter, SortKey, parse_filters
+from ..functions.spec import SortKey, View, read_conditions, read_view
+from ..functions.types import qcol
 from ..operators import profile as prof
 from ..operators.filtering import apply_filters
 from ..operators.records import json_safe_records, large_number_columns, to_records
-from ..operators.shape import (MAX_COLUMNS, PREVIEW_ROWS, clamp_page, paginate,
-                               prepare_columns, sample_rank, sort_columns, sort_multi)
+from ..operators.shape import (MAX_COLUMNS, PREVIEW_ROWS, clamp_page, first_columns, first_rows, paginate,
+                               prepare_columns, sample_n, size, sort_multi)
 
 INDEX_COLUMN = "row_index"
 # Fixed value: the preview JSON is cut before the record that would pass 10 MB.
 PREVIEW_JSON_MAX_BYTES = 10 * 1024 * 1024
 
+Spec = View | str | dict | None
 
-def apply_browse_spec(df: DataFrame, spec: BrowseSpec | str | dict | None,
-                      today: dt.date | None = None) -> DataFrame:
-    """Filter and sort a table from one spec, as a single lazy plan."""
-    if not isinstance(spec, BrowseSpec):
-        spec = BrowseSpec.from_json(spec, df.columns)
-    named = prepare_columns(df, max_columns=max(len(df.columns), 1))
-    filtered = apply_filters(named, spec.filters, today)
-    return sort_multi(prepare_columns(filtered, MAX_COLUMNS), spec.sort_by)
 
+def selected_rows(df: DataFrame, spec: Spec, today: dt.date | None = None) -> DataFrame:
+    """The rows that a view's conditions keep, with all columns, unsorted."""
+    return apply_filters(prepare_columns(df, None), read_view(spec, df.columns).conditions, today)
 
-def browse_page(df: DataFrame, spec: BrowseSpec | str | dict | None, total: int | None = None,
-                today: dt.date | None = None, index_col: str = INDEX_COLUMN) -> DataFrame:
-    """The requested page as a JSON-safe table with its global row index."""
-    if not isinstance(spec, BrowseSpec):
-        spec = BrowseSpec.from_json(spec, df.columns)
-    processed = apply_browse_spec(df, spec, today)
-    page = paginate(processed, spec.page_index, spec.page_size, spec.sort_by,
-                    total=total, index_col=index_col)
-    return json_safe_records(page)
+
+def apply_browse_spec(df: DataFrame, spec: Spec, today: dt.date | None = None) -> DataFrame:
+    """Filter and sort a table by one view, as a single lazy plan over all columns."""
+    view = read_view(spec, df.columns)
+    return sort_multi(selected_rows(df, view, today), view.order)
+
+
+def browse_page(df: DataFrame, spec: Spec, total: int | None = None, today: dt.date | None = None,
+                index_col: str = INDEX_COLUMN, max_columns: int | None = MAX_COLUMNS) -> DataFrame:
+    """The requested page as a JSON-safe table with its global row index. The
+    page is computed once, on the driver's bounded rows, where numbers past 2^53
+    decide which columns become text."""
+    view = read_view(spec, df.columns)
+    rows = selected_rows(df, view, today)
+    page = paginate(rows, view.page, view.rows_per_page, view.order, total=total, index_col=index_col)
+    shown = page.select(*map(qcol, first_columns(rows, max_columns).columns), qcol(index_col))
+    return json_safe_records(shown, large_number_columns(shown))
 
 
 @dataclass
-class BrowseResult:
-    processed: DataFrame | None
-    rows: list[dict[str, Any]]
-    row_count: int
-    preview_row_count: int
-    output_type: str = "dataframe"
-
-
-def browse_table(df: DataFrame, spec: BrowseSpec | str | dict | None,
-                 today: dt.date | None = None, preview: "DataPreview | None" = None) -> BrowseResult:
-    """prepare -> filter -> sort -> page -> JSON-safe rows + counts. With a
-    ``DataPreview`` the page is served from its cached head instead."""
-    if not isinstance(spec, BrowseSpec):
-        spec = BrowseSpec.from_json(spec, df.columns)
+class Shown:
+    """What a front end draws: a page, the sizes behind it, and the selected rows."""
+    page: list[dict[str, Any]] = field(default_factory=list)
+    total: int = 0
+    held: int = 0
+    source: str = "dataframe"
+    selected: DataFrame | None = None
+
+
+def browse_table(df: DataFrame, spec: Spec, today: dt.date | None = None, preview: "HeldPreview | None" = None,
+                 max_columns: int | None = MAX_COLUMNS) -> Shown:
+    """The page of a view with its counts; from a held preview's rows, if one is
+    given. An empty selection needs no page job."""
+    view = read_view(spec, df.columns)
     if preview is not None:
-        preview.update_if_needed(spec.filters, spec.sort_by, today)
-        return BrowseResult(preview.processed, preview.page(spec.page_index, spec.page_size),
-                            preview.total_size, preview.row_count, "data_preview")
-    if not df.columns:
-        return BrowseResult(df, [], 0, 0)
-    processed = apply_browse_spec(df, spec, today)
-    total = processed.count()
-    if total == 0:
-        return BrowseResult(processed, [], 0, 0)
-    page_index = clamp_page(total, spec.page_index, spec.page_size)
-    page = paginate(processed, page_index, spec.page_size, spec.sort_by, total=total)
-    rows = to_records(page, spec.page_size)
-    return BrowseResult(processed, rows, total, total)
-
-
-def describe_table(df: DataFrame, spec: BrowseSpec | str | dict | None,
-                   today: dt.date | None = None, max_cells: int | None = None) -> dict[str, Any]:
-    """Browse result plus column stats in one document."""
-    if not isinstance(spec, BrowseSpec):
-        spec = BrowseSpec.from_json(spec, df.columns)
-    result = browse_table(df, spec, today)
-    stats = prof.analyze_columns_records(result.processed, spec.color_scale_column_names, max_cells)
-    return {"column_count": len(df.columns), "columns": stats, "row_count": result.row_count,
-            "preview_row_count": result.preview_row_count, "rows": result.rows,
-            "type": result.output_type}
+        preview.show(view, today)
+        return Shown(preview.rows(view.page, view.rows_per_page), preview.total, preview.held, "data_preview",
+                     preview.selected)
+    rows = selected_rows(df, view, today)
+    total = size(rows) if df.columns else 0
+    if not total:
+        return Shown(selected=rows)
+    page = paginate(rows, view.page, view.rows_per_page, view.order, total=total)
+    return Shown(to_records(first_columns(page, max_columns), view.rows_per_page), total, total, selected=rows)
+
+
+def describe_table(df: DataFrame, spec: Spec, today: dt.date | None = None) -> dict[str, Any]:
+    """A page, its counts and the profile of the selected rows in one document."""
+    shown = browse_table(df, spec, today)
+    return {"column_count": len(df.columns), "columns": prof.analyze_columns_records(shown.selected),
+            "row_count": shown.total, "preview_row_count": shown.held, "rows": shown.page, "type": shown.source}
 
 
 # --- data preview ------------------------------------------------------------------
 
-def preview_head(processed: DataFrame, keys: Iterable[SortKey] = (), mode: str = "head",
-                 size: int = PREVIEW_ROWS, seed: int = 42, sample_keys: list[str] | None = None,
-                 index_col: str = INDEX_COLUMN) -> DataFrame:
-    """At most ``size`` rows of an already filtered/sorted table, numbered
-    0..n-1 in order. ``mode="sampled"`` takes a reproducible hash sample
-    (ordered by the sort keys afterwards). The window covers only the bounded head."""
-    cols = sort_columns(keys, processed.columns)
-    if mode == "head":
-        head = processed.limit(size)
-        order = cols or [F.monotonically_increasing_id()]
-    else:
-        rank = sample_rank(sample_keys or processed.columns, seed)
-        head = processed.withColumn("__tk_rank", rank).orderBy("__tk_rank").limit(size)
-        order = cols + [F.col("__tk_rank")]
-    indexed = head.withColumn(index_col, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    return indexed.drop("__tk_rank") if mode != "head" else indexed
-
-
-class DataPreview:
-    """Filtered, sorted first ``size`` rows of a source table, persisted until
-    the filters (compared as a set) or the sort keys (in order) change."""
-
-    def __init__(self, source: DataFrame, size: int = PREVIEW_ROWS, mode: str = "head"):
-        self.source = source
-        self.size = size
-        self.mode = mode
-        self._key: tuple | None = None
-        self.data: DataFrame | None = None
-        self.processed: DataFrame | None = None
-        self.total_size = 0
-        self.row_count = 0
-        self._stats: tuple | None = None
-
-    def satisfies(self, filters: Iterable[Filter], sort_by: Iterable[SortKey]) -> bool:
-        return self._key == (frozenset(filters), tuple(sort_by))
-
-    def update_if_needed(self, filters: Iterable[Filter], sort_by: Iterable[SortKey],
-                         today: dt.date | None = None) -> None:
-        filters, sort_by = list(filters), list(sort_by)
-        if self.satisfies(filters, sort_by):
-            return
-        if self.data is not None:
-            self.data.unpersist()
-        spec = BrowseSpec(filters=filters, sort_by=sort_by)
-        self.processed = apply_browse_spec(self.source, spec, today)
-        # the head (a top-n over the whole table) is computed once and kept;
-        # the large-number check and the JSON-safe copy both read it
-        if getattr(self, "_head", None) is not None:
-            self._head.unpersist()
-        self._head = preview_head(self.processed, sort_by, self.mode, self.size).persist(StorageLevel.MEMORY_AND_DISK)
-        big = large_number_columns(self._head)
-        self.data = json_safe_records(self._head, big).persist(StorageLevel.MEMORY_AND_DISK)
-        counts = self.data.agg(F.count(F.lit(1))).first()[0]
-        self.row_count = counts
-        self.total_size = self.processed.count()
-        self._key = (frozenset(filters), tuple(sort_by))
-        self._stats = None
-
-    def page_df(self, page_index: int, page_size: int) -> DataFrame:
-        page_index = clamp_page(self.row_count, page_index, page_size)
-        start = page_index * page_size
-        idx = F.col(INDEX_COLUMN)
-        return self.data.filter((idx >= start) & (idx < start + page_size)).orderBy(INDEX_COLUMN)
-
-    def page(self, page_index: int, page_size: int) -> list[dict[str, Any]]:
-        return [r.asDict(recursive=True) for r in self.page_df(page_index, page_size).collect()]
-
-    def column_stats(self, color_scale_columns: list[str] | None = None) -> list[dict]:
-        key = tuple(sorted(color_scale_columns or []))
-        if self._stats is None or self._stats[0] != key:
-            self._stats = (key, prof.analyze_columns_records(self.processed, list(key)))
-        return self._stats[1]
-
-
-def page_of_preview(preview_rows: DataFrame, page_index: int, page_size: int,
-                    row_count: int, index_col: str = INDEX_COLUMN) -> DataFrame:
-    """Page over an indexed preview table, clamped to its last page."""
-    page_index = clamp_page(row_count, page_index, page_size)
+def preview_head(rows: DataFrame, keys: Iterable[SortKey] = (), mode: str = "head", most: int = PREVIEW_ROWS,
+                 seed: int = 42, sample_keys: list[str] | None = None, index_col: str = INDEX_COLUMN,
+                 total: int | None = None) -> DataFrame:
+    """At most ``most`` of the selected rows, numbered 0..n-1 in key order: the
+    first ones, or (``mode="sampled"``) a reproducible hash sample."""
+    keys = list(keys)
+    if mode == "sampled":
+        rows, total = sample_n(rows, most, seed, sample_keys or rows.columns, total), None
+        total = most
+    return first_rows(rows, keys, most, total, index_col)
+
+
+class HeldPreview:
+    """The first (or sampled) rows of a view, persisted until another source,
+    other conditions, another order or another day ask for others. ``close``
+    lets them go; the object is a context manager."""
+
+    def __init__(self, source: DataFrame, most: int = PREVIEW_ROWS, mode: str = "head"):
+        self.source, self.most, self.mode = source, most, mode
+        self.total = self.held = 0
+        self.selected: DataFrame | None = None
+        self.head: DataFrame | None = None
+        self._as_text: list[str] = []
+        self._made_for: tuple | None = None
+        self._profile: list[dict] | None = None
+
+    def _asked(self, view: View, source: DataFrame, today: dt.date | None) -> tuple:
+        # relative dates read the day the rows are asked for
+        return source.semanticHash(), view.same_rows(), today or dt.date.today()
+
+    def holds(self, view: View, source: DataFrame | None = None, today: dt.date | None = None) -> bool:
+        return self._made_for == self._asked(view, source or self.source, today)
+
+    def show(self, spec: Spec, today: dt.date | None = None, source: DataFrame | None = None) -> "HeldPreview":
+        """Make sure that the rows of ``spec`` (of ``source``, if it has changed) are held."""
+        source = source or self.source
+        view = read_view(spec, source.columns)
+        if not self.holds(view, source, today):
+            self.close()
+            self.source = source
+            self.selected = selected_rows(source, view, today)
+            self.total = size(self.selected)
+            self.head = preview_head(self.selected, view.order, self.mode, self.most, total=self.total).persist(
+                StorageLevel.MEMORY_AND_DISK)
+            self.held = min(self.total, self.most)
+            self._as_text = large_number_columns(self.head)
+            self._made_for = self._asked(view, source, today)
+        return self
+
+    def close(self) -> None:
+        if self.head is not None:
+            self.head.unpersist()
+        self.head = self.selected = self._made_for = self._profile = None
+
+    def __enter__(self) -> "HeldPreview":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    @property
+    def data(self) -> DataFrame:
+        """The held rows, JSON-safe."""
+        return json_safe_records(self.head, self._as_text)
+
+    def frame(self, page: int, rows_per_page: int) -> DataFrame:
+        return page_of_preview(self.data, page, rows_per_page, self.held).orderBy(INDEX_COLUMN)
+
+    def rows(self, page: int, rows_per_page: int) -> list[dict[str, Any]]:
+        return [r.asDict(recursive=True) for r in self.frame(page, rows_per_page).collect()]
+
+    def column_stats(self) -> list[dict]:
+        """Profile of all selected rows (not of the held ones), computed once."""
+        if self._profile is None:
+            self._profile = prof.analyze_columns_records(self.selected)
+        return self._profile
+
+
+def page_of_preview(preview_rows: DataFrame, page_index: int, page_size: int, row_count: int | None = None,
+                    index_col: str = INDEX_COLUMN) -> DataFrame:
+    """Page over an indexed preview table, clamped to its last page (rows are
+    counted where ``row_count`` is not given)."""
+    page_index = clamp_page(size(preview_rows) if row_count is None else row_count, page_index, page_size)
     start = page_index * page_size
     idx = F.col(index_col)
     return preview_rows.filter((idx >= start) & (idx < start + page_size))
 
 
-def preview_json_rows(preview_rows: DataFrame, max_bytes: int = PREVIEW_JSON_MAX_BYTES,
+def preview_json_rows(preview_rows: DataFrame, max_bytes: int | None = PREVIEW_JSON_MAX_BYTES,
                       index_col: str = INDEX_COLUMN) -> DataFrame:
     """Preview rows as JSON texts, cut before the record that would push the
-    running UTF-8 size past ``max_bytes``. The running sum is a window over the
-    bounded (<= 10,000 row) preview only."""
-    js = preview_rows.select(index_col, F.to_json(F.struct(*[c for c in preview_rows.columns])).alias("json"))
+    running UTF-8 size past ``max_bytes`` (None: all). The running sum is a
+    window over the bounded preview only."""
+    js = preview_rows.select(index_col, F.to_json(F.struct(*map(qcol, preview_rows.columns))).alias("json"))
     w = Window.orderBy(index_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = js.withColumn("running_bytes", F.sum(F.octet_length("json")).over(w))
-    return sized.filter(F.col("running_bytes") <= max_bytes)
-
-
-def data_preview_json(df: DataFrame, filters: str | list, sort_by: str | list,
-                      size: int = PREVIEW_ROWS, mode: str = "sampled",
-                      max_bytes: int = PREVIEW_JSON_MAX_BYTES) -> str:
-    """The preview as one JSON array text (bounded edge: <= ``size`` rows, <= 10 MB)."""
-    filters = parse_filters(filters) if isinstance(filters, str) else list(filters)
-    sort_by = [tuple(s) for s in (json.loads(sort_by) if isinstance(sort_by, str) else sort_by)]
-    processed = apply_browse_spec(df, BrowseSpec(filters=filters, sort_by=sort_by))
-    head = preview_head(processed, sort_by, mode, size)
-    rows = preview_json_rows(json_safe_records(head, large_number_columns(head)), max_bytes)
-    texts = [r["json"] for r in rows.orderBy(INDEX_COLUMN).select("json").collect()]
-    return "[" + ",".join(texts) + "]"
-
-
-def preview_total_size(processed: DataFrame, preview_rows: int = PREVIEW_ROWS) -> DataFrame:
+    return sized if max_bytes is None else sized.filter(F.col("running_bytes") <= max_bytes)
+
+
+def data_preview_json(df: DataFrame, conditions: str | Iterable, order: str | Iterable, most: int = PREVIEW_ROWS,
+                      mode: str = "sampled", max_bytes: int | None = PREVIEW_JSON_MAX_BYTES,
+                      sample_keys: list[str] | None = None, most_chars: int | None = 1000) -> str:
+    """The preview as one JSON array text (bounded edge: ``most`` rows,
+    ``max_bytes`` bytes, ``most_chars`` characters a cell)."""
+    keys = tuple((c, bool(asc)) for c, asc in (json.loads(order) if isinstance(order, str) else order))
+    rows = selected_rows(df, View(tuple(read_conditions(conditions)), keys))
+    head = preview_head(rows, keys, mode, most, sample_keys=sample_keys).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        safe = json_safe_records(head, large_number_columns(head), most_chars)
+        texts = preview_json_rows(safe, max_bytes).orderBy(INDEX_COLUMN).select("json").collect()
+    finally:
+        head.unpersist()
+    return "[" + ",".join(r["json"] for r in texts) + "]"
+
+
+def preview_total_size(selected: DataFrame, preview_rows: int = PREVIEW_ROWS) -> DataFrame:
     """Rows after filters next to the preview's own row count, one aggregate."""
     n = F.count(F.lit(1))
-    return processed.agg(n.alias("row_count"), F.least(n, F.lit(preview_rows)).alias("preview_row_count"))
+    return selected.agg(n.alias("row_count"), F.least(n, F.lit(preview_rows)).alias("preview_row_count"))

@@ -4,7 +4,7 @@ Spark does all query work: text goes to ``spark.sql`` with *bound* parameters
 (values never become SQL text), chained results are published as temp views
 whose lazy plans Catalyst inlines, and previews are ``limit`` views of the full
 lazy result. The only text handling here is replacing the four template
-placeholder forms by parameter markers; there is no SQL parsing.
+placeholder forms by parameter markers; statements are told apart by Spark's parser.
 """
 
 from __future__ import annotations
@@ -13,17 +13,19 @@ import contextlib
 import hashlib
 import json
 import re
+import string
+import uuid
 from dataclasses import dataclass, field
 from typing import Any, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..session import shared_path
 
-# SQL cell limits and cache modes.
+# Rows of a query preview, and the cache modes.
 QUERY_PREVIEW_ROWS = 100
 CACHE_DISABLED, READ_OR_WRITE, ALWAYS_WRITE = "cache_disabled", "read_or_write", "always_write"
-CACHE_MAX_BYTES = 5 * 1024 ** 3
 
 
 class SqlCellError(ValueError):
@@ -32,18 +34,41 @@ class SqlCellError(ValueError):
 
 # --- tables by name -----------------------------------------------------------------
 
+class Views:
+    """Temp views made under given names; ``drop`` gives every name back to the
+    view that had it before (a user's own view is never lost)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.before: dict[str, DataFrame | None] = {}
+
+    def put(self, name: str, df: DataFrame) -> None:
+        if name not in self.before:
+            temporary = [t for t in self.spark.catalog.listTables(pattern=name) if t.isTemporary and t.name == name.lower()]
+            self.before[name] = self.spark.table(quote_identifier(name)) if temporary else None
+        df.createOrReplaceTempView(name)
+
+    def drop(self) -> None:
+        for name, df in self.before.items():
+            if df is None:
+                self.spark.catalog.dropTempView(name)
+            else:
+                df.createOrReplaceTempView(name)
+        self.before = {}
+
+
 @contextlib.contextmanager
 def temp_views(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Iterator[None]:
-    """Publish tables under names for the duration of the block, then drop the
-    names. DataFrames made inside keep working: ``spark.sql`` resolves views
-    when the query is analysed."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+    """Publish tables under names for the duration of the block, then give the
+    names back. DataFrames made inside keep working: ``spark.sql`` resolves
+    views when the query is analysed."""
+    views = Views(spark)
     try:
+        for name, df in tables.items():
+            views.put(name, df)
         yield
     finally:
-        for name in tables:
-            spark.catalog.dropTempView(name)
+        views.drop()
 
 
 def sql_on_tables(spark: SparkSession, query: str, tables: Mapping[str, DataFrame] | None = None,
@@ -55,6 +80,7 @@ def sql_on_tables(spark: SparkSession, query: str, tables: Mapping[str, DataFram
 
 # --- templates -> bound parameters -----------------------------------------------------
 
+_COMMENTS = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)      # only to see whether a cell is empty
 _PLACEHOLDER = re.compile(r"\{\{\s*([A-Za-z_][A-Za-z0-9_]*)\s*(?:\|\s*([a-z_]+)\s*)?\}\}")
 
 
@@ -103,26 +129,38 @@ def run_template(spark: SparkSession, template: str, params: Mapping[str, Any] |
     return sql_on_tables(spark, sql, tables, args)
 
 
-# --- statement kind (lexical) ------------------------------------------------------------
+# --- statement kind, by Spark's own parser ------------------------------------------------
 
-_COMMENTS = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
-_STRINGS = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`")
-
-
-def is_single_select(query: str) -> bool:
-    """One statement that reads rows (SELECT / WITH / VALUES / FROM / TABLE).
-    Comments and quoted text are ignored; a trailing ``;`` is allowed."""
-    body = _STRINGS.sub("''", _COMMENTS.sub(" ", query)).strip().rstrip(";").strip()
-    if not body or ";" in body:
+def is_single_select(query: str, spark: SparkSession | None = None) -> bool:
+    """Whether Spark parses ``query`` as one statement that only reads rows: no
+    command and no other statement anywhere in its plan (an INSERT behind WITH
+    or FROM included). Template placeholders count as values."""
+    spark = spark or SparkSession.active()
+    stand_in = {None: "NULL", "inclause": "(NULL)"}     # for a name or fragment: x
+    text = _PLACEHOLDER.sub(lambda m: stand_in.get(m.group(2), "x"), query)
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception:  # noqa: BLE001 - no statement, or several
         return False
-    return body.split(None, 1)[0].upper().lstrip("(") in ("SELECT", "WITH", "VALUES", "FROM", "TABLE")
+    kind = spark.sparkContext._jvm.java.lang.Class.forName
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    others = [kind(logical + name) for name in ("Command", "ParsedStatement")]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if any(other.isInstance(node) for other in others):
+            return False
+        for nodes in (node.children(), node.innerChildren()):
+            plans = [nodes.apply(k) for k in range(nodes.size())]
+            todo += [x for x in plans if kind(logical + "LogicalPlan").isInstance(x)]
+    return True
 
 
 # --- result cache ----------------------------------------------------------------------
 
-def cache_key(query: str, params: Mapping[str, Any] | None) -> str:
-    """sha256 of the query, a separator, then the sorted parameters."""
-    text = query + "\x00" + json.dumps(params or {}, sort_keys=True, default=str)
+def cache_key(query: str, params: Mapping[str, Any] | None, inputs: str = "") -> str:
+    """sha256 of the query, the sorted parameters and the inputs' identity."""
+    text = "\x00".join([query, json.dumps(params or {}, sort_keys=True, default=str), inputs])
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
@@ -132,20 +170,39 @@ def _fs_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs_path(spark, path + "/_SUCCESS")
-    return fs.exists(p)
-
-
-def _size(spark: SparkSession, path: str) -> int:
-    fs, p = _fs_path(spark, path)
-    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    fs, p = _fs_path(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
+#: Up to this many input files are named one by one in the identity; of more,
+#: their folders (which change whenever a file comes, goes or is replaced).
+FILES_NAMED = 1000
+
+
+def inputs_identity(df: DataFrame) -> str:
+    """What a result depends on besides its text: the analysed plan (in-memory
+    rows by their content or instance) and the state of the files it reads."""
+    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().analyzed().toString())
+    files = sorted(df.inputFiles())
+    if len(files) > FILES_NAMED:
+        files = sorted({f.rsplit("/", 1)[0] for f in files}) + [str(len(files))]
+    state = []
+    for name in files:
+        if "/" in name:
+            fs, p = _fs_path(df.sparkSession, name)
+            status = fs.getFileStatus(p)
+            name = f"{name} {status.getLen()} {status.getModificationTime()}"
+        state.append(name)
+    return "\n".join([plan, str(df.semanticHash()), *state])
+
+
+def _entries(spark: SparkSession, folder: str) -> list[str]:
+    """Complete entries below ``folder`` (their ``_SUCCESS`` marker is there), newest last."""
+    fs, p = _fs_path(spark, folder)
+    if not fs.exists(p):
+        return []
+    found = []
+    for status in fs.listStatus(p):
+        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if fs.exists(marker):
+            found.append((fs.getFileStatus(marker).getModificationTime(), f"{folder}/{status.getPath().getName()}"))
+    return [path for _, path in sorted(found)]
 
 
 @dataclass
@@ -157,38 +214,39 @@ class CacheOutcome:
 
 def cached_sql(spark: SparkSession, query: str, params: Mapping[str, Any] | None = None,
                mode: str = READ_OR_WRITE, tables: Mapping[str, DataFrame] | None = None,
-               root: str | None = None, max_bytes: int = CACHE_MAX_BYTES) -> CacheOutcome:
-    """Run a (templated) query through a parquet result cache keyed by content.
-
-    ``read_or_write`` reads a complete earlier result (its ``_SUCCESS`` marker
-    present) or runs and stores; ``always_write`` runs and stores;
-    ``cache_disabled`` just runs. Only single SELECTs are cached. Results whose
-    files exceed ``max_bytes`` are not kept. Any cache failure falls back to
-    running the query. Entries live under the shared folder (the cluster's
-    ``spark.checkpoint.dir``) unless ``root`` is given.
+               root: str | None = None, max_bytes: int | None = None) -> CacheOutcome:
+    """Run a (templated) query through a parquet result cache.
+
+    The key is the text, its parameters and the identity of the inputs, so a
+    changed table is computed anew. ``read_or_write`` reads a complete earlier
+    result or runs and stores; ``always_write`` runs and stores;
+    ``cache_disabled`` just runs. The query runs once, and its columns have the
+    same types in every mode. An entry is written to a folder of its own and
+    counts once its marker is there, so readers of an older one go on.
+    Statements that are no queries, and results that parquet cannot hold, are
+    not cached; a failing query fails. ``max_bytes`` (off by default) drops
+    larger entries. Entries live under the shared folder unless ``root`` is given.
     """
     params = dict(params or {})
-
-    def run() -> DataFrame:
-        return run_template(spark, query, params, tables)
-
+    if mode != CACHE_DISABLED and not is_single_select(query, spark):
+        return CacheOutcome(run_template(spark, query, params, tables), "cache_not_supported")
+    df = run_template(spark, query, params, tables)
     if mode == CACHE_DISABLED:
-        return CacheOutcome(run(), "not_cached")
-    if not is_single_select(query):
-        return CacheOutcome(run(), "cache_not_supported")
-    key = cache_key(query, params)
-    path = f"{root.rstrip('/')}/{key}" if root else shared_path(spark, "tablekit-sql-cache", key)
-    try:
-        if mode == READ_OR_WRITE and _exists(spark, path):
-            return CacheOutcome(spark.read.parquet(path), "read_from_cache", path)
-        from ..operators.records import sanitize_for_parquet
-        sanitize_for_parquet(run()).write.mode("overwrite").parquet(path)
-        if _size(spark, path) > max_bytes:
-            _delete(spark, path)
-            return CacheOutcome(run(), "not_cached")
-        return CacheOutcome(spark.read.parquet(path), "written_to_cache", path)
-    except Exception:  # noqa: BLE001 - cache trouble never fails the cell
-        return CacheOutcome(run(), "not_cached")
+        return CacheOutcome(df, "not_cached")
+    names = [c.lower() for c in df.columns]
+    if len(set(names)) < len(names) or any(isinstance(f.dataType, (T.NullType, T.CalendarIntervalType)) for f in df.schema):
+        return CacheOutcome(df, "not_cached")
+    key = cache_key(query, params, inputs_identity(df))
+    folder = f"{root.rstrip('/')}/{key}" if root else shared_path(spark, "tablekit-sql-cache", key)
+    if mode == READ_OR_WRITE and (there := _entries(spark, folder)):
+        return CacheOutcome(spark.read.schema(df.schema).parquet(there[-1]), "read_from_cache", there[-1])
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, p = _fs_path(spark, path)
+    if max_bytes is not None and fs.getContentSummary(p).getLength() > max_bytes:
+        fs.delete(p, True)
+        return CacheOutcome(df, "not_cached")
+    return CacheOutcome(spark.read.schema(df.schema).parquet(path), "written_to_cache", path)
 
 
 # --- chained cells and previews ---------------------------------------------------------
@@ -196,14 +254,15 @@ def cached_sql(spark: SparkSession, query: str, params: Mapping[str, Any] | None
 @dataclass
 class QueryPreview:
     """A chained cell result: the full lazy result (the chaining source) and
-    its first ``QUERY_PREVIEW_ROWS`` rows."""
+    its first ``rows`` rows."""
     name: str
     sql: str
     full: DataFrame
+    rows: int = QUERY_PREVIEW_ROWS
 
     @property
     def preview(self) -> DataFrame:
-        return self.full.limit(QUERY_PREVIEW_ROWS)
+        return self.full.limit(self.rows)
 
 
 @dataclass
@@ -217,62 +276,55 @@ class SqlWorkspace:
     ordering problem and no text is spliced.
     """
     spark: SparkSession
-    tables: dict[str, DataFrame] = field(default_factory=dict)
     previews: dict[str, QueryPreview] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.views = Views(self.spark)
+
     def register_table(self, name: str, df: DataFrame) -> None:
-        self.tables[name] = df
-        df.createOrReplaceTempView(name)
+        self.views.put(name, df)
 
     def cell(self, name: str | None, template: str, params: Mapping[str, Any] | None = None,
-             return_type: str = "dataframe") -> DataFrame | QueryPreview | None:
+             return_type: str = "dataframe", preview_rows: int = QUERY_PREVIEW_ROWS) -> DataFrame | QueryPreview | None:
         """Compile (template -> parameters), run and return a table, a query
-        preview or nothing for an empty text. A preview must be a single SELECT."""
+        preview or nothing for an empty text. A preview must be a single query."""
         if not _COMMENTS.sub(" ", template).strip():
             return None
-        if return_type == "query_preview" and not is_single_select(template):
+        if return_type == "query_preview" and not is_single_select(template, self.spark):
             raise SqlCellError("a query preview needs a single SELECT statement")
         sql, args = compile_template(template, params or {})
         df = self.spark.sql(sql, args=args or None)
         if name:
-            df.createOrReplaceTempView(name)
+            self.views.put(name, df)
         if return_type == "query_preview":
-            qp = QueryPreview(name or "", sql, df)
+            qp = QueryPreview(name or "", sql, df, preview_rows)
             if name:
                 self.previews[name] = qp
             return qp
         return df
 
     def drop(self) -> None:
-        for name in list(self.tables) + list(self.previews):
-            self.spark.catalog.dropTempView(name)
-
-
-# --- %%sparksql-style cell -------------------------------------------------------------
-
-_BIND = re.compile(r"{([A-Za-z0-9_]+)}")
-
-
-def bind_variables(query: str, namespace: Mapping[str, Any]) -> str:
-    """``{name}`` -> ``str(namespace[name])``; an unknown name raises NameError."""
-    def fetch(m: re.Match) -> str:
-        if m.group(1) not in namespace:
-            raise NameError(f"variable `{m.group(1)}` is not defined")
-        return str(namespace[m.group(1)])
-    return _BIND.sub(fetch, query)
+        """Give all names back (also those of plain cells)."""
+        self.views.drop()
 
 
 def spark_sql_cell(spark: SparkSession | None, text: str, namespace: Mapping[str, Any] | None = None,
-                   cache: bool = False, eager: bool = False, view: str | None = None) -> DataFrame:
-    """Text binding, then ``spark.sql``; ``cache`` keeps it lazily cached,
-    ``eager`` also materialises it; ``view`` publishes it as a temp view."""
+                   keep: str = "", view: str | None = None) -> DataFrame:
+    """Run a cell whose ``{name}`` places are filled by Spark itself: tables,
+    columns and quoted values, never spliced text. ``keep``: "" (lazy), "lazy"
+    (cached when first used) or "now" (cached at once); ``view`` also publishes
+    the result."""
     if spark is None:
         raise RuntimeError("no active Spark session")
-    df = spark.sql(bind_variables(text, namespace or {}))
-    if cache or eager:
+    namespace = dict(namespace or {})
+    used = {name.split(".")[0].split("[")[0] for _, name, _, _ in string.Formatter().parse(text) if name}
+    if unknown := sorted(used - set(namespace)):
+        raise NameError(f"the cell uses names that are not defined: {', '.join(unknown)}")
+    df = spark.sql(text, **{name: namespace[name] for name in used})
+    if keep:
         df = df.cache()
-        if eager:
-            df.count()
+    if keep == "now":
+        df.count()
     if view:
         df.createOrReplaceTempView(view)
     return df

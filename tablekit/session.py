@@ -55,26 +55,9 @@ def shared_root(spark: SparkSession, required: bool = True) -> str | None:
 
 def set_shared_root(spark: SparkSession, path: str) -> None:
     """Name a shared folder where none is configured (tests, local runs)."""
-    spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
     root = shared_root(spark).rstrip("/")
     return "/".join([root, *parts]) if "://" in root else os.path.join(root, *parts)
-
-
-def ensure_local_shared_root(spark: SparkSession) -> str:
-    """Acceptance runs and tests only: when no shared folder is configured and
-    the master is local, use a fresh folder under the system temp dir. On a
-    cluster the configured ``spark.checkpoint.dir`` is always used."""
-    root = shared_root(spark, required=False)
-    if root:
-        return root
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    import tempfile
-    path = tempfile.mkdtemp(prefix="tablekit-ckpt-")
-    set_shared_root(spark, path)
-    return path

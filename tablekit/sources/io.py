@@ -13,9 +13,10 @@ from typing import Any, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.spec import BrowseSpec
-from ..operators.profile import CSV_OPTIONS, estimate_csv_size
-from ..plans.browse import apply_browse_spec
+from ..functions.csv import CSV_OPTIONS, CSV_READ_OPTIONS, JSON_OPTIONS, csv_ready, csv_size
+from ..functions.spec import View, read_view
+from ..operators.shape import sort_multi
+from ..plans.browse import selected_rows
 from ..session import shared_path
 
 # Fixed value: exports estimated above 1 GB are refused.
@@ -110,39 +111,41 @@ def jdbc_query_source(spark: SparkSession, url: str, query: str, **kw: Any) -> D
 # --- CSV / JSON / parquet ---------------------------------------------------------------
 
 def csv_export(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Header + rows as CSV part files in ``path`` (timestamps ``yyyy-MM-dd
-    HH:mm:ss``). Written by the executors in parallel."""
-    df.write.mode(mode).options(header="true", **CSV_OPTIONS).csv(path)
+    """Header + rows as CSV part files in ``path``, written by the executors in
+    parallel, without loss: microseconds, blanks around texts, line breaks,
+    quotes (doubled), empty texts apart from nulls; arrays, maps, structs and
+    intervals as text, binaries as ``b'...'``."""
+    csv_ready(df).write.mode(mode).options(header="true", **CSV_OPTIONS).csv(path)
     return path
 
 
 def read_csv_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.options(header="true", **CSV_OPTIONS).schema(schema).csv(path)
+    return spark.read.options(header="true", **CSV_READ_OPTIONS).schema(schema).csv(path)
 
 
-def export_table(df: DataFrame, spec: BrowseSpec | str | dict | None, path: str,
-                 max_bytes: int = EXPORT_MAX_BYTES, exact: bool = False) -> str:
-    """Apply a browse spec (filters + sort), refuse when the estimated CSV size
-    exceeds ``max_bytes``, then write the CSV folder (parents are created by
-    the writer)."""
-    processed = apply_browse_spec(df, spec)
-    size = estimate_csv_size(processed, exact=exact)
-    if size > max_bytes:
-        raise ExportTooLargeError(f"estimated export size {size} bytes exceeds {max_bytes} bytes")
-    return csv_export(processed, path)
+def export_table(df: DataFrame, spec: View | str | dict | None, path: str,
+                 max_bytes: int | None = EXPORT_MAX_BYTES) -> str:
+    """Filter and sort by a view (over all columns), refuse when the CSV's exact
+    size (one aggregate over the unsorted rows) exceeds ``max_bytes`` (None: no
+    limit), then write the CSV folder (parents are created by the writer)."""
+    view = read_view(spec, df.columns)
+    rows = selected_rows(df, view)
+    if max_bytes is not None and (size := csv_size(rows)) > max_bytes:
+        raise ExportTooLargeError(f"the export has {size} bytes, more than {max_bytes}")
+    return csv_export(sort_multi(rows, view.order), path)
 
 
 def json_export(df: DataFrame, path: str, index_col: str = "__tk_pos") -> str:
     """Newline JSON part files. A position column travels with the rows, so a
     reader can restore the order a distributed write does not keep."""
-    df.withColumn(index_col, F.monotonically_increasing_id()).write.mode("overwrite").json(path)
+    df.withColumn(index_col, F.monotonically_increasing_id()).write.mode("overwrite").options(**JSON_OPTIONS).json(path)
     return path
 
 
 def json_import(spark: SparkSession, path: str, schema: str, index_col: str = "__tk_pos") -> DataFrame:
     """Read an export back with its schema, in the original row order, with
     the position column dropped."""
-    df = spark.read.schema(f"{schema}, {index_col} bigint").json(path)
+    df = spark.read.options(**JSON_OPTIONS).schema(f"{schema}, {index_col} bigint").json(path)
     return df.orderBy(index_col).drop(index_col)
 
 

@@ -93,3 +93,41 @@ def test_documents_are_json_serialisable(spark):
     assert doc["rows"][0]["big"] is None or isinstance(doc["rows"][0]["big"], str)   # 2^60 column became text
     meta = chart_output_metadata(df.select("i", "s", "t"))
     assert json.loads(json.dumps(meta))["filteredDataframeSize"] == 2
+
+
+def test_fields_of_every_composition(spark):
+    spec = {"hconcat": [{"facet": {"field": "f", "type": "nominal"}, "spec": {"encoding": {"x": {"field": "a"}}}},
+                        {"vconcat": [{"encoding": {"row": {"field": "r\\\\\\.x"}, "y": {"field": {"repeat": "row"}}}}]}]}
+    assert used_fields(spec) == {"f", "a", "r\\.x"}
+    assert used_fields({"repeat": {"row": ["p", "q"]}, "spec": {"encoding": {"y": {"field": {"repeat": "row"}}}}}) == {"p", "q"}
+
+
+def test_time_parts_and_zero_totals(spark):
+    import datetime as dt
+    from tablekit.operators.chart import time_unit
+    df = spark.createDataFrame([(dt.datetime(2023, 12, 31, 5),), (dt.datetime(2024, 1, 1, 5),)], "t timestamp_ntz")
+    part = lambda unit: [r[0] for r in df.select(time_unit(df, "t", unit)).collect()]
+    assert part("month") == [12, 1] and part("day") == [0, 1] and part("hours") == [5, 5] and part("quarter") == [4, 1]
+    with pytest.raises(ChartError):
+        time_unit(df, "t", "week")
+    zero = spark.createDataFrame([("a", 0), ("b", 0)], "k string, v int")
+    assert {r[1] for r in chart_aggregate(zero, ["k"], "Percentage of v").collect()} == {None}
+
+
+def test_update_rules(spark):
+    from tablekit.operators.edit import edit_update
+    df = spark.createDataFrame([(1, 1.0, "x"), (2, 2.0, "y")], "k int, `a.b` double, c string")
+    new = spark.createDataFrame([(1, float("nan"), "z"), (2, 9.0, None)], "k int, `a.b` double, c string")
+    assert sorted(map(tuple, edit_update(df, new, ["k"]).collect())) == [(1, 1.0, "z"), (2, 9.0, "y")]
+    with pytest.raises(ValueError):
+        edit_update(df, new.unionByName(new), ["k"])
+
+
+def test_csv_size_is_what_is_written(spark, tmp_path):
+    import glob
+    from tablekit.functions.csv import csv_size
+    from tablekit.sources.io import csv_export
+    df = spark.createDataFrame([(1, " a ", [1, 2], bytearray(b"\x00'")), (2, 'q"\n,', None, None), (3, "", [], None)],
+                               'i int, `odd,"name` string, l array<int>, b binary').coalesce(1)
+    files = glob.glob(csv_export(df, str(tmp_path / "x")) + "/part-*")
+    assert len(files) == 1 and csv_size(df) == len(open(files[0], "rb").read())

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from tablekit.functions.spec import Filter
+from tablekit.functions.spec import Condition
 from tablekit.operators.chart import chart_aggregate
 from tablekit.operators.edit import edit_drop_duplicates
 from tablekit.operators.filtering import apply_filters
@@ -17,6 +17,13 @@ from tablekit.plans.sqlcell import run_template
 SF = "/root/testdata/sf0.001"
 
 
+def own_queries():
+    """Keys of the reference's operators."""
+    E.queries()
+    from tablekit.acceptance import QUERIES
+    return list(QUERIES)
+
+
 def plan_of(df):
     df.collect()                      # final adaptive plan
     return df._jdf.queryExecution().executedPlan().toString()
@@ -54,6 +61,7 @@ def test_profile_pass2_is_chunked_with_a_partial_top_limit(spark):
     from tablekit.operators.profile import STATS_CHUNK
     li = tbl(spark, "lineitem")
     p = Profile(li)
+    p.min_max()
     df = pass2(li, p.plans, p.stats)
     plan = plan_of(df)
     formatted = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
@@ -64,15 +72,31 @@ def test_profile_pass2_is_chunked_with_a_partial_top_limit(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    df = apply_filters(tbl(spark, "events"), [Filter("ts", "is-on", ("2024-01-02",)),
-                                              Filter("user_id", "less-than", ("10.5",))])
+    df = apply_filters(tbl(spark, "events"), [Condition("ts", "is-on", ("2024-01-02",)),
+                                              Condition("user_id", "less-than", ("10.5",))])
     df.collect()
     formatted = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     pushed = re.search(r"PushedFilters: \[([^\]]*)\]", formatted).group(1)
     assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed and "LessThan(user_id,11)" in pushed
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(own_queries()))
 def test_no_cartesian_products(spark, key):
     plan = plan_of(E.queries()[key](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_no_long_text_in_a_profile_exchange(spark):
+    docs = tbl(spark, "documents")
+    p = Profile(docs, ["text", "lang"])
+    plan = pass2(docs, p.plans, p.stats)._jdf.queryExecution().executedPlan().toString()
+    assert "md5(" in plan
+
+
+def test_sizes_and_profiles_do_not_sort(spark):
+    from tablekit.plans.browse import browse_table
+    shown = browse_table(tbl(spark, "lineitem"), {"sortBy": [{"id": "l_shipdate", "type": "asc"}]})
+    p = Profile(shown.selected)
+    p.min_max()
+    plan = plan_of(pass2(p.df, p.plans, p.stats))
+    assert "rangepartitioning" not in plan

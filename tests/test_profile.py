@@ -86,12 +86,43 @@ def test_analyze_records_and_budget(spark):
     assert [r["name"] for r in recs] == ["a", "b", "c"]
     assert recs[0]["stats"]["unique_count"] == 20 and len(recs[0]["stats"]["histogram"]) == 10
     assert recs[2]["stats"]["categories"][0] == {"name": "0", "count": 7}
-    # budget of 40 cells over 20 rows: only the first two columns get stats
-    budget = analyze_columns_records(df, max_cells=40)
-    assert budget[2]["stats"] is None and budget[1]["stats"] is not None
-    # a colour-scale numeric column past the budget still gets stats
-    with_cs = analyze_columns_records(df.select("c", "a", "b"), ["b"], max_cells=20)
-    assert with_cs[2]["stats"] is not None and with_cs[1]["stats"] is None
+    # only the named columns get stats, the others are listed
+    some = analyze_columns_records(df, ["b"])
+    assert some[0]["stats"] is None and some[1]["stats"] is not None and some[2]["stats"] is None
+
+
+def test_long_texts_group_by_digest(spark):
+    long = "x" * 500
+    df = spark.createDataFrame([(long + "a",)] * 3 + [(long + "b",)] * 2 + [("short",)] * 4 + [(None,)], "t string")
+    p = Profile(df)
+    assert cats(p, "t") == [("short", 4), ("2 others", 5), ("Missing", 1)]
+    assert cats(Profile(df.filter("t <> 'short'")), "t") == [(long + "a", 3), (long + "b", 2)]
+    key = Profile(df).summary()
+    assert key["uniq"] == {0: 3}
+
+
+def test_computed_input_is_stored_once_and_removed(spark):
+    import os
+    base = spark.range(100).selectExpr("id", "id % 7 AS k")
+    joined = base.join(base.selectExpr("id AS j", "k * 2 AS m"), base["id"] == F.col("j")).withColumn("id2", F.col("id"))
+    p = Profile(joined)
+    assert {r["column_name"]: r["unique_count"] for r in p.unique_counts().collect()}["k"] == 7
+    folder = p.stored
+    assert folder and os.path.isdir(folder.removeprefix("file:"))
+    p.close()
+    assert not os.path.exists(folder.removeprefix("file:"))
+    assert Profile(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_custkey > 5")).df is not None
+
+
+def test_categories_need_no_ranges(spark):
+    p = Profile(spark.range(10).selectExpr("id", "cast(id % 2 as string) AS s"))
+    p.categories().collect()
+    assert not any(k.startswith("min") for k in p.stats)
+
+
+def test_distinct_values_skip_nan(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (2.0, 2), (-0.0, 3), (0.0, None), (None, 4)], "x double, y int")
+    assert distinct_values_dict(df, ["x", "y"]) == {"x": ["0.0", "2.0"], "y": ["1", "2", "3", "4"]}
 
 
 def test_distinct_values(spark):

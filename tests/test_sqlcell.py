@@ -39,6 +39,48 @@ def test_single_select():
     assert not is_single_select("  ")
 
 
+def test_only_queries_count_as_queries(spark):
+    assert is_single_select("FROM range(3) SELECT id") and is_single_select("VALUES (1), (2)")
+    assert is_single_select("SELECT * FROM t WHERE a = {{ x }} AND b IN {{ ys | inclause }}")
+    for text in ("SELECT '--'; DELETE FROM t", "WITH a AS (SELECT 1 AS x) INSERT INTO t SELECT * FROM a",
+                 "FROM t INSERT INTO u SELECT * INSERT INTO v SELECT *", "DROP TABLE t", "INSERT INTO t VALUES (1)"):
+        assert not is_single_select(text)
+
+
+def test_views_of_the_user_stay(spark):
+    from tablekit.plans.sqlcell import sql_on_tables
+    spark.range(3).createOrReplaceTempView("tk_mine")
+    try:
+        assert sql_on_tables(spark, "SELECT count(*) AS n FROM tk_mine", {"tk_mine": spark.range(9)}).first().n == 9
+        assert spark.table("tk_mine").count() == 3
+        ws = SqlWorkspace(spark)
+        ws.register_table("tk_mine", spark.range(5))
+        ws.cell("tk_cell", "SELECT * FROM tk_mine")
+        ws.drop()
+        assert spark.table("tk_mine").count() == 3 and not spark.catalog.tableExists("tk_cell")
+    finally:
+        spark.catalog.dropTempView("tk_mine")
+
+
+def test_cache_sees_changed_inputs(spark, tmp_path):
+    root, path = str(tmp_path / "cache"), str(tmp_path / "t")
+    q = "SELECT count(*) AS n, max(id) AS m FROM t"
+    run = lambda df: cached_sql(spark, q, root=root, tables={"t": df})
+    spark.range(10).write.parquet(path)
+    assert run(spark.read.parquet(path)).df.first().n == 10
+    assert run(spark.read.parquet(path)).status == "read_from_cache"
+    spark.range(20).write.mode("overwrite").parquet(path)
+    spark.catalog.refreshByPath(path)
+    out = run(spark.read.parquet(path))
+    assert out.status == "written_to_cache" and out.df.first().n == 20
+    assert run(spark.range(99)).df.first().n == 99
+    big = cached_sql(spark, "SELECT 9007199254740993L AS x", root=root)
+    assert big.df.dtypes == [("x", "bigint")] and big.df.first().x == 2**53 + 1     # one type in every mode
+    assert cached_sql(spark, "SELECT NULL AS x", root=root).status == "not_cached"
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        cached_sql(spark, "SELECT 1 / (id - id) AS x FROM range(3)", root=root)
+
+
 def test_cache_modes(spark, tmp_path):
     root = str(tmp_path / "cache")
     q = "SELECT id FROM range(10) WHERE id < {{ n }}"
@@ -76,7 +118,7 @@ def test_chained_diamond_and_preview(spark):
 
 
 def test_spark_sql_cell(spark):
-    df = spark_sql_cell(spark, "SELECT {n} AS v", {"n": 3}, cache=True, eager=True, view="tk_v")
+    df = spark_sql_cell(spark, "SELECT {n} AS v", {"n": 3}, keep="now", view="tk_v")
     assert spark.sql("SELECT v FROM tk_v").first()["v"] == 3 and df.is_cached
     spark.catalog.dropTempView("tk_v")
     with pytest.raises(NameError):
