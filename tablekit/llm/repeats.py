@@ -22,6 +22,7 @@ own, anchored by its content, so no group grows with a hot passage.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -163,7 +164,8 @@ def segments(values, starts, rule: Rule, hot):
 
 def _anchor_rows(base: DataFrame, rule: Rule, hot: list[int]) -> DataFrame:
     """One row per segment: anchor, content, doc, row, at (first window << 32 |
-    windows), done. Within a slice all but the first occurrence of a content are
+    windows), more (the same of its repeats in that document, if they are judged
+    alike), done. Within a slice all but the first occurrence of a content are
     done; windows of one document in a row are then one row with an anchor of
     its own."""
     def run(batches: Iterator) -> Iterator:
@@ -187,7 +189,14 @@ def _anchor_rows(base: DataFrame, rule: Rule, hot: list[int]) -> DataFrame:
                 lead = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
                 done = d > d[lead] if len(a) else new
             x = ~done
-            live = (a[x], c[x], d[x], r[x], b[x], k[x])
+            live = [a[x], c[x], d[x], r[x], b[x], k[x]]
+            # a document's own repeats of a content share its fate: one row for all
+            lead = np.ones(int(x.sum()), bool)
+            if not rule.within:
+                lead[1:] = functools.reduce(np.logical_or, [y[1:] != y[:-1] for y in live[:4]])
+            more = (live[4] << 32 | live[5])[~lead]
+            repeats = np.diff(np.append(np.flatnonzero(lead), len(lead))) - 1
+            live = [y[lead] for y in live]
             order = np.lexsort((b[done], r[done]))
             d, r, b, k = (y[done][order] for y in (d, r, b, k))
             join = np.zeros(len(r), bool)
@@ -196,12 +205,14 @@ def _anchor_rows(base: DataFrame, rule: Rule, hot: list[int]) -> DataFrame:
             total = np.add.reduceat(k, at) if len(at) else k
             tag = mixed(r[at].astype(np.uint64) * np.uint64(BASE) + b[at].astype(np.uint64))
             out = [np.concatenate(p) for p in zip(live, (tag, tag, d[at], r[at], b[at], total))]
+            ends = np.concatenate([[0], np.cumsum(repeats), np.full(len(at), len(more))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64)), pa.array(out[2]), pa.array(out[3]),
-                 pa.array(out[4] << 32 | out[5]), pa.array(np.arange(len(out[0])) >= len(live[0]))],
-                ["anchor", "content", "doc", "row", "at", "done"])
+                 pa.array(out[4] << 32 | out[5]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(more, pa.int64())),
+                 pa.array(np.arange(len(out[0])) >= len(live[0]))],
+                ["anchor", "content", "doc", "row", "at", "more", "done"])
 
-    return base.mapInArrow(run, "anchor bigint, content bigint, doc bigint, row bigint, at bigint, done boolean")
+    return base.mapInArrow(run, "anchor bigint, content bigint, doc bigint, row bigint, at bigint, more array<bigint>, done boolean")
 
 
 def _hot_anchors(base: DataFrame, rule: Rule) -> list[int]:
@@ -232,9 +243,10 @@ def repeated(docs: DataFrame, rule: Rule, kernel: Callable) -> DataFrame:
     all_ = W.partitionBy("anchor")
     rows = rows.withColumn("several", F.min("content").over(all_) != F.max("content").over(all_))
     found = saved(rows.filter("gone OR several").groupBy("row").agg(
-        F.collect_list(F.when(F.col("gone"), F.col("at"))).alias("gone"),
-        F.collect_list(F.when(~F.col("gone"), F.struct("anchor", "at"))).alias("open")))
-    total = found.select(F.sum(F.aggregate("open", F.lit(0).cast("bigint"), lambda s, x: s + x["at"].bitwiseAND(0xFFFFFFFF) + rule.length))).first()[0]
+        F.flatten(F.collect_list(F.when(F.col("gone"), F.concat(F.array("at"), "more")))).alias("gone"),
+        F.collect_list(F.when(~F.col("gone"), F.struct("anchor", F.concat(F.array("at"), "more").alias("at")))).alias("open")))
+    units_ = f"(x.at[0] & 4294967295) + {rule.length}"
+    total = found.select(F.expr(f"sum(aggregate(open, 0L, (s, x) -> s + size(x.at) * ({units_})))")).first()[0]
     shards = max(1, -(-(total or 0) // SHARD_UNITS))
     length, words = rule.length, rule.words
 
@@ -247,13 +259,13 @@ def repeated(docs: DataFrame, rule: Rule, kernel: Callable) -> DataFrame:
             raw = data.tobytes()
             doc, row = part.column("doc").to_pylist(), part.column("row").to_pylist()
             for i, found_ in enumerate(part.column("open").to_pylist()):
-                for x in found_:
-                    first = int(starts[i]) + (x["at"] >> 32)
-                    last = first + (x["at"] & 0xFFFFFFFF) - 1 + length
-                    anchors.append(x["anchor"])
+                for anchor, at in ((x["anchor"], at) for x in found_ for at in x["at"]):
+                    first = int(starts[i]) + (at >> 32)
+                    last = first + (at & 0xFFFFFFFF) - 1 + length
+                    anchors.append(anchor)
                     docs_.append(doc[i])
                     rows_.append(row[i])
-                    ats.append(x["at"])
+                    ats.append(at)
                     pieces.append(raw[begin[first]:end[last - 1]] if words else raw[first:last])
             anchors = np.array(anchors, np.int64)
             shard = (mixed(anchors.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
