@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import fresh, slices, text_of, text_sizes
 
 PER_LANG, LONGEST, SEQUENCE, PIECE, EPOCHS, BUCKETS, BLOCK = 150, 20_000, 64, 12, 25, 1 << 15, 64
-WORDS_KEPT, SLICE_BYTES, UNKNOWN = 300_000, 2 << 20, "und"
+WORDS_KEPT, SLICE_BYTES, UNKNOWN = 150_000, 1 << 19, "und"
 WORD, LETTERS = re.compile(r"\b[^\W\d_]+\b"), re.compile(r"[^\W\d_]+")
 
 

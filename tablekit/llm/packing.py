@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import saved, slices, text_of, text_sizes
 from .units import ByteBpe, per_process
 
-WINDOW, END, BUCKET_ROWS, SLICE_BYTES = 1024, 0, 4096, 2 << 20
+WINDOW, END, BUCKET_ROWS, SLICE_BYTES = 1024, 0, 4096, 1 << 20
 
 
 def token_runs(docs: DataFrame, path: str, ranks: str | None, pattern: str | None,

@@ -11,7 +11,7 @@ import re
 class Memo:
     """unit -> value, filled by ``encode(list of units) -> list of values``."""
 
-    def __init__(self, encode, most: int = 150_000):
+    def __init__(self, encode, most: int = 100_000):
         self.encode, self.most, self.young, self.old = encode, most, {}, {}
 
     def ready(self, units) -> dict:
