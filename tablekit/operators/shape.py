@@ -20,8 +20,9 @@ PREVIEW_ROWS = 10_000
 # beyond, the order is first narrowed to the key range that holds them. Both
 # ways sort by the same total order and give the same rows.
 DIRECT_ROWS = 200
-# Ranges per narrowing step, sampled rows per range, rows of a range that is sorted.
-RANGES, SAMPLED, RANGE_ROWS = 64, 20, 50_000
+# Rows sampled per narrowing step, slack of a sampled position (over three times
+# its standard error), rows of a key range that is sorted.
+SAMPLED, SLACK, RANGE_ROWS = 1500, 0.05, 200_000
 
 
 # --- column names ----------------------------------------------------------------
@@ -145,43 +146,44 @@ def _range_number(bounds: list[Row], order: Order, schema, low: int = 0) -> Colu
         _range_number(bounds[:mid], order, schema, low))
 
 
-def _bounds(df: DataFrame, order: Order, rows: int, ranges: int) -> list[Row]:
-    """At most ``ranges - 1`` rows that cut ``df`` into ranges of about equal
-    size, from a sample of about ``SAMPLED`` rows per range."""
-    fraction = min(1.0, SAMPLED * ranges / max(rows, 1))
+def _sample(df: DataFrame, order: Order, rows: int, sampled: int) -> list[Row]:
+    """About ``sampled`` rows' sort keys, in order; none for keys that cannot be
+    compared with a literal (arrays, structs)."""
     if any(is_complex(df.schema[c].dataType) for c, _ in order):
         return []
+    fraction = min(1.0, sampled / max(rows, 1))
     keys = df.select(*[qcol(c) for c, _ in order])
-    head = (keys.sample(fraction, seed=17) if fraction < 1 else keys).limit(2 * SAMPLED * ranges)
-    sample = head.orderBy(*sort_columns(order, df.columns)).select(
+    few = (keys.sample(fraction, seed=17) if fraction < 1 else keys).repartition(1)
+    return few.sortWithinPartitions(*sort_columns(order, df.columns)).select(
         *[_to_driver(qcol(c), df.schema[c].dataType).alias(c) for c, _ in order]).collect()
+
+
+def _bounds(df: DataFrame, order: Order, rows: int, ranges: int) -> list[Row]:
+    """At most ``ranges - 1`` rows that cut ``df`` into ranges of about equal size."""
+    sample = _sample(df, order, rows, 20 * ranges)
     return [sample[k * len(sample) // ranges] for k in range(1, ranges) if len(sample) >= ranges]
 
 
 def _slice(df: DataFrame, order: Order, start: int, stop: int, total: int, direct: int = DIRECT_ROWS) -> DataFrame:
-    """Rows ``start`` to ``stop`` of the order. Key ranges are counted (sort keys
-    only are read) and narrowed until the rows' ranges are small; then just they
-    are sorted. No task takes more than ``stop - start`` rows plus one range."""
+    """Rows ``start`` to ``stop`` of the order. While more than ``RANGE_ROWS`` rows
+    are left, two sampled keys a little outside the wanted positions cut them
+    down; an exact count of the rows in front and between tells whether they
+    hold (else they are moved out). Only the last range is sorted."""
     cols = sort_columns(order, df.columns)
-    part, rows, skipped = df, total, 0
-    while start - skipped + (stop - start) > direct and rows > max(RANGE_ROWS, 4 * (stop - start)):
-        bounds = _bounds(part, order, rows, RANGES)
-        number = _range_number(bounds, order, df.schema)
-        counts = dict(part.groupBy(number.alias("n")).count().collect())
-        ends, running = [], skipped
-        for k in range(len(bounds) + 1):
-            running += counts.get(k, 0)
-            ends.append(running)
-        first = next(k for k, e in enumerate(ends) if e > start or k == len(bounds))
-        last = next(k for k, e in enumerate(ends) if e >= stop or k == len(bounds))
-        fewer = sum(counts.get(k, 0) for k in range(first, last + 1))
-        if fewer >= rows:
+    part, rows, skipped, slack = df, total, 0, SLACK
+    while stop - skipped > direct and rows > max(RANGE_ROWS, 4 * (stop - start)) and slack < 0.5:
+        sample = _sample(part, order, rows, SAMPLED)
+        low = int(len(sample) * ((start - skipped) / rows - slack))
+        high = int(len(sample) * ((stop - skipped) / rows + slack)) + 1
+        lower = _behind(sample[low], order, df.schema) if 0 < low < len(sample) else F.lit(True)
+        upper = ~_behind(sample[high], order, df.schema) if high < len(sample) else F.lit(True)
+        if not (0 < low or high < len(sample)):
             break
-        skipped, rows = (ends[first - 1] if first else skipped), fewer
-        if first:
-            part = part.filter(_behind(bounds[first - 1], order, df.schema))
-        if last < len(bounds):
-            part = part.filter(~_behind(bounds[last], order, df.schema))
+        n = part.agg(F.count_if(~lower).alias("front"), F.count_if(lower & upper).alias("between")).first()
+        if skipped + n["front"] <= start and skipped + n["front"] + n["between"] >= min(stop, total):
+            part, rows, skipped, slack = part.filter(lower & upper), n["between"], skipped + n["front"], SLACK
+        else:
+            slack *= 2
     ordered = part.orderBy(*cols)
     if start > skipped:
         ordered = ordered.offset(start - skipped)
@@ -239,7 +241,7 @@ def with_row_index(df: DataFrame, keys: Iterable[SortKey], name: str = "row_inde
     a window partitioned by range, plus the rows in front of it. Nothing is
     stored, and the numbers are a function of the rows and the bounds alone."""
     keys = list(keys)
-    ranges = ranges or min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranked = with_ranges(df, keys, ranges)
     counts = dict(ranked.groupBy("__tk_range").count().collect())
     before, running = [], 0
