@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import slices, text_of, text_sizes
+from .common import slices, text_batches, text_of, text_sizes
 from .units import BLANK, OTHER_BLANK, Memo, per_process
 
 SPAN, MASK, CHUNKS_KEPT, SLICE_BYTES = 16, 511, 20_000, 1 << 20
@@ -152,5 +152,5 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                  pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(
+    return text_batches(docs).select("doc_id", text_of(docs).alias("text")).mapInArrow(
         run, f"doc_id {kind}, ids array<int>, decoded string")

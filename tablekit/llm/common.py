@@ -28,6 +28,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows that go to a Python worker at once: texts are long.
+TEXT_ROWS = 2000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, once its session sends at most ``TEXT_ROWS`` rows per Arrow batch,
+    so that whole texts do not fill the workers (a session with less keeps it)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so that a lost
     executor costs a re-read and later uses see the same rows."""

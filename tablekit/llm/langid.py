@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, text_of, text_sizes
+from .common import fresh, slices, text_batches, text_of, text_sizes
 
 PER_LANG, LONGEST, SEQUENCE, PIECE, EPOCHS, BUCKETS, BLOCK = 150, 20_000, 64, 12, 25, 1 << 15, 64
 WORDS_KEPT, SLICE_BYTES, UNKNOWN = 150_000, 1 << 19, "und"
@@ -264,7 +264,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 ["doc_id", "lang_pred", "score", "runs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(
+    return text_batches(docs).select("doc_id", text_of(docs).alias("text")).mapInArrow(
         run, f"doc_id {kind}, lang_pred string, score double, runs array<struct<lang:string,first:int,words:int>>")
 
 
@@ -293,5 +293,5 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3) ->
     if model is None:
         return docs.limit(0)
     flag = fresh(docs, "accepted")
-    return (docs.withColumn(flag, F.pandas_udf(accepted, "boolean")(text_of(docs)))
+    return (text_batches(docs).withColumn(flag, F.pandas_udf(accepted, "boolean")(text_of(docs)))
             .filter(F.col(flag)).select(*docs.columns))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, text_of, text_sizes
+from .common import saved, slices, text_batches, text_of, text_sizes
 from .units import ByteBpe, per_process
 
 WINDOW, END, BUCKET_ROWS, SLICE_BYTES = 1024, 0, 4096, 1 << 20
@@ -50,7 +50,7 @@ def token_runs(docs: DataFrame, path: str, ranks: str | None, pattern: str | Non
                 ["doc_id", "doc_tokens", "crcs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(
+    return text_batches(docs).select("doc_id", text_of(docs).alias("text")).mapInArrow(
         encode, f"doc_id {kind}, doc_tokens bigint, crcs array<bigint>")
 
 

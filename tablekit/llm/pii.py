@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, text_of, text_sizes
+from .common import fresh, slices, text_batches, text_of, text_sizes
 
 KINDS = ("email", "ip", "card", "phone")
 ATOMS, CHARS, SAMPLE, EPOCHS, MARGIN, SLICE_BYTES = 24, 64, 300, 8, 2.0, 4 << 20
@@ -258,7 +258,7 @@ def find_spans(docs: DataFrame, weights: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id {kind}, spans {SPANS}")
+    return text_batches(docs).select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id {kind}, spans {SPANS}")
 
 
 def masked(docs: DataFrame, weights: dict) -> DataFrame:
@@ -279,8 +279,10 @@ def masked(docs: DataFrame, weights: dict) -> DataFrame:
             return None
         return texts.map(one, na_action="ignore")
 
-    text = fresh(docs, "masked")
-    out = docs.withColumn(text, F.pandas_udf(mask, "string")(F.col("text").cast("string")))
+    text, own = fresh(docs, "masked"), F.col("text").cast("string")
+    # every kind has a digit or an @: other texts stay as they are and stay in the JVM
+    found = F.pandas_udf(mask, "string")(F.when(own.rlike("[0-9@]"), own))
+    out = text_batches(docs).withColumn(text, F.coalesce(found, own))
     changed = {"text": F.col(text)}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import saved, slices, text_batches
 
 SLICE_BYTES, SHARD_UNITS, HEAVY, COUNTERS = 2 << 20, 1 << 20, 1000, 8192
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -230,7 +230,7 @@ def repeated(docs: DataFrame, rule: Rule, kernel: Callable) -> DataFrame:
     it returns arrays (row, start, end) of the units that repeat.
     """
     lowest = -(1 << 63)
-    base = docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(lowest).cast("bigint")).alias("doc"),
+    base = text_batches(docs).select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(lowest).cast("bigint")).alias("doc"),
                        F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary").alias("text"),
                        F.monotonically_increasing_id().alias("row"))
     rows = _anchor_rows(base, rule, _hot_anchors(base, rule)).repartition("anchor")

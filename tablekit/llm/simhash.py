@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, text_of
+from .common import fresh, saved, text_batches, text_of
 from .components import stars
 from .exact_dedup import heavy_values
 
@@ -150,7 +150,7 @@ def components_of(points: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row of ``docs``."""
-    rows = saved(docs.select("doc_id", simhash_of(text_of(docs)).alias("point")))
+    rows = saved(text_batches(docs).select("doc_id", simhash_of(text_of(docs)).alias("point")))
     points = rows.groupBy("point").agg(F.min("doc_id").alias("first"))
     # rows of a frequent fingerprint meet its component inside their map task (at
     # most HEAVY points are broadcast), all others by a shuffle
@@ -165,7 +165,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component
     the row with the smallest ``doc_id`` (of rows that repeat it, one)."""
     point, root, least, rank = (fresh(docs, n) for n in ("point", "root", "least", "rank"))
-    rows = docs.withColumn(point, simhash_of(text_of(docs)))
+    rows = text_batches(docs).withColumn(point, simhash_of(text_of(docs)))
     points = saved(rows.groupBy(F.col(point).alias("point")).agg(F.min("doc_id").alias("first")))
     found = components_of(points).toDF(point, root, least)
     kept = rows.join(found, point).filter(F.col("doc_id").eqNullSafe(F.col(least)))
