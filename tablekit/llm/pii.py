@@ -234,10 +234,12 @@ def added_spans(text: str, base: list, weights: dict, margin: float = MARGIN) ->
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Weights from at most ``sample`` documents with candidates, of at most
     ``LONGEST`` characters each, chosen by hash."""
-    some = (docs.select(text_of(docs).alias("text")).filter(F.col("text").rlike("@|[0-9][0-9().-]+[0-9]"))
-            .filter(F.length("text") <= LONGEST).select(F.xxhash64("text").alias("h"), "text")
-            .orderBy("h", "text").limit(sample))
-    return train([r["text"] for r in some.collect()])
+    rows = (docs.select(text_of(docs).alias("text")).filter(F.col("text").rlike("@|[0-9][0-9().-]+[0-9]"))
+            .filter(F.length("text") <= LONGEST).withColumn("h", F.xxhash64("text")))
+    # the least hashes first (8 bytes each), then only their texts
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(sample).collect()]
+    some = rows.filter(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text"))
+    return train([r["text"] for r in some.orderBy("h").collect()])
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
