@@ -108,7 +108,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     range before, as the one row that its last document needs."""
     spark = docs.sparkSession
     base = docs.select(docs["doc_id"], text_of(docs).alias("text"), F.monotonically_increasing_id().alias("row"))
-    parts = min(4096, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = base.select("doc_id", "row")
     cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
