@@ -7,9 +7,9 @@ transitions tie neighbours together; forward-backward gives every word's
 marginals. A document's language has the largest sum of marginals, its score is
 that sum's share.
 
-Training takes at most ``PER_LANG`` documents of each label (of at most
-``LONGEST`` characters, chosen by hash of the text), mixed into code-switched
-sequences of ``SEQUENCE`` words. Prediction reads whole texts and nothing but
+Training takes at most ``PER_LANG`` different texts of each label (those of at
+most ``LONGEST`` characters first, then the beginnings of longer ones; chosen by
+hash of the text), mixed into code-switched sequences of ``SEQUENCE`` words. Prediction reads whole texts and nothing but
 the text: long documents are cut into blocks whose transfer matrices carry the
 messages across, so the marginals are those of the whole chain.
 
@@ -200,10 +200,14 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model | None:
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """A model from labelled rows of ``docs`` that are not held out."""
     rows = (docs.filter(F.col("lang").isNotNull() & ~held_out(docs["doc_id"]))
-            .select(text_of(docs).alias("text"), F.col("lang").cast("string").alias("lang"))
-            .filter(F.length("text").between(1, LONGEST)))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    some = rows.withColumn("nth", nth).filter(F.col("nth") <= per_lang).collect()
+            .select(text_of(docs).alias("text"), F.col("lang").cast("string").alias("lang")).filter("text != ''")
+            .select("lang", (F.length("text") > LONGEST).alias("cut"), F.substring("text", 1, LONGEST).alias("text"))
+            .withColumn("h", F.xxhash64("text")))
+    # the least hashes of each label first (8 bytes a text, copies once), then only their texts
+    order = W.partitionBy("lang").orderBy("cut", "h")
+    least = (rows.groupBy("lang", "h").agg(F.min("cut").alias("cut")).withColumn("nth", F.row_number().over(order))
+             .filter(F.col("nth") <= per_lang).select("lang", "h"))
+    some = rows.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     return train(sorted((r["text"], r["lang"]) for r in some))
 
 

@@ -128,6 +128,27 @@ def test_language_of_odd_texts(docs_of, odd_texts, sample):
     assert langid.identify(docs_of([]), model).count() == 0 and langid.keep_identified(docs_of([]), model).count() == 0
 
 
+def test_language_sample_has_no_copies(docs_of, monkeypatch):
+    from tablekit.llm import langid
+    texts = [f"{chr(97 + k % 26) * 3} word{k}" for k in range(30)]
+    rows = [(k, t) for k, t in enumerate([t for t in texts for _ in range(1 + 40 * (t < "ccc"))])]
+    seen = []
+    train = langid.train
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(rows) or train(rows))
+    langid.fit(docs_of(rows), per_lang=20)
+    assert len(seen[0]) == 20 == len(set(seen[0]))
+
+
+def test_language_of_long_texts_only(docs_of):
+    """A label without a text of at most LONGEST characters; a short text goes before a long one."""
+    from tablekit.llm import langid
+    long = " ".join(f"zorg{k}" for k in range(4000))
+    assert len(long) > langid.LONGEST
+    model = langid.fit(docs_of([(0, "the old man and the sea"), (3, long), (7, "a man of the sea")], langs=["en", "zz", "en"]))
+    assert model.langs == ["en", "zz"]
+    assert langid.identify(docs_of([long]), model).first().lang_pred == "zz"
+
+
 def test_code_switched_text(spark, docs_of):
     from tablekit.llm import langid
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars BETWEEN 800 AND 3000").collect()
