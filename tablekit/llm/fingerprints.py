@@ -2,7 +2,10 @@
 DataFrame functions only.
 
 A paragraph is a non-empty line; a document is the set of its paragraphs' 64-bit
-digests. A sketch has three segments of cells; every digest goes to one cell of
+digests. A line of more than ``PIECE`` characters is also cut by its content
+(``pieces``), so that an edit leaves the pieces before and behind it as they
+were; of the same text, paragraphs and pieces give two sets and two
+fingerprints. A sketch has three segments of cells; every digest goes to one cell of
 each, where counts are added and digests and their check hashes are combined by
 exclusive or. The fingerprint is the sketch with ``BASE`` cells per segment.
 
@@ -27,6 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
+#: Longest line or sentence that is one piece (characters); words and characters
+#: per piece, on average, of what is cut by hashes.
+PIECE, WORDS_A_PIECE, CHARS_A_PIECE = 80, 16, 64
 #: Cells per segment of the fingerprint; of the first retries; most rounds of peeling.
 BASE, RETRIES, ROUNDS = 4, (16, 64), 200
 
@@ -43,11 +49,14 @@ def _cells(items: str, segment: str, sign: str = "p.n") -> str:
 
 def _summed(cells: str) -> str:
     """SQL: cells with one entry per place, empty ones left out, by place."""
-    done = "if(s.cur IS NULL OR (s.cur.n = 0 AND s.cur.k = 0 AND s.cur.h = 0), s.done, concat(s.done, array(s.cur)))"
-    return (f"aggregate(array_sort({cells}), named_struct('done', cast(array() AS {CELLS}), 'cur', "
-            "cast(NULL AS struct<i:int,n:int,k:bigint,h:bigint>)), (s, x) -> if(s.cur.i <=> x.i, "
-            "named_struct('done', s.done, 'cur', struct(x.i AS i, int(s.cur.n + x.n) AS n, s.cur.k ^ x.k AS k, s.cur.h ^ x.h AS h)), "
-            f"named_struct('done', {done}, 'cur', x)), s -> {done})")
+    # sorted, the cells of one place stand side by side: each run is added up once
+    runs = ("filter(transform(cells, (c, j) -> if(j > 0 AND c.i = cells[j - 1].i, NULL, j)), j -> j IS NOT NULL)")
+    one = ("aggregate(slice(cells, a + 1, coalesce(get(runs, x + 1), size(cells)) - a), "
+           "named_struct('i', cells[a].i, 'n', 0, 'k', 0L, 'h', 0L), "
+           "(s, c) -> named_struct('i', s.i, 'n', s.n + c.n, 'k', s.k ^ c.k, 'h', s.h ^ c.h))")
+    # transform(array(x), y -> ...)[0] names x
+    return (f"cast(transform(array(sort_array({cells})), cells -> transform(array({runs}), runs -> "
+            f"filter(transform(runs, (a, x) -> {one}), c -> c.n != 0 OR c.k != 0 OR c.h != 0))[0])[0] AS {CELLS})")
 
 
 def sketch(digests: str, segment: str, seed: int = 0) -> str:
@@ -83,7 +92,7 @@ def differing(one: str, other: str, fingerprints: tuple[str, str]) -> str:
         segment = f"({segment})"
         tries.append(peeled(subtracted(sketch(one, segment, seed), sketch(other, segment, seed)), segment, seed))
     exact = f"size(array_except({one}, {other})) + size(array_except({other}, {one}))"
-    return f"coalesce({', '.join(f'nullif(size({t}), -1)' for t in tries)}, {exact})"
+    return f"coalesce({', '.join(f'array_size({t})' for t in tries)}, {exact})"
 
 
 def likeness(one: str, other: str, fingerprints: tuple[str, str]) -> str:
@@ -98,11 +107,33 @@ def written(cells: str) -> str:
             "lower(hex(c.k)), lower(hex(c.h)))), ',')")
 
 
-PARAGRAPHS = "array_distinct(transform(filter(split({}, '\\n', -1), p -> p != ''), p -> xxhash64(p)))"
+LINES = "filter(split({}, '\\n', -1), p -> p != '')"
+PARAGRAPHS = f"array_distinct(transform({LINES}, p -> xxhash64(p)))"
+
+
+def pieces(text: str) -> str:
+    """SQL: digests of the pieces of a text. Lines of more than ``PIECE``
+    characters are cut behind sentence ends; what is still longer where the hash
+    of two words in a row says so, then where that of four characters in a row
+    does, and at last (text of one repeated pattern) every ``PIECE`` characters."""
+    def cut(parts: str, name: str, into: str) -> str:
+        return f"flatten(transform({parts}, {name} -> if(length({name}) <= {PIECE}, array({name}), {into})))"
+
+    def marked(units: str, blank: str, near: int, most: int) -> str:
+        # a line has no line end: it marks the cuts
+        hashed = ", ".join(f"get(u, i + {k})" for k in range(near))
+        return (f"split(transform(array({units}), u -> array_join(transform(u, (x, i) -> "
+                f"if(pmod(xxhash64({hashed}), {most}) = 0, concat(x, '\\n'), x)), '{blank}'))[0], '\\n{blank}', -1)")
+
+    parts = cut(LINES.format(text), "a", "split(a, '(?<=[.!?]) +|(?<=[\\u3002\\uff01\\uff1f])', -1)")
+    parts = cut(parts, "b", marked("split(b, ' ', -1)", " ", 2, WORDS_A_PIECE))
+    parts = cut(parts, "c", marked("split(c, '')", "", 4, CHARS_A_PIECE))
+    parts = cut(parts, "d", f"regexp_extract_all(d, '(?s).{{1,{PIECE}}}', 0)")
+    return f"array_distinct(transform(filter({parts}, p -> trim(p) != ''), p -> xxhash64(p)))"
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, digests and the next document's next_text, next_digests, by
+    """doc_id, text, digests, pieces and the next document's (next_...), by
     ascending doc_id. Documents are dealt into ranges of doc_id by quantiles
     (one per shuffle partition); the first row of each range also goes to the
     range before, as the one row that its last document needs."""
@@ -120,27 +151,31 @@ def with_next(docs: DataFrame) -> DataFrame:
     also = spark.createDataFrame([(row, firsts[k - 1][0]) for k, (_, row) in enumerate(firsts)],
                                  "first_row bigint, before int")
     rows = base.withColumn("part", part).withColumn("digests", F.expr(PARAGRAPHS.format("text")))
+    rows = rows.withColumn("pieces", F.expr(pieces("text")))
     rows = rows.join(F.broadcast(also), rows["row"] == also["first_row"], "left").withColumn(
         "copy", F.explode(F.expr("filter(array(struct(0 AS ghost, part AS at), struct(1 AS ghost, before AS at)), c -> c.at IS NOT NULL)")))
     order = W.partitionBy("copy.at").orderBy("copy.ghost", F.col("doc_id").asc_nulls_first(), "row")
-    return (rows.select("*", F.lead("text").over(order).alias("next_text"), F.lead("digests").over(order).alias("next_digests"))
-            .filter("copy.ghost = 0").select("doc_id", "text", "digests", "next_text", "next_digests"))
+    own = ("text", "digests", "pieces")
+    return (rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in own))
+            .filter("copy.ghost = 0").select("doc_id", *own, *(f"next_{c}" for c in own)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited (the text with its last quarter replaced by the
     next document's beginning), fingerprint, edited_fingerprint, near_edited,
-    near_next of each row of ``docs``."""
+    near_next of each row of ``docs``, by paragraphs; the last four also by
+    pieces (piece_...)."""
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("bigint"))
     rows = rows.withColumn("edited", F.expr(
         "concat(substring(text, 1, int(n_chars - floor(n_chars / 4))), substring(next_text, 1, int(floor(n_chars / 4))))"))
     rows = rows.withColumn("edited_digests", F.expr(PARAGRAPHS.format("edited")))
-    base = str(BASE)
-    rows = rows.select("*", F.expr(sketch("digests", base)).alias("cells"),
-                       F.expr(sketch("edited_digests", base)).alias("edited_cells"),
-                       F.expr(sketch("next_digests", base)).alias("next_cells"))
-    return rows.select(
-        "doc_id", "n_chars", "edited", F.expr(written("cells")).alias("fingerprint"),
-        F.expr(written("edited_cells")).alias("edited_fingerprint"),
-        F.expr(likeness("digests", "edited_digests", ("cells", "edited_cells"))).alias("near_edited"),
-        F.expr(likeness("digests", "next_digests", ("cells", "next_cells"))).alias("near_next"))
+    rows = rows.withColumn("edited_pieces", F.expr(pieces("edited")))
+    base, found = str(BASE), []
+    for of, prefix in (("digests", ""), ("pieces", "piece_")):
+        rows = rows.select("*", *(F.expr(sketch(f"{version}{of}", base)).alias(f"{version}{prefix}cells")
+                                  for version in ("", "edited_", "next_")))
+        found += [F.expr(written(f"{prefix}cells")).alias(f"{prefix}fingerprint"),
+                  F.expr(written(f"edited_{prefix}cells")).alias(f"{prefix}edited_fingerprint"),
+                  *(F.expr(likeness(of, f"{version}_{of}", (f"{prefix}cells", f"{version}_{prefix}cells")))
+                    .alias(f"{prefix}near_{version}") for version in ("edited", "next"))]
+    return rows.select("doc_id", "n_chars", "edited", *found)

@@ -102,7 +102,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprints
     return fingerprints(documents(spark, sf_dir)).selectExpr(
         "doc_id", "n_chars", "sha2(edited, 256) AS edited_sha256", "fingerprint", "edited_fingerprint",
-        "near_edited", "near_next")
+        "near_edited", "near_next", "piece_fingerprint", "piece_edited_fingerprint", "piece_near_edited", "piece_near_next")
 
 
 @query("op2_tool_calls", """

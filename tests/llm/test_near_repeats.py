@@ -196,6 +196,25 @@ def test_fingerprints(spark, docs_of, odd_texts, sample):
     assert [(r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in out] == list(fingerprint_rows(rows))
 
 
+def test_fingerprints_of_long_lines(docs_of):
+    """Texts in one line: sentences, words without an end, no blanks, one repeated pattern."""
+    from tablekit.llm.fingerprints import PIECE, fingerprints, pieces
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    texts = [" ".join(word() + "." * (k % 9 == 8) for k in range(400)), " ".join(word() for _ in range(400)),
+             "".join(rng.choices("abcdefghij0123456789", k=3000)), "x" * 2000, "".join(rng.choices("\u4e00\u4e8c\u4e09\u3002", k=1500))]
+    rows = sorted(fingerprints(docs_of(texts)).collect(), key=lambda r: r.doc_id)
+    assert all(r.near_edited == 0 and r.piece_near_edited > 0.4 for r in rows if r.doc_id != 3) and rows[3].piece_near_edited > 0
+    of = lambda texts: [set(r.p) for r in docs_of(texts, parts=1).selectExpr(f"{pieces('text')} AS p", "doc_id").orderBy("doc_id").collect()]
+    for r, a, b in zip(rows, of(texts), of([r.edited for r in rows])):
+        assert abs(r.piece_near_edited - len(a & b) / len(a | b)) < 1e-9
+    # an insertion in front leaves the rest
+    one, other = of([texts[1], "new words in front " + texts[1]])
+    assert len(one & other) >= len(one) - 2
+    short = "a" * PIECE + "\n\nb"
+    assert [len(x) for x in of([short, "", "\n \n"])] == [2, 0, 0]
+
+
 def test_fingerprints_stay_in_sql(docs_of):
     from tablekit.llm.exact_dedup import duplicate_groups
     from tablekit.llm.fingerprints import fingerprints
