@@ -74,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) by the exact rules, sorted by start, then kind."""
     found = [(a, b, 0) for a, b in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(p) < 400 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             found.append((m.start(), m.end(), 1))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:

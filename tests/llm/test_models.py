@@ -32,6 +32,13 @@ def test_base_spans_are_the_rules():
     assert base_spans("1" * 200_000 + "@" + "." * 50_000) == []   # linear time
 
 
+def test_ip_with_many_zeros():
+    from tablekit.llm.pii import base_spans
+    zeros = "0" * 5000
+    for text, found in ((f"{zeros}1.2.{zeros}.255", True), (f"{zeros}256.1.1.1", False), (f"1.1.1.{'9' * 5000}", False)):
+        assert ([s for s in base_spans(text) if s[2] == 1] == [(0, len(text), 1)]) == found
+
+
 def test_pii_model_and_query(spark, docs_of, odd_texts, sample):
     from tablekit.llm import pii
     from tablekit.llm.queries import QUERIES
