@@ -131,3 +131,62 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
     found = link_tool_calls(*conversation_calls(turns), SCHEMAS)
     return found.withColumn("faults", F.array_join("faults", ", "))
+
+
+def leaf_sql(text: str) -> str:
+    return "sha256(concat(" + ", ".join(
+        f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE base AS (
+  SELECT *, {leaf_sql('text')} AS leaf, {leaf_sql("replace(text, chr(10), '')")} AS cut,
+         coalesce('1' || source, '0') AS tree,
+         -- crc32 of the decimal doc_id, bit by bit
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384)))) % 2 = 0 AS hit
+  FROM documents
+), leaves AS (
+  SELECT doc_id, leaf, if(hit, cut, leaf) AS found, tree, count(*) OVER (PARTITION BY tree) AS n,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+  FROM base
+), nodes AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1
+  GROUP BY tree, level, idx // 3, n
+), subroots AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, idx, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1
+  GROUP BY level, idx // 3, n
+), runs AS (
+  SELECT tree, level, idx // 3 AS run, list(digest ORDER BY idx) AS own FROM nodes WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT '2', level, idx // 3, list(digest ORDER BY idx) FROM tops WHERE n > 1 GROUP BY ALL
+), below AS (
+  SELECT doc_id, leaf, tree, 0 AS level, idx, found AS folded, '' AS proof FROM leaves
+  UNION ALL
+  SELECT b.doc_id, b.leaf, b.tree, b.level + 1, b.idx // 3,
+         sha256(array_to_string(list_transform(own, lambda d, i: if(i = b.idx % 3 + 1, folded, d)), '')),
+         proof || array_to_string(list_filter(own, lambda d, i: i != b.idx % 3 + 1), '')
+  FROM below b JOIN runs r ON r.tree = b.tree AND r.level = b.level AND r.run = b.idx // 3
+), above AS (
+  SELECT b.doc_id, b.leaf, s.digest AS subroot, 0 AS level, s.idx, s.n, folded, proof
+  FROM below b JOIN subroots s ON s.tree = b.tree WHERE b.level = (SELECT max(level) FROM nodes x WHERE x.tree = b.tree)
+  UNION ALL
+  SELECT a.doc_id, a.leaf, a.subroot, a.level + 1, a.idx // 3, (a.n + 2) // 3,
+         sha256(array_to_string(list_transform(own, lambda d, i: if(i = a.idx % 3 + 1, folded, d)), '')),
+         proof || array_to_string(list_filter(own, lambda d, i: i != a.idx % 3 + 1), '')
+  FROM above a JOIN runs r ON r.tree = '2' AND r.level = a.level AND r.run = a.idx // 3
+)
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.digest AS verified
+FROM above, (SELECT digest FROM tops WHERE n = 1) t WHERE above.n = 1
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import audited
+    return audited(documents(spark, sf_dir)).selectExpr(
+        "doc_id", "lower(hex(digest)) AS leaf", "lower(hex(subroot)) AS subroot", "lower(hex(root)) AS root",
+        "sha2(lower(hex(proof)), 256) AS proof_sha256", "lower(hex(folded)) AS folded_root", "folded = root AS verified")
