@@ -190,3 +190,36 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(documents(spark, sf_dir)).selectExpr(
         "doc_id", "lower(hex(digest)) AS leaf", "lower(hex(subroot)) AS subroot", "lower(hex(root)) AS root",
         "sha2(lower(hex(proof)), 256) AS proof_sha256", "lower(hex(folded)) AS folded_root", "folded = root AS verified")
+
+
+@query("op12_collocations", """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+spans AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+found AS (SELECT lang, w[i:i + k - 1] AS p FROM spans, range(1, 6) t(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, p, count(*) AS f FROM found GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+scored AS (
+  SELECT c.lang, c.p, c.a, n, k, x.f AS l, y.f AS r,
+         ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN sizes s ON s.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:]
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT q.lang, q.p[b:e] AS p, f FROM f q, range(1, 6) t(b), range(1, 6) u(e)
+  WHERE len(q.p) > 2 AND e <= len(q.p) AND b < e AND e - b + 1 < len(q.p)
+), kept AS (
+  SELECT w.* FROM weakest w WHERE NOT EXISTS (
+    SELECT 1 FROM inside i WHERE i.lang = w.lang AND i.p = w.p AND 100 * i.f >= 100 * w.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+       array_to_string(p, ' ') AS phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+    return collocations(documents(spark, sf_dir))
