@@ -50,6 +50,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def least_hashes(rows: DataFrame, most: int) -> list[int]:
+    """The ``most`` smallest different values of the 64-bit hashes in column ``h``
+    (fewer, if there are not so many). Only those under a bound that about twice
+    as many are expected to pass are sorted; should fewer pass, it is raised."""
+    hashes = saved(rows.select("h").distinct())
+    n = hashes.count()
+    share = 2 * most / n if n else 1
+    while True:
+        bound = -(1 << 63) + int(min(1, share) * ((1 << 64) - 1))
+        least = [r["h"] for r in hashes.filter(F.col("h") <= bound).orderBy("h").limit(most).collect()]
+        if len(least) == most or share >= 1:
+            return least
+        share *= 4
+
+
 def slices(batches: Iterable, size_of, most: int) -> Iterator:
     """Consecutive slices of Arrow batches, each of at most ``most`` units by
     ``size_of(batch)`` (an array of sizes per row), or of a single row."""

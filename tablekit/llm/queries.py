@@ -223,3 +223,14 @@ FROM kept QUALIFY rank <= 2000
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
     return collocations(documents(spark, sf_dir))
+
+
+@query("op13_secrets")
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import KINDS, find_secrets, fit
+    docs = documents(spark, sf_dir)
+    found = find_secrets(docs, fit(docs))
+    line = "array_join(transform({}, s -> concat_ws(':', s.kind, string(s.start), string(s.end))), ',')"
+    return found.selectExpr(
+        "doc_id", *(f"bigint(size(filter(spans, s -> s.base AND s.kind = '{k}'))) AS n_{k}" for k in KINDS),
+        f"sha2({line.format('filter(spans, s -> s.base)')}, 256) AS base_sha256", f"{line.format('spans')} AS spans")
