@@ -6,9 +6,9 @@ ascending ``doc_id``; every three in a row become one node, the last run may be
 shorter, until one node is left, the tree's subroot. The subroots, ordered by
 source (null first), are the leaves of one more tree, whose last node is the root.
 
-Stored node rows hold ``STRIDE`` levels each: the digests of up to 81 neighbours
+Stored node rows hold ``STRIDE`` levels each: the digests of up to 729 neighbours
 and of the levels above them, with a link to the row above. So a recursion step
-climbs four levels and a leaf reaches the root of 10^9 leaves in six. Row
+climbs six levels and a leaf reaches the root of 10^9 leaves in five. Row
 numbers come from a range partitioning by (source, doc_id) and counts per
 partition, so a source with a third of all rows is spread like the others. Rows
 near the root, which all leaves read, are stored in as many copies as they have
@@ -31,9 +31,11 @@ from .common import saved
 #: Columns of a row that its leaf digests, in this order.
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Children of a node; levels held by one stored row; leaves served by one copy of a stored row.
-ARITY, STRIDE, SPREAD = 3, 4, 6561
+ARITY, STRIDE, SPREAD = 3, 6, 6561
 WIDTH = ARITY ** STRIDE
 TOP = "2"
+#: Trees and partitions up to which their first numbers are broadcast.
+FEW_STARTS = 50_000
 
 
 def leaf_digest(columns: dict[str, Column]) -> Column:
@@ -59,11 +61,13 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     ranged = ranged.withColumns({"part": F.shiftright("id", 33), "at": F.col("id").bitwiseAND((1 << 33) - 1)})
     by_tree = W.partitionBy("tree")
     before = by_tree.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = (ranged.groupBy("tree", "part").agg(F.count("*").alias("c"), F.min("at").alias("first"))
-              .select("tree", "part", (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("first")).alias("shift"),
-                      F.sum("c").over(by_tree).alias("n")))
-    return (ranged.join(starts, ["tree", "part"]).withColumn("idx", F.col("at") + F.col("shift"))
-            .drop("id", "part", "at", "shift"))
+    starts = saved(ranged.groupBy("tree", "part").agg(F.count("*").alias("c"), F.min("at").alias("first"))
+                   .select("tree", "part", (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("first")).alias("shift"),
+                           F.sum("c").over(by_tree).alias("n")))
+    # a row per partition and per tree: broadcast where that is few, else joined
+    few = starts.count() <= FEW_STARTS
+    return (ranged.join(F.broadcast(starts) if few else starts, ["tree", "part"])
+            .withColumn("idx", F.col("at") + F.col("shift")).drop("id", "part", "at", "shift"))
 
 
 def _up(nodes: str) -> str:
@@ -74,23 +78,24 @@ def _up(nodes: str) -> str:
             f"j -> unhex(sha2(lower(concat({run}{rest})), 256)))")
 
 
-def _built(leaves: DataFrame) -> list[DataFrame]:
-    """Stored rows of the trees of ``leaves`` (tree, idx, n, digest, below), level
-    by level: tree, level, block, n (nodes of the tree there), levels (digests,
-    one array per level), below (leaves)."""
-    most, part, out = leaves.agg(F.max("n")).first()[0] or 0, leaves, []
+def _built(leaves: DataFrame, most: int) -> list[DataFrame]:
+    """Stored rows of the trees of ``leaves`` (tree, idx, n, leaves, digest, below),
+    level by level, the largest tree having ``most`` leaves: tree, level, block,
+    n (nodes of the tree there), leaves (of the tree), levels (digests, one array
+    per level), below (leaves of the table)."""
+    part, out = leaves, []
     heights = f"int({' + '.join(f'if(n > {ARITY ** k}, 1, 0)' for k in range(STRIDE))})"
     while most:
         level = len(out)
-        blocks = (part.groupBy("tree", "n", F.expr(f"idx div {WIDTH}").alias("block"))
+        blocks = (part.groupBy("tree", "n", "leaves", F.expr(f"idx div {WIDTH}").alias("block"))
                   .agg(F.sort_array(F.collect_list(F.struct("idx", "digest"))).alias("own"), F.sum("below").alias("below"))
                   .withColumn("own", F.expr("transform(own, x -> x.digest)"))
-                  .select("tree", F.lit(level).alias("level"), "block", "n", "below", F.expr(
+                  .select("tree", F.lit(level).alias("level"), "block", "n", "leaves", "below", F.expr(
                       f"aggregate(array_repeat(0, {heights}), array(own), "
                       f"(s, x) -> concat(s, array(transform(array(element_at(s, -1)), a -> {_up('a')})[0])))").alias("levels")))
         out.append(saved(blocks))
         part = out[-1].filter(F.col("n") > WIDTH).select(
-            "tree", F.col("block").alias("idx"), F.expr(f"(n + {WIDTH - 1}) div {WIDTH}").alias("n"),
+            "tree", F.col("block").alias("idx"), F.expr(f"(n + {WIDTH - 1}) div {WIDTH}").alias("n"), "leaves",
             F.expr("element_at(levels, -1)[0]").alias("digest"), "below")
         most = -(-most // WIDTH) if most > WIDTH else 0
     return out
@@ -103,6 +108,12 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _copies(level: str, block: str) -> str:
+    """SQL: copies of a row of a source's tree: one per ``SPREAD`` leaves below."""
+    width = f"bigint(power({WIDTH}, {level} + 1))"
+    return f"(least({width}, leaves - ({block}) * {width}) + {SPREAD - 1}) div {SPREAD}"
+
+
 def manifest(docs: DataFrame, also: dict[str, Column] | None = None, tree: str = "source", order: str = "doc_id",
              columns: tuple = COLUMNS) -> tuple[DataFrame, DataFrame | None]:
     """(leaves, nodes) of the rows of ``docs``.
@@ -116,26 +127,33 @@ def manifest(docs: DataFrame, also: dict[str, Column] | None = None, tree: str =
                              leaf_digest({c: docs[c] for c in columns}).alias("digest"),
                              *(c.alias(name) for name, c in also.items())))
     leaves = saved(placed(rows, ["doc_id", "digest"]))
-    own = _built(leaves.select("tree", "idx", "n", "digest", F.lit(1).cast("bigint").alias("below")))
-    if not own:
+    total, most = leaves.agg(F.count("*"), F.max("n")).first()
+    if not total:
         return leaves, None
-    tops = _all(own).filter(F.col("n") <= WIDTH).select(
-        F.lit(TOP).alias("tree"), F.col("tree").alias("of"), F.expr("element_at(levels, -1)[0]").alias("digest"), "below")
-    tops = saved(placed(tops, ["of"]))
-    blocks = _all(own + _built(tops.select("tree", "idx", "n", "digest", "below")))
-    rows = blocks.join(tops.select(F.col("of").alias("tree"), F.col("idx").alias("top_idx")), "tree", "left").withColumns({
-        "up": F.expr(f"""CASE
-            WHEN n > {WIDTH} THEN named_struct('tree', tree, 'level', level + 1, 'block', block div {WIDTH}, 'slot', int(block % {WIDTH}))
-            WHEN top_idx IS NOT NULL THEN named_struct('tree', '{TOP}', 'level', 0, 'block', top_idx div {WIDTH}, 'slot', int(top_idx % {WIDTH}))
-            END"""),
-        "copies": F.expr(f"(below + {SPREAD - 1}) div {SPREAD}")})
-    copies = blocks.select(F.col("tree").alias("up_tree"), F.col("level").alias("up_level"), F.col("block").alias("up_block"),
-                           F.expr(f"(below + {SPREAD - 1}) div {SPREAD}").alias("up_copies"))
-    rows = (rows.select("*", F.col("up.tree").alias("up_tree"), F.col("up.level").alias("up_level"),
-                        F.col("up.block").alias("up_block"), F.col("up.slot").alias("up_slot"))
-            .join(copies, ["up_tree", "up_level", "up_block"], "left"))
-    return leaves, saved(rows.select("tree", "level", "block", F.explode(F.expr("sequence(0L, copies - 1)")).alias("salt"),
-                                     "levels", "up_tree", "up_level", "up_block", "up_slot", "up_copies"))
+    own = _built(leaves.select("tree", "idx", "n", F.col("n").alias("leaves"), "digest", F.lit(1).cast("bigint").alias("below")), most)
+    # the last row of each tree is a leaf of the uppermost tree, and links to its place there
+    last = _all(own).filter(F.col("n") <= WIDTH).withColumnsRenamed({"tree": "of", "n": "own_n"}).withColumns(
+        {"tree": F.lit(TOP), "digest": F.expr("element_at(levels, -1)[0]")})
+    last = saved(placed(last, ["of"]))
+    sources = last.agg(F.max("n")).first()[0]
+    tops = _all(_built(last.select("tree", "idx", "n", F.col("n").alias("leaves"), "digest", "below"), sources))
+    whole, beside = f"({total} + {SPREAD - 1}) div {SPREAD}", F.sum("below").over(W.partitionBy(F.expr(f"idx div {WIDTH}")))
+    above = {"up_level": "level + 1", "up_block": f"block div {WIDTH}", "up_slot": f"int(block % {WIDTH})"}
+    links = [
+        _all(own).filter(F.col("n") > WIDTH).withColumns({
+            "copies": F.expr(_copies("level", "block")), "up_tree": F.col("tree"), **{k: F.expr(v) for k, v in above.items()},
+            "up_copies": F.expr(_copies("level + 1", f"block div {WIDTH}"))}),
+        last.withColumns({
+            "copies": F.expr(f"(below + {SPREAD - 1}) div {SPREAD}"), "up_tree": F.lit(TOP), "up_level": F.lit(0),
+            "up_block": F.expr(f"idx div {WIDTH}"), "up_slot": F.expr(f"int(idx % {WIDTH})"),
+            "up_copies": ((beside + SPREAD - 1) / SPREAD).cast("bigint")}).withColumn("tree", F.col("of")),
+        tops.withColumns({
+            "copies": F.expr(f"if(level = 0, (below + {SPREAD - 1}) div {SPREAD}, {whole})"),
+            "up_tree": F.expr(f"if(n > {WIDTH}, tree, NULL)"), **{k: F.expr(v) for k, v in above.items()}, "up_copies": F.expr(whole)})]
+    columns = ["tree", "level", "block", "copies", "levels", "up_tree", "up_level", "up_block", "up_slot", "up_copies"]
+    nodes = _all([x.select(columns) for x in links]).withColumn("salt", F.explode(F.expr("sequence(0L, copies - 1)"))).drop("copies")
+    # dealt out by what a step of the climb joins on
+    return leaves, saved(nodes.repartition("tree", "level", "block", "salt"))
 
 
 #: One step: fold the digest through the levels of the row, collecting the
@@ -166,17 +184,23 @@ WITH RECURSIVE climb AS (
                              if(s.at % 3 = 2, X'', coalesce(get(a, s.at - s.at % 3 + 2), X''))))) AS went
         FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.block = n.block AND c.salt = n.salt)
 )
-SELECT leaf.*, subroot, root, folded, proof FROM climb WHERE tree IS NULL
+SELECT leaf.*, subroot, root, folded, {proof} AS proof FROM climb WHERE tree IS NULL
 """
 
 
-def climbed(leaves: DataFrame, nodes: DataFrame, start: str = "digest", keep: tuple = ("doc_id", "digest")) -> DataFrame:
+#: The digest of a proof, in SQL.
+PROOF_DIGEST = "unhex(sha2(lower(hex(proof)), 256))"
+
+
+def climbed(leaves: DataFrame, nodes: DataFrame, start: str = "digest", keep: tuple = ("doc_id", "digest"),
+            proof: str = "proof") -> DataFrame:
     """Per leaf: the columns ``keep``, subroot and root as stored, ``folded`` (the
     root recomputed from the digest in column ``start`` and the stored siblings)
-    and ``proof`` (these siblings' digests, 32 bytes each)."""
+    and ``proof`` (SQL on these siblings' digests, 32 bytes each; as they are, or
+    what is to be kept of them)."""
     spark = leaves.sparkSession
     rows = leaves.select(F.struct(*keep).alias("leaf"), "tree", "idx", F.col(start).alias("start"))
-    sql = CLIMB.format(width=WIDTH, spread=SPREAD, top=TOP, leaves="{leaves}", nodes="{nodes}")
+    sql = CLIMB.format(width=WIDTH, spread=SPREAD, top=TOP, proof=proof, leaves="{leaves}", nodes="{nodes}")
     # the query visits every leaf once a step: the default limit of rows is for runaway recursions
     key = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(key, None)
@@ -195,7 +219,7 @@ def tampered(docs: DataFrame) -> Column:
     return F.when(hit, leaf_digest({c: F.replace(text, F.lit("\n"), F.lit("")) if c == "text" else docs[c] for c in COLUMNS}))
 
 
-def audited(docs: DataFrame) -> DataFrame:
+def audited(docs: DataFrame, proof: str = "proof") -> DataFrame:
     """doc_id, digest, subroot, root, folded, proof per row of ``docs``, climbing
     with the digests of the tampered texts against the manifest of the true ones."""
     leaves, nodes = manifest(docs, {"found": tampered(docs)})
@@ -203,4 +227,4 @@ def audited(docs: DataFrame) -> DataFrame:
         empty = "CAST(NULL AS BINARY)"
         return leaves.selectExpr("doc_id", "digest", *(f"{empty} AS {c}" for c in ("subroot", "root", "folded", "proof")))
     leaves = leaves.withColumn("start", F.coalesce("found", "digest"))
-    return climbed(leaves, nodes, "start")
+    return climbed(leaves, nodes, "start", proof=proof)

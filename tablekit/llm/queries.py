@@ -186,10 +186,10 @@ SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, f
 FROM above, (SELECT digest FROM tops WHERE n = 1) t WHERE above.n = 1
 """)
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .merkle import audited
-    return audited(documents(spark, sf_dir)).selectExpr(
+    from .merkle import PROOF_DIGEST, audited
+    return audited(documents(spark, sf_dir), PROOF_DIGEST).selectExpr(
         "doc_id", "lower(hex(digest)) AS leaf", "lower(hex(subroot)) AS subroot", "lower(hex(root)) AS root",
-        "sha2(lower(hex(proof)), 256) AS proof_sha256", "lower(hex(folded)) AS folded_root", "folded = root AS verified")
+        "lower(hex(proof)) AS proof_sha256", "lower(hex(folded)) AS folded_root", "folded = root AS verified")
 
 
 @query("op12_collocations", """

@@ -72,12 +72,12 @@ def key(row):
 
 def test_sources_of_many_sizes(spark, tmp_path):
     rows, n = [], 0
-    for size, source in [(1, "one"), (2, "Two"), (3, "é"), (4, ""), (81, "z81"), (82, "z82"), (244, None), (700, "hot")]:
+    for size, source in [(1, "one"), (2, "Two"), (3, "é"), (4, ""), (729, "z729"), (730, "z730"), (244, None), (2200, "hot")]:
         for k in range(size):
             n += 1
             rows.append((n * 7 % 5000, source, None if k % 5 == 0 else "en", k, None if k % 11 == 0 else f"line {k}\nnext\n" * (k % 4)))
     rows += [(None, "hot", None, None, None), (None, "hot", "de", None, "a\nb"), (1, "hot", None, None, "x"), (1, "hot", None, None, "x")]
-    rows += [(9000 + k, f"s{k}", "en", 1, "t\n") for k in range(100)]     # more sources than one stored row holds
+    rows += [(9000 + k, f"s{k}", "en", 1, "t\n") for k in range(740)]     # more sources than one stored row holds
     out = spark_rows(spark.createDataFrame([(r[0], r[4], r[2], r[1], r[3]) for r in rows], SCHEMA).repartition(7), tmp_path)
     assert sorted(out, key=key) == sorted(plain(rows), key=key)
     assert {True, False} == {r[-1] for r in out}
@@ -109,7 +109,7 @@ def test_recursion_limit_is_given_back(spark):
     assert spark.conf.get(conf) == before
 
 
-@pytest.mark.parametrize("n", [5, 200])
+@pytest.mark.parametrize("n", [5, 2000])
 def test_stored_rows_are_linked(spark, n):
     from tablekit.llm.merkle import manifest
     docs = spark.createDataFrame([(k, f"t{k}", "en", "s", 2) for k in range(n)], SCHEMA)
