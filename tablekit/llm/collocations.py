@@ -6,9 +6,9 @@ text are stored as numbers under a vocabulary of their own. Each task counts the
 phrases of its blocks in a trie of word ids whose leaves are hash containers; a
 container that grows past ``BURST`` entries bursts into one container per next
 word, and when all of a task's containers hold ``HELD`` entries, its largest
-subtrees are written out whole as sorted runs and forgotten. The runs meet by the
-phrase's first two words (and a sixteenth of the third words, so that a frequent
-pair spreads) and are added up there.
+subtrees are written out whole as runs, sorted by prefix, and forgotten. Runs of
+one prefix (the hash of the first word and of a sixteenth of the second and third
+words, so that a frequent word or pair spreads) are merged one prefix after the other.
 
 Counting goes by length: words, then pairs, then longer phrases. A phrase is no more
 frequent than any part of it, so a longer one is counted only where all its words
@@ -23,7 +23,6 @@ part.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -34,6 +33,8 @@ from .common import saved, text_of
 
 BLOCK, BURST, HELD, FILTER_BITS, PROBES = 2 << 20, 4096, 1_000_000, 1 << 26, 3
 LEAST, LONGEST, TOP = 100, 5, 2000
+#: Least number of parts into which the runs are dealt for merging; words of text a part.
+PREFIXES, WORDS_A_PREFIX = 4096, 1 << 18
 
 #: Ends of pieces become 0xFF, which no UTF-8 text has; a tab is a blank.
 MARKED = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\xff" * 10 + b" ")
@@ -55,7 +56,12 @@ def encoded(texts: list[str]) -> tuple[bytes, bytes, int]:
     numbers = Numbers({b"\xff": 0})
     ids = np.fromiter(map(numbers.__getitem__, marked), "<u4", len(marked))
     vocabulary = list(numbers)[1:]
-    return b" ".join(vocabulary), ids.tobytes(), int(np.count_nonzero(ids))
+    return b" ".join(vocabulary), ids.astype(id_type(len(vocabulary))).tobytes(), int(np.count_nonzero(ids))
+
+
+def id_type(words: int) -> str:
+    """How a block with so many different words writes their numbers."""
+    return "<u2" if words < 1 << 16 else "<u4"
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -181,9 +187,62 @@ def passing(hashes, words):
     return out
 
 
-def counted(blocks: DataFrame, lengths: tuple, filters: dict, held: int = HELD, burst: int = BURST) -> DataFrame:
-    """lang, phrase (binary), f of the phrases of the given lengths whose words and
-    pairs pass ``filters`` (by length: broadcast arrays)."""
+#: How the counts of a run are written, by its first byte.
+COUNT_TYPES = ("u1", "<u4", "<u8")
+
+
+def written_counts(counts) -> bytes:
+    most = int(counts.max())
+    kind = 0 if most < 1 << 8 else 1 if most < 1 << 32 else 2
+    return bytes([kind]) + counts.astype(COUNT_TYPES[kind]).tobytes()
+
+
+def joined(batches: Iterator, least: int) -> Iterator:
+    """Runs (prefix, lang, phrases, counts) in order of prefix, merged: the phrases
+    of each prefix that occur at least ``least`` times."""
+    import numpy as np
+    import pyarrow as pa
+    at, held, out = None, {}, ([], [], [])
+
+    def ended():
+        for lang, own in held.items():
+            some = [(phrase, n) for phrase, n in own.items() if n >= least]
+            out[0].extend([lang] * len(some))
+            out[1].extend(phrase for phrase, _ in some)
+            out[2].extend(n for _, n in some)
+        held.clear()
+
+    def written():
+        batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())],
+                                           ["lang", "phrase", "f"])
+        for column in out:
+            column.clear()
+        return batch
+
+    for batch in batches:
+        for prefix, lang, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("prefix", "lang", "phrases", "counts"))):
+            if prefix != at:
+                ended()
+                at = prefix
+                if len(out[0]) > 50_000:
+                    yield written()
+            own, at_ = held.setdefault(lang, {}), 0
+            counts = np.frombuffer(counts, COUNT_TYPES[counts[0]], offset=1).tolist()
+            for group in phrases.split(b"\n"):
+                head, *tails = group.split(b"\t")
+                for tail in tails:
+                    phrase = head + b" " + tail if tail else head
+                    own[phrase] = own.get(phrase, 0) + counts[at_]
+                    at_ += 1
+    ended()
+    yield written()
+
+
+def counted(blocks: DataFrame, lengths: tuple, filters: dict, least: int, prefixes: int, held: int = HELD, burst: int = BURST) -> DataFrame:
+    """lang, phrase (binary), f of the phrases of the given lengths that occur at
+    least ``least`` times and whose words and pairs pass ``filters`` (by length:
+    broadcast arrays). ``prefixes``: into how many parts phrases are dealt by
+    their first word (and a sixteenth of the second and third words)."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -192,44 +251,58 @@ def counted(blocks: DataFrame, lengths: tuple, filters: dict, held: int = HELD,
         hashes: dict[str, list[int]] = {}
         total = 0
 
-        def runs(least: int) -> Iterator:
-            """The largest subtrees, until at most ``least`` entries are left."""
+        def runs(least_held: int) -> Iterator:
+            """The largest subtrees, until at most ``least_held`` entries are left."""
             nonlocal total
             order = sorted(((n, lang, first) for lang, t in tries.items() for first, n in t.sizes.items()), reverse=True)
-            langs, prefixes, phrases, counts = [], [], [], []
+            taken: dict[str, list] = {}
             for n, lang, first in order:
-                if total <= least:
+                if total <= least_held:
                     break
-                names, codes = list(numbers[lang]) if not phrases or langs[-1] != lang else names, hashes[lang]
                 total -= n
-                for rest, count in tries[lang].taken(first):
-                    ids = struct.unpack(f">{len(rest) // 4}I", rest)
-                    part = codes[first] * 31
-                    if ids:
-                        part += codes[ids[0]] * 17
-                    if len(ids) > 1:
-                        part += codes[ids[1]] & 15
-                    langs.append(lang)
-                    prefixes.append(part % 0x7FFFFFFFFFFFFFE7)
-                    phrases.append(b" ".join([names[first], *(names[i] for i in ids)]))
-                    counts.append(count)
-                if len(phrases) > 50_000:
-                    yield written(langs, prefixes, phrases, counts)
-                    langs, prefixes, phrases, counts = [], [], [], []
-            if phrases:
-                yield written(langs, prefixes, phrases, counts)
+                taken.setdefault(lang, []).append((first, tries[lang].taken(first)))
+            for lang, trees in taken.items():
+                yield written(lang, trees)
             if not total:   # nothing refers to the numbers any more
                 tries.clear(), numbers.clear(), hashes.clear()
 
-        def written(langs, prefixes, phrases, counts):
-            return pa.RecordBatch.from_pydict({
-                "lang": pa.array(langs, pa.string()), "prefix": pa.array(prefixes, pa.int64()),
-                "phrase": pa.array(phrases, pa.binary()), "f": pa.array(counts, pa.int64())})
+        def written(lang, trees):
+            names, codes = list(numbers[lang]), np.array(hashes[lang], np.uint64)
+            tails, counts, firsts, seconds, thirds = [], [], [], [], []
+            for first, entries in trees:
+                ids = np.frombuffer(b"".join(rest for rest, _ in entries), ">u4").tolist()
+                firsts += [first] * len(entries)
+                at = 0
+                for rest, count in entries:
+                    own = ids[at:at + len(rest) // 4]
+                    at += len(own)
+                    tails.append(b" ".join([names[i] for i in own]) if own else b"")
+                    counts.append(count)
+                    seconds.append(own[0] if own else -1)
+                    thirds.append(own[1] if len(own) > 1 else -1)
+            first, second, third = np.array(firsts), np.array(seconds), np.array(thirds)
+            part = codes[first] * np.uint64(31)
+            part += np.where(second < 0, np.uint64(0), codes[second] & np.uint64(15))
+            part += np.where(third < 0, np.uint64(0), (codes[third] & np.uint64(15)) << np.uint64(4))
+            part = (paired(part, part) % np.uint64(prefixes)).astype(np.int64)
+            order = np.argsort(part, kind="stable")      # by first word within a part
+            part, first, counts = part[order], first[order], np.array(counts, np.int64)[order]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            new = np.flatnonzero((np.diff(part) != 0) | (np.diff(first) != 0)) + 1
+            order, groups = order.tolist(), [0, *new.tolist(), len(part)]
+            # the phrases of a first word share it: word, then what follows it, one tab apart
+            texts = [b"\t".join([names[first[a]], *(tails[i] for i in order[a:b])]) for a, b in zip(groups, groups[1:])]
+            at = np.searchsorted(groups, cuts).tolist()
+            sizes = [written_counts(counts[a:b]) for a, b in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_arrays([
+                pa.array([lang] * (len(cuts) - 1), pa.string()), pa.array(part[cuts[:-1]]),
+                pa.array([b"\n".join(texts[a:b]) for a, b in zip(at, at[1:])], pa.binary()),
+                pa.array(sizes, pa.binary())], ["lang", "prefix", "phrases", "counts"])
 
         for batch in batches:
             for lang, vocabulary, ids in zip(*(batch.column(c).to_pylist() for c in ("lang", "vocabulary", "ids"))):
                 words = vocabulary.split(b" ") if vocabulary else []
-                a, own = np.frombuffer(ids, "<u4"), word_hashes(lang, words)
+                a, own = np.frombuffer(ids, id_type(len(words))), word_hashes(lang, words)
                 known = passing(own, filters[1].value) if 1 in filters else np.ones(len(words), bool)
                 trie, number, codes = tries.setdefault(lang, Trie(burst)), numbers.setdefault(lang, Numbers()), hashes.setdefault(lang, [])
                 task_ids = np.zeros(len(words) + 1, np.int64)
@@ -259,15 +332,16 @@ def counted(blocks: DataFrame, lengths: tuple, filters: dict, held: int = HELD,
                     first = rows[:, 0]
                     rests = rows[:, 1:].astype(">u4").reshape(len(rows), -1).view(f"V{4 * (n - 1)}").ravel().tolist() if n > 1 else [b""] * len(rows)
                     cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), len(first)]
-                    count = count.tolist()
-                    for low, high in zip(cuts, cuts[1:]):
-                        total += trie.add(int(first[low]), rests[low:high], count[low:high])
+                    count, heads = count.tolist(), first[cuts[:-1]].tolist()
+                    for head, low, high in zip(heads, cuts, cuts[1:]):
+                        total += trie.add(head, rests[low:high], count[low:high])
                 if total > held:
                     yield from runs(held // 2)
         yield from runs(0)
 
-    rows = blocks.select("lang", "vocabulary", "ids").mapInArrow(run, "lang string, prefix bigint, phrase binary, f bigint")
-    return rows.repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f")).drop("prefix")
+    rows = blocks.select("lang", "vocabulary", "ids").mapInArrow(run, "lang string, prefix bigint, phrases binary, counts binary")
+    return (rows.repartition("prefix").sortWithinPartitions("prefix")
+            .mapInArrow(lambda batches: joined(batches, least), "lang string, phrase binary, f bigint"))
 
 
 def filter_of(frequent: DataFrame, bits: int = FILTER_BITS):
@@ -304,10 +378,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     words said at least ``least`` times; lang, n (all word occurrences)."""
     blocks = saved(blocks_of(docs))
     sizes = blocks.groupBy("lang").agg(F.sum("words").alias("n"))
+    prefixes = max(PREFIXES, (blocks.agg(F.sum("words")).first()[0] or 0) // WORDS_A_PREFIX)
     found, filters = [], {}
     for lengths in ((1,), (2,), tuple(range(3, longest + 1))):
         if lengths:
-            found.append(saved(counted(blocks, lengths, dict(filters), held, burst).filter(F.col("f") >= least)))
+            found.append(saved(counted(blocks, lengths, dict(filters), least, prefixes, held, burst)))
             if lengths[0] < 3:
                 filters[lengths[0]] = filter_of(found[-1], bits)
     phrases = found[0]
