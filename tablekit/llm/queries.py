@@ -100,9 +100,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_fingerprints")
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprints
-    return fingerprints(documents(spark, sf_dir)).selectExpr(
-        "doc_id", "n_chars", "sha2(edited, 256) AS edited_sha256", "fingerprint", "edited_fingerprint",
-        "near_edited", "near_next", "piece_fingerprint", "piece_edited_fingerprint", "piece_near_edited", "piece_near_next")
+    return fingerprints(documents(spark, sf_dir), families=("",)).selectExpr(
+        "doc_id", "n_chars", "sha2(edited, 256) AS edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 @query("op2_tool_calls", """
