@@ -79,7 +79,7 @@ def apply_browse_spec_q(spark, d):
 def data_preview_head_q(spark, d):
     with HeldPreview(table(spark, d, "lineitem"), most=10_000) as held:
         held.show(LINEITEM_SPEC)
-        rows = held.data.collect()          # the bounded edge: 10,000 rows
+        rows = held.data.toArrow()          # the bounded edge: 10,000 rows
         return spark.createDataFrame(rows, held.data.schema)
 
 

@@ -11,6 +11,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.predicates import utc_today
 from ..functions.spec import Condition
 from ..operators.filtering import apply_filters, filter_by_spec
 from . import query, table
@@ -269,6 +270,35 @@ def filter_relative_today(spark, d):
     return out
 
 
+# rows of the last 900 days, made from the ids: no date is injected on either side
+NOW_SQL = ("SELECT event_id, (now() AT TIME ZONE 'UTC')::DATE - CAST(event_id % 900 AS INTEGER) * INTERVAL 1 DAY "
+           "+ CAST(event_id % 86400 AS INTEGER) * INTERVAL 1 SECOND AS ts FROM events")
+TODAY_SQL = "(now() AT TIME ZONE 'UTC')::DATE"
+NOW_CASES = [("today", f"ts >= {TODAY_SQL} AND ts < {TODAY_SQL} + INTERVAL 1 DAY"),
+             ("yesterday", f"ts >= {TODAY_SQL} - INTERVAL 1 DAY AND ts < {TODAY_SQL}"),
+             ("week-ago", f"ts >= {TODAY_SQL} - INTERVAL 7 DAY"), ("month-ago", f"ts >= {TODAY_SQL} - INTERVAL 1 MONTH"),
+             ("year-ago", f"ts >= {TODAY_SQL} - INTERVAL 12 MONTH")]
+
+
+@query("filter_relative_now", " UNION ALL ".join(
+    f"SELECT '{w}' AS word, '{kind}' AS kind, event_id FROM ({NOW_SQL}) WHERE {cond}"
+    for kind in ("wall", "zoned", "text") for w, cond in NOW_CASES))
+def filter_relative_now(spark, d):
+    # the same days for wall-clock, zoned and text columns
+    ev = table(spark, d, "events").select("event_id")
+    start = F.unix_date(utc_today()).cast("bigint") * 86400
+    ev = ev.select("event_id", (start - (F.col("event_id") % 900) * 86400 + F.col("event_id") % 86400).alias("s"))
+    wall = F.timestamp_add("SECOND", F.col("s"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    ev = ev.select("event_id", wall.alias("wall"), F.timestamp_seconds("s").alias("zoned"), wall.cast("string").alias("text"))
+    out = None
+    for kind in ("wall", "zoned", "text"):
+        for word, _ in NOW_CASES:
+            part = apply_filters(ev, [_f(kind, "is-relative-today", word)]).select(
+                F.lit(word).alias("word"), F.lit(kind).alias("kind"), "event_id")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("filter_conjunction",
        "SELECT * FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 30 "
        "AND lower(l_returnflag) IN ('r', 'a') AND l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' "

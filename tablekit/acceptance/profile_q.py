@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.profile import (Profile, analyze_columns, color_scale_min_max, distinct_values,
                                  estimate_csv_size_df)
+from ..operators.sketches import column_sketches, estimates, merge_sketches
 from . import query, table
 
 # Column layouts of the given tables (kind: int, dbl, ts, str).
@@ -188,6 +189,52 @@ def profile_categories(spark, d):
             .unionByName(Profile(table(spark, d, "lineitem")).categories()))
 
 
+def _rows_sql(t: str, cols) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count FROM {_src(t)}" for c, _, _ in cols)
+
+
+def _exact_sql(t: str, cols) -> str:
+    return (f"SELECT column_name, row_count, nan_count, min, max FROM ({_rows_sql(t, cols)}) JOIN ({null_sql(t, cols)}) "
+            f"USING (column_name) JOIN ({minmax_sql(t, cols)}) USING (column_name)")
+
+
+@query("profile_sketches_merged", _exact_sql("events_missing", EVENTS) + " UNION ALL " + _exact_sql("lineitem", LINEITEM))
+def profile_sketches_merged(spark, d):
+    # the exact parts of sketches that were made for seven parts and merged
+    out = []
+    for df, key in ((events_missing(spark, d), "event_id"), (table(spark, d, "lineitem"), "l_orderkey")):
+        merged = merge_sketches(column_sketches(df, by=F.pmod(F.col(key), F.lit(7))))
+        out.append(merged.select("column_name", F.col("rows").alias("row_count"), F.col("missing").alias("nan_count"),
+                                 F.col("low.text").alias("min"), F.col("high.text").alias("max")))
+    return out[0].unionByName(out[1])
+
+
+@query("profile_sketch_categories", " UNION ALL ".join([
+    cat_sql("events_missing", [("event_type", "str", "string")]), cat_sql("customer", [("c_mktsegment", "str", "string")]),
+    cat_sql("lineitem", [("l_returnflag", "str", "string"), ("l_linestatus", "str", "string")])]))
+def profile_sketch_categories(spark, d):
+    # frequent values of merged sketches are exact while a column has few
+    out = None
+    for df, names in ((events_missing(spark, d), ["event_type"]), (table(spark, d, "customer"), ["c_mktsegment"]),
+                      (table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"])):
+        merged = merge_sketches(column_sketches(df, names, F.pmod(F.xxhash64(*df.columns), F.lit(3))))
+        part = estimates(merged).select("column_name", F.posexplode("categories").alias("at", "c")).select(
+            "column_name", (F.col("at") + 1).alias("position"), "c.name", "c.count")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("profile_sketch_histogram_edges", " UNION ALL ".join([
+    "SELECT column_name, bin, bin_start, bin_end FROM (" + hist_sql(t, c) + ")" for t, c in (("events_missing", EVENTS), ("lineitem", LINEITEM))]))
+def profile_sketch_histogram_edges(spark, d):
+    out = None
+    for df in (events_missing(spark, d), table(spark, d, "lineitem")):
+        part = analyze_columns(df, approx=True).select("column_name", F.posexplode("histogram").alias("bin", "h")).select(
+            "column_name", "bin", "h.bin_start", "h.bin_end")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("analyze_columns", _analyze_sql("customer", CUSTOMER))
 def analyze_columns_q(spark, d):
     return flat_profile(analyze_columns(table(spark, d, "customer")))

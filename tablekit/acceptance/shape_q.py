@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.shape import (add_index_after_limit, add_limit, paginate, prepare_columns,
-                               sample_n, size, sort_multi, with_row_index)
+                               sample_n, size, sort_multi, with_row_index, PageIndex)
 from ..plans.browse import page_of_preview, preview_head
 from . import query, table
 
@@ -100,11 +100,54 @@ def size_q(spark, d):
     return spark.createDataFrame([(size(table(spark, d, "lineitem")),)], "row_count long")
 
 
+def _by_price(spark, d):
+    # many rows share a sort value; the id decides last
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") % 1000).cast("int").alias("cents"), "o_orderstatus")
+    return o, [("cents", False), ("o_orderkey", True)]
+
+
+BY_PRICE = ("(SELECT o_orderkey, CAST(trunc(o_totalprice % 1000) AS INTEGER) AS cents, o_orderstatus, "
+            "CAST(row_number() OVER (ORDER BY trunc(o_totalprice % 1000) DESC, o_orderkey) - 1 AS BIGINT) AS row_index FROM orders)")
+
+
+@query("page_index_pages", " UNION ALL ".join(
+    f"SELECT * FROM {BY_PRICE} WHERE row_index >= {size} * least({k}, (SELECT (count(*) - 1) // {size} FROM orders)) "
+    f"AND row_index < {size} * least({k}, (SELECT (count(*) - 1) // {size} FROM orders)) + {size}"
+    for k, size in ((0, 20), (7, 33), (40, 25), (10 ** 6, 500))))
+def page_index_pages(spark, d):
+    # pages of one index: the first, some inside, one past the end
+    index = PageIndex(*_by_price(spark, d), ranges=16)
+    out = None
+    for k, size in ((0, 20), (7, 33), (40, 25), (10 ** 6, 500)):
+        page = index.page(k, size, "row_index")
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
+@query("page_index_rows", f"SELECT * FROM {BY_PRICE}")
+def page_index_rows(spark, d):
+    return PageIndex(*_by_price(spark, d), ranges=100).row_index()
+
+
 @query("sample_n", "SELECT * FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|42') LIMIT 500")
 def sample_n_q(spark, d):
     return sample_n(table(spark, d, "orders"), 500, seed=42, key_columns=["o_orderkey"])
 
 
+CONTENT_SQL = "|| ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-') "
+                         for c in ("user_id", "event_type"))
+
+
+@query("sample_n_by_content",
+       f"SELECT user_id, event_type FROM (SELECT *, md5(d || '|' || (row_number() OVER (PARTITION BY d) - 1) || '|11') AS u FROM "
+       f"(SELECT user_id % 50 AS user_id, nullif(event_type, 'error') AS event_type FROM events) e, LATERAL (SELECT md5({CONTENT_SQL}) AS d)) "
+       "ORDER BY u, d LIMIT 400")
+def sample_n_by_content(spark, d):
+    # few different rows with many copies; the copies are sampled one by one
+    ev = table(spark, d, "events").select((F.col("user_id") % 50).alias("user_id"), F.expr("nullif(event_type, 'error')").alias("event_type"))
+    return sample_n(ev.repartition(3), 400, seed=11)
+
+
 @query("sample_n_multi_key",
        "SELECT * FROM lineitem ORDER BY md5(CAST(l_orderkey AS VARCHAR) || '|' || "
        "CAST(l_linenumber AS VARCHAR) || '|7') LIMIT 1000")

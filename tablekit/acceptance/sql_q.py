@@ -4,6 +4,8 @@ through SQL text. Cross joins are deliberately not registered (all-pairs output)
 
 from __future__ import annotations
 
+import datetime as dt
+
 from ..plans.sqlcell import (SqlWorkspace, cached_sql, run_template, spark_sql_cell, sql_on_tables)
 from . import query, table
 
@@ -45,6 +47,28 @@ def sql_in_list_q(spark, d):
                         {"keys": IN_KEYS}, _tables(spark, d, "customer"))
 
 
+@query("sql_in_list_ranges",
+       "SELECT o_orderkey, o_orderstatus FROM orders o WHERE o.o_custkey IN (3, 4, 5, 700, 701, 1400, -2) "
+       "AND (o_orderpriority IN ('1-URGENT', '5-LOW')) UNION ALL "
+       "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate IN (DATE '1996-01-02', DATE '1998-02-03')")
+def sql_in_list_ranges(spark, d):
+    return run_template(spark, "SELECT o_orderkey, o_orderstatus FROM orders o WHERE o.o_custkey IN {{ keys | inclause }} "
+                               "AND (o_orderpriority IN {{ prios | inclause }}) UNION ALL "
+                               "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate IN {{ days | inclause }}",
+                        {"keys": [3, 4, 5, 700, 701, 1400, -2], "prios": ["1-URGENT", "5-LOW"],
+                         "days": [dt.date(1996, 1, 2), dt.date(1998, 2, 3)]}, _tables(spark, d, "orders"))
+
+
+@query("spark_sql_cell_braces",
+       "SELECT event_type, CAST(json_extract_string('{\"a\": [1, {\"b\": 2}]}', '$.a[1].b') AS VARCHAR) AS b, count(*) AS n "
+       "FROM events WHERE user_id > 10 AND regexp_matches(CAST(user_id AS VARCHAR), '^[0-9]{2,3}$') GROUP BY event_type")
+def spark_sql_cell_braces(spark, d):
+    # a JSON literal and a quantifier next to real places
+    return spark_sql_cell(spark, "SELECT event_type, get_json_object('{\"a\": [1, {\"b\": 2}]}', '$.a[1].b') AS b, count(*) AS n "
+                                 "FROM {src} WHERE user_id > {least} AND CAST(user_id AS STRING) RLIKE '^[0-9]{2,3}$' GROUP BY event_type",
+                          {"src": table(spark, d, "events"), "least": 10})
+
+
 @query("sql_dynamic_table", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
 def sql_dynamic_table_q(spark, d):
     return run_template(spark, "SELECT n_regionkey, count(*) AS n FROM {{ t | identifier }} GROUP BY n_regionkey",

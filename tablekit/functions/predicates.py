@@ -15,7 +15,6 @@ Design rules (see README "Condition semantics"):
 
 from __future__ import annotations
 
-import calendar
 import datetime as dt
 import functools
 import math
@@ -184,27 +183,27 @@ def _temporal_view(c: Column, dtype) -> tuple[Column, Any]:
     raise SkipFilter(f"date filter on a {dtype.simpleString()} column")
 
 
-def _day_range(c: Column, dtype, day: dt.date, days: int = 1) -> Column:
-    """``day <= c < day + days`` as a range, which the scan can use."""
-    if isinstance(dtype, T.DateType):
-        return (c >= F.lit(day)) & (c < F.lit(day + dt.timedelta(days=days)))
-    c, dtype = _temporal_view(c, dtype)
-    start = dt.datetime(day.year, day.month, day.day)
-    return (c >= _ts_literal(start, dtype)) & (c < _ts_literal(start + dt.timedelta(days=days), dtype))
+def _midnight(day: Column, dtype) -> Column:
+    """The beginning of a date: in UTC for zoned columns, else the wall clock's."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return day.cast("timestamp_ntz")
+    return F.timestamp_seconds(F.unix_date(day).cast("bigint") * 86400)
 
 
-def _since(c: Column, dtype, day: dt.date) -> Column:
+def _since(c: Column, dtype, day: Column) -> Column:
     if isinstance(dtype, T.DateType):
-        return c >= F.lit(day)
+        return c >= day
     c, dtype = _temporal_view(c, dtype)
-    return c >= _ts_literal(dt.datetime(day.year, day.month, day.day), dtype)
+    return c >= _midnight(day, dtype)
 
 
-def add_months(d: dt.date, months: int) -> dt.date:
-    """Calendar month arithmetic with end-of-month clamping (Spark ``add_months``)."""
-    m = d.month - 1 + months
-    y, m = d.year + m // 12, m % 12 + 1
-    return dt.date(y, m, min(d.day, calendar.monthrange(y, m)[1]))
+def _day_range(c: Column, dtype, day: Column) -> Column:
+    """``day <= c < day + 1`` as a range, which the scan can use."""
+    after = F.date_add(day, 1)
+    if isinstance(dtype, T.DateType):
+        return (c >= day) & (c < after)
+    c, dtype = _temporal_view(c, dtype)
+    return (c >= _midnight(day, dtype)) & (c < _midnight(after, dtype))
 
 
 # Relative-date words and how far back each one reaches.
@@ -212,27 +211,23 @@ RELATIVE_DAYS = {"week-ago": 7}
 RELATIVE_MONTHS = {"month-ago": 1, "quarter-ago": 3, "half-year-ago": 6, "year-ago": 12}
 
 
+def utc_today() -> Column:
+    """The date of the query's start in UTC, whatever the session zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(F.current_timestamp()) / 86400).cast("int"))
+
+
 def _relative(c: Column, dtype, word: str, today: dt.date | None) -> Column:
-    if today is None:  # evaluated by Spark: today in the session time zone
-        cur = F.current_date()
-        day_of = F.to_date(c) if not is_string(dtype) else F.to_date(F.try_to_timestamp(c))
-        if word == "today":
-            return day_of == cur
-        if word == "yesterday":
-            return day_of == F.date_sub(cur, 1)
-        if word in RELATIVE_DAYS:
-            return _temporal_view(c, dtype)[0] >= F.date_sub(cur, RELATIVE_DAYS[word]).cast("timestamp")
-        if word in RELATIVE_MONTHS:
-            return _temporal_view(c, dtype)[0] >= F.add_months(cur, -RELATIVE_MONTHS[word]).cast("timestamp")
-        raise SkipFilter(f"unknown relative date {word!r}")
+    """Ranges of whole days up to ``today`` (a date, or else the present one in
+    UTC); both are constants to the scan."""
+    now = utc_today() if today is None else F.lit(today)
     if word == "today":
-        return _day_range(c, dtype, today)
+        return _day_range(c, dtype, now)
     if word == "yesterday":
-        return _day_range(c, dtype, today - dt.timedelta(days=1))
+        return _day_range(c, dtype, F.date_sub(now, 1))
     if word in RELATIVE_DAYS:
-        return _since(c, dtype, today - dt.timedelta(days=RELATIVE_DAYS[word]))
+        return _since(c, dtype, F.date_sub(now, RELATIVE_DAYS[word]))
     if word in RELATIVE_MONTHS:
-        return _since(c, dtype, add_months(today, -RELATIVE_MONTHS[word]))
+        return _since(c, dtype, F.add_months(now, -RELATIVE_MONTHS[word]))
     raise SkipFilter(f"unknown relative date {word!r}")
 
 
@@ -301,7 +296,7 @@ def compile_one(f: Condition, dtype, today: dt.date | None = None) -> Column:
         lit = _ts_literal(parse_instant(vals[0]), tdt)
         return tc >= lit if op is Op.IS_AFTER else tc <= lit
     if op is Op.IS_ON:
-        return _day_range(c, dtype, parse_instant(vals[0]).date())
+        return _day_range(c, dtype, F.lit(parse_instant(vals[0]).date()))
     if op is Op.IS_RELATIVE_TODAY:
         return _relative(c, dtype, str(vals[0]), today)
     raise SkipFilter(f"unsupported operator {op.value}")

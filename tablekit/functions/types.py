@@ -48,6 +48,25 @@ def is_complex(dt) -> bool:
     return isinstance(dt, COMPLEX)
 
 
+def has_variant(dt) -> bool:
+    """Whether a type is or holds a variant, which cannot be hashed or compared."""
+    if isinstance(dt, T.StructType):
+        return any(has_variant(f.dataType) for f in dt.fields)
+    if isinstance(dt, T.ArrayType):
+        return has_variant(dt.elementType)
+    if isinstance(dt, T.MapType):
+        return has_variant(dt.keyType) or has_variant(dt.valueType)
+    return isinstance(dt, T.VariantType)
+
+
+def hashable(c: Column, dt) -> Column:
+    """A cell in a form that every hash function takes: nested cells and variants
+    as JSON, calendar intervals as text."""
+    if is_complex(dt) or has_variant(dt):
+        return F.to_json(F.struct(c.alias("c")))
+    return c.cast("string") if isinstance(dt, (T.CalendarIntervalType, T.NullType)) else c
+
+
 def is_string(dt) -> bool:
     return isinstance(dt, (T.StringType, T.CharType, T.VarcharType))
 

@@ -353,10 +353,10 @@ def is_plain_scan(df: DataFrame) -> bool:
 # --- public entry points --------------------------------------------------------------
 
 class Profile:
-    """Profile of a table. Pass 1 (numeric and temporal columns) runs on
-    construction; pass 2 (one job of chunked typed group-bys) runs on the first
-    statistic that needs it, only for the columns that statistic needs, and its
-    results are kept per column. Both return only per-column values, bounded by
+    """Profile of a table. Pass 1 (numeric and temporal columns) and pass 2 (one
+    job of chunked typed group-bys) each run on the first statistic that needs
+    them, only for the columns that statistic needs, and their results are kept
+    per column. Both return only per-column values, bounded by
     the schema width."""
 
     def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, approx_distinct: bool = False):
@@ -589,11 +589,17 @@ class Profile:
         return literal_rows(self.df.sparkSession, self.records(), self.TABLE_SCHEMA)
 
 
-def analyze_columns(df: DataFrame, columns: Sequence[str] | None = None, approx_distinct: bool = False) -> DataFrame:
+def analyze_columns(df: DataFrame, columns: Sequence[str] | None = None, approx_distinct: bool = False,
+                    approx: bool = False) -> DataFrame:
     """Stats for every column, or for the named ones; the others are listed
-    without stats."""
-    with Profile(df, columns, approx_distinct) as profile:
-        done = profile.records()
+    without stats. ``approx=True`` reads them off mergeable sketches
+    (``operators.sketches``): one pass, no shuffle that grows with the data."""
+    if approx:
+        from .sketches import column_sketches, estimates, merge_sketches
+        done = [tuple(r) for r in estimates(merge_sketches(column_sketches(df, columns))).collect()]
+    else:
+        with Profile(df, columns, approx_distinct) as profile:
+            done = profile.records()
     by_pos = {r[0]: r for r in done}
     rows = [by_pos.get(i, (i, f.name, f.dataType.simpleString(), None, None, None, None, None, None))
             for i, f in enumerate(df.schema.fields)]
@@ -629,11 +635,51 @@ def color_scale_min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.inline(entries))
 
 
+#: Types whose values sort in Arrow as they do in Spark.
+ARROW_ORDERED = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType,
+                 T.DayTimeIntervalType)
+
+
+def smallest_per_task(df: DataFrame, names: Sequence[str], limit: int) -> DataFrame:
+    """Per task and column the ``limit`` smallest distinct values that are not
+    missing, side by side (columns with fewer are filled up with nulls): at most
+    ``limit`` rows a task, however many distinct values there are."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        held, kinds, keep = [None] * len(names), None, max(limit, 0)
+
+        def smallest(values):
+            values = pc.drop_null(pc.unique(values))
+            if pa.types.is_floating(values.type):
+                values = values.filter(pc.invert(pc.is_nan(values)))
+            return values.take(pc.sort_indices(values)[:keep])
+
+        for batch in batches:
+            kinds = batch.schema
+            for k, cells in enumerate(batch.columns):
+                known = held[k]
+                if known is not None and len(known) == keep and keep:
+                    if not pa.types.is_boolean(cells.type):
+                        cells = cells.filter(pc.less(cells, known[-1]))     # nulls go too
+                held[k] = smallest(cells if known is None else pa.concat_arrays([known, cells]))
+        if kinds is not None:
+            size = max(map(len, held))
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([h, pa.nulls(size - len(h), h.type)]) for h in held], names=kinds.names)
+
+    cells = df.select(*(F.when(c == 0, F.lit(0).cast(t)).otherwise(c).alias(f"c{k}") if is_fractional(t) else c.alias(f"c{k}")
+                        for k, (c, t) in enumerate((qcol(n), df.schema[n].dataType) for n in names)))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in cells.schema])     # filled up with nulls
+    return cells.mapInArrow(run, schema).toDF(*names)
+
+
 def distinct_values(df: DataFrame, columns: Sequence[str], limit: int = DISTINCT_LIMIT) -> DataFrame:
     """(column_name, rank, value): the ``limit`` smallest distinct values per
     column that are not missing (null or NaN), in the column's own order, as
-    text. All columns share one scan: (column, value) pairs are grouped once, and
-    ``row_number() <= limit`` per column has a partial limit in every task.
+    text. All columns share one scan, in which every task keeps its ``limit``
+    smallest values (``smallest_per_task``), so at most that many rows a task are
+    shuffled; these are grouped once and ranked per column.
     Unknown column -> KeyError; map columns -> no rows; arrays and structs, which
     have no common order with others, take a plan of their own."""
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -641,7 +687,9 @@ def distinct_values(df: DataFrame, columns: Sequence[str], limit: int = DISTINCT
         if name not in fields:
             raise KeyError(name)
     names = [c for c in columns if not isinstance(fields[c], T.MapType)]
-    pairs, parts = [], []
+    bounded = list(dict.fromkeys(c for c in names if isinstance(fields[c], ARROW_ORDERED)))
+    few = smallest_per_task(df, bounded, limit) if bounded else df
+    pairs, parts = {True: [], False: []}, []
     none = F.lit(None)
     for pos, name in enumerate(names):
         c, dtype = qcol(name), fields[name]
@@ -660,10 +708,12 @@ def distinct_values(df: DataFrame, columns: Sequence[str], limit: int = DISTINCT
                  (c.cast("timestamp_ntz") if is_temporal(dtype) else none.cast("timestamp_ntz")).alias("t"),
                  (duration_seconds(c) if is_duration(dtype) else none.cast("double")).alias("i"),
                  F.when(~missing(c, dtype), c.cast("string")).alias("value")]
-        pairs.append(F.struct(*entry))
-    if pairs:
+        pairs[name in bounded].append(F.struct(*entry))
+    for source, cells in ((few, pairs[True]), (df, pairs[False])):
+        if not cells:
+            continue
         keys = ["pos", "l", "d", "n", "t", "i", "value"]
-        groups = (df.select(F.explode(F.array(*pairs)).alias("e")).select("e.*")
+        groups = (source.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
                   .filter("value IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("cells")))
         w = Window.partitionBy("pos").orderBy("l", "d", "n", "t", "i", "value")
         name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("pos") + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from typing import Iterable, Sequence
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.spec import SortKey
-from ..functions.types import is_complex, qcol
+from ..functions.types import hashable, is_complex, qcol
 
 # Display limits.
 MAX_COLUMNS = 500
@@ -81,6 +82,17 @@ def sort_multi(df: DataFrame, keys: Iterable[SortKey]) -> DataFrame:
     return df.orderBy(*cols) if cols else df
 
 
+def sort_for_files(df: DataFrame, keys: Iterable[SortKey]) -> DataFrame:
+    """``df`` in key order over its partitions, cut through equal keys as well (by
+    the row's content and place), so that a value which many rows share spreads
+    over as many partitions, and files, as its rows need."""
+    ranked, order = _ranked(df, keys)
+    if len(order) == 1:      # no keys: the input's order
+        return df
+    cols = sort_columns(order, ranked.columns)
+    return ranked.repartitionByRange(*cols).sortWithinPartitions(*cols).select(*map(qcol, df.columns))
+
+
 def size(df: DataFrame) -> int:
     return df.count()
 
@@ -104,8 +116,7 @@ def _ranked(df: DataFrame, keys: Iterable[SortKey], by_content: bool = True) ->
     known = [(c, asc) for c, asc in keys if c in df.columns]
     out = df
     if known and by_content:
-        cells = [qcol(f.name) if not is_complex(f.dataType) else F.to_json(F.struct(qcol(f.name))) for f in df.schema.fields]
-        out = out.withColumn(ROW_HASH, F.xxhash64(*cells))
+        out = out.withColumn(ROW_HASH, F.xxhash64(*(hashable(qcol(f.name), f.dataType) for f in df.schema.fields)))
         known.append((ROW_HASH, True))
     return out.withColumn(ROW_PLACE, F.monotonically_increasing_id()), known + [(ROW_PLACE, True)]
 
@@ -120,6 +131,11 @@ def _to_driver(c: Column, dtype) -> Column:
     return c.cast("string") if isinstance(dtype, T.TimestampNTZType) else c
 
 
+def driver_type(dtype) -> str:
+    """The type of a sort key in that form."""
+    return "bigint" if isinstance(dtype, T.TimestampType) else "string" if isinstance(dtype, T.TimestampNTZType) else dtype.simpleString()
+
+
 def _from_driver(v, dtype) -> Column:
     return F.timestamp_micros(F.lit(v)) if isinstance(dtype, T.TimestampType) else F.lit(v).cast(dtype)
 
@@ -137,13 +153,24 @@ def _behind(bound: Row, order: Order, schema) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def _range_number(bounds: list[Row], order: Order, schema, low: int = 0) -> Column:
-    """Number of bounds that a row comes behind: a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(_behind(bounds[mid], order, schema), _range_number(bounds[mid + 1:], order, schema, low + mid + 1)).otherwise(
-        _range_number(bounds[:mid], order, schema, low))
+def _number_ranges(df: DataFrame, bounds: list[Row], order: Order, name: str) -> DataFrame:
+    """``df`` with the number of bounds that a row comes behind, by binary search in
+    one literal array per key: a projection per step, so that the code stays as
+    small with a thousand bounds as with ten."""
+    out, step = df.withColumn(name, F.lit(0)), 1
+    while step <= len(bounds):
+        step *= 2
+    arrays = [F.array(*(_from_driver(b[key], df.schema[key].dataType) for b in bounds)) for key, _ in order]
+    while step > 1:
+        step //= 2
+        at = F.col(name) + step
+        behind = F.lit(False)
+        for (key, asc), values in reversed(list(zip(order, arrays))):
+            c, v = qcol(key), F.get(values, at - 1)
+            beyond = c > v if asc else c < v
+            behind = F.when(v.isNull(), c.isNull() & behind).when(c.isNull(), True).when(beyond, True).when(c == v, behind).otherwise(False)
+        out = out.withColumn(name, F.col(name) + F.when((at <= len(bounds)) & behind, step).otherwise(0))
+    return out
 
 
 def _sample(df: DataFrame, order: Order, rows: int, sampled: int) -> list[Row]:
@@ -226,32 +253,81 @@ def paginate(df: DataFrame, page_index: int, page_size: int, keys: Iterable[Sort
     return _numbered(page, order, start, index_col, df.columns)
 
 
-def with_ranges(df: DataFrame, keys: Iterable[SortKey], ranges: int) -> DataFrame:
-    """``df`` with its total order's helper columns and ``__tk_range``: the number
-    of its key range, cut by sampled bounds (also through equal keys: the row's
-    content and place are the last keys)."""
-    ranked, order = _ranked(df, keys)
-    bounds = _bounds(ranked, order, df.count(), ranges)
-    return ranked.withColumn("__tk_range", _range_number(bounds, order, ranked.schema))
+RANGE = "__tk_range"
+
+
+class PageIndex:
+    """An order of a table, cut into ranges of counted size: the bounds (sort keys
+    of sampled rows) and the exact number of rows in each range. Made by one
+    sample and one counting pass; every page and row number after that reads its
+    own range only. ``parts`` can be stored (``plans.browse.PageStore``)."""
+
+    def __init__(self, df: DataFrame, keys: Iterable[SortKey] = (), total: int | None = None, ranges: int | None = None,
+                 parts: tuple[list, list] | None = None):
+        self.columns = df.columns
+        self.ranked, self.order = _ranked(df, keys)
+        if parts is None:
+            total = df.count() if total is None else total
+            ranges = ranges or max(1, -(-total // RANGE_ROWS))
+            bounds = _bounds(self.ranked, self.order, total, ranges)
+            self.bounds = [tuple(b) for b in bounds]
+            counted = self.numbered().groupBy(RANGE).agg(F.count(F.lit(1)).alias("n")).collect()
+            self.counts = [0] * (len(bounds) + 1)
+            for r in counted:
+                self.counts[r[RANGE]] = r["n"]
+        else:
+            self.bounds, self.counts = [tuple(b) for b in parts[0]], list(parts[1])
+
+    @property
+    def parts(self) -> tuple[list, list]:
+        return self.bounds, self.counts
+
+    @property
+    def total(self) -> int:
+        return sum(self.counts)
+
+    def _rows(self) -> list[Row]:
+        names = Row(*(c for c, _ in self.order))
+        return [names(*b) for b in self.bounds]
+
+    def numbered(self) -> DataFrame:
+        """The rows with their sort helpers and the number of their range."""
+        return _number_ranges(self.ranked, self._rows(), self.order, RANGE)
+
+    def page(self, page_index: int, page_size: int, index_col: str | None = None) -> DataFrame:
+        """A page (past the end: the last one), from the ranges that hold it."""
+        page_index = clamp_page(self.total, page_index, page_size)
+        start, stop = page_index * page_size, min((page_index + 1) * page_size, self.total)
+        rows, ends = self._rows(), list(itertools.accumulate(self.counts))
+        low = next((k for k, end in enumerate(ends) if end > start), 0)
+        high = next((k for k, end in enumerate(ends) if end >= stop), len(ends) - 1)
+        part, schema = self.ranked, self.ranked.schema
+        if low > 0:
+            part = part.filter(_behind(rows[low - 1], self.order, schema))
+        if high < len(rows):
+            part = part.filter(~_behind(rows[high], self.order, schema))
+        before, held = ends[low] - self.counts[low], ends[high] - (ends[low] - self.counts[low])
+        # a range is sorted as it is; only one that equal rows or the sample made much larger is narrowed
+        page = _slice(part, self.order, start - before, stop - before, held, held if held <= 4 * RANGE_ROWS else DIRECT_ROWS)
+        return _numbered(page, self.order, start, index_col, self.columns)
+
+    def row_index(self, name: str = "row_index") -> DataFrame:
+        """All rows with their 0-based number: the rows in front of their range, and
+        their place in it by a window over the range."""
+        numbered = self.numbered()
+        before = F.array(*(F.lit(n).cast("long") for n in itertools.accumulate([0, *self.counts[:-1]])))
+        w = Window.partitionBy(RANGE).orderBy(*sort_columns(self.order, numbered.columns))
+        return numbered.withColumn(name, (F.get(before, F.col(RANGE)) + F.row_number().over(w) - 1).cast("long")).select(
+            *map(qcol, self.columns), qcol(name))
 
 
 def with_row_index(df: DataFrame, keys: Iterable[SortKey], name: str = "row_index", ranges: int | None = None) -> DataFrame:
-    """0-based number of every row in key order, without a global window: key
-    ranges are counted, one number each; rows are numbered inside their range by
-    a window partitioned by range, plus the rows in front of it. Nothing is
-    stored, and the numbers are a function of the rows and the bounds alone."""
-    keys = list(keys)
-    ranges = ranges or min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranked = with_ranges(df, keys, ranges)
-    counts = dict(ranked.groupBy("__tk_range").count().collect())
-    before, running = [], 0
-    for k in range(max(counts, default=0) + 1):
-        before.append(running)
-        running += counts.get(k, 0)
-    w = Window.partitionBy("__tk_range").orderBy(*sort_columns([*keys, (ROW_HASH, True), (ROW_PLACE, True)], ranked.columns))
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("__tk_range") + 1)
-    return ranked.withColumn(name, (start + F.row_number().over(w) - 1).cast("long")).select(
-        *map(qcol, df.columns), qcol(name))
+    """0-based number of every row in key order, without a global window (see
+    ``PageIndex``): ranges of about ``RANGE_ROWS`` rows, or as many as asked for, but
+    at least one per shuffle partition."""
+    total = df.count()
+    least = min(total, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) or 1
+    return PageIndex(df, keys, total, ranges or max(least, -(-total // RANGE_ROWS))).row_index(name)
 
 
 def add_index_after_limit(df: DataFrame, n: int, keys: Iterable[SortKey] = (), name: str = "row_index") -> DataFrame:
@@ -267,24 +343,67 @@ def add_limit(df: DataFrame, limit: int = 100) -> DataFrame:
 
 # --- sampling --------------------------------------------------------------------
 
+#: Copies of a row that are numbered together.
+COPIES_AT_ONCE = 1 << 16
+
+
 def sample_n(df: DataFrame, n: int, seed: int = 0, key_columns: Sequence[str] | None = None,
              total: int | None = None) -> DataFrame:
-    """``n`` random rows (all, if there are fewer), reproducible by ``seed``.
+    """``n`` random rows (all, if there are fewer), reproducible by ``seed``: the
+    same for any file split and partitioning.
 
-    Rows are ranked by ``md5(key | seed)`` and the first ``n`` kept: with
-    ``key_columns`` the same set on any engine or partitioning, without them by
-    the row's place in the input.
+    With ``key_columns`` rows are ranked by ``md5(key | seed)`` and the first ``n``
+    kept. Without, they are ranked by their whole content and, among equal rows,
+    by an occurrence number, so that every copy has a chance of its own.
     """
     if n < 1:
         raise ValueError("n must be >= 1")
+    if not key_columns:
+        return _sample_by_content(df, n, seed, df.count() if total is None else total)
     rank = "__tk_rank"
-    if key_columns:
-        ranked = df.withColumn(rank, sample_rank(key_columns, seed))
-    else:
-        ranked = df.withColumn(rank, F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
+    ranked = df.withColumn(rank, sample_rank(key_columns, seed))
     return first_rows(ranked, [(rank, True)], n, total).drop(rank)
 
 
+def content_digest(df: DataFrame) -> Column:
+    """md5 of a row: per cell the bytes of its text, a colon and the text; ``-``
+    for null."""
+    cells = []
+    for f in df.schema.fields:
+        c = F.hex(qcol(f.name)) if isinstance(f.dataType, T.BinaryType) else hashable(qcol(f.name), f.dataType).cast("string")
+        null = qcol(f.name).isNull()
+        cells.append(F.when(null, F.lit("-")).otherwise(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)))
+    return F.md5(F.concat(*cells)) if cells else F.md5(F.lit(""))
+
+
+def _sample_by_content(df: DataFrame, n: int, seed: int, total: int) -> DataFrame:
+    """The ``n`` least of ``md5(digest|occurrence|seed)``. Equal rows are counted
+    (inside each task first) and their occurrences numbered in blocks; only
+    ranks under a bound that about 4 n + 40 pass (fewer than n: one case in 10^17)
+    are sorted. One row of each digest is fetched, and repeated as often as its
+    occurrences are among the n."""
+    if total <= n:
+        return df
+    digest, copies = "__tk_digest", "__tk_copies"
+    rows = df.withColumn(digest, content_digest(df))
+    blocks = (rows.groupBy(digest).agg(F.count(F.lit(1)).alias("c"))
+              .select(digest, "c", F.explode(F.expr(f"sequence(0L, (c - 1) div {COPIES_AT_ONCE})")).alias("block")))
+    # a hot row's blocks are dealt out; most rows have one, and stay where they are
+    blocks = blocks.filter(F.col("c") <= COPIES_AT_ONCE).unionByName(
+        blocks.filter(F.col("c") > COPIES_AT_ONCE).repartition(digest, "block"))
+    occurrences = F.expr(f"sequence(block * {COPIES_AT_ONCE}, least(c, (block + 1) * {COPIES_AT_ONCE}) - 1)")
+    ranks = blocks.select(digest, F.explode(occurrences).alias("nth")).select(
+        digest, F.md5(F.concat_ws("|", digest, "nth", F.lit(seed))).alias("rank"))
+    share = (4 * n + 40) / total
+    if share < 1:
+        ranks = ranks.filter(F.col("rank") < f"{int(share * 0xFFFFFFFF):08x}")
+    wanted = ranks.orderBy("rank", digest).limit(n).groupBy(digest).agg(F.count(F.lit(1)).alias(copies))
+    one = (rows.select(digest, F.struct(*map(qcol, df.columns)).alias("row")).join(wanted, digest)
+           .groupBy(digest).agg(F.any_value("row").alias("row"), F.any_value(copies).alias(copies)))
+    return (one.select("row", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+            .select(*(F.col("row").getField(c).alias(c) for c in df.columns)))
+
+
 def sample_rank(key_columns: Sequence[str], seed: int) -> Column:
     """md5 of the keys' texts, joined by ``|``, and the seed; a null key has a
     text of its own (NUL), so null rows are sampled like any other."""

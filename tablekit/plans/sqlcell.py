@@ -10,18 +10,20 @@ placeholder forms by parameter markers; statements are told apart by Spark's par
 from __future__ import annotations
 
 import contextlib
+import datetime as dt
 import hashlib
 import json
 import re
-import string
 import uuid
 from dataclasses import dataclass, field
 from typing import Any, Iterator, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..session import shared_path
+from ..sources.files import entries, fs_path, inputs_identity
 
 # Rows of a query preview, and the cache modes.
 QUERY_PREVIEW_ROWS = 100
@@ -89,18 +91,63 @@ def quote_identifier(name: str) -> str:
     return ".".join("`" + part.replace("`", "``") + "`" for part in str(name).split("."))
 
 
-def compile_template(template: str, params: Mapping[str, Any]) -> tuple[str, dict[str, Any]]:
+#: Ranges that stand in for a list in the scan.
+LIST_RANGES = 8
+#: A plain column before ``IN``, where an expression begins: behind an opening
+#: bracket or one of these words, so that nothing before it belongs to it.
+_WITH_LIST = re.compile(r"(\(\s*|\b(?:WHERE|AND|OR|ON|HAVING|WHEN)\s+)((?:\w+|`[^`]+`)(?:\.(?:\w+|`[^`]+`))*)(\s+IN\s*"
+                        r"\{\{\s*([A-Za-z_]\w*)\s*\|\s*inclause\s*\}\})", re.I)
+
+
+def list_ranges(values: list, most: int = LIST_RANGES) -> list[tuple[Any, Any]]:
+    """At most ``most`` ranges that cover a list: cut at its widest gaps (numbers,
+    dates, times) or into equal parts (texts). None for lists without a common
+    order in Spark and Python: empty or mixed ones, nulls, NaN, booleans."""
+    kinds = {type(v) for v in values}
+    if not values or not (kinds <= {int} or kinds <= {int, float} or len(kinds) == 1 and kinds <= {str, dt.date, dt.datetime}):
+        return []
+    if any(v != v for v in values) or kinds == {dt.datetime} and len({v.tzinfo is None for v in values}) > 1:
+        return []
+    found = sorted(set(values))
+    if kinds == {str}:
+        found.sort(key=lambda v: v.encode("utf-8", "surrogatepass"))
+        cuts = [k * len(found) // most for k in range(1, most)] if len(found) > most else []
+    else:
+        gaps = sorted(range(1, len(found)), key=lambda k: found[k] - found[k - 1], reverse=True)
+        cuts = sorted(gaps[:most - 1])
+    return [(found[a], found[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(found)]) if b > a]
+
+
+def _with_ranges(m: re.Match, params: Mapping[str, Any], args: dict[str, Any]) -> str:
+    """``c IN list`` as ``(c IN list AND (c >= low AND c <= high OR ...))``: the same truth
+    value for every cell, as the list has no null."""
+    before, column, clause, name = m.groups()
+    ranges = list_ranges(list(params[name])) if name in params else []
+    if not ranges:
+        return m[0]
+    tests = []
+    for k, (low, high) in enumerate(ranges):
+        args[f"{name}__low{k}"], args[f"{name}__high{k}"] = low, high
+        tests.append(f"{column} >= :{name}__low{k} AND {column} <= :{name}__high{k}")
+    return f"{before}({column}{clause} AND ({' OR '.join(tests)}))"
+
+
+def compile_template(template: str, params: Mapping[str, Any], list_filters: bool = False) -> tuple[str, dict[str, Any]]:
     """Replace the placeholder forms by Spark parameter markers:
 
     * ``{{ x }}`` -> ``:x`` (value bound, never spliced into the text);
     * ``{{ xs | inclause }}`` -> ``(SELECT explode(:xs))``: an IN-subquery over
       one array parameter, which Spark plans as a semi-join against a small
-      local relation (any list length);
+      local relation (any list length). With ``list_filters``, behind a plain column,
+      the list's ranges (``list_ranges``) are added as bound comparisons, which
+      the scan can use;
     * ``{{ t | identifier }}`` -> ``IDENTIFIER(:t)`` with the dotted name quoted;
     * ``{{ frag | sqlsafe }}`` -> the text itself (caller-chosen columns or
       fragments, inserted as written).
     """
     args: dict[str, Any] = {}
+    if list_filters:
+        template = _WITH_LIST.sub(lambda m: _with_ranges(m, params, args), template)
 
     def sub(m: re.Match) -> str:
         name, filt = m.group(1), m.group(2)
@@ -125,8 +172,12 @@ def compile_template(template: str, params: Mapping[str, Any]) -> tuple[str, dic
 
 def run_template(spark: SparkSession, template: str, params: Mapping[str, Any] | None = None,
                  tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    sql, args = compile_template(template, params or {})
-    return sql_on_tables(spark, sql, tables, args)
+    plain, filtered = (compile_template(template, params or {}, list_filters=f) for f in (False, True))
+    if filtered[0] != plain[0]:
+        # a column that takes the list but no comparison with its ends goes without them
+        with contextlib.suppress(AnalysisException):
+            return sql_on_tables(spark, filtered[0], tables, filtered[1])
+    return sql_on_tables(spark, plain[0], tables, plain[1])
 
 
 # --- statement kind, by Spark's own parser ------------------------------------------------
@@ -164,47 +215,6 @@ def cache_key(query: str, params: Mapping[str, Any] | None, inputs: str = "") ->
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
-def _fs_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-#: Up to this many input files are named one by one in the identity; of more,
-#: their folders (which change whenever a file comes, goes or is replaced).
-FILES_NAMED = 1000
-
-
-def inputs_identity(df: DataFrame) -> str:
-    """What a result depends on besides its text: the analysed plan (in-memory
-    rows by their content or instance) and the state of the files it reads."""
-    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().analyzed().toString())
-    files = sorted(df.inputFiles())
-    if len(files) > FILES_NAMED:
-        files = sorted({f.rsplit("/", 1)[0] for f in files}) + [str(len(files))]
-    state = []
-    for name in files:
-        if "/" in name:
-            fs, p = _fs_path(df.sparkSession, name)
-            status = fs.getFileStatus(p)
-            name = f"{name} {status.getLen()} {status.getModificationTime()}"
-        state.append(name)
-    return "\n".join([plan, str(df.semanticHash()), *state])
-
-
-def _entries(spark: SparkSession, folder: str) -> list[str]:
-    """Complete entries below ``folder`` (their ``_SUCCESS`` marker is there), newest last."""
-    fs, p = _fs_path(spark, folder)
-    if not fs.exists(p):
-        return []
-    found = []
-    for status in fs.listStatus(p):
-        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if fs.exists(marker):
-            found.append((fs.getFileStatus(marker).getModificationTime(), f"{folder}/{status.getPath().getName()}"))
-    return [path for _, path in sorted(found)]
-
-
 @dataclass
 class CacheOutcome:
     df: DataFrame
@@ -238,11 +248,11 @@ def cached_sql(spark: SparkSession, query: str, params: Mapping[str, Any] | None
         return CacheOutcome(df, "not_cached")
     key = cache_key(query, params, inputs_identity(df))
     folder = f"{root.rstrip('/')}/{key}" if root else shared_path(spark, "tablekit-sql-cache", key)
-    if mode == READ_OR_WRITE and (there := _entries(spark, folder)):
+    if mode == READ_OR_WRITE and (there := entries(spark, folder)):
         return CacheOutcome(spark.read.schema(df.schema).parquet(there[-1]), "read_from_cache", there[-1])
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, p = _fs_path(spark, path)
+    fs, p = fs_path(spark, path)
     if max_bytes is not None and fs.getContentSummary(p).getLength() > max_bytes:
         fs.delete(p, True)
         return CacheOutcome(df, "not_cached")
@@ -308,19 +318,34 @@ class SqlWorkspace:
         self.views.drop()
 
 
+#: A place in a cell: a name in braces, maybe with attributes or indexes behind it.
+_PLACE = re.compile(r"\{([A-Za-z_]\w*)((?:\.\w+|\[\w+\])*)\}")
+
+
+def cell_places(text: str) -> tuple[str, set[str]]:
+    """A cell for Spark's formatter, and the names it uses: every brace that is
+    not around a name (JSON, regular expressions, lone ones) stays text."""
+    out, at, used = [], 0, set()
+    for m in _PLACE.finditer(text):
+        out += [text[at:m.start()].replace("{", "{{").replace("}", "}}"), m[0]]
+        used.add(m[1])
+        at = m.end()
+    return "".join(out) + text[at:].replace("{", "{{").replace("}", "}}"), used
+
+
 def spark_sql_cell(spark: SparkSession | None, text: str, namespace: Mapping[str, Any] | None = None,
                    keep: str = "", view: str | None = None) -> DataFrame:
     """Run a cell whose ``{name}`` places are filled by Spark itself: tables,
-    columns and quoted values, never spliced text. ``keep``: "" (lazy), "lazy"
-    (cached when first used) or "now" (cached at once); ``view`` also publishes
-    the result."""
+    columns and quoted values, never spliced text; other braces are the query's
+    own. ``keep``: "" (lazy), "lazy" (cached when first used) or "now" (cached at
+    once); ``view`` also publishes the result."""
     if spark is None:
         raise RuntimeError("no active Spark session")
     namespace = dict(namespace or {})
-    used = {name.split(".")[0].split("[")[0] for _, name, _, _ in string.Formatter().parse(text) if name}
+    template, used = cell_places(text)
     if unknown := sorted(used - set(namespace)):
         raise NameError(f"the cell uses names that are not defined: {', '.join(unknown)}")
-    df = spark.sql(text, **{name: namespace[name] for name in used})
+    df = spark.sql(template, **{name: namespace[name] for name in used}) if used else spark.sql(text)
     if keep:
         df = df.cache()
     if keep == "now":

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.csv import CSV_OPTIONS, CSV_READ_OPTIONS, JSON_OPTIONS, csv_ready, csv_size
 from ..functions.spec import View, read_view
-from ..operators.shape import sort_multi
+from ..operators.shape import sort_for_files
 from ..plans.browse import selected_rows
 from ..session import shared_path
+from .files import entries, fs_path
 
 # Fixed value: exports estimated above 1 GB are refused.
 EXPORT_MAX_BYTES = 1024 ** 3
@@ -127,12 +128,13 @@ def export_table(df: DataFrame, spec: View | str | dict | None, path: str,
                  max_bytes: int | None = EXPORT_MAX_BYTES) -> str:
     """Filter and sort by a view (over all columns), refuse when the CSV's exact
     size (one aggregate over the unsorted rows) exceeds ``max_bytes`` (None: no
-    limit), then write the CSV folder (parents are created by the writer)."""
+    limit), then write the CSV folder (parents are created by the writer): in the
+    view's order over the files, with equal sort values cut like any others."""
     view = read_view(spec, df.columns)
     rows = selected_rows(df, view)
     if max_bytes is not None and (size := csv_size(rows)) > max_bytes:
         raise ExportTooLargeError(f"the export has {size} bytes, more than {max_bytes}")
-    return csv_export(sort_multi(rows, view.order), path)
+    return csv_export(sort_for_files(rows, view.order), path)
 
 
 def json_export(df: DataFrame, path: str, index_col: str = "__tk_pos") -> str:
@@ -149,16 +151,35 @@ def json_import(spark: SparkSession, path: str, schema: str, index_col: str = "_
     return df.orderBy(index_col).drop(index_col)
 
 
+def _result_folder(spark: SparkSession, key: str, root: str | None) -> str:
+    return f"{root.rstrip('/')}/{key}" if root else shared_path(spark, "tablekit-results", key)
+
+
 def store_result(df: DataFrame, key: str, root: str | None = None) -> str:
-    """Write a result as parquet under ``<root>/<key>`` (shared folder by default)."""
-    path = f"{root.rstrip('/')}/{key}" if root else shared_path(df.sparkSession, "tablekit-results", key)
-    df.write.mode("overwrite").parquet(path)
+    """Write a result as parquet to a folder of its own under ``<root>/<key>``
+    (shared folder by default). It counts once its marker is there: readers of an
+    older result go on, and a lost write leaves that one as it was."""
+    path = f"{_result_folder(df.sparkSession, key, root)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return path
 
 
 def read_result(spark: SparkSession, key: str, root: str | None = None) -> DataFrame:
-    path = f"{root.rstrip('/')}/{key}" if root else shared_path(spark, "tablekit-results", key)
-    return spark.read.parquet(path)
+    """The newest complete result of ``key``."""
+    there = entries(spark, folder := _result_folder(spark, key, root))
+    if not there:
+        raise FileNotFoundError(f"no complete result in {folder}")
+    return spark.read.parquet(there[-1])
+
+
+def drop_older_results(spark: SparkSession, key: str, root: str | None = None, keep: int = 1) -> int:
+    """Remove all but the newest ``keep`` complete results of ``key``, once nobody
+    reads them any more; returns how many went."""
+    old = entries(spark, _result_folder(spark, key, root))[:-keep or None]
+    for path in old:
+        fs, p = fs_path(spark, path)
+        fs.delete(p, True)
+    return len(old)
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:

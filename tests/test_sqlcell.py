@@ -4,7 +4,7 @@ import pytest
 
 from tablekit.plans.sqlcell import (READ_OR_WRITE, ALWAYS_WRITE, CACHE_DISABLED, SqlCellError, SqlWorkspace,
                                     cache_key, cached_sql, compile_template, is_single_select, run_template,
-                                    spark_sql_cell)
+                                    spark_sql_cell, sql_on_tables)
 
 
 def test_compile_template_forms():
@@ -132,3 +132,79 @@ def test_cache_defaults_to_the_shared_folder(spark):
     out = cached_sql(spark, "SELECT 42 AS answer", {}, READ_OR_WRITE)
     assert out.status in ("written_to_cache", "read_from_cache")
     assert out.path.startswith(shared_root(spark).rstrip("/")) and out.df.first()["answer"] == 42
+
+
+def test_braces_that_are_not_places(spark):
+    src = spark.range(3)
+    one = lambda text, **names: spark_sql_cell(spark, text, names).collect()
+    assert one("SELECT get_json_object('{\"a\": 1}', '$.a') AS x")[0].x == "1"
+    assert one("SELECT count(*) AS n FROM {src} WHERE CAST(id + 100 AS STRING) RLIKE '^[0-9]{3}$'", src=src)[0].n == 3
+    assert one("SELECT '}{ {} { x} {1,2} {{' AS s")[0].s == "}{ {} { x} {1,2} {{"
+    assert one("SELECT '{ \"k\": {\"m\": [1]} }' AS s, max({src.id}) AS m FROM {src}", src=src)[0] == ('{ "k": {"m": [1]} }', 2)
+    assert one("SELECT id FROM {src} WHERE id = {n}", src=src, n=2)[0].id == 2
+    with pytest.raises(NameError, match="nowhere"):
+        spark_sql_cell(spark, "SELECT '{\"a\": 1}' FROM {nowhere}", {})
+
+
+def test_list_ranges():
+    import datetime as dt
+
+    from tablekit.plans.sqlcell import list_ranges
+    assert list_ranges([5, 1, 2, 900, 901]) == [(1, 1), (2, 2), (5, 5), (900, 900), (901, 901)]
+    some = [*range(100), *range(5000, 5100), 10 ** 12]
+    found = list_ranges(some, 3)
+    assert found == [(0, 99), (5000, 5099), (10 ** 12, 10 ** 12)]
+    words = [f"w{k:03d}" for k in range(100)] + ["é", "\U0001f600", "￿"]
+    assert all(any(a.encode() <= w.encode() <= b.encode() for a, b in list_ranges(words)) for w in words)
+    assert list_ranges([dt.date(2020, 1, 1), dt.date(2020, 1, 2)], 1) == [(dt.date(2020, 1, 1), dt.date(2020, 1, 2))]
+    for odd in ([], [None, 1], [1, "1"], [True, False], [float("nan"), 1.0], [dt.date(2020, 1, 1), dt.datetime(2020, 1, 1)]):
+        assert list_ranges(odd) == []
+
+
+def test_list_ranges_reach_the_scan(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "CONCAT('k', id) AS s", "IF(id % 3 = 0, NULL, id) AS n").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    pushed = lambda df: df._jdf.queryExecution().executedPlan().toString().split("PushedFilters: ")[1].split("]")[0]
+    df = run_template(spark, "SELECT id FROM t WHERE id IN {{ xs | inclause }}", {"xs": list(range(0, 200, 3)) + [990]}, {"t": t})
+    assert "GreaterThanOrEqual(id," in pushed(df) and sorted(r.id for r in df.collect()) == [*range(0, 200, 3), 990]
+    # the same truth value everywhere: nulls, NOT, OR, expressions, texts
+    for where in ("n IN {}", "NOT n IN {}", "NOT (n IN {})", "(n IN {}) IS NULL", "n + 1 IN {}", "id > 900 OR n IN {} AND id < 50",
+                  "CASE WHEN n IN {} THEN true ELSE n IS NULL END"):
+        xs, text = [4, 7, 8, 500, 501], f"SELECT id FROM t WHERE {where.format('{{ xs | inclause }}')}"
+        got = run_template(spark, text, {"xs": xs}, {"t": t})
+        sql, args = compile_template(text, {"xs": xs})
+        assert sorted(got.collect()) == sorted(sql_on_tables(spark, sql, {"t": t}, args).collect()), where
+    words = run_template(spark, "SELECT id FROM t WHERE t.s IN {{ xs | inclause }}", {"xs": ["k1", "k10", "nothing"]}, {"t": t})
+    assert "(s,k1)" in pushed(words) and sorted(r.id for r in words.collect()) == [1, 10]
+
+
+def test_cache_misses_when_one_of_many_files_changes(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(1001):
+        (folder / f"f{k}.txt").write_text("7")
+    run = lambda: cached_sql(spark, "SELECT CAST(sum(CAST(value AS INT)) AS BIGINT) AS n FROM t",
+                             tables={"t": spark.read.text(str(folder))}, root=str(tmp_path / "cache"))
+    first, again = run(), run()
+    assert (first.status, again.status) == ("written_to_cache", "read_from_cache") and again.df.first().n == 7007
+    stamp = os.stat(folder)
+    with open(folder / "f500.txt", "r+") as f:
+        f.write("9")
+    os.utime(folder / "f500.txt", (5, 5))
+    os.utime(folder, ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
+    changed = run()
+    assert changed.status == "written_to_cache" and changed.df.first().n == 7009
+
+
+def test_a_stored_result_does_not_disturb_its_readers(spark, tmp_path):
+    from tablekit.sources.io import drop_older_results, read_result, store_result
+    root = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        read_result(spark, "k", root)
+    store_result(spark.range(5), "k", root)
+    reader = read_result(spark, "k", root)
+    store_result(spark.range(9), "k", root)
+    assert reader.count() == 5 and read_result(spark, "k", root).count() == 9
+    (tmp_path / "k" / "lost").mkdir()      # a write that never ended
+    assert read_result(spark, "k", root).count() == 9 and drop_older_results(spark, "k", root) == 1
+    assert read_result(spark, "k", root).count() == 9
