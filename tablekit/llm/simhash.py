@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh, saved, text_batches, text_of
@@ -163,11 +162,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component
-    the row with the smallest ``doc_id`` (of rows that repeat it, one)."""
-    point, root, least, rank = (fresh(docs, n) for n in ("point", "root", "least", "rank"))
-    rows = text_batches(docs).withColumn(point, simhash_of(text_of(docs)))
-    points = saved(rows.groupBy(F.col(point).alias("point")).agg(F.min("doc_id").alias("first")))
-    found = components_of(points).toDF(point, root, least)
-    kept = rows.join(found, point).filter(F.col("doc_id").eqNullSafe(F.col(least)))
-    return (kept.withColumn(rank, F.row_number().over(W.partitionBy(root).orderBy("doc_id")))
-            .filter(F.col(rank) == 1).select(*docs.columns))
+    the row with the smallest ``doc_id`` (of rows that repeat it, the first)."""
+    row = fresh(docs, "row")
+    rows = text_batches(docs).withColumn(row, F.monotonically_increasing_id())
+    # decided on (row, doc_id, point); the texts move once, with the rows that stay
+    points = saved(rows.select(F.col(row).alias("row"), "doc_id", simhash_of(text_of(docs)).alias("point")))
+    # per fingerprint first, so that a frequent one is one row (a null doc_id only if there is no other)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    points = saved(points.groupBy("point").agg(best.alias("best")))
+    found = components_of(points.select("point", F.col("best.doc_id").alias("first")))
+    kept = points.join(found, "point").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
