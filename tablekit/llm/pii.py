@@ -27,12 +27,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, text_batches, text_of, text_sizes
+from .common import fresh, least_hashes, slices, text_batches, text_of, text_sizes
 
 KINDS = ("email", "ip", "card", "phone")
 ATOMS, CHARS, SAMPLE, EPOCHS, MARGIN, SLICE_BYTES = 24, 64, 300, 8, 2.0, 4 << 20
-#: Longest document of the training sample (all texts are searched whole).
-LONGEST = 1 << 18
+#: Longest document, and most atoms of a region, of the training sample (all texts
+#: are searched whole).
+LONGEST, TRAINED_ATOMS = 1 << 18, 400
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -164,7 +165,7 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.3) -> dict:
         base = base_spans(text)
         for start, end in regions(text):
             n, segments = lattice(text, start, end)
-            if segments and n <= 400:
+            if segments and n <= TRAINED_ATOMS:
                 gold, behind = set(), 0
                 for a, b, k in base:
                     if start <= a and b <= end and a >= behind:
@@ -234,11 +235,10 @@ def added_spans(text: str, base: list, weights: dict, margin: float = MARGIN) ->
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Weights from at most ``sample`` documents with candidates, of at most
     ``LONGEST`` characters each, chosen by hash."""
-    rows = (docs.select(text_of(docs).alias("text")).filter(F.col("text").rlike("@|[0-9][0-9().-]+[0-9]"))
-            .filter(F.length("text") <= LONGEST).withColumn("h", F.xxhash64("text")))
+    rows = docs.select(text_of(docs).alias("text")).withColumn("h", F.xxhash64("text"))
+    able = F.col("text").rlike("@|[0-9][0-9().-]+[0-9]") & (F.length("text") <= LONGEST)
     # the least hashes first (8 bytes each), then only their texts
-    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(sample).collect()]
-    some = rows.filter(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text"))
+    some = rows.filter(F.col("h").isin(least_hashes(rows.filter(able), sample))).groupBy("h").agg(F.min("text").alias("text"))
     return train([r["text"] for r in some.orderBy("h").collect()])
 
 
