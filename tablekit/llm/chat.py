@@ -3,8 +3,11 @@
 Calls and results meet by a hash join on (conversation, identifier). Calls are
 ordered topologically along their ``after`` identifiers by rounds of joins: a
 call's level is the length of the longest chain of calls it waits for. Arguments
-are checked against the tool's schema, and every linked call is written as
-canonical JSON (keys sorted, no white space, absent values as null).
+are checked against the tool's schema, at any depth, and every linked call is
+written as canonical JSON: keys sorted, no white space, absent values as null,
+each number in one form (plain digits, no exponent, no zeros that say nothing), so
+equal arguments are equal texts and no digit is lost. A number of more than 38
+digits is written as a text and is a fault.
 
 Defined results: of calls that repeat an identifier in a conversation the one
 with the least (turn, name, arguments) is linked, the others get status
@@ -19,6 +22,8 @@ object are invalid. Further statuses, in this order: ``invalid`` (arguments), ``
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,31 +31,88 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: JSON types of a schema and how a variant's type reads in SQL.
-TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY",
+TYPES = {"string": "STRING", "integer": r"BIGINT|DECIMAL\([0-9]+,0\)", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY",
          "number": "BIGINT|DOUBLE|DECIMAL|FLOAT"}
+#: Digits of a number that is kept as a number.
+DIGITS = 38
+
+
+def _number(t: str) -> str:
+    """SQL: a JSON number's one form: plain digits, no exponent, no zeros that say
+    nothing; null for one that needs more than ``DIGITS`` digits."""
+    whole, part = f"regexp_extract({t}, '^-?([0-9]+)', 1)", f"regexp_extract({t}, '[.]([0-9]+)', 1)"
+    power = f"if({t} rlike '[eE]', try_cast(regexp_extract({t}, '[eE]([+-]?[0-9]+)$', 1) AS INT), 0)"
+    # y.d: the digits without zeros around them, y.s: how many of them stand behind the point
+    width = "greatest(length(y.d), int(y.s) + 1)"
+    plain = (f"CASE WHEN y.d = '' THEN '0' WHEN y.s IS NULL OR abs(y.s) > {DIGITS} OR length(y.d) > {DIGITS} THEN NULL "
+             f"WHEN y.s <= 0 AND length(y.d) - y.s <= {DIGITS} THEN concat(y.sign, y.d, repeat('0', int(-y.s))) "
+             f"WHEN y.s > 0 THEN concat(y.sign, left(lpad(y.d, {width}, '0'), {width} - int(y.s)), '.', right(lpad(y.d, {width}, '0'), int(y.s))) END")
+    # transform(array(x), y -> ...)[0] names x
+    return (f"transform(array(named_struct('digits', trim(LEADING '0' FROM concat({whole}, {part})), 'behind', length({part}) - bigint({power}), "
+            f"'sign', if({t} LIKE '-%', '-', ''))), z -> transform(array(named_struct('d', trim(TRAILING '0' FROM z.digits), "
+            f"'s', z.behind - (length(z.digits) - length(trim(TRAILING '0' FROM z.digits))), 'sign', z.sign)), y -> {plain})[0])[0]")
+
+
+def with_canonical_numbers(rows: DataFrame, column: str, lost: str) -> DataFrame:
+    """``rows`` with every number of the JSON texts in ``column`` in its one form,
+    and in ``lost`` (array of texts) the numbers that have none; in the JSON
+    these become texts. Only texts with a number that could change are taken
+    apart."""
+    # a valid JSON text holds no control characters: they stand for what is escaped
+    number = "x rlike '^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?$'"
+    runs = "regexp_extract_all(p, '[-+0-9.eE]+|[^-+0-9.eE]+', 0)"
+    text = F.col(column).cast("string")
+    odd = text.rlike("[0-9][.eE]|[0-9]{16}|-0")
+    safe = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01\x01")), F.lit('\\"'), F.lit("\x01\x02"))
+    out = rows.withColumn("__parts", F.when(odd, F.split(safe, '"', -1)))
+    fixed = F.expr(f"""array_join(transform(__parts, (p, i) -> if(i % 2 = 1, p, array_join(transform({runs}, x -> if({number}, coalesce({_number('x')}, concat('"', x, '"')), x)), ''))), '"')""")
+    gone = F.expr(f"filter(flatten(transform(__parts, (p, i) -> if(i % 2 = 1, array(), {runs}))), x -> {number} AND {_number('x')} IS NULL)")
+    back = F.replace(F.replace(fixed, F.lit("\x01\x02"), F.lit('\\"')), F.lit("\x01\x01"), F.lit("\\\\"))
+    return out.withColumns({lost: F.coalesce(gone, F.array().cast("array<string>")), column: F.coalesce(back, text)}).drop("__parts")
+
+
+def _type(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit(""))
+
+
+def _check(value: Column, kind, path: Column) -> Column:
+    """Faults of a JSON value (variant) under ``kind``: a type's name, {field:
+    (kind, required)} for an object, [kind] for an array of such, a tuple of
+    allowed values. Array of texts."""
+    none, one = F.array().cast("array<string>"), lambda fault: F.array(F.concat(path, F.lit(f": {fault}")))
+    if isinstance(kind, str):
+        return F.when(_type(value).rlike(f"^({TYPES[kind]})"), none).otherwise(one(f"not {kind}"))
+    if isinstance(kind, tuple):
+        return F.when(F.to_json(value).isin([json.dumps(v, ensure_ascii=False) for v in kind]), none).otherwise(one("not allowed"))
+    if isinstance(kind, list):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        inside = F.flatten(F.transform(items, lambda x, i: _check(x, kind[0], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+        return F.when(_type(value).startswith("ARRAY"), F.coalesce(inside, none)).otherwise(one("not array"))
+    return F.when(_type(value).startswith("OBJECT"), _fields(value, kind, F.concat(path, F.lit(".")))).otherwise(one("not object"))
+
+
+def _fields(value: Column, fields: dict, before: Column) -> Column:
+    keys, found = F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>")), []
+    for field, (kind, required) in sorted(fields.items()):
+        quoted = field.replace("\\", "\\\\").replace("'", "\\'")
+        path, own = F.concat(before, F.lit(field)), F.try_variant_get(value, f"$['{quoted}']", "variant")
+        missing = F.array(F.concat(path, F.lit(": missing"))) if required else F.array().cast("array<string>")
+        found.append(F.when(F.array_contains(keys, field), _check(own, kind, path)).otherwise(missing))
+    known = F.array(*map(F.lit, sorted(fields))).cast("array<string>")
+    extra = F.transform(F.array_except(keys, known), lambda k: F.concat(before, k, F.lit(": unknown field")))
+    return F.concat(*found, extra)
 
 
 def faults(name: Column, arguments: Column, schemas: dict) -> Column:
     """Faults of JSON ``arguments`` (variant) under ``schemas``: tool name ->
-    {field: (type, required)}. Sorted array of texts; empty: valid."""
-    found = F.when(F.lit(True), F.array(F.lit("unknown tool")))
-    keys = F.coalesce(F.json_object_keys(F.to_json(arguments)), F.array().cast("array<string>"))
-    chain = None
+    {field: (kind, required)} (kinds as of ``_check``, nested to any depth).
+    Sorted array of texts; empty: valid."""
+    unknown, chain = F.array(F.lit("unknown tool")), None
     for tool, fields in sorted(schemas.items()):
-        checks = []
-        for field, (kind, required) in sorted(fields.items()):
-            quoted = field.replace("\\", "\\\\").replace("'", "\\'")
-            there = F.array_contains(keys, field)
-            own = F.schema_of_variant(F.try_variant_get(arguments, f"$['{quoted}']", "variant"))
-            checks.append(F.when(there & ~F.coalesce(own.rlike(f"^({TYPES[kind]})"), F.lit(False)), F.lit(f"{field}: not {kind}"))
-                          .when(~there & F.lit(required), F.lit(f"{field}: missing")))
-        extra = F.transform(F.array_except(keys, F.array(*map(F.lit, sorted(fields))).cast("array<string>")),
-                            lambda k: F.concat(k, F.lit(": unknown field")))
-        here = F.array_sort(F.concat(F.array_compact(F.array(*checks).cast("array<string>")), extra))
+        here = F.array_sort(_fields(arguments, fields, F.lit("")))
         chain = F.when(name == tool, here) if chain is None else chain.when(name == tool, here)
-    found = F.array(F.lit("unknown tool")) if chain is None else chain.otherwise(F.array(F.lit("unknown tool")))
-    return F.when(F.coalesce(F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(False)), found).otherwise(
-        F.array(F.lit("no object")))
+    found = unknown if chain is None else chain.otherwise(unknown)
+    return F.when(_type(arguments).startswith("OBJECT"), found).otherwise(F.array(F.lit("no object")))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -115,9 +177,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> Data
     orphans = results.join(first.select(*key, F.lit(True).alias("known")), key, "left").filter("known IS NULL").select(
         "conv_id", F.col("result.turn").alias("turn"), "call_id", "result", F.lit("orphan").alias("status"))
     rows = linked.unionByName(odd, allowMissingColumns=True).unionByName(orphans, allowMissingColumns=True)
-    rows = rows.withColumn("parsed", F.try_parse_json("arguments"))
-    rows = rows.withColumn("faults", F.when(F.col("status") == "orphan", F.array().cast("array<string>"))
-                           .otherwise(faults(F.col("name"), F.col("parsed"), schemas)))
+    rows = with_canonical_numbers(rows, "arguments", "lost").withColumn("parsed", F.try_parse_json("arguments"))
+    wrong = F.concat(faults(F.col("name"), F.col("parsed"), schemas), F.transform("lost", lambda t: F.concat(F.lit("number out of range: "), t)))
+    rows = rows.withColumn("faults", F.when(F.col("status") == "orphan", F.array().cast("array<string>")).otherwise(F.array_sort(wrong)))
     status = (F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("level").isNull(), "cycle")
               .when(F.size("faults") > 0, "invalid").when(F.col("answered").isNull(), "open").otherwise("linked"))
     line = F.struct("after", F.col("parsed").alias("arguments"), "call_id", "conv_id", "level", "name",
