@@ -72,6 +72,8 @@ def json_roundtrip_events(spark, d):
 
 
 WIDE = 600
+#: The longest text of a bigint, and the sign behind it.
+CELL_BYTES = 21
 
 
 @query("export_wide", f"SELECT o_orderkey, o_orderkey + {WIDE - 1} AS last FROM orders WHERE (o_orderkey + {WIDE - 2}) % 3 = 0")
@@ -81,7 +83,9 @@ def export_wide(spark, d):
                                          ((F.col("o_orderkey") + WIDE - 2) % 3).alias("rest"))
     spec = {"filters": [{"column": "rest", "operator": "is-equal", "comparativeValues": [0]}],
             "sortBy": [{"id": f"c{WIDE - 1}", "type": "desc"}]}
-    path = export_table(o, spec, scratch_path(spark, "export"))
+    # the export grows with the table: its limit is what its rows can take at most
+    most = (o.count() + 1) * CELL_BYTES * len(o.columns)
+    path = export_table(o, spec, scratch_path(spark, "export"), max_bytes=most)
     names = [f"c{k}" for k in range(1, WIDE)]
     back = read_csv_export(spark, path, ", ".join(f"{c} bigint" for c in ["o_orderkey", *names, "rest"]))
     return back.select("o_orderkey", F.col(names[-1]).alias("last"))
