@@ -56,8 +56,8 @@ def browse_table_q(spark, d):
 @query("browse_table_big", "SELECT CAST(big AS VARCHAR) AS big, o_custkey, row_index FROM (SELECT o_orderkey * 9007199254740 AS big, o_custkey, "
        "CAST(row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS BIGINT) AS row_index FROM orders) WHERE row_index < 10")
 def browse_table_big(spark, d):
-    # numbers past 2^53 on the page become text
-    o = table(spark, d, "orders").select((F.col("o_orderkey") * F.lit(9007199254740)).alias("big"), "o_custkey")
+    # numbers past 2^53 on the page become text; keys past 1,024,000 make numbers past 2^63
+    o = table(spark, d, "orders").select((F.col("o_orderkey").cast("decimal(20,0)") * F.lit(9007199254740)).alias("big"), "o_custkey")
     return browse_page(o, {"sortBy": [{"id": "big", "type": "desc"}]})
 
 

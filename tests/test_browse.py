@@ -79,3 +79,10 @@ def test_preview_json_cut(spark):
     cut = json.loads(data_preview_json(df, "[]", '[["col1", false]]', mode="head", most=100, max_bytes=300))
     assert len(cut) < 100 and cut[0]["col1"] == 4999
     assert sum(len(json.dumps(r, separators=(",", ":"))) for r in cut) <= 300
+
+
+def test_big_numbers_past_64_bits(spark, tmp_path):
+    from tablekit.acceptance.browse_q import browse_table_big
+    spark.range(8_999_990, 9_000_001).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    page = browse_table_big(spark, str(tmp_path)).orderBy("row_index").collect()
+    assert [r["big"] for r in page] == [str(k * 9007199254740) for k in range(9_000_000, 8_999_990, -1)]
