@@ -157,9 +157,10 @@ def sample_n_multi_key(spark, d):
 
 @query("paginate_ties", "SELECT l_linestatus, l_orderkey, l_linenumber FROM lineitem")
 def paginate_ties(spark, d):
-    # one tied sort key: all pages together give every row once
-    li = table(spark, d, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber").repartition(7)
+    # one tied sort key: all pages together give every row once; the rows are dealt into partitions of bounded size
+    li = table(spark, d, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber")
     total = size(li)
+    li = li.repartition(max(7, total // 500_000), "l_orderkey", "l_linenumber")
     step = total // 5 + 1
     pages = [paginate(li, k, step, [("l_linestatus", True)], total=total) for k in range(5)]
     return functools.reduce(DataFrame.unionByName, pages)

@@ -228,3 +228,16 @@ def test_preview_of_no_files(spark, tmp_path):
         assert preview.refresh().total == 0 and preview.frame().collect() == [] and preview.column_stats().count() == 0
         spark.range(5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         assert preview.refresh().total == 5 and preview.frame().count() == 5
+
+
+def test_large_pages_are_not_limits(spark, monkeypatch):
+    # a limit reads the whole page in one task
+    df = spark.range(6000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("s"), "id").repartition(3).cache()
+    keys = [("k", False), ("s", True)]
+    whole = [r.id for r in paginate(df, 0, 6000, keys, total=6000).collect()]
+    monkeypatch.setattr(shape, "RANGE_ROWS", 900)
+    for p in (1, 7):
+        page, start = paginate(df, p, 2500, keys, total=6000), 2500 * min(p, 2)
+        assert "Limit" not in page._jdf.queryExecution().optimizedPlan().toString()
+        assert [r.id for r in page.collect()] == whole[start:start + 2500]
+    assert [r.id for r in shape.first_rows(df, keys, 1500).collect()] == whole[:1500]
