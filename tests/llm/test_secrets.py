@@ -71,6 +71,57 @@ def test_viterbi_and_marginals_are_exact():
             assert two[at][1][2] == pytest.approx(sum(math.exp(score(t)) for t in every if t[at:at + 2] == (1, 2)) / whole)
 
 
+def best_reading(text, base, weights, margin):
+    """Viterbi over every token of the text, feature by feature."""
+    from tablekit.llm import secret_scan as S
+    zero, out = (0.0, 0.0, 0.0), []
+    for chain in S.chains(text):
+        emit = [[sum(w) for w in zip(zero, *(weights.get(f, zero) for f in fs))] for fs in S.features(text, chain, S.file_features(text))]
+        barred = [t for t, (start, end, _, _) in enumerate(chain) if any(a < end and start < b for a, b, _ in base)]
+        for (start, end, _, _), tag in zip(chain, S.viterbi(emit, S.steps(weights), margin, barred)):
+            if tag == S.BEGIN:
+                out.append((start, end))
+            elif tag == S.INSIDE:
+                out[-1] = (out[-1][0], end)
+    return out
+
+
+def test_every_token_is_read(monkeypatch):
+    from tablekit.llm import secret_scan as S
+    rng = random.Random(12)
+    text = "the key: hunter - é汉 a1\u3000b=\n"
+    assert [text[t[0]:t[1]] for chain in S.chains(text) for t in chain] == ["the", "key", ":", "hunter", "-", "é", "汉", "a1", "b", "="]
+    assert list(S.chains(" \n\u3000")) == [] == list(S.chains(""))
+    some = ["Pa55", "the", "API_KEY", "a.b-c", "ab12/cd", "é", "汉", "\0", "²", "=", "{", "}", ":", "  ", "\n", "\u2028", "deadbeef" * 2, "x" * 30, "token=", "KEYS"]
+    texts = ["", "a", " "] + [" ".join(rng.choices(some, k=rng.randint(1, 60))) + "".join(rng.choices(some, k=rng.randint(0, 20))) for _ in range(60)]
+    found = 0
+    for bias in (0.0, 1.5, 3.0):
+        # any token may be a secret or a part of one
+        weights = {f: [rng.gauss(0, 0.7) for _ in range(3)] for t in texts for c in S.chains(t) for fs in S.features(t, c, S.file_features(t)) for f in fs if rng.random() < 0.9}
+        weights |= {"bias": [bias, 0.0, 0.0]} | {("step", k): [rng.gauss(0, 1) for _ in range(3)] for k in range(3)}
+        bases = [S.base_spans(t) for t in texts]
+        want = [best_reading(t, b, weights, 0.5) for t, b in zip(texts, bases)]
+        for block, words in ((1 << 18, 1 << 18), (7, 5), (60, 20)):
+            monkeypatch.setattr(S, "BLOCK", block)
+            monkeypatch.setattr(S, "WORDS", words)
+            assert S.Reader(weights, 0.5).spans(texts, bases) == want
+        found += sum(text[a:b].isalpha() and b - a < 12 for text, spans in zip(texts, want) for a, b in spans)
+    assert found > 20
+
+
+def test_secrets_without_a_digit_are_found():
+    from tablekit.llm import secret_scan as S
+    rng = random.Random(3)
+    words = ["the", "of", "letter", "and", "word", "house"]
+    value = lambda n: "".join(rng.choices("QXZJKVWY", k=n))
+    prose = lambda: " ".join(rng.choices(words, k=12))
+    weights = S.train([f"{prose()} password: {value(12)} {prose()}" for _ in range(40)])
+    secret = value(12)
+    text = f"{prose()} pass word: {secret} {prose()}"
+    at = text.index(secret)
+    assert S.base_spans(text) == [] and S.added_spans(text, [], weights) == [(at, at + 12)]
+
+
 def test_model_finds_what_the_rules_label(spark):
     """On half of the documents the model was not trained on, without the rules."""
     from tablekit.llm import secret_scan as S
