@@ -34,17 +34,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashes, slices, text_of, text_sizes
+from .common import slices, text_of, text_sizes
 
 KINDS, ADDED = ("assign", "access", "hex"), "secret"
 SAMPLE, LONGEST, LESSON, EPOCHS, MARGIN = 300, 1 << 18, 2 << 20, 8, 2.0
 #: Bytes of texts, and characters, that are read at once; words kept by a reader.
 SLICE_BYTES, BLOCK, WORDS = 1 << 19, 1 << 18, 100_000
 
-ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+# the set of first letters is what lets the search skip
+ASSIGN = re.compile(r"""(?=[AaPpSsTt])(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
+HEX = re.compile(r"[0-9a-f]{16,}")
+NAMES = re.compile(r"(?=[AaPpSsTt])(?:password|passwd|secret|token|api_?key)", re.I | re.A)
 #: What belongs together without a blank; any other sign stands alone.
 FIELDS = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]")
 TOKENS = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
@@ -326,18 +327,24 @@ class Reader(dict):
 
     def _forget(self) -> None:
         self.clear()
+        self.rows: dict = {}
         self.sums: dict = {}
         self.own, self.word = np.zeros((1024, 3)), np.zeros(1024, np.int64)
 
     def __missing__(self, token: str) -> int:
-        row = len(self)
-        if row == len(self.word):
-            self.own, self.word = np.concatenate([self.own, np.zeros_like(self.own)]), np.concatenate([self.word, np.zeros_like(self.word)])
-        feats = own(token)
-        if feats not in self.sums:
-            self.sums[feats] = self._sum(feats)
-        self.own[row] = self.sums[feats]
-        self.word[row] = self.words.get(word_of(token), 0)
+        forms = token.translate(FORMS)
+        # tokens that differ in none of these have the same features
+        key = (forms, len(set(token)), len(token) > 7 and HEXES.fullmatch(token) is not None, token[:4] if token.isupper() else "",
+               self.words.get(word_of(token), 0))
+        row = self.rows.get(key)
+        if row is None:
+            row = self.rows[key] = len(self.rows)
+            if row == len(self.word):
+                self.own, self.word = np.concatenate([self.own, np.zeros_like(self.own)]), np.concatenate([self.word, np.zeros_like(self.word)])
+            feats = own(token)
+            if feats not in self.sums:
+                self.sums[feats] = self._sum(feats)
+            self.own[row], self.word[row] = self.sums[feats], key[-1]
         self[token] = row
         return row
 
@@ -465,10 +472,24 @@ def is_candidate(text: Column) -> Column:
     return text.rlike(CANDIDATE)
 
 
+def least_lessons(rows: DataFrame, most: int) -> list[int]:
+    """The ``most`` smallest different hashes in column ``h`` of texts to learn from
+    (fewer, if there are not so many). Only texts whose hash is under a bound are
+    looked at; should too few of them be lessons, it is raised."""
+    share = min(1.0, 64 * most / max(1, rows.count()))
+    while True:
+        bound = -(1 << 63) + min((1 << 64) - 1, int(share * (1 << 64)))
+        few = rows.filter((F.col("h") <= bound) & (F.length("text") <= LONGEST) & F.col("text").rlike(LESSONS))
+        least = [r["h"] for r in few.select("h").distinct().orderBy("h").limit(most).collect()]
+        if len(least) == most or share == 1:
+            return least
+        share = min(1.0, 8 * share)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Weights from at most ``sample`` different texts of ``LESSON`` characters together."""
     rows = docs.select(text_of(docs).alias("text")).withColumn("h", F.xxhash64("text"))
-    least = least_hashes(rows.filter(F.col("text").rlike(LESSONS) & (F.length("text") <= LONGEST)), sample)
+    least = least_lessons(rows, sample)
     some = rows.filter(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text"))
     texts, size = [], 0
     for r in some.orderBy("h").collect():

@@ -159,6 +159,17 @@ def test_query_and_edge_cases(spark, docs_of, odd_texts, sample):
     assert S.train([]) == {} and S.find_secrets(docs_of([]), {}).count() == 0 and S.fit(docs_of([])) == {}
 
 
+def test_lessons_are_the_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from tablekit.llm import secret_scan as S
+    rows = spark.range(3000).select(F.when(F.col("id") % 50 == 0, F.concat(F.lit("token: abcdefgh"), F.col("id"))).otherwise(F.concat(F.lit("w"), F.col("id"))).alias("text"))
+    rows = rows.unionAll(rows).withColumn("h", F.xxhash64("text"))
+    every = sorted({r.h for r in rows.filter(F.col("text").startswith("token")).collect()})
+    assert len(every) == 60 and S.least_lessons(rows, 2) == every[:2] and S.least_lessons(rows, 50) == every[:50]
+    assert S.least_lessons(rows, 61) == every and S.least_lessons(rows.limit(0), 5) == []
+
+
 def test_clashing_columns(docs_of):
     from pyspark.sql import functions as F
 
