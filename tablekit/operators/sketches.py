@@ -118,7 +118,18 @@ def merge_sketches(sketches: DataFrame) -> DataFrame:
 
 def estimates(merged: DataFrame) -> DataFrame:
     """The profile table (``Profile.TABLE_SCHEMA``) read off merged sketches. What
-    comes back is bounded by the number of columns."""
+    comes back is bounded by the number of columns. The sketches are asked twice,
+    for their edges and for their counts, and held in between: made once."""
+    if merged.is_cached:
+        return _estimates(merged)
+    merged.persist()
+    try:
+        return _estimates(merged)
+    finally:
+        merged.unpersist()
+
+
+def _estimates(merged: DataFrame) -> DataFrame:
     spark = merged.sparkSession
     ranges = {r["position"]: hist_edges(r["lo"], r["hi"]) for r in merged.select("position", "lo", "hi").collect()}
     # counts below the inner edges: ranks include the point itself, so the float just below is asked for

@@ -169,3 +169,17 @@ def test_digest_does_not_depend_on_partitions(spark):
     states = file_states(spark, [SF])
     assert states.count() > 10 and digest_of(states.repartition(1)) == digest_of(states.repartition(9))
     assert math.isfinite(int(digest_of(states), 16))
+
+
+def test_sketches_are_made_once(spark):
+    from tablekit.operators.profile import analyze_columns
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(300).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS v", "CAST(id AS STRING) AS s").mapInArrow(counted, "id long, v double, s string")
+    rows = {r.column_name: r for r in analyze_columns(df, approx=True).collect()}
+    assert seen.value == 300 and (rows["id"].min, rows["id"].max) == ("0", "299") and rows["v"].histogram[-1].bin_end == 6.0
