@@ -85,7 +85,8 @@ def export_wide(spark, d):
             "sortBy": [{"id": f"c{WIDE - 1}", "type": "desc"}]}
     # the export grows with the table: its limit is what its rows can take at most
     most = (o.count() + 1) * CELL_BYTES * len(o.columns)
-    path = export_table(o, spec, scratch_path(spark, "export"), max_bytes=most)
+    # and its files are packed: as plain text they are many times as large as the table
+    path = export_table(o, spec, scratch_path(spark, "export"), max_bytes=most, compression="gzip")
     names = [f"c{k}" for k in range(1, WIDE)]
     back = read_csv_export(spark, path, ", ".join(f"{c} bigint" for c in ["o_orderkey", *names, "rest"]))
     return back.select("o_orderkey", F.col(names[-1]).alias("last"))

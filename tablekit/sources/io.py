@@ -111,12 +111,14 @@ def jdbc_query_source(spark: SparkSession, url: str, query: str, **kw: Any) -> D
 
 # --- CSV / JSON / parquet ---------------------------------------------------------------
 
-def csv_export(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+def csv_export(df: DataFrame, path: str, mode: str = "overwrite", *, compression: str | None = None) -> str:
     """Header + rows as CSV part files in ``path``, written by the executors in
     parallel, without loss: microseconds, blanks around texts, line breaks,
     quotes (doubled), empty texts apart from nulls; arrays, maps, structs and
-    intervals as text, binaries as ``b'...'``."""
-    csv_ready(df).write.mode(mode).options(header="true", **CSV_OPTIONS).csv(path)
+    intervals as text, binaries as ``b'...'``. ``compression`` names a codec for
+    the files (``gzip``: ``.csv.gz``, the same bytes once unpacked); None: plain."""
+    codec = {} if compression is None else {"compression": compression}
+    csv_ready(df).write.mode(mode).options(header="true", **CSV_OPTIONS, **codec).csv(path)
     return path
 
 
@@ -125,16 +127,17 @@ def read_csv_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def export_table(df: DataFrame, spec: View | str | dict | None, path: str,
-                 max_bytes: int | None = EXPORT_MAX_BYTES) -> str:
+                 max_bytes: int | None = EXPORT_MAX_BYTES, *, compression: str | None = None) -> str:
     """Filter and sort by a view (over all columns), refuse when the CSV's exact
-    size (one aggregate over the unsorted rows) exceeds ``max_bytes`` (None: no
-    limit), then write the CSV folder (parents are created by the writer): in the
-    view's order over the files, with equal sort values cut like any others."""
+    size (one aggregate over the unsorted rows; unpacked, if ``compression`` is
+    given) exceeds ``max_bytes`` (None: no limit), then write the CSV folder
+    (parents are created by the writer): in the view's order over the files, with
+    equal sort values cut like any others."""
     view = read_view(spec, df.columns)
     rows = selected_rows(df, view)
     if max_bytes is not None and (size := csv_size(rows)) > max_bytes:
         raise ExportTooLargeError(f"the export has {size} bytes, more than {max_bytes}")
-    return csv_export(sort_for_files(rows, view.order), path)
+    return csv_export(sort_for_files(rows, view.order), path, compression=compression)
 
 
 def json_export(df: DataFrame, path: str, index_col: str = "__tk_pos") -> str:
